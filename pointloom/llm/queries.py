@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_shards, inner_topk, ppm_lang, repair_store, token_counts
+from . import byte_shards, inner_topk, ppm_lang, repair_store, setsketch, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,7 +34,21 @@ def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards.byte_shards(_read(spark, sf_dir, "documents"), shards=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_repair_store, op4_norm_sorted_topk, op5_resync_token_counts, op6_ppm_language, op8_prefix_sum_shards)}
+def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_repair_store,
+        op4_norm_sorted_topk,
+        op5_resync_token_counts,
+        op6_ppm_language,
+        op8_prefix_sum_shards,
+        op9_setsketch_near_dedup,
+    )
+}
 
 _OP4_SQL = """
 WITH v AS (SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
