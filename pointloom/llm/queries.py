@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_shards, inner_topk, ppm_lang, repair_store, setsketch, token_counts
+from . import byte_shards, inner_topk, phrase_automata, ppm_lang, repair_store, setsketch, token_counts
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,6 +38,11 @@ def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
 
 
+def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_automata.remove_repeats(_read(spark, sf_dir, "documents"), span=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -47,6 +52,7 @@ QUERIES = {
         op6_ppm_language,
         op8_prefix_sum_shards,
         op9_setsketch_near_dedup,
+        op10_phrase_automata,
     )
 }
 
