@@ -132,12 +132,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: The bytes that end a word where case and punctuation do not count: all ASCII but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def words(data: np.ndarray, ends: np.ndarray, separators: np.ndarray = _SEP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in all texts, and for each of n texts the index of its first word (n + 1 values)."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(ends), np.int64)
-    inside = ~_SEP[data]
+    inside = ~separators[data]
     cut = ends[1:-1]
     cut = cut[(cut > 0) & (cut < len(data))]
     first = inside.copy()
