@@ -176,28 +176,28 @@ class ItemIndex:
         return [(d, i, s, e) for (d, i), (e, s) in sorted(best.items())]
 
 
-_MATCHES = "doc_id long, item_id long, start long, edits int, item_words int"
+_MATCHES = "doc_id long, text_hash long, item_id long, start long, edits int, item_words int"
 
 
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for b in slices(batches, "text"):
             data, ends = utf8(b["text"])
             starts, stops, first = words(data, ends, MARKS)
             found = index.matches(word_hashes(data, starts, stops, lower=True), first)
             if found:
-                ids = b["doc_id"].to_pylist()
-                rows = [(ids[d], index.ids[i], s, e, int(index.m[i])) for d, i, s, e in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "item_id", "start", "edits", "item_words"])
+                ids, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
+                rows = [(ids[d], hashes[d], index.ids[i], s, e, int(index.m[i])) for d, i, s, e in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text_hash", "item_id", "start", "edits", "item_words"])
 
     return run
 
 
 def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, item_block: int = 5000) -> DataFrame:
-    """doc_id, item_id, start (word), edits and item_words of the closest window of each pair that matches."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, text_hash (xxhash64), item_id, start (word), edits and item_words of the closest window of each pair that matches."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = -(-items.count() // item_block)
     out = docs.sparkSession.createDataFrame([], _MATCHES)

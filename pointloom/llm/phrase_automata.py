@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from .common import slices, utf8, window_hashes, word_hashes, words
 
@@ -282,7 +282,7 @@ def _locate(span: int):
     return run
 
 
-def _cut(span: int):
+def _cut(span: int, clean_as_is: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             kept, words_n, removed = [], [], []
@@ -299,24 +299,28 @@ def _cut(span: int):
                     stay = np.cumsum(gone[:-1]) == 0
                     parts = [parts[k] for k in np.flatnonzero(stay).tolist()]
                 removed.append(words_n[-1] - len(parts))
-                kept.append(b" ".join(parts).decode())
+                kept.append(text if clean_as_is and not ranges else b" ".join(parts).decode())
             yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c not in ("text", "marks")), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*(c for c in b.schema.names if c not in ("text", "marks")), "n_words", "n_removed", "kept_text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, span: int = 20) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_text (the kept words joined by one space) of every document."""
+def remove_repeats(docs: DataFrame, *, span: int = 20, passing: tuple[str, ...] = (), clean_as_is: bool = False) -> DataFrame:
+    """doc_id, the columns `passing`, n_words, n_removed and kept_text of every document.
+
+    kept_text: the kept words joined by one space; with `clean_as_is` a text that loses nothing stays as it was.
+    """
     spark = docs.sparkSession
     shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    docs = docs.withColumn("key", F.xxhash64("text", "doc_id")).select("key", "doc_id", "text")
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "key": F.xxhash64("text", F.col("doc_id").cast("long"))}).select("key", "doc_id", *passing, "text")
     anchors = docs.select("key", "text").mapInArrow(_anchors(span, shards), _ANCHORS)
     told = anchors.repartition("p").sortWithinPartitions("p").mapInArrow(_recurring, "key long, pos int")
     told = told.groupBy("key").agg(F.collect_list("pos").alias("pos"))
-    held = docs.join(told.hint("shuffle_hash"), "key").select("key", "doc_id", "pos", "text")
+    held = docs.join(told.hint("shuffle_hash"), "key").select("key", "doc_id", *passing, "pos", "text")
     segments = held.mapInArrow(_segments(span, shards), _SEGMENTS)
     marks = segments.repartition("p").sortWithinPartitions("p").mapInArrow(_locate(span), "key long, doc long, start int, n int")
     marks = marks.groupBy("key").agg(F.collect_list(F.struct("doc", "start", "n")).alias("marks"))
-    # the same deal of the documents as above: Spark reuses the exchange
-    return docs.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", "marks", "text").mapInArrow(_cut(span), "doc_id long, n_words long, n_removed long, kept_text string")
+    # the same columns, dealt in the same way, as above: Spark reuses the exchange
+    found = docs.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", *passing, "marks", "text")
+    more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
+    return found.mapInArrow(_cut(span, clean_as_is), T.StructType([*found.drop("marks", "text").schema, *more]))

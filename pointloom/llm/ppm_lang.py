@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import slices, utf8
 
@@ -127,7 +127,7 @@ def fit(table: DataFrame, lang: Column, *, fit_bytes: int = 1_000_000, fit_doc_b
     return ContextTrees(texts) if texts else None
 
 
-def _predict(shared):
+def _predict(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
         for b in slices(batches, "text"):
@@ -140,9 +140,7 @@ def _predict(shared):
             score = 1 / np.exp2(np.minimum(total.min(1)[:, None] - total, 0)).sum(1)
             known = np.asarray(b["lettered"].to_numpy(zero_copy_only=False), bool)
             pred = np.where(known, np.array(trees.langs, object)[best], "und")
-            extra = [b[c] for c in b.schema.names if c not in ("text", "lettered")]
-            names = [c for c in b.schema.names if c not in ("text", "lettered")]
-            yield pa.RecordBatch.from_arrays([*extra, pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(pred, pa.string()), pa.array(np.where(known, score, 0.0))], [*keep, "lang_pred", "score"])
 
     return run
 
@@ -152,12 +150,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every document; learns from `lang` of the rows that are not held out."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    trees = fit(docs, F.when(~held_out(F.col("doc_id")), F.col("lang")), **how)
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+def identify(docs: DataFrame, *, passing: tuple[str, ...] = ("doc_id",), **how) -> DataFrame:
+    """The columns `passing`, held_out, lang_pred and score of every document; learns from `lang` of the rows not held out."""
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    own = F.when(~held_out(F.col("doc_id")), F.col("lang"))
+    trees = fit(docs.select("doc_id", "text", "lang"), own, **how)
+    rows = docs.select(*passing, held_out(F.col("doc_id")).alias("held_out"))
     if trees is None:
-        return rows.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by fit_bytes and max_langs
-    return rows.mapInArrow(_predict(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    used = [*passing, *(c for c in ("text",) if c not in passing)]
+    rows = docs.select(*used, held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+    return rows.mapInArrow(_predict(shared, _unchanged(schema)), schema)
+
+
+def _unchanged(schema: T.StructType) -> list[str]:
+    """The columns that go through unchanged: all but the two predictions."""
+    return [c for c in schema.names if c not in ("lang_pred", "score")]

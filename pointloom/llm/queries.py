@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_shards, inner_topk, phrase_automata, ppm_lang, repair_store, setsketch, token_counts
+from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, phrase_automata, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -18,6 +18,20 @@ def op1_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.token_store(_read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), end_id=2)
 
 
+def op2_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_chain.toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), categories())
+
+
+def categories() -> dict[str, Column]:
+    """The chain over the table `labels`: toxic, and whether a toxic text is junk or prose by its quality."""
+    toxic, quality = F.col("toxic"), F.col("quality")
+    return {"p_toxic": toxic, "p_toxic_junk": toxic * (1 - quality), "p_toxic_prose": toxic * quality}
+
+
+def op3_conflict_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conflict_packing.pack(_read(spark, sf_dir, "documents"), capacity=8192)
+
+
 def op4_norm_sorted_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inner_topk.top_inner_products(inner_topk.integer_vectors(_read(spark, sf_dir, "embeddings")), F.col("vec_id") % 20 == 0, k=20)
 
@@ -30,12 +44,17 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_lang.identify(_read(spark, sf_dir, "documents"))
 
 
+def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cgk_decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), similarity=0.8)
+    return found.select("doc_id", "item_id", "start", "edits", "item_words")
+
+
 def op8_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_shards.byte_shards(_read(spark, sf_dir, "documents"), shards=16)
 
 
 def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return setsketch.near_duplicates(_read(spark, sf_dir, "documents"), percent=85)
+    return setsketch.near_duplicates(_read(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,9 +66,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_repair_store,
+        op2_toxicity_chain,
+        op3_conflict_best_fit,
         op4_norm_sorted_topk,
         op5_resync_token_counts,
         op6_ppm_language,
+        op7_cgk_decontamination,
         op8_prefix_sum_shards,
         op9_setsketch_near_dedup,
         op10_phrase_automata,

@@ -115,7 +115,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key, regs = _keys(flat, at), registers(flat, offsets)
             for k, place in enumerate(np.flatnonzero(full).tolist()):
                 keys[place], sketches[place] = key[k], regs[k].tobytes()
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "key", "sketch"])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["text_hash"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "text_hash", "n_shingles", "key", "sketch"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,9 +215,9 @@ def _cross_pairs(percent: int):
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, key binary, sketch binary"), "sketches")
+    """doc_id, n_shingles, component_id, kept and text_hash (xxhash64 of the text) of every document."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    sketched = written(docs.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, key binary, sketch binary"), "sketches")
     full = sketched.filter("key is not null")
     nodes = full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     least = by_key.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     groups = written(suspects.select("key", "node").join(labels, "node").join(least, "label").select("key", "component_id"), "groups")
     alone = nodes.select("key", "rep").join(groups, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "n_shingles", "key").join(alone, "key", "left")
+    out = sketched.select("doc_id", "text_hash", "n_shingles", "key").join(alone, "key", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
 
