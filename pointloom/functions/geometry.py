@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: The circle constant and the smallest positive double that the rotation and bounding-box conventions use.
 PI = 3.14159265358
@@ -89,27 +89,43 @@ def cross_area(a: Vec, b: Vec, c: Vec) -> Column:
     return 0.5 * norm(cross(sub(b, a), sub(c, a)))
 
 
-def eigenvalues3(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Vec:
-    """Eigenvalues, largest first, of the symmetric matrix [[a, b, c], [b, d, e], [c, e, f]]."""
-    q = (a + d + f) / 3
-    p = F.sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6)
-    det = (a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c)
-    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(det, 2 * p * p * p)))
-    phi = F.acos(r) / 3
-    first, third = q + 2 * p * F.cos(phi), q + 2 * p * F.cos(phi + 2 * math.pi / 3)
-    flat = p <= 0
-    return F.when(flat, q).otherwise(first), F.when(flat, q).otherwise(3 * q - first - third), F.when(flat, q).otherwise(third)
-
-
-def eigenvector3(m: Sequence[Column], value: Column) -> Vec:
-    """A unit eigenvector: the longest cross product of two rows of M - value I; its sign is arbitrary, null if M is a multiple of I."""
-    a, b, c, d, e, f = m
-    rows = [(a - value, b, c), (b, d - value, e), (c, e, f - value)]
-    crosses = [cross(rows[0], rows[1]), cross(rows[0], rows[2]), cross(rows[1], rows[2])]
-    lengths = [dot(v, v) for v in crosses]
-    best = F.greatest(*lengths)
-    pick = lambda k: F.when(lengths[0] >= best, crosses[0][k]).when(lengths[1] >= best, crosses[1][k]).otherwise(crosses[2][k])
-    return tuple(F.try_divide(pick(k), F.sqrt(best)) for k in range(3))
+def with_eigenvalues(df: DataFrame, m: Sequence[str], out: str) -> DataFrame:
+    """Adds {out}1 to {out}3: eigenvalues, largest first, of the symmetric matrix [[a, b, c], [b, d, e], [c, e, f]] of columns m.
+
+    Step by step, so that each value is computed once and no expression repeats another.
+    """
+    a, b, c, d, e, f = map(F.col, m)
+    q, p, det, phi = (F.col(f"_{out}{n}") for n in ("q", "p", "det", "phi"))
+    df = df.withColumn(f"_{out}q", (a + d + f) / 3)
+    df = df.withColumns(
+        {
+            f"_{out}p": F.sqrt(((a - q) * (a - q) + (d - q) * (d - q) + (f - q) * (f - q) + 2 * (b * b + c * c + e * e)) / 6),
+            f"_{out}det": (a - q) * ((d - q) * (f - q) - e * e) - b * (b * (f - q) - e * c) + c * (b * e - (d - q) * c),
+        }
+    )
+    df = df.withColumn(f"_{out}phi", F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(det, 2 * p * p * p)))) / 3)
+    turn = lambda k: F.when(p <= 0, q).otherwise(q + 2 * p * F.cos(phi + k * math.pi / 3))
+    df = df.withColumns({f"{out}1": turn(0), f"{out}3": turn(2)})
+    df = df.withColumn(f"{out}2", F.when(p <= 0, q).otherwise(3 * q - F.col(f"{out}1") - F.col(f"{out}3")))
+    return df.drop(*(f"_{out}{n}" for n in ("q", "p", "det", "phi")))
+
+
+def with_eigenvector(df: DataFrame, m: Sequence[str], value: str, out: str) -> DataFrame:
+    """Adds {out}x, {out}y, {out}z: a unit eigenvector of the eigenvalue in column `value`, the longest cross product of two rows
+    of the matrix less that value; its sign is arbitrary, and it is null if all rows are parallel."""
+    a, b, c, d, e, f = map(F.col, m)
+    v = F.col(value)
+    rows = [(a - v, b, c), (b, d - v, e), (c, e, f - v)]
+    names = [f"_{out}{k}{n}" for k in range(3) for n in "xyz"]
+    pairs = ((0, 1), (0, 2), (1, 2))
+    df = df.withColumns({f"_{out}{k}{n}": x for k, (i, j) in enumerate(pairs) for n, x in zip("xyz", cross(rows[i], rows[j]), strict=True)})
+    df = df.withColumns({f"_{out}n{k}": dot(cols(f"_{out}{k}"), cols(f"_{out}{k}")) for k in range(3)})
+    n = [F.col(f"_{out}n{k}") for k in range(3)]
+    df = df.withColumn(f"_{out}best", F.greatest(*n))
+    best = F.col(f"_{out}best")
+    pick = lambda x: F.when(n[0] >= best, F.col(f"_{out}0{x}")).when(n[1] >= best, F.col(f"_{out}1{x}")).otherwise(F.col(f"_{out}2{x}"))
+    df = df.withColumns({f"{out}{x}": F.try_divide(pick(x), F.sqrt(best)) for x in "xyz"})
+    return df.drop(*names, *(f"_{out}n{k}" for k in range(3)), f"_{out}best")
 
 
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> Vec:

@@ -22,15 +22,6 @@ def with_neighbour(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return pairs.join(points.select("shape_id", F.col("point_idx").alias("dst"), "x", "y", "z"), ["shape_id", "dst"])
 
 
-def _shape(m: list[Column]) -> tuple[Column, Column, Column, Column]:
-    """Ratios of the second and third eigenvalue to the first, and |v_y| of the first and third eigenvector."""
-    one, two, three = G.eigenvalues3(*m)
-    zero = F.lit(0.0)
-    ratio = lambda x: F.coalesce(F.try_divide(x, one), zero)
-    tilt = lambda v: F.coalesce(F.abs(G.eigenvector3(m, v)[1]), zero)
-    return ratio(two), ratio(three), tilt(one), tilt(three)
-
-
 def neighbourhoods(pairs: DataFrame, points: DataFrame, radii: tuple[float, ...] = RADII) -> DataFrame:
     """shape_id, point_idx and for the k-th radius e2_k, e3_k, g1_k, g3_k, zv_k: from the second moments of the neighbours
     (about the origin), the tilt of their first and last axis, and the variance of z. No neighbour: null."""
@@ -42,9 +33,14 @@ def neighbourhoods(pairs: DataFrame, points: DataFrame, radii: tuple[float, ...]
     sums = with_neighbour(pairs, points).groupBy("shape_id", F.col("src").alias("point_idx")).agg(*aggs)
     out = ["shape_id", "point_idx"]
     for k in range(len(radii)):
-        m = [F.col(f"m{k}_{a}{b}") for a, b in _MOMENTS]
-        some = m[0].isNotNull()
-        out += [F.when(some, c).alias(f"{n}_{k}") for n, c in zip(("e2", "e3", "g1", "g3"), _shape(m), strict=True)] + [f"zv_{k}"]
+        m = [f"m{k}_{a}{b}" for a, b in _MOMENTS]
+        sums = G.with_eigenvalues(sums, m, f"l{k}_")
+        sums = G.with_eigenvector(G.with_eigenvector(sums, m, f"l{k}_1", f"u{k}_"), m, f"l{k}_3", f"w{k}_")
+        some = F.col(m[0]).isNotNull()
+        of = lambda c: F.when(some, F.coalesce(c, F.lit(0.0)))  # noqa: B023, E731
+        ratio = lambda n: of(F.try_divide(F.col(f"l{k}_{n}"), F.col(f"l{k}_1")))  # noqa: B023, E731
+        tilt = lambda n: of(F.abs(F.col(f"{n}{k}_y")))  # noqa: B023, E731
+        out += [ratio(2).alias(f"e2_{k}"), ratio(3).alias(f"e3_{k}"), tilt("u").alias(f"g1_{k}"), tilt("w").alias(f"g3_{k}"), f"zv_{k}"]
     return sums.select(*out)
 
 
@@ -54,9 +50,10 @@ def normals(points: DataFrame, radius: float = NORMAL_RADIUS) -> DataFrame:
     near = radius_pairs(points, radius).select("shape_id", F.col("i").alias("src"), F.col("j").alias("dst"), "d")
     own = points.select("shape_id", F.col("point_idx").alias("src"), F.col("point_idx").alias("dst"), F.lit(0.0).alias("d"))
     met = with_neighbour(near.union(own), points).groupBy("shape_id", F.col("src").alias("point_idx"))
+    m = [a + b for a, b in _MOMENTS]
     moments = met.agg(F.count(F.lit(1)).alias("n"), *(F.covar_pop(a, b).alias(a + b) for a, b in _MOMENTS))
-    m = [F.col(a + b) for a, b in _MOMENTS]
-    v = G.eigenvector3(m, G.eigenvalues3(*m)[2])
+    moments = G.with_eigenvector(G.with_eigenvalues(moments, m, "l"), m, "l3", "v")
+    v = G.cols("v")
     both = moments.join(points.select("shape_id", "point_idx", *(F.col(c).alias("p" + c) for c in "xyz")), ["shape_id", "point_idx"])
     away = G.dot(v, G.cols("p")) > 0
     return both.select("shape_id", "point_idx", *(F.when(F.col("n") >= 3, F.when(away, -c).otherwise(c)).alias("n" + a) for c, a in zip(v, "xyz", strict=True)))

@@ -196,8 +196,9 @@ def fit_plane(points: DataFrame) -> DataFrame:
     """shape_id, cx, cy, cz, nx, ny, nz: centre and the axis of least spread; the sign makes the largest component positive."""
     pairs = (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))
     s = points.groupBy("shape_id").agg(*(F.avg(a).alias("c" + a) for a in "xyz"), *(F.covar_pop(a, b).alias(a + b) for a, b in pairs))
-    m = [F.col(a + b) for a, b in pairs]
-    v = G.eigenvector3(m, G.eigenvalues3(*m)[2])
+    m = [a + b for a, b in pairs]
+    s = G.with_eigenvector(G.with_eigenvalues(s, m, "l"), m, "l3", "v")
+    v = G.cols("v")
     top = F.greatest(*[F.abs(c) for c in v])
     sign = F.signum(F.when(F.abs(v[0]) >= top, v[0]).when(F.abs(v[1]) >= top, v[1]).otherwise(v[2]))
     return s.select("shape_id", "cx", "cy", "cz", *((c * sign).alias("n" + a) for c, a in zip(v, "xyz", strict=True)))

@@ -205,8 +205,8 @@ def normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = p.select("shape_id", F.col("point_idx").alias("src"), F.col("point_idx").alias("dst"))
     met = feat.with_neighbour(near.union(own), p).groupBy("shape_id", F.col("src").alias("point_idx"))
     m = met.agg(F.count(F.lit(1)).alias("n"), *(F.covar_pop(a, b).alias("m" + a + b) for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))))
-    _, two, three = G.eigenvalues3(*[F.col("m" + k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")])
-    clear = m.filter((F.col("n") >= 6) & (two > three * 1.2)).select("shape_id", "point_idx")
+    m = G.with_eigenvalues(m, ["m" + k for k in ("xx", "xy", "xz", "yy", "yz", "zz")], "l")
+    clear = m.filter("n >= 6 and l2 > l3 * 1.2").select("shape_id", "point_idx")
     return feat.normals(p, 0.15).join(clear, ["shape_id", "point_idx"]).select("shape_id", "point_idx", *(r(F.col(c), 3).alias(c) for c in ("nx", "ny", "nz")))
 
 

@@ -49,7 +49,8 @@ def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magnitudes of the first four components as the probabilities of labels 0 to 3."""
     e = table(spark, sf_dir, "embeddings")
     at = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    p = e.select(F.col("label").alias("shape_id"), at.alias("point_idx"), F.posexplode(F.slice("embedding", 1, 4)).alias("label", "p"))
+    rows = e.select(F.col("label").alias("shape_id"), at.alias("point_idx"), F.slice("embedding", 1, 4).alias("e"))
+    p = rows.select("shape_id", "point_idx", F.posexplode("e").alias("label", "p"))
     return p.withColumn("p", F.abs(F.col("p").cast("double")))
 
 
