@@ -219,3 +219,57 @@ def snap(points: DataFrame, onto: DataFrame, key: str) -> DataFrame:
     q = onto.select(key, F.col("idx").alias("j"), *(F.col(c).alias("j" + c) for c in "xyz"))
     d = p.join(q, key).withColumn("d2", G.squared_distance(G.cols("i"), G.cols("j")))
     return d.groupBy(key, "i").agg(F.min_by("j", F.struct("d2", "j")).alias("j"), F.min("d2").alias("d2"))
+
+
+def winding_numbers(queries: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """shape_id, q_idx, w: the solid angle of all faces seen from each query (shape_id, q_idx, x, y, z), over 4 pi."""
+    tri = corners(faces, vertices)
+    q = queries.select("shape_id", "q_idx", *(F.col(c).alias("q" + c) for c in "xyz"))
+    met = tri.join(q, "shape_id")
+    o = G.cols("q")
+    a, b, c = (G.sub(G.cols(p), o) for p in "abc")
+    met = met.withColumns({f"{n}{k}_": x for n, v in zip("abc", (a, b, c), strict=True) for k, x in zip("xyz", v, strict=True)})
+    a, b, c = (tuple(F.col(f"{n}{k}_") for k in "xyz") for n in "abc")
+    met = met.withColumns({"_la": G.norm(a), "_lb": G.norm(b), "_lc": G.norm(c)})
+    la, lb, lc = F.col("_la"), F.col("_lb"), F.col("_lc")
+    solid = F.atan2(G.dot(a, G.cross(b, c)), la * lb * lc + G.dot(a, b) * lc + G.dot(b, c) * la + G.dot(c, a) * lb)
+    return met.groupBy("shape_id", "q_idx").agg((F.sum(2 * solid) / (4 * math.pi)).alias("w"))
+
+
+def border_vertices(faces: DataFrame) -> DataFrame:
+    """shape_id, v_idx of vertices on an edge of one face."""
+    return boundary_edges(faces).select("shape_id", F.explode(F.array("a", "b")).alias("v_idx")).distinct()
+
+
+def irregular_vertices(faces: DataFrame, valence: int = 6) -> DataFrame:
+    """shape_id, v_idx, edges of inner vertices whose number of edges is not `valence`."""
+    ends = edge_counts(faces).select("shape_id", F.explode(F.array("a", "b")).alias("v_idx"))
+    n = ends.groupBy("shape_id", "v_idx").agg(F.count(F.lit(1)).alias("edges")).filter(F.col("edges") != valence)
+    return n.join(border_vertices(faces), ["shape_id", "v_idx"], "left_anti")
+
+
+def false_subdivision(faces: DataFrame) -> DataFrame:
+    """shape_id, f_idx, v0, v1, center: three faces around the centre (named by the old face) of each."""
+    e = directed_edges(faces)
+    return e.select("shape_id", (3 * F.col("f_idx") + F.col("k")).alias("f_idx"), F.col("u").alias("v0"), F.col("v").alias("v1"), F.col("f_idx").alias("center"))
+
+
+def edge_samples(edges: DataFrame, vertices: DataFrame, k: int) -> DataFrame:
+    """shape_id, a, b, place, x, y, z: k inner points, evenly spaced, on each edge."""
+    p = vertices.select("shape_id", F.col("v_idx").alias("a"), *(F.col(c).alias("p" + c) for c in "xyz"))
+    q = vertices.select("shape_id", F.col("v_idx").alias("b"), *(F.col(c).alias("q" + c) for c in "xyz"))
+    m = edges.select("shape_id", "a", "b").join(p, ["shape_id", "a"]).join(q, ["shape_id", "b"]).withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    t = F.col("place") / (k + 1)
+    return m.select("shape_id", "a", "b", "place", *((F.col("p" + c) * (1 - t) + F.col("q" + c) * t).alias(c) for c in "xyz"))
+
+
+def in_polygon(points: DataFrame, polygon: list[tuple[float, float]]) -> DataFrame:
+    """Adds inside: even-odd test of x, y; the lower ends of sides count. Fewer than three corners hold nothing."""
+    if len(polygon) < 3:
+        return points.withColumn("inside", F.lit(False))
+    crossed = F.lit(0)
+    for (x1, y1), (x2, y2) in zip(polygon, polygon[1:] + polygon[:1], strict=True):
+        if y1 != y2:
+            at = F.lit(float(x1)) + (F.col("y") - y1) * ((x2 - x1) / (y2 - y1))
+            crossed = crossed + F.when(((F.col("y") >= min(y1, y2)) & (F.col("y") < max(y1, y2))) & (F.col("x") < at), 1).otherwise(0)
+    return points.withColumn("inside", crossed % 2 == 1)

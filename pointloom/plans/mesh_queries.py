@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import random as rnd
-from ..operators import graph, labels as lab, learning, mesh, relational as rel, sampling as smp
+from ..operators import graph, kernels, labels as lab, learning, mesh, normalize as nrm, relational as rel, sampling as smp
 from . import views as V
 from .views import r, table
 
@@ -508,3 +508,66 @@ def triangles_from_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def random_generators(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", rnd.cong(F.col("event_id")).alias("cong"))
     return e.withColumn("shr3", rnd.shr3(F.col("cong")))
+
+
+# ---------------------------------------------------------------------------------------------- kernels and further mesh operators
+
+
+@query()
+def enclosing_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.enclosing_balls(V.points(spark, sf_dir))
+
+
+@query()
+def farthest_point_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(kernels.farthest_groups(V.points(spark, sf_dir), 5), "d2")
+
+
+@query()
+def dedup_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kernels.greedy_merge(V.points(spark, sf_dir), 0.1)
+
+
+@query()
+def boundary_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = graph.orient_faces(V.strip(spark, sf_dir))
+    d = mesh.directed_edges(f)
+    border = mesh.boundary_edges(f)
+    on = d.join(border, (d["shape_id"] == border["shape_id"]) & (F.least("u", "v") == border["a"]) & (F.greatest("u", "v") == border["b"]), "left_semi")
+    return kernels.boundary_loops(on)
+
+
+@query(f"WITH {V.POINTS}, {V.STRIP}, {V.DIRECTED} SELECT shape_id, a AS v_idx FROM sides WHERE faces = 1 UNION SELECT shape_id, b FROM sides WHERE faces = 1")
+def border_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.border_vertices(V.strip(spark, sf_dir))
+
+
+@query(f"WITH {V.POINTS}, {V.STRIP}, {V.DIRECTED} SELECT shape_id, 3 * f_idx + k AS f_idx, u AS v0, v AS v1, f_idx AS center FROM directed")
+def false_subdivision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.false_subdivision(V.strip(spark, sf_dir))
+
+
+@query(f"WITH {V.POINTS}, {V.FACES}, {V.DIRECTED} SELECT s.shape_id, a, b, CAST(k AS INTEGER) AS place, round(p.x*(1-k/3.0::DOUBLE)+q.x*(k/3.0::DOUBLE), 5)+0.0 AS x, round(p.y*(1-k/3.0::DOUBLE)+q.y*(k/3.0::DOUBLE), 5)+0.0 AS y, round(p.z*(1-k/3.0::DOUBLE)+q.z*(k/3.0::DOUBLE), 5)+0.0 AS z FROM sides s JOIN points p ON p.shape_id = s.shape_id AND p.point_idx = a JOIN points q ON q.shape_id = s.shape_id AND q.point_idx = b, range(1, 3) t(k)")
+def sample_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(mesh.edge_samples(mesh.edge_counts(V.faces(spark, sf_dir)), V.vertices(spark, sf_dir), 2), "x", "y", "z", digits=5)
+
+
+@query(_FACES + """, q AS (SELECT shape_id, point_idx AS q_idx, x + 0.01 AS x, y, z FROM points WHERE point_idx < 5), t AS (SELECT q.shape_id, q_idx, ax-x AS ax, ay-y AS ay, az-z AS az, bx-x AS bx, "by"-y AS "by", bz-z AS bz, cx-x AS cx, cy-y AS cy, cz-z AS cz FROM corners c JOIN q USING (shape_id)),
+l AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS la, sqrt(bx*bx+"by"*"by"+bz*bz) AS lb, sqrt(cx*cx+cy*cy+cz*cz) AS lc FROM t)
+SELECT shape_id, q_idx, round(sum(2*atan2(ax*("by"*cz-bz*cy)+ay*(bz*cx-bx*cz)+az*(bx*cy-"by"*cx), la*lb*lc+(ax*bx+ay*"by"+az*bz)*lc+(bx*cx+"by"*cy+bz*cz)*la+(cx*ax+cy*ay+cz*az)*lb))/(4*pi()), 5)+0.0 AS w FROM l GROUP BY 1, 2""")
+def winding_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = V.points(spark, sf_dir).filter("point_idx < 5").select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
+    return _rounded(mesh.winding_numbers(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "w", digits=5)
+
+
+@query(f"WITH {V.POINTS} SELECT shape_id, point_idx, (CASE WHEN y >= -0.1 AND y < 0.1 AND x < 0.1 + (y + 0.1) * 0.0 THEN 1 ELSE 0 END + CASE WHEN y >= -0.1 AND y < 0.1 AND x < 0.0 + (y + 0.1) * -0.5 THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM points")
+def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.in_polygon(V.points(spark, sf_dir), [(0.0, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]).select("shape_id", "point_idx", "inside")
+
+
+@query()
+def procrustes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turn that undoes a known one."""
+    p = V.points(spark, sf_dir)
+    turned = nrm.rescale(nrm.rotate_axis_angle(p, axis=(0.0, 0.6, 0.8), degrees=25.0), 1.5).select("shape_id", "point_idx", *(F.col(a).alias(b) for a, b in zip("xyz", "uvw", strict=True)))
+    return kernels.align(p.join(turned, ["shape_id", "point_idx"]))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointloom.functions import geometry as G, random as rnd
-from pointloom.operators import features, graph, labels, learning, mesh, normalize, parts, relational, sampling
+from pointloom.operators import features, graph, kernels, labels, learning, mesh, normalize, parts, relational, sampling
 
 
 @pytest.fixture(scope="module")
@@ -137,3 +137,29 @@ def test_generators_against_plain_integers(spark):
 def test_histogram_edges(spark):
     t = spark.createDataFrame([(v,) for v in (0.0, 1.0, 1.5, 2.0, 3.0, 3.5, -1.0)], "v double")
     assert {r.bin: r.n for r in relational.histc(t, "v", [1.0, 2.0, 3.0]).collect()} == {-1: 3, 0: 2, 1: 1, 2: 1}
+
+
+def test_enclosing_ball_holds_all_and_touches(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 10, 200):
+        p = rng.normal(size=(n, 3))
+        c, r = kernels.ball(p)
+        d = np.sqrt(((p - c) ** 2).sum(1))
+        assert d.max() == pytest.approx(r) and (n == 1 or (d > r - 1e-7).sum() >= 2)
+    square = np.array([[0, 0, 0], [2, 0, 0], [0, 2, 0], [2, 2, 0], [1, 1, 0]], float)
+    assert kernels.ball(square)[1] == pytest.approx(2**0.5)
+    df = spark.createDataFrame([("s", 0, 0.0, 0.0, 0.0), ("s", 1, 0.0, 0.0, 2.0)], "shape_id string, point_idx int, x double, y double, z double")
+    assert kernels.enclosing_balls(df).first().radius == pytest.approx(1)
+    assert [r.kept for r in kernels.greedy_merge(df, 3.0).orderBy("point_idx").collect()] == [0, 0]
+    assert sorted(r.seed for r in kernels.farthest_groups(df, 2).collect()) == [0, 1]
+
+
+def test_procrustes_undoes_a_turn(cloud):
+    p = cloud.filter("shape_id = 'a'")
+    moved = normalize.translate(normalize.rescale(normalize.rotate_axis_angle(p, axis=(0.0, 0.6, 0.8), degrees=40.0), 2.0), (1.0, 2.0, 3.0))
+    q = moved.select("shape_id", "point_idx", *(F.col(a).alias(b) for a, b in zip("xyz", "uvw")))
+    r = kernels.align(p.join(q, ["shape_id", "point_idx"])).first()
+    assert r.scale == pytest.approx(2) and list(r.shift) == pytest.approx([1, 2, 3])
+    assert list(r.rotation) == pytest.approx([v for row in G.rotation((0.0, 0.6, 0.8), 40.0) for v in row], abs=1e-9)
