@@ -8,8 +8,8 @@ larger of both, and two registers agree with a probability slightly above the Ja
 2. Eight registers form a band. Nodes that agree in one of 40 bands are candidates: at J = 0.85 a pair is missed with a
    probability of 0.728 ** 40 = 3e-6.
 3. In each bucket every node is compared with one hub, and then with another one. Nodes found in one component need no further
-   comparison among themselves; where a bucket still holds several components, every pair that crosses them is compared, in
-   blocks of bounded size, by registers alone. So a group of thousands of near copies costs a few comparisons a node, and no
+   comparison among themselves; where a bucket still holds several components, the registers of every pair that crosses them
+   are compared, in blocks of bounded size; of buckets that hold the same nodes one is taken. So a group of thousands of near copies costs a few comparisons a node, and no
    pair that could join two components is left out.
 4. A pair whose similarity by joint maximum likelihood (given both set sizes) is incompatible with the threshold is dropped
    (likelihood ratio over `RATIO`, more than five standard deviations); all others are counted on their full sets.
@@ -170,7 +170,9 @@ def _estimate(percent: int):
 
 
 def _cross_pairs(percent: int):
-    """Of rows sorted by (bucket, ob, mb): the pairs of an outsider and a member of another component that may be similar."""
+    """Of rows sorted by (bucket, ob, mb): the pairs of an outsider and a member of another component whose registers agree often."""
+
+    least = -(-REGISTERS * (percent - 11) // 100)  # at the threshold, over five standard deviations below what agrees
 
     def meet(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
         t = pa.Table.from_batches(rows)
@@ -181,12 +183,10 @@ def _cross_pairs(percent: int):
         for o in outs:
             near = ins[(label[ins] != label[o]) & (100 * np.minimum(n[ins], n[o]) >= percent * np.maximum(n[ins], n[o]))]
             if len(near):
-                near = near[(sketch[near] == sketch[o]).sum(1) >= REGISTERS * (percent - 25) // 100]
-            if len(near):
-                near = near[possible(sketch[near], np.broadcast_to(sketch[o], (len(near), REGISTERS)), n[near].astype(float), np.full(len(near), float(n[o])), percent)]
+                near = near[np.count_nonzero(sketch[near] == sketch[o], axis=1) >= least]
                 a.append(np.minimum(node[near], node[o]))
                 b.append(np.maximum(node[near], node[o]))
-        if not a:
+        if not a or not sum(map(len, a)):
             return None
         pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -268,7 +268,12 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
         labels = merged(verified(estimated(pairs)))
         tested = pairs if tested is None else tested.union(pairs)
 
-    here = written(members.select("bucket", "node").join(labels, "node"), "open")
+    # the only pair of a bucket of two has been compared with its hub already
+    here = written(members.filter("size > 2").select("bucket", "node").join(labels, "node"), "open")
+    # of buckets that hold the same nodes one is enough
+    names = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"s{k}") for k in range(2)]
+    one_each = here.groupBy("bucket").agg(F.count_distinct("label").alias("labels"), F.count(F.lit(1)).alias("n"), *names).filter("labels > 1")
+    here = written(here.join(one_each.groupBy("n", "s0", "s1").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"), "crossed")
     sums = here.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     sums = sums.groupBy("bucket").agg(F.sum("k").alias("size"), F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
     open_ = here.join(sums, "bucket").join(small, "node")
@@ -279,8 +284,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     ins = open_.select(*one, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), blocks(rest) - 1)).alias("ob"), spot(F.col("size")).alias("mb"))
     outs = open_.filter(F.col("label") != F.col("top.label")).select(*one, F.lit(True).alias("outside"), spot(rest).alias("ob"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("mb"))
     by = ["bucket", "ob", "mb"]
-    crossing = ins.union(outs).repartition(*by).sortWithinPartitions(*by).mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    labels = merged(verified(untested(crossing)))
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    crossing = ins.union(outs).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
+    labels = merged(verified(estimated(written(untested(crossing), "pairs"))))
 
     by_key = full.select("doc_id", "key").join(suspects.select("key", "node"), "key").join(labels, "node")
     least = by_key.groupBy("label").agg(F.min("doc_id").alias("component_id"))
