@@ -46,12 +46,3 @@ def byte_shards(docs: DataFrame, *, shards: int = 16) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("head")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 
-
-#: The same for DuckDB.
-SQL = """
-WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(coalesce(strlen(text), 0) + 1 AS BIGINT) AS size, coalesce(crc, 0) AS text_crc32 FROM (SELECT doc_id, text, {crc} AS crc FROM documents)),
-p AS (SELECT *, coalesce(sum(size) OVER w, 0) AS first, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) AS row, sum(size) OVER () AS total
-      FROM d WINDOW w AS (ORDER BY doc_id NULLS FIRST, size, text_crc32 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-s AS (SELECT *, CAST(least(15, (first * 16) // total) AS INTEGER) AS shard FROM p)
-SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY row) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
-"""

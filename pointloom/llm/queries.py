@@ -87,4 +87,29 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL}
+_WORDS = r"""regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"""
+
+_OP9_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+und AS (SELECT x AS u, y AS v FROM l UNION ALL SELECT y, x FROM l),
+reach(u, v) AS (SELECT u, v FROM und UNION SELECT r.u, e.v FROM reach r JOIN und e ON e.u = r.v),
+low AS (SELECT u, min(v) AS low FROM reach GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN low ON u = d.doc_id
+"""
+
+_OP10_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+rep AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS rn FROM win) WHERE rn > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM rep, range(20) t(k)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d),
+kept AS (SELECT a.doc_id, count(*) AS n, count(g.p) AS gone, string_agg(word, ' ' ORDER BY a.p) FILTER (WHERE g.p IS NULL) AS t FROM word a LEFT JOIN gone g ON g.doc_id = a.doc_id AND g.p = a.p GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL}
