@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain
+from array import array
 
 import numpy as np
 
@@ -18,8 +18,6 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that one worker remembers; when full it starts anew. A bound on memory, without effect on results.
 MEMO = 1_000_000
-#: New pieces that go to the library in one text, joined by spaces.
-_JOINED = 2_000
 #: Letters up to this one are composed already and have the same lower case everywhere.
 LAST_PLAIN = "\u00ff"
 #: The split pattern and byte alphabet under which a word of letters is one match, spelt byte by byte.
@@ -27,6 +25,9 @@ WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
+#: Marks that, after letters and up to the next space, are one match of that pattern (an apostrophe may start another one).
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+
 _loaded: dict[str, "PieceEncoder"] = {}
 
 
@@ -51,8 +52,19 @@ def splits_words(path: str) -> bool:
     return normal == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"] and steps[0]["pattern"] == {"Regex": WORD_PATTERN} and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
 
 
+class _Memo(dict):
+    """Ids of pieces, as little-endian 32-bit integers; a new piece is looked up in the library once."""
+
+    def __init__(self, encoder: PieceEncoder):
+        self.encode = encoder.piece
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.encode(piece)
+        return ids
+
+
 class PieceEncoder:
-    """ids(text) and count(text) of one tokenizer file."""
+    """ids(texts) and count(texts) of one tokenizer file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -63,73 +75,48 @@ class PieceEncoder:
         self.by_piece = drops_space(path)
         self.by_word = self.by_piece and splits_words(path)
         self.model = self.library.model
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.marks: dict[str, tuple[int, ...]] = {}
-        self.memo: dict[str, tuple[int, ...]] = {"": ()}
-        self.counts: dict[str, int] = {"": 0}
-
-    def _learn(self, pieces: set[str], memo: dict) -> None:
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = () if memo is self.memo else 0
-            self.words.clear()
-        rest = []
-        for p in pieces - memo.keys():
-            q = p.lower()
-            word = q.rstrip(".,")
-            if self.by_word and word.isalpha() and (q.isascii() or max(word) <= LAST_PLAIN and max(p) <= LAST_PLAIN):
-                ids = self._word(word) + (self._mark(q[len(word) :]) if len(q) > len(word) else ())
-                memo[p] = ids if memo is self.memo else len(ids)
-            else:
-                rest.append(p)
-        for at in range(0, len(rest), _JOINED):
-            part = rest[at : at + _JOINED]
-            found = self.library.encode(" ".join(part), add_special_tokens=False)
-            # the offsets tell which piece a token belongs to
-            firsts = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
-            ends = np.searchsorted(firsts, np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)).tolist()
-            starts = [0, *ends[:-1]]
-            if memo is self.memo:
-                ids = found.ids
-                memo.update((p, tuple(ids[a:z])) for p, a, z in zip(part, starts, ends, strict=True))
-            else:
-                memo.update((p, z - a) for p, a, z in zip(part, starts, ends, strict=True))
-
-    def _word(self, word: str) -> tuple[int, ...]:
-        """Ids of a lower-case word of plain letters, straight from the library's model: all of it is one match of the split pattern."""
-        ids = self.words.get(word)
-        if ids is None:
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids = self.words[word] = tuple(t.id for t in self.model.tokenize(spelt))
-        return ids
-
-    def _mark(self, mark: str) -> tuple[int, ...]:
-        ids = self.marks.get(mark)
-        if ids is None:
-            ids = tuple(self.library.encode(mark, add_special_tokens=False).ids)
-            if len(self.marks) < _JOINED:
-                self.marks[mark] = ids
-        return ids
+        self.words: dict[str, bytes] = {"": b""}
+        self.marks: dict[str, bytes] = {"": b""}
+        self.memo = _Memo(self)
+
+    def piece(self, piece: str) -> bytes:
+        low = piece.lower()
+        word = low.rstrip(_MARKS)
+        if self.by_word and (not word or word.isalpha() and (piece.isascii() or max(word) <= LAST_PLAIN and max(piece) <= LAST_PLAIN)):
+            ids = self.words.get(word)
+            if ids is None:
+                # all of it is one match of the split pattern, so it may go straight to the library's model
+                spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                ids = self.words[word] = _packed([t.id for t in self.model.tokenize(spelt)])
+            if len(word) == len(low):
+                return ids
+            mark = low[len(word) :]
+            tail = self.marks.get(mark)
+            if tail is None:
+                tail = self.marks[mark] = _packed(self.library.encode(mark, add_special_tokens=False).ids)
+            return ids + tail
+        return _packed(self.library.encode(piece, add_special_tokens=False).ids)
+
+    def _parts(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_piece:
+            return [_packed(e.ids) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        if len(self.memo) > MEMO or len(self.marks) > MEMO:
+            self.memo, self.words, self.marks = _Memo(self), {"": b""}, {"": b""}
+        look = self.memo.__getitem__
+        return [b"".join(map(look, (t or "").replace("\n", " ").split(" "))) for t in texts]
 
     def ids(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one text after the other, and the number of each text. Null counts as empty."""
-        if not self.by_piece:
-            found = [e.ids for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(parts)), self.memo)
-        look = self.memo.__getitem__
-        flat = [list(chain.from_iterable(map(look, p))) for p in parts]
-        return np.fromiter(chain.from_iterable(flat), np.uint32), np.fromiter(map(len, flat), np.int64, len(flat))
+        parts = self._parts(texts)
+        return np.frombuffer(b"".join(parts), "<u4"), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of ids of each text. Null counts as empty."""
-        if not self.by_piece:
-            return [len(e) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self._learn(set(chain.from_iterable(parts)), self.counts)
-        look = self.counts.__getitem__
-        return [sum(map(look, p)) for p in parts]
+        return [len(p) // 4 for p in self._parts(texts)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes()
 
 
 def encoder(path: str) -> PieceEncoder:

@@ -43,7 +43,10 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, rounds: int = 8
         room = min(per_round, (1 << 16) - first - len(left) if first < 1 << 16 else per_round)
         if len(s) < 2 or room <= 0:
             break
-        pair = (s[:-1].astype(np.uint64) << np.uint64(32)) | s[1:]
+        half = 16 if first + len(left) <= 1 << 16 else 32
+        kind = np.uint32 if half == 16 else np.uint64
+        wide = s.astype(kind, copy=False)
+        pair = (wide[:-1] << kind(half)) | wide[1:]
         inner = ~last[:-1]
         ordered = np.sort(pair[inner])
         if not len(ordered):
@@ -66,7 +69,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, rounds: int = 8
         start = np.r_[True, np.diff(hit) > 1]  # in a run of overlapping hits every second one counts
         place = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
         hit = hit[place % 2 == 0]
-        a, b = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
+        a, b = (keys >> kind(half)).astype(np.uint32), (keys & kind((1 << half) - 1)).astype(np.uint32)
         size = lambda x: np.where(x < first, 1, lengths[np.where(x < first, 0, x - first)] if len(lengths) else 1)  # noqa: E731, B023
         grown = (size(a) + size(b)).astype(np.uint32)
         s[hit] = first + len(left) + rule[hit]
@@ -87,7 +90,9 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, rounds: int = 8
 
 
 def _slot(pair: np.ndarray) -> np.ndarray:
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+    if pair.dtype == np.uint32:
+        return (pair * np.uint32(0x9E3779B1)) >> np.uint32(12)
+    return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
 class Shard:
