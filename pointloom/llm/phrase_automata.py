@@ -154,13 +154,18 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 50_000], pa.int64()), pa.array(pos[at : at + 50_000], pa.int32())], ["key", "pos"])
 
 
-_SEGMENTS = "p int, doc array<long>, key array<long>, start array<int>, n array<int>, check array<long>, codes array<int>"
+_SEGMENTS = "p int, doc array<long>, key array<long>, start array<int>, n array<int>, check array<long>, codes array<smallint>"
 
 
 def _codes(h: np.ndarray) -> np.ndarray:
+    """Sixteen bits for each word."""
+    return (h >> _U(48)).astype(np.uint16).view(np.int16)
+
+
+def _spelt(codes: np.ndarray) -> str:
     """A code point, not a surrogate, for each word."""
-    v = (h >> _U(44)).astype(np.int64)
-    return (v + 1 + 0x800 * (v >= 0xD7FF)).astype(np.int32)
+    v = codes.astype(np.int16).view(np.uint16).astype("<u4")
+    return (v + 1 + 0x800 * (v >= 0xD7FF).astype("<u4")).astype("<u4").tobytes().decode("utf-32-le")
 
 
 def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -208,12 +213,12 @@ def _segments(span: int, shards: int):
             check = second[_ranges(begin[order], long)].view(np.int64)
             codes = _codes(w.hashes[_ranges(words_at, short)])
             total = lambda x: np.r_[0, np.cumsum(x)][ends]
-            cols = [pa.array(ps, pa.int32()), *(_list(x[order], ends, k) for x, k in ((docs, pa.int64()), (key, pa.int64()), (start, pa.int32()), (size, pa.int32()))), _list(check, total(long), pa.int64()), _list(codes, total(short), pa.int32())]
+            cols = [pa.array(ps, pa.int32()), *(_list(x[order], ends, k) for x, k in ((docs, pa.int64()), (key, pa.int64()), (start, pa.int32()), (size, pa.int32()))), _list(check, total(long), pa.int64()), _list(codes, total(short), pa.int16())]
             names = ["p", "doc", "key", "start", "n", "check", "codes"]
             yield pa.RecordBatch.from_arrays(cols, names)
             if len(later_place):
                 n, none = np.array([0, len(later_place)]), np.array([0, 0])
-                cols = [pa.array([int(hashes[0] % _U(shards))], pa.int32()), *(_list(x[later_place], n, k) for x, k in ((docs, pa.int64()), (key, pa.int64()), (start, pa.int32()), (size, pa.int32()))), _list(np.zeros(0, np.int64), none, pa.int64()), _list(np.zeros(0, np.int32), none, pa.int32())]
+                cols = [pa.array([int(hashes[0] % _U(shards))], pa.int32()), *(_list(x[later_place], n, k) for x, k in ((docs, pa.int64()), (key, pa.int64()), (start, pa.int32()), (size, pa.int32()))), _list(np.zeros(0, np.int64), none, pa.int64()), _list(np.zeros(0, np.int16), none, pa.int16())]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     return run
@@ -232,7 +237,7 @@ def _locate(span: int):
 
     def marks(t: pa.Table) -> tuple[np.ndarray, ...] | None:
         doc, key, start, n = (_flat(t, c) for c in ("doc", "key", "start", "n"))
-        check, codes = _flat(t, "check"), _flat(t, "codes").astype("<u4")
+        check, codes = _flat(t, "check"), _flat(t, "codes")
         at = np.cumsum(n) - n  # of each segment's first window among all
         window_start = start[np.repeat(np.arange(len(n)), n)] + _ranges(np.zeros(len(n), np.int64), n)
         code_at = np.cumsum(n + span - 1) - (n + span - 1)
@@ -241,7 +246,7 @@ def _locate(span: int):
         if not len(twice):
             return None
         owner = np.repeat(np.arange(len(n)), n)
-        text = codes.tobytes().decode("utf-32-le")
+        text = _spelt(codes)
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         patterns = []
         for i in twice.tolist():
