@@ -8,8 +8,9 @@ larger of both, and two registers agree with a probability slightly above the Ja
 2. Eight registers form a band. Nodes that agree in one of 40 bands are candidates: at J = 0.85 a pair is missed with a
    probability of 0.728 ** 40 = 3e-6.
 3. In each bucket every node is compared with one hub, and then with another one. Nodes found in one component need no further
-   comparison among themselves; where a bucket still holds several components, the registers of every pair that crosses them
-   are compared, in blocks of bounded size; of buckets that hold the same nodes one is taken. So a group of thousands of near copies costs a few comparisons a node, and no
+   comparison among themselves; where a bucket still holds several components, every pair that crosses them is compared, in
+   blocks of bounded size: first the registers, then, where these agree often enough, the full sets, which come along. Only
+   links leave the task. Of buckets that hold the same nodes one is taken. So a group of thousands of near copies costs a few comparisons a node, and no
    pair that could join two components is left out.
 4. A pair whose similarity by joint maximum likelihood (given both set sizes) is incompatible with the threshold is dropped
    (likelihood ratio over `RATIO`, more than five standard deviations); all others are counted on their full sets.
@@ -169,27 +170,50 @@ def _estimate(percent: int):
     return run
 
 
-def _cross_pairs(percent: int):
-    """Of rows sorted by (bucket, ob, mb): the pairs of an outsider and a member of another component whose registers agree often."""
+def _cross_links(percent: int):
+    """Of rows sorted by (bucket, ob, mb): links of outsiders to members of other components, as many as join these.
 
+    Pairs whose registers agree too seldom are skipped, all others are counted on their full sets, unless links found before
+    have joined their components already.
+    """
     least = -(-REGISTERS * (percent - 11) // 100)  # at the threshold, over five standard deviations below what agrees
+    seen: set[tuple[int, int]] = set()  # pairs that this task has counted in another bucket
 
     def meet(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows)
-        label, node, n = (t[c].to_numpy() for c in ("label", "node", "n"))
-        sketch, outside = _rows(t["sketch"]), t["outside"].to_numpy()
-        outs, ins = np.flatnonzero(outside), np.flatnonzero(~outside)
+        t = pa.Table.from_batches(rows).combine_chunks()
+        label, node, n = (t[c].to_numpy().tolist() for c in ("label", "node", "n"))
+        sketch, outside, size = _rows(t["sketch"]), t["outside"].to_numpy(), np.array(n)
+        lists = t["shingles"].chunk(0)
+        flat, cut = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        outs, ins = np.flatnonzero(outside).tolist(), np.flatnonzero(~outside)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        if len(seen) > 1_000_000:
+            seen.clear()
         a, b = [], []
         for o in outs:
-            near = ins[(label[ins] != label[o]) & (100 * np.minimum(n[ins], n[o]) >= percent * np.maximum(n[ins], n[o]))]
-            if len(near):
-                near = near[np.count_nonzero(sketch[near] == sketch[o], axis=1) >= least]
-                a.append(np.minimum(node[near], node[o]))
-                b.append(np.maximum(node[near], node[o]))
-        if not a or not sum(map(len, a)):
-            return None
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            near = ins[100 * np.minimum(size[ins], n[o]) >= percent * np.maximum(size[ins], n[o])]
+            agree = np.count_nonzero(sketch[near] == sketch[o], axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for m in near[order[agree[order] >= least]].tolist():
+                x, y = find(label[o]), find(label[m])
+                pair = (min(node[o], node[m]), max(node[o], node[m]))
+                if x == y or pair in seen:
+                    continue
+                seen.add(pair)
+                both = np.concatenate((flat[cut[o] : cut[o + 1]], flat[cut[m] : cut[m + 1]]))
+                both.sort()
+                same = int(np.count_nonzero(both[1:] == both[:-1]))
+                if 100 * same >= percent * (n[o] + n[m] - same):
+                    root[max(x, y)] = min(x, y)
+                    a.append(pair[0])
+                    b.append(pair[1])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
@@ -280,13 +304,14 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     rest = F.col("size") - F.col("top.k")
-    one = ["bucket", "node", "label", "n", "sketch"]
+    open_ = open_.join(sets, "node")
+    one = ["bucket", "node", "label", "n", "sketch", "shingles"]
     ins = open_.select(*one, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), blocks(rest) - 1)).alias("ob"), spot(F.col("size")).alias("mb"))
     outs = open_.filter(F.col("label") != F.col("top.label")).select(*one, F.lit(True).alias("outside"), spot(rest).alias("ob"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("mb"))
     by = ["bucket", "ob", "mb"]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossing = ins.union(outs).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    labels = merged(verified(estimated(written(untested(crossing), "pairs"))))
+    crossing = ins.union(outs).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_cross_links(percent), "a long, b long")
+    labels = merged(crossing.distinct())
 
     by_key = full.select("doc_id", "key").join(suspects.select("key", "node"), "key").join(labels, "node")
     least = by_key.groupBy("label").agg(F.min("doc_id").alias("component_id"))
