@@ -18,6 +18,10 @@ The items are a stated set, taken in blocks of at most `item_block`; each block
 
 Cases: null or empty items and items without a word match nothing; a null text matches nothing; a null doc_id or item_id is
 carried along; items that repeat match each on its own id; an empty table gives an empty result; other columns are ignored.
+
+With `free_ends` a document holds an item if any run of its words, of whatever length, is within the edits allowed, so that an
+inserted or deleted word costs one edit. Every place that holds enough unchanged runs is then verified, without the embedding:
+no match is lost. `start` is that of a closest run: the first to end, and of these the longest.
 """
 
 from __future__ import annotations
@@ -75,10 +79,8 @@ def table_keys(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, m: int) ->
     return keys.reshape(len(starts), -1)
 
 
-def edit_distance(a: list[int], b: list[int]) -> int:
-    """Word edits (insert, delete, replace) between two sequences, bit-parallel."""
-    if not a or not b:
-        return len(a) + len(b)
+def _scores(a: list[int], b: list[int], free: bool) -> Iterator[int]:
+    """Word edits between all of `a` and the first 1, 2, .. words of `b` (`free`: and a run that ends there), bit-parallel."""
     where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
@@ -89,11 +91,28 @@ def edit_distance(a: list[int], b: list[int]) -> int:
         diagonal = ((eq & up) + up ^ up) | eq | down
         plus, minus = down | ~(diagonal | up) & ones, up & diagonal
         score += bool(plus & top) - bool(minus & top)
-        plus, minus = (plus << 1 | 1) & ones, minus << 1 & ones
+        plus, minus = (plus << 1 | (not free)) & ones, minus << 1 & ones
         up, down = minus | ~(diagonal | plus) & ones, plus & diagonal
+        yield score
+
+
+def edit_distance(a: list[int], b: list[int]) -> int:
+    """Word edits (insert, delete, replace) between two sequences, bit-parallel."""
+    if not a or not b:
+        return len(a) + len(b)
+    *_, score = _scores(a, b, False)
     return score
 
 
+def closest_run(a: list[int], b: list[int]) -> tuple[int, int]:
+    """Word edits between `a` and the closest run of `b`, and where that run starts; neither is empty."""
+    ends = list(_scores(a, b, True))
+    d = min(ends)
+    end = ends.index(d) + 1
+    back = list(_scores(a[::-1], b[max(0, end - len(a) - d) : end][::-1], False))
+    return d, end - max((n for n, x in enumerate(back, 1) if x == d), default=0)
+
+
 class ItemIndex:
     """A block of items: runs that a match must hold, and table keys, by item length."""
 
@@ -122,9 +141,8 @@ class ItemIndex:
             bits[(g >> _U(64 - _FILTER_BITS)).astype(np.int64)] = True
             self.grams[k] = bits, g[order], item[order], offset[order]
 
-    def places(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items, documents and window starts (words from the document's first) that can match."""
-        found = [np.zeros((0, 3), np.int64)]
+    def _runs(self, h: np.ndarray, first: np.ndarray, apart: int):
+        """For each run length, the items, documents and shifts of unchanged runs with enough others at most `apart` * e away."""
         for k, (bits, g, item, offset) in self.grams.items():
             own = _gram(h, k)
             at = np.flatnonzero(bits[(own >> _U(64 - _FILTER_BITS)).astype(np.int64)])
@@ -140,8 +158,13 @@ class ItemIndex:
             line = np.sort((i * (len(first) - 1) + doc) * (1 << 33) + base + (1 << 32))
             near = lambda i, doc, b, r: np.searchsorted(line, (i * (len(first) - 1) + doc) * (1 << 33) + b + r + (1 << 32), "right") - np.searchsorted(line, (i * (len(first) - 1) + doc) * (1 << 33) + b - r + (1 << 32), "left")  # noqa: E731, B023
             shared = self.shared[i]
-            some = near(i, doc, base, 2 * e) >= shared  # all runs that a window holds start within e of it
-            i, doc, base, e = i[some], doc[some], base[some], e[some]
+            some = near(i, doc, base, apart * e) >= shared
+            yield i[some], doc[some], base[some], e[some], near
+
+    def places(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, documents and window starts (words from the document's first) that can match."""
+        found = [np.zeros((0, 3), np.int64)]
+        for i, doc, base, e, near in self._runs(h, first, 2):  # all runs that a window holds start within e of it
             shifts = np.repeat(-e - (np.cumsum(2 * e + 1) - (2 * e + 1)), 2 * e + 1) + np.arange(int((2 * e + 1).sum()))
             last = np.maximum(np.diff(first)[doc] - self.m[i], 0)
             start = np.repeat(base, 2 * e + 1) + shifts
@@ -152,6 +175,25 @@ class ItemIndex:
         pairs = np.concatenate(found)
         return pairs[:, 0], pairs[:, 1], pairs[:, 2]
 
+    def closest(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, start, edits) of the closest run of words of each document and item within the edits allowed."""
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        for i, doc, base, e, _ in self._runs(h, first, 1):  # e edits shift the runs of a match by at most e against each other
+            if not len(i):
+                continue
+            i, doc, base = np.unique(np.stack([i, doc, base], 1), axis=0).T
+            e, m = self.edits[i], self.m[i]
+            joined = (np.diff(i) == 0) & (np.diff(doc) == 0) & (np.diff(base) <= (m + 2 * e)[1:])
+            head, tail = np.flatnonzero(np.r_[True, ~joined]), np.flatnonzero(np.r_[~joined, True])
+            i, doc, e, m = i[head], doc[head], e[head], m[head]
+            lo = np.maximum(base[head] - e, 0)
+            hi = np.minimum(base[tail] + m + e, np.diff(first)[doc])
+            for k, pair in enumerate(zip(doc.tolist(), i.tolist(), strict=True)):
+                d, at = closest_run(self.words[pair[1]].tolist(), h[first[pair[0]] + lo[k] : first[pair[0]] + hi[k]].tolist())
+                if d <= e[k] and (pair not in best or d < best[pair][0]):
+                    best[pair] = d, int(lo[k]) + at
+        return [(d, i, s, e) for (d, i), (e, s) in sorted(best.items())]
+
     def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, start, edits) of the closest window of each document and item within the edits allowed."""
         item, doc, start = self.places(h, first)
@@ -179,14 +221,14 @@ class ItemIndex:
 _MATCHES = "doc_id long, text_hash long, item_id long, start long, edits int, item_words int"
 
 
-def _scan(shared):
+def _scan(shared, free_ends: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for b in slices(batches, "text"):
             data, ends = utf8(b["text"])
             starts, stops, first = words(data, ends, MARKS)
-            found = index.matches(word_hashes(data, starts, stops, lower=True), first)
+            found = (index.closest if free_ends else index.matches)(word_hashes(data, starts, stops, lower=True), first)
             if found:
                 ids, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
                 rows = [(ids[d], hashes[d], index.ids[i], s, e, int(index.m[i])) for d, i, s, e in found]
@@ -195,8 +237,8 @@ def _scan(shared):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, item_block: int = 5000) -> DataFrame:
-    """doc_id, text_hash (xxhash64), item_id, start (word), edits and item_words of the closest window of each pair that matches."""
+def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, item_block: int = 5000, free_ends: bool = False) -> DataFrame:
+    """doc_id, text_hash (xxhash64), item_id, start (word), edits and item_words of the closest window (`free_ends`: run) of each pair that matches."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = -(-items.count() // item_block)
@@ -204,6 +246,6 @@ def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8,
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part], similarity))
-        found = docs.mapInArrow(_scan(shared), _MATCHES)
+        found = docs.mapInArrow(_scan(shared, free_ends), _MATCHES)
         out = found if k == 0 else out.unionByName(found)
     return out

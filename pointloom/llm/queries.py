@@ -45,7 +45,7 @@ def op6_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = cgk_decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), similarity=0.8)
+    found = cgk_decontam.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), similarity=0.8, free_ends=True)
     return found.select("doc_id", "item_id", "start", "edits", "item_words")
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.llm import byte_shards, cgk_decontam, common, conflict_packing, inner_topk, phrase_automata, pieces, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
+from pointloom.llm import byte_shards, cgk_decontam, common, conflict_packing, inner_topk, phrase_automata, pieces, ppm_lang, queries, repair_store, setsketch, token_counts, toxic_chain
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 WORDS = [a + b for a in ("ba", "co", "du", "fe", "gi", "lo", "mu") for b in ("n", "r", "st", "l", "x")]
@@ -300,6 +300,37 @@ def test_contamination_against_brute_force(spark, docs, empty):
     assert cgk_decontam.contaminated(df, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_contamination_with_inserted_and_deleted_words(spark, tmp_path):
+    """op7 against brute force over all windows of m - e to m + e words: all pairs, with their edits."""
+    rng = random.Random(31)
+    items = [(i, prose(rng, n)) for i, n in enumerate((20, 30, 9, 45, 5))]
+    texts = [(200, items[0][1][: items[0][1].index(" ", 60)], None), (201, None, None), (None, f"x {items[1][1]} y", None)]
+    for k in range(120):
+        w = items[k % 5][1].split()
+        for _ in range(k // 5 % 10):
+            p = rng.randrange(1, max(2, len(w) - 1))
+            w = [w[:p] + ["ins"] + w[p:], w[:p] + w[p + 1 :], w[:p] + ["new"] + w[p + 1 :]][rng.choice((k // 60, 0, 1, 2))]
+        texts.append((k, f"{prose(rng, rng.choice((0, 12)))} {' '.join(w)} {prose(rng, rng.choice((0, 12)))}", None))
+    spark.createDataFrame(texts, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r for r in queries.QUERIES["op7_cgk_decontamination"](spark, str(tmp_path)).collect()}
+    want, lost = {}, 0
+    for d, t, _ in texts:
+        w = (t or "").split()
+        for i, item in items:
+            x = item.split()
+            e = int(len(x) * 0.2 + 1e-9)
+            runs = [(cgk_decontam.edit_distance(x, w[s : s + n]), n) for n in range(len(x) - e, len(x) + e + 1) for s in range(len(w) - n + 1)]
+            if runs and min(runs)[0] <= e:
+                want[d, i] = min(runs)[0]
+                lost += min((c for c, n in runs if n == len(x)), default=e + 1) > e
+    assert {k: r.edits for k, r in got.items()} == want and lost > 5
+    by_id = dict((d, t.split()) for d, t, _ in texts if t)
+    for (d, i), r in got.items():
+        x = items[i][1].split()
+        assert r.edits in {cgk_decontam.edit_distance(x, by_id[d][r.start : r.start + n]) for n in range(1, 2 * len(x))}
+
+
 def test_recall_of_the_embedding_alone_at_the_threshold():
     """A window with a fifth of its words edited, where it stands: a single chance to meet the item in a table."""
     rng = random.Random(9)
