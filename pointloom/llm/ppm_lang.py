@@ -9,8 +9,10 @@ documents) is predicted, and the score is its posterior probability.
 Byte 3-grams and 4-grams that any language knows are numbered once for all languages; per text byte one table look-up gives
 the number and one more the code lengths under every language. ASCII letters are taken in lower case.
 
-Training is the fit of a classifier: it takes at most about `fit_bytes` of text of each language, whole documents of up to
-`fit_doc_bytes` drawn by a hash of doc_id and text, of at most `max_langs` languages, the most frequent first. Predictions
+Training is the fit of a classifier: it takes at most about `fit_bytes` of text of each language, from documents drawn by a hash
+of doc_id and text; a document of over `fit_doc_bytes` gives a slice of that size. Every language with a labelled text is
+learned. The tables have a column for each language, so beyond `full_langs` languages each one's share of text, and with it the
+slice, shrinks with the square of their number, to `LEAST_BYTES` at least. The prior counts all labelled documents. Predictions
 cover every byte of every text.
 
 Cases: a text that is null or has no letter gives `und` and score 0; so does every text where nothing could be learned; a
@@ -32,15 +34,19 @@ from .common import slices, utf8
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _PAD = b"\n\n\n"
+LEAST_BYTES = 2048
+#: Languages whose code lengths are summed at once.
+_COLUMNS = 16
 
 
 class ContextTrees:
     """The frozen trees of all languages, as look-up tables."""
 
-    def __init__(self, texts: dict[str, list[bytes]]):
+    def __init__(self, texts: dict[str, list[bytes]], counts: dict[str, int] | None = None):
         self.langs = sorted(texts)
-        total = sum(map(len, texts.values()))
-        self.prior = np.array([-np.log2(len(texts[x]) / total) for x in self.langs])
+        counts = counts or {x: len(t) for x, t in texts.items()}
+        total = sum(counts[x] for x in self.langs)
+        self.prior = np.array([-np.log2(counts[x] / total) for x in self.langs])
         data = [np.concatenate([np.frombuffer(_PAD + t, np.uint8) for t in texts[x]]) for x in self.langs]
         data = [_FOLD[d] for d in data]
         seen = np.unique(np.concatenate(data))
@@ -96,35 +102,41 @@ class ContextTrees:
             escape.append(esc)
         self.cost, self.escape = cost, escape
 
-    def code_lengths(self, data: np.ndarray) -> np.ndarray:
-        """Bits of each byte from the fourth on, under each language."""
+    def code_lengths(self, data: np.ndarray, of: slice = slice(None)) -> np.ndarray:
+        """Bits of each byte from the fourth on, under each language (of those in `of`)."""
         c, a = self.classes[_FOLD[data]], self.size
         two = c[:-1] * a + c[1:]
         three = self.to3[two[:-1] * a + c[2:]].astype(np.int64)
         four = self.to4[three[:-1] * a + c[3:]]
-        bits = self.cost[3][four]
+        cost, escape = [x[:, of] for x in self.cost], [x[:, of] for x in self.escape]
+        bits = cost[3][four]
         rare = np.flatnonzero(four == 0)
         context, here = three[rare], three[rare + 1]
-        low = np.where((here > 0)[:, None], self.cost[2][here], self.escape[2][two[rare + 1]] + self.cost[1][two[rare + 2]])
-        bits[rare] = self.escape[3][context] + low
+        low = np.where((here > 0)[:, None], cost[2][here], escape[2][two[rare + 1]] + cost[1][two[rare + 2]])
+        bits[rare] = escape[3][context] + low
         return bits
 
 
-def fit(table: DataFrame, lang: Column, *, fit_bytes: int = 1_000_000, fit_doc_bytes: int = 65_536, max_langs: int = 64) -> ContextTrees | None:
+def fit(table: DataFrame, lang: Column, *, fit_bytes: int = 1_000_000, fit_doc_bytes: int = 65_536, full_langs: int = 64) -> ContextTrees | None:
     """Trees from the rows whose `lang` is not null."""
     size = F.octet_length("text")
-    rows = table.select("text", lang.alias("lang"), F.xxhash64("doc_id", "text").alias("h")).filter(F.col("lang").isNotNull() & (size > 0) & (size <= fit_doc_bytes))
-    sums = rows.groupBy("lang").agg(F.sum(size).alias("bytes")).orderBy(F.col("bytes").desc(), "lang").limit(max_langs).collect()
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    rows = table.select("text", lang.alias("lang"), h.alias("h")).filter(F.col("lang").isNotNull() & (size > 0))
+    taken = F.sum(F.least(size, F.lit(fit_doc_bytes))).alias("bytes")
+    sums = rows.groupBy("lang").agg(taken, F.count(F.lit(1)).alias("n"), F.min("h").alias("least")).collect()
     if not sums:
         return None
-    share = F.lit(None)
-    for r in sums:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, fit_bytes / r["bytes"]))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.col("h"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").collect()
+    scale = min(1.0, (full_langs / len(sums)) ** 2)
+    own_bytes, piece = max(LEAST_BYTES, int(fit_bytes * scale)), max(LEAST_BYTES, int(fit_doc_bytes * scale))
+    # what is drawn has at most `piece` bytes a document; the document with the least hash is drawn whatever the share
+    shares = [(r["lang"], max(r["least"] + 1, int((1 << 30) * min(1.0, own_bytes / min(r["bytes"], r["n"] * piece))))) for r in sums]
+    drawn = rows.join(F.broadcast(table.sparkSession.createDataFrame(shares, "lang string, below long")), "lang").filter("h < below")
+    start = 1 + F.pmod("h", F.greatest(size - piece, F.lit(0)) + 1).cast("int")
+    drawn = drawn.select("lang", F.col("text").cast("binary").substr(start, F.lit(piece)).alias("text")).collect()
     texts: dict[str, list[bytes]] = {}
     for r in sorted(drawn, key=lambda r: (r["lang"], r["text"])):
-        texts.setdefault(r["lang"], []).append(r["text"].encode())
-    return ContextTrees(texts) if texts else None
+        texts.setdefault(r["lang"], []).append(bytes(r["text"]))
+    return ContextTrees(texts, {r["lang"]: r["n"] for r in sums})
 
 
 def _predict(shared, keep: list[str]):
@@ -133,9 +145,12 @@ def _predict(shared, keep: list[str]):
         for b in slices(batches, "text"):
             padded = pc.binary_join_element_wise(pa.scalar("\n\n\n", pa.large_string()), pc.fill_null(b["text"].cast(pa.large_string()), ""), pa.scalar("", pa.large_string()))
             data, ends = utf8(padded)
-            bits = np.zeros((len(data) + 1, len(trees.langs)))
-            np.cumsum(trees.code_lengths(data), axis=0, out=bits[4:])
-            total = bits[ends[1:]] - bits[ends[:-1] + 3] + trees.prior
+            total = np.empty((b.num_rows, len(trees.langs)))
+            for at in range(0, len(trees.langs), _COLUMNS):
+                of = slice(at, at + _COLUMNS)
+                bits = np.zeros((len(data) + 1, len(trees.langs[of])))
+                np.cumsum(trees.code_lengths(data, of), axis=0, out=bits[4:])
+                total[:, of] = bits[ends[1:]] - bits[ends[:-1] + 3] + trees.prior[of]
             best = total.argmin(1)
             score = 1 / np.exp2(np.minimum(total.min(1)[:, None] - total, 0)).sum(1)
             known = np.asarray(b["lettered"].to_numpy(zero_copy_only=False), bool)
@@ -158,7 +173,7 @@ def identify(docs: DataFrame, *, passing: tuple[str, ...] = ("doc_id",), **how)
     rows = docs.select(*passing, held_out(F.col("doc_id")).alias("held_out"))
     if trees is None:
         return rows.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by fit_bytes and max_langs
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by fit_bytes and the number of languages
     schema = T.StructType([*rows.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     used = [*passing, *(c for c in ("text",) if c not in passing)]
     rows = docs.select(*used, held_out(F.col("doc_id")).alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))

@@ -254,6 +254,22 @@ def test_language_of_held_out_documents(spark, docs, empty):
     assert {r.lang_pred for r in ppm_lang.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    """More than 64 languages, one of long documents alone, one of a single document; priors from all labelled documents."""
+    rng = random.Random(41)
+    tongue = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for _ in range(72)]
+    say = lambda k, n: " ".join(rng.choice(tongue[k]) for _ in range(n))
+    rows = [(i, say(i % 70, 30), f"l{i % 70:02}", zlib.crc32(str(i).encode()) % 4 == 2) for i in range(560)]
+    rows += [(1000 + i, say(70, 12_000), "long", False) for i in range(6)] + [(1100, say(71, 12_000), "once", False), (1200, say(70, 40), "long", True), (1201, say(71, 40), "once", True)]
+    docs = spark.createDataFrame([(i, t, x) for i, t, x, _ in rows], "doc_id long, text string, lang string")
+    for how in ({}, {"fit_bytes": 3_000, "fit_doc_bytes": 2_048}):
+        got = {r.doc_id: r.lang_pred for r in ppm_lang.identify(docs, **how).collect()}
+        assert got == {i: x for i, _, x, _ in rows}
+    trees = ppm_lang.fit(docs, F.col("lang"), fit_bytes=3_000)
+    n = collections.Counter(x for _, _, x, _ in rows)
+    assert trees.langs == sorted(n) and np.allclose(trees.prior, [-np.log2(n[x] / len(rows)) for x in sorted(n)])
+
+
 def test_edit_distance():
     rng = random.Random(7)
 
