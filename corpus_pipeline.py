@@ -26,8 +26,8 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the smallest doc_id; rows that repeat it go too."""
-    found = written(setsketch.near_duplicates(docs, percent=85), "near")
+    """One document of each near-duplicate group (similarity 0.8 or more) stays, the one with the smallest doc_id; rows that repeat it go too."""
+    found = written(setsketch.near_duplicates(docs, percent=80), "near")
     rest = _without(docs.select(*COLUMNS), found.filter("not kept"))
     twice = written(found.filter("kept").groupBy("doc_id", "text_hash").count().filter("count > 1"), "twice")
     if twice.isEmpty():

@@ -6,7 +6,7 @@ larger of both, and two registers agree with a probability slightly above the Ja
 
 1. Equal sets are one node (a 128-bit sum hash of the set); all further work is between different sets.
 2. Eight registers form a band. Nodes that agree in one of 40 bands are candidates: at J = 0.85 a pair is missed with a
-   probability of 0.728 ** 40 = 3e-6.
+   probability of 0.728 ** 40 = 3e-6. Lower thresholds take shorter bands (`bands`), at J = 0.8 53 of six: 0.738 ** 53 = 1e-7.
 3. In each bucket every node is compared with one hub, and then with another one. Nodes found in one component need no further
    comparison among themselves; where a bucket still holds several components, every pair that crosses them is compared, in
    blocks of bounded size: first the registers, then, where these agree often enough, the full sets, which come along. Only
@@ -32,8 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from .common import mix, slices, utf8, window_hashes, word_hashes, words, written
 from .components import components
 
-BANDS, ROWS = 40, 8
-REGISTERS = BANDS * ROWS
+REGISTERS = 320
 BASE = 1.1
 #: Twice the difference of log-likelihoods beyond which a similarity of the threshold is ruled out.
 RATIO = 30.0
@@ -43,6 +42,12 @@ _OFFSET = 24
 _U = np.uint64
 
 
+def bands(percent: int) -> tuple[int, int]:
+    """Number and length of the longest bands, up to eight registers, that miss a pair at the threshold less than 5e-6 times."""
+    rows = next((r for r in range(8, 1, -1) if (1 - (percent / 100) ** r) ** (REGISTERS // r) < 5e-6), 1)
+    return REGISTERS // rows, rows
+
+
 def _multipliers() -> np.ndarray:
     state = mix(np.arange(1, 2 * REGISTERS + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
     return (state & _U(0xFFFFFFFF)).astype(np.uint32).reshape(2, -1) | np.uint32(1)
@@ -176,7 +181,8 @@ def _cross_links(percent: int):
     Pairs whose registers agree too seldom are skipped, all others are counted on their full sets, unless links found before
     have joined their components already.
     """
-    least = -(-REGISTERS * (percent - 11) // 100)  # at the threshold, over five standard deviations below what agrees
+    margin = int(np.ceil(550 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5))
+    least = -(-REGISTERS * (percent - margin) // 100)  # at the threshold, over five standard deviations below what agrees
     seen: set[tuple[int, int]] = set()  # pairs that this task has counted in another bucket
 
     def meet(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -246,8 +252,9 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     nodes = full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS))
-    members = nodes.select("node", F.explode(F.array(*[band(k) for k in range(BANDS)])).alias("bucket"))
+    count, rows = bands(percent)
+    band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", k * rows + 1, rows))
+    members = nodes.select("node", F.explode(F.array(*[band(k) for k in range(count)])).alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1")
     members = written(members.join(shared, "bucket"), "members")
 

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from pointloom.llm import cgk_decontam, queries
+from pointloom.llm import cgk_decontam, queries, setsketch
 
 from ..conftest import DATA
 from .test_operators import SCHEMA, brute_components, prose
@@ -67,6 +67,22 @@ def test_stages(spark, folder):
     assert got == {i: len(t.encode()) + 1 for i, t in clean.items()}
 
 
+def test_near_dedup_takes_pairs_from_four_fifths_on(spark):
+    rng = random.Random(33)
+    rows = []
+    for k in range(40):
+        w = prose(rng, 150).split()
+        other = list(w)
+        for p in rng.sample(range(10, 140, 10), 3 + k % 2):  # similarities 0.81 and 0.76
+            other[p] = "other"
+        rows += [(2 * k, " ".join(w), "en", "s", 5), (2 * k + 1, " ".join(other), "en", "s", 5)]
+    got = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), "").collect())
+    component = brute_components(rows, 80)
+    assert got == sorted(i for i, *_ in rows if component[i][1] == i) and len(got) == 60
+    assert len({c for _, c, *_ in brute_components(rows, 85).values()}) == 80
+    assert setsketch.bands(85) == (40, 8) and all((1 - (p / 100) ** r) ** n < 5e-6 for p in (75, 80, 85, 90) for n, r in [setsketch.bands(p)])
+
+
 def test_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     small = queries.QUERIES["op8_prefix_sum_shards"](spark, DATA)
