@@ -15,8 +15,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, whose language stays undetermined, go."""
-    return ppm_lang.identify(docs, passing=COLUMNS).filter("lang_pred <> 'und'").select(*COLUMNS)
+    """Documents that are null or have no letter go; the language found rejects none."""
+    lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return ppm_lang.identify(docs, passing=COLUMNS).filter((F.col("lang_pred") != "und") | lettered).select(*COLUMNS)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:

@@ -67,6 +67,14 @@ def test_stages(spark, folder):
     assert got == {i: len(t.encode()) + 1 for i, t in clean.items()}
 
 
+def test_language_keeps_an_unlabelled_corpus(spark):
+    rows = [(1, "some words", None, "s", 5), (2, "12 ?!", None, "s", 5), (3, None, None, "s", 5), (None, "é", None, "s", 5), (2, "weitere", None, None, 5)]
+    for lang in (None, "und"):  # nothing to learn from; a label that reads like the mark of no language
+        docs = spark.createDataFrame([(i, t, lang, *more) for i, t, _, *more in rows], SCHEMA)
+        got = corpus_pipeline.language(spark, docs, "").collect()
+        assert sorted(r.text for r in got) == ["some words", "weitere", "é"]
+
+
 def test_near_dedup_takes_pairs_from_four_fifths_on(spark):
     rng = random.Random(33)
     rows = []
