@@ -164,6 +164,47 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, base: i
     return mix((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(_U))
 
 
+def _parts(data: np.ndarray, ends: np.ndarray, separators: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of about CHUNK_BYTES that end at a separator or at a text's end, so that no word is cut."""
+    at, reach = 0, 1 << 16
+    while at < len(data):
+        to = at + CHUNK_BYTES
+        if to >= len(data):
+            yield at, len(data)
+            return
+        text_end = int(ends[np.searchsorted(ends, to)])
+        while to < text_end:
+            here = np.flatnonzero(separators[data[to : min(to + reach, text_end)]])
+            if len(here):
+                to += int(here[0])
+                break
+            to = min(to + reach, text_end)
+        yield at, to
+        at = to
+
+
+class Words:
+    """The words of a column of texts: their spans in `data`, their hashes, and each text's first word (n + 1 values).
+
+    Bytes are hashed in parts of about CHUNK_BYTES, so a long text costs its own size and 24 bytes a word, no more.
+    """
+
+    def __init__(self, column: pa.Array, bases: tuple[int, ...] = (0,), lower: bool = False, separators: np.ndarray = _SEP):
+        self.data, self.ends = utf8(column)
+        starts, stops, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [[np.zeros(0, _U)] for _ in bases]
+        for at, to in _parts(self.data, self.ends, separators):
+            inner = self.ends[np.searchsorted(self.ends, at, "right") : np.searchsorted(self.ends, to)]
+            part = self.data[at:to]
+            s, e, _ = words(part, np.r_[0, inner - at, to - at], separators)
+            starts.append(s + at)
+            stops.append(e + at)
+            for k, base in enumerate(bases):
+                hashes[k].append(word_hashes(part, s, e, base, lower))
+        self.starts, self.stops = np.concatenate(starts), np.concatenate(stops)
+        self.hashes = [np.concatenate(h) for h in hashes]
+        self.first = np.searchsorted(self.starts, self.ends)
+
+
 def window_hashes(hashes: np.ndarray, first: np.ndarray, size: int, base: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all windows of `size` words that lie within one text, and for each text the index of its first window.
 

@@ -1,22 +1,26 @@
 """Substring dedup with repeated-phrase automata: every word that an earlier passage of `span` words already holds goes.
 
-1. Anchors. Each window of 20 words names one of its eleven 10-word phrases, the one with the smallest hash: equal windows
-   name equal phrases at the same place, wherever they stand. A document's few named phrases are dealt, in packed rows, to
-   shards by their hash; a phrase that is named only once in the corpus belongs to no repeated window.
-2. Segments. Documents that hold recurring anchors give, for each of them, the run of at most thirty words that its windows
-   cover, dealt to shards by the anchor's hash again, so that all occurrences of a window meet in one shard.
-3. Automata. Each shard confirms its recurring windows and compiles them into an Aho-Corasick automaton, words being single
-   code points, streams all its segments through it, and so locates every occurrence. A hit is confirmed by an independent
-   64-bit hash of the window's words. All occurrences but the first (by doc_id, then start) are marked.
-4. Words covered by marked windows are removed.
-
-Work and traffic grow with the corpus, not with its square: a document's text reaches only shards whose anchors it holds,
-and texts without recurring anchors, which provably hold no repeated window, reach none. A phrase that a task sees again and
-again is sent on once, so a passage that a third of all documents share does not gather in one shard.
+Documents are dealt by a hash into blocks of bounded text; all steps below work on blocks, and rows between them are packed.
+
+1. Phrases. Each window of 20 words names one of its eleven 10-word phrases, the one with the smallest hash: equal windows
+   name equal phrases at the same place, wherever they stand. A block sends each distinct phrase once; a phrase named only
+   once in the corpus belongs to no repeated window.
+2. Passages. For each recurring phrase a block sends the distinct runs of at most thirty words that its windows cover, dealt
+   by the phrase's hash, so that all occurrences of a window meet. There recurring windows are confirmed by a second 64-bit hash
+   and joined to maximal passages: neighbours stay together if they stand together wherever either stands. A block is told its
+   passages, each by one place where it stands in the block, and whether that place is the first of the corpus (by doc_id, then
+   start).
+3. Automata. Each block compiles its passages into Aho-Corasick automata of bounded size, words being single code points, and
+   streams all its documents, whole, through them. This alone finds where a passage stands; a hit counts if a 64-bit hash of
+   its words is the passage's. All occurrences but the corpus' first are marked, and words in marked passages are removed.
+
+Work and traffic grow with the corpus, not with its square: a document meets the automata of its own block only, and these hold
+what recurs in it. A phrase or passage that a third of all documents share is one row for each block. A phrase that over
+`hot_blocks` blocks name, in ever other surroundings, is not dealt as one group: its windows go each by its own hash.
 
 Cases: a null text has no words; rows that repeat both doc_id and text are one document and get the same result; rows that
-repeat a doc_id with other texts are told apart by a hash of the text; null doc_ids come first; an empty table gives an empty
-table; other columns are ignored.
+repeat a doc_id with other texts are told apart by a hash of the text; null doc_ids come first; a long text is hashed in parts
+and never copied as separate words; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import slices, utf8, window_hashes, word_hashes, words
+from .common import Words, mix, slices, window_hashes
 
 _U = np.uint64
 _NONE = -(1 << 63)  # stands for a null doc_id, which comes first
+#: Words of a text whose windows are handled at once.
+_RANGE = 1 << 18
+#: Code points for words: all but those below 2 and the surrogates.
+_LETTERS = 0x110000 - 0x800 - 2
+_STEP = _U(0x9E3779B97F4A7C15)
 
 
 def _smallest(g: np.ndarray, width: int) -> np.ndarray:
@@ -44,73 +54,54 @@ def _smallest(g: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-class _Windows:
-    """All windows of a batch of texts: their documents, starts and anchors."""
+class _Runs:
+    """The runs of a batch's windows that name one occurrence of a phrase: text, first window, number of windows, phrase hash."""
 
-    def __init__(self, column: pa.Array, span: int):
+    def __init__(self, hashes: np.ndarray, first: np.ndarray, span: int):
         half = span // 2
-        data, ends = utf8(column)
-        starts, stops, self.first = words(data, ends)
-        self.hashes = word_hashes(data, starts, stops)
-        g, index = window_hashes(self.hashes, self.first, half)
+        g, index = window_hashes(hashes, first, half)
         width = span - half + 1
         full = np.maximum(np.diff(index) - width + 1, 0)
-        self.index = np.r_[0, np.cumsum(full)]
-        self.doc = np.repeat(np.arange(len(full)), full)
-        self.start = np.arange(self.index[-1]) - self.index[self.doc]
-        if self.index[-1]:
-            at = _smallest(g, width)[index[self.doc] + self.start]
-        else:
-            at = np.zeros(0, np.int64)
-        self.anchor = at - index[self.doc]  # the word at which it starts
-        new = np.r_[True, (at[1:] != at[:-1]) | (self.doc[1:] != self.doc[:-1])] if len(at) else np.zeros(0, bool)
-        self.runs = np.flatnonzero(new)  # a run: the windows of one occurrence of an anchor
-        self.run_hash = g[at[self.runs]] if len(at) else np.zeros(0, _U)
-        self.data, self.starts, self.stops = data, starts, stops
-
-
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> _U(20)) % _U(shards)).astype(np.int64)
-
-
-def _lists(order: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of places sorted by p: the distinct p and the offsets of their places."""
-    keys = p[order]
-    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[cut], np.r_[cut, len(keys)]
+        ends = np.r_[0, np.cumsum(full)]
+        doc = np.repeat(np.arange(len(full)), full)
+        start = np.arange(ends[-1]) - ends[doc]
+        at = _smallest(g, width)[index[doc] + start] if len(doc) else np.zeros(0, np.int64)
+        new = np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])] if len(at) else np.zeros(0, bool)
+        self.window = np.flatnonzero(new)  # the run's first window among all of the batch
+        self.doc, self.start = doc[self.window], start[self.window]
+        self.n = np.diff(np.r_[self.window, len(doc)])
+        self.phrase = g[at[self.window]]
 
 
-def _list(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-_ANCHORS = "p int, hash array<long>, many array<boolean>, key array<long>, pos array<int>"
+def _virtual(w: Words, span: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Ranges of words whose windows are handled at once: (their place, first words within, texts, words before them in the text)."""
+    texts, counts = len(w.first) - 1, np.diff(w.first)
+    if len(w.starts) <= 2 * _RANGE:
+        yield slice(0, len(w.starts)), w.first, np.arange(texts), np.zeros(texts, np.int64)
+        return
+    for k in range(texts):
+        for at in range(0, max(int(counts[k]) - span + 1, 0), _RANGE):
+            lo, hi = int(w.first[k]) + at, min(int(w.first[k]) + at + _RANGE + span - 1, int(w.first[k + 1]))
+            yield slice(lo, hi), np.array([0, hi - lo]), np.array([k]), np.array([at])
 
 
-def _anchors(span: int, shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            w = _Windows(b["text"], span)
-            if not len(w.runs):
-                continue
-            key = b["key"].to_numpy()[w.doc[w.runs]]
-            pos = w.anchor[w.runs]
-            _, first, back, seen = np.unique(w.run_hash, return_index=True, return_inverse=True, return_counts=True)
-            again = np.flatnonzero(seen[back] > 1)  # known to recur right here
-            hashes = w.run_hash[first]
-            p = _shard(hashes, shards)
-            order = np.argsort(p, kind="stable")
-            ps, ends = _lists(order, p)
-            one = first[order]
-            cols = [pa.array(ps, pa.int32()), _list(hashes[order].view(np.int64), ends, pa.int64()), _list((seen > 1)[order], ends, pa.bool_()), _list(key[one], ends, pa.int64()), _list(pos[one], ends, pa.int32())]
-            names = ["p", "hash", "many", "key", "pos"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-            if len(again):
-                none = np.array([0, 0])
-                n = np.array([0, len(again)])
-                yield pa.RecordBatch.from_arrays([pa.array([int(hashes[0] % _U(shards))], pa.int32()), _list(np.zeros(0, np.int64), none, pa.int64()), _list(np.zeros(0, bool), none, pa.bool_()), _list(key[again], n, pa.int64()), _list(pos[again], n, pa.int32())], names)
+def _deal(h: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by shard, the shards, and the offsets of their places in that order."""
+    p = ((h >> _U(20)) % _U(shards)).astype(np.int64)
+    order = np.argsort(p, kind="stable")
+    keys = p[order]
+    cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    return order, keys[cut], np.r_[cut, len(keys)]
 
-    return run
+
+def _list(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
 
 
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -136,196 +127,325 @@ def _flat(t: pa.Table, column: str) -> np.ndarray:
     return np.concatenate([x.to_numpy(zero_copy_only=False) for x in parts]) if parts else np.zeros(0, np.int64)
 
 
-def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _by_shard(batches):
-        sent = np.concatenate([np.diff(c.offsets.to_numpy()) > 0 for c in t["hash"].chunks])
-        for plain, part in ((True, t.filter(pa.array(~sent))), (False, t.filter(pa.array(sent)))):
-            if not part.num_rows:
-                continue
-            part = part.combine_chunks()
-            key, pos = _flat(part, "key"), _flat(part, "pos")
-            if not plain:
-                _, back, seen = np.unique(_flat(part, "hash"), return_inverse=True, return_counts=True)
-                known = np.zeros(len(seen), bool)
-                known[back[_flat(part, "many").astype(bool)]] = True
-                keep = (seen > 1)[back] | known[back]
-                key, pos = key[keep], pos[keep]
-            for at in range(0, len(key), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[at : at + 50_000], pa.int64()), pa.array(pos[at : at + 50_000], pa.int32())], ["key", "pos"])
+def _sizes(t: pa.Table, column: str) -> np.ndarray:
+    parts = [np.diff(c.offsets.to_numpy()) for c in t[column].chunks]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-_SEGMENTS = "p int, doc array<long>, key array<long>, start array<int>, n array<int>, check array<long>, codes array<smallint>"
+# ---------------------------------------------------------------------------------------------- phrases
 
+_PHRASES = "p int, block int, phrase array<long>, many array<boolean>"
+_TOLD = "block int, phrase array<long>, hot array<boolean>"
 
-def _codes(h: np.ndarray) -> np.ndarray:
-    """Sixteen bits for each word."""
-    return (h >> _U(48)).astype(np.uint16).view(np.int16)
 
+def _phrases(span: int, shards: int):
+    def run(t: pa.Table) -> pa.Table:
+        found = [np.zeros(0, _U)]
+        seen: set[int] = set()
+        for b in slices(t.to_batches(), "text"):
+            b = _new_rows(b, seen)
+            w = Words(b["text"])
+            for place, first, _, _ in _virtual(w, span):
+                found.append(_Runs(w.hashes[0][place], first, span).phrase)
+        phrase, count = np.unique(np.concatenate(found), return_counts=True)
+        order, p, ends = _deal(phrase, shards)
+        block = np.full(len(p), t["block"][0].as_py())
+        cols = pa.array(p, pa.int32()), pa.array(block, pa.int32()), _list(phrase[order].view(np.int64), ends, pa.int64()), _list((count > 1)[order], ends, pa.bool_())
+        return pa.table(cols, ["p", "block", "phrase", "many"])
 
-def _spelt(codes: np.ndarray) -> str:
-    """A code point, not a surrogate, for each word."""
-    v = codes.astype(np.int16).view(np.uint16).astype("<u4")
-    return (v + 1 + 0x800 * (v >= 0xD7FF).astype("<u4")).astype("<u4").tobytes().decode("utf-32-le")
-
+    return run
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """All places of ranges, one range after the other."""
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
+def _new_rows(b: pa.RecordBatch, seen: set[int]) -> pa.RecordBatch:
+    """The rows whose key (doc_id and text) has not come before: rows that repeat are one document."""
+    keep = []
+    for k in b["key"].to_pylist():
+        keep.append(k not in seen)
+        seen.add(k)
+    return b if all(keep) else b.filter(pa.array(keep))
 
-def _segments(span: int, shards: int):
-    """Rows that carry segments to their shards; marked ranges that are known already come with an empty `check` and codes."""
 
+def _recurring(hot_blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            w = _Windows(b["text"], span)
-            if not len(w.runs):
-                continue
-            run_doc, run_pos = w.doc[w.runs], w.anchor[w.runs]
-            size = np.diff(np.r_[w.runs, len(w.doc)])
-            lists = b["pos"]
-            told_pos = lists.flatten().to_numpy().astype(np.int64)
-            told_doc = np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
-            hit = np.flatnonzero(np.isin(run_doc * (1 << 32) + run_pos, told_doc * (1 << 32) + told_pos))
-            if not len(hit):
-                continue
-            doc_ids = b["doc_id"].fill_null(_NONE).to_numpy()
-            keys = b["key"].to_numpy()
-            second = _window_checks(w, span)
-            size, begin, hashes = size[hit], w.runs[hit], w.run_hash[hit]
-            docs, key, start = doc_ids[run_doc[hit]], keys[run_doc[hit]], w.start[begin]
-            # equal segments of this batch: the first goes on, the others are marked here
-            same = np.lexsort((start, key, docs, size, second[begin + size - 1], second[begin], hashes))
-            s = [x[same] for x in (hashes, second[begin], second[begin + size - 1], size)]
-            later = np.r_[False, np.logical_and.reduce([x[1:] == x[:-1] for x in s])]
-            # but a document that stands here twice is one document
-            later_place = same[later]
-            lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(same))))
-            itself = (docs[same] == docs[same[lead]]) & (key[same] == key[same[lead]]) & (start[same] == start[same[lead]])
-            later_place = same[later & ~itself]
-            first = np.sort(same[~later])
-            p = _shard(hashes[first], shards)
-            order = first[np.argsort(p, kind="stable")]
-            ps, ends = _lists(np.argsort(p, kind="stable"), p)
-            long, short = size[order], size[order] + span - 1
-            words_at = w.first[w.doc[begin[order]]] + start[order]
-            check = second[_ranges(begin[order], long)].view(np.int64)
-            codes = _codes(w.hashes[_ranges(words_at, short)])
-            total = lambda x: np.r_[0, np.cumsum(x)][ends]
-            cols = [pa.array(ps, pa.int32()), *(_list(x[order], ends, k) for x, k in ((docs, pa.int64()), (key, pa.int64()), (start, pa.int32()), (size, pa.int32()))), _list(check, total(long), pa.int64()), _list(codes, total(short), pa.int16())]
-            names = ["p", "doc", "key", "start", "n", "check", "codes"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-            if len(later_place):
-                n, none = np.array([0, len(later_place)]), np.array([0, 0])
-                cols = [pa.array([int(hashes[0] % _U(shards))], pa.int32()), *(_list(x[later_place], n, k) for x, k in ((docs, pa.int64()), (key, pa.int64()), (start, pa.int32()), (size, pa.int32()))), _list(np.zeros(0, np.int64), none, pa.int64()), _list(np.zeros(0, np.int16), none, pa.int16())]
-                yield pa.RecordBatch.from_arrays(cols, names)
+        for t in _by_shard(batches):
+            block = np.repeat(t["block"].to_numpy(), _sizes(t, "phrase"))
+            phrase = _flat(t, "phrase")
+            _, back, seen = np.unique(phrase, return_inverse=True, return_counts=True)
+            known = np.zeros(len(seen), bool)
+            known[back[_flat(t, "many").astype(bool)]] = True
+            keep = np.flatnonzero(((seen > 1) | known)[back])
+            if len(keep):
+                hot = (seen > hot_blocks)[back[keep]]
+                yield from _packed(block[keep], {"phrase": (phrase[keep], pa.int64()), "hot": (hot, pa.bool_())})
 
     return run
 
 
-def _window_checks(w: _Windows, span: int) -> np.ndarray:
-    """An independent hash of each window, over word hashes with another base."""
-    second = word_hashes(w.data, w.starts, w.stops, base=1)
-    flat, index = window_hashes(second, w.first, span, base=1)
-    return flat  # in the order of the windows: both leave out texts of fewer than `span` words
-
-
-def _locate(span: int):
-    """Of each shard the marked windows: (key, doc, start, n) ranges of starts."""
-    import ahocorasick
-
-    def marks(t: pa.Table) -> tuple[np.ndarray, ...] | None:
-        doc, key, start, n = (_flat(t, c) for c in ("doc", "key", "start", "n"))
-        check, codes = _flat(t, "check"), _flat(t, "codes")
-        at = np.cumsum(n) - n  # of each segment's first window among all
-        window_start = start[np.repeat(np.arange(len(n)), n)] + _ranges(np.zeros(len(n), np.int64), n)
-        code_at = np.cumsum(n + span - 1) - (n + span - 1)
-        _, first, seen = np.unique(check, return_index=True, return_counts=True)
-        twice = first[seen > 1]
-        if not len(twice):
-            return None
-        owner = np.repeat(np.arange(len(n)), n)
-        text = _spelt(codes)
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        patterns = []
-        for i in twice.tolist():
-            a = int(code_at[owner[i]] + i - at[owner[i]])
-            automaton.add_word(text[a : a + span], len(patterns))
-            patterns.append(i)
-        automaton.make_automaton()
-        found, which = [], []
-        code_ends = (code_at + n + span - 1).tolist()
-        for s, (a, z, base) in enumerate(zip(code_at.tolist(), code_ends, at.tolist(), strict=True)):
-            for end, pattern in automaton.iter(text[a:z]):
-                found.append(base + end - span + 1)
-                which.append(pattern)
-        found, which = np.array(found, np.int64), np.array(which, np.int64)
-        # the name of an occurrence's window is its check, so that words that share a code point are told apart
-        name = check[found]
-        order = np.lexsort((window_start[found], key[owner[found]], doc[owner[found]], name))
-        found, name = found[order], name[order]
-        lead = np.maximum.accumulate(np.where(np.r_[True, name[1:] != name[:-1]], np.arange(len(name)), 0))
-        o, f = owner[found], owner[found[lead]]
-        later = found[(doc[o] != doc[f]) | (key[o] != key[f]) | (window_start[found] != window_start[found[lead]])]
-        return key[owner[later]], doc[owner[later]], window_start[later], np.ones(len(later), np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _by_shard(batches):
-            sent = np.concatenate([np.diff(c.offsets.to_numpy()) > 0 for c in t["check"].chunks])
-            known, part = t.filter(pa.array(~sent)), t.filter(pa.array(sent))
-            results = []
-            if known.num_rows:
-                k = known.combine_chunks()
-                results.append(tuple(_flat(k, c) for c in ("key", "doc", "start", "n")))
-            if part.num_rows and (m := marks(part.combine_chunks())):
-                results.append(m)
-            for r in results:
-                for at in range(0, len(r[0]), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000], k) for x, k in zip(r, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["key", "doc", "start", "n"])
+def _packed(block: np.ndarray, columns: dict[str, tuple[np.ndarray, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """A row for each block (rows of one block stand together), with its values as lists."""
+    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    ends = np.r_[cut, len(block)]
+    yield pa.RecordBatch.from_arrays([pa.array(block[cut], pa.int32()), *(_list(v, ends, kind) for v, kind in columns.values())], ["block", *columns])
+
+
+# ---------------------------------------------------------------------------------------------- passages
+
+_SENT = "p int, block int, doc array<long>, key array<long>, start array<int>, n array<int>, count array<int>, check array<long>"
+_NOTHING = pa.schema([("p", pa.int32()), ("block", pa.int32()), *((c, pa.list_(k)) for c, k in zip(("doc", "key", "start", "n", "count", "check"), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()), strict=True))]).empty_table()
+_PASSAGES = "block int, key array<long>, start array<int>, n array<int>, earliest array<boolean>"
+
+
+def _send(span: int, shards: int):
+    def run(t: pa.Table, told: pa.Table) -> pa.Table:
+        phrase, hot = _flat(told, "phrase").view(_U), _flat(told, "hot").astype(bool)
+        order = np.argsort(phrase)
+        phrase, hot = phrase[order], hot[order]
+        parts, checks, seen = [], [np.zeros(0, _U)], set()
+        for b in slices(t.to_batches(), "text") if len(phrase) else ():
+            b = _new_rows(b, seen)
+            w = Words(b["text"], bases=(0, 1))
+            ids, keys = b["doc_id"].fill_null(_NONE).to_numpy(), b["key"].to_numpy()
+            for place, first, texts, before in _virtual(w, span):
+                r = _Runs(w.hashes[0][place], first, span)
+                at = np.minimum(np.searchsorted(phrase, r.phrase), len(phrase) - 1)
+                hit = phrase[at] == r.phrase
+                window, doc, start, n, name, one = (x[hit] for x in (r.window, r.doc, r.start, r.n, r.phrase, hot[at]))
+                check, _ = window_hashes(w.hashes[1][place], first, span, base=1)
+                alone = np.repeat(one, n)  # a hot phrase's windows go one by one
+                pick = _ranges(window, n)
+                head = np.ones(len(pick), bool)
+                head[np.arange(len(pick))] = alone
+                head[np.cumsum(n) - n] = True
+                lead = np.flatnonzero(head)
+                run_of = np.repeat(np.arange(len(n)), n)[lead]
+                offset = pick[lead] - window[run_of]
+                parts.append((ids[texts[doc[run_of]]], keys[texts[doc[run_of]]], start[run_of] + offset + before[doc[run_of]], np.diff(np.r_[lead, len(pick)]), np.where(one[run_of], check[pick[lead]], name[run_of])))
+                checks.append(check[pick])
+        if not parts:
+            return _NOTHING
+        doc, key, start, n, name = (np.concatenate(x) for x in zip(*parts, strict=True))
+        check = np.concatenate(checks)
+        at = np.cumsum(n) - n
+        # equal runs of the block are one, at the first of their places
+        order = np.lexsort((start, key, doc, n, check[at + n - 1], check[at], name))
+        same = [x[order] for x in (name, check[at], check[at + n - 1], n)]
+        new = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in same])])
+        count = np.diff(np.r_[new, len(order)])
+        order = order[new]
+        deal, p, ends = _deal(name[order], shards)
+        order, count = order[deal], count[deal]
+        total = np.r_[0, np.cumsum(n[order])][ends]
+        block = np.full(len(p), t["block"][0].as_py())
+        lists = [_list(x[order], ends, k) for x, k in ((doc, pa.int64()), (key, pa.int64()), (start, pa.int32()), (n, pa.int32()))]
+        cols = [pa.array(p, pa.int32()), pa.array(block, pa.int32()), *lists, _list(count, ends, pa.int32()), _list(check[_ranges(at[order], n[order])].view(np.int64), total, pa.int64())]
+        return pa.table(cols, ["p", "block", "doc", "key", "start", "n", "count", "check"])
 
     return run
 
 
-def _cut(span: int, clean_as_is: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            kept, words_n, removed = [], [], []
-            for doc, text, marks in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["marks"].to_pylist(), strict=True):
-                parts = (text or "").encode().split()  # bytes.split() cuts at just the six separators
-                own = _NONE if doc is None else doc
-                ranges = [(m["start"], m["n"]) for m in marks or () if m["doc"] == own]
-                words_n.append(len(parts))
-                if ranges:
-                    gone = np.zeros(len(parts) + 1, np.int64)
-                    lo = np.array([a for a, _ in ranges])
-                    np.add.at(gone, lo, 1)
-                    np.add.at(gone, lo + np.array([n for _, n in ranges]) + span - 1, -1)
-                    stay = np.cumsum(gone[:-1]) == 0
-                    parts = [parts[k] for k in np.flatnonzero(stay).tolist()]
-                removed.append(words_n[-1] - len(parts))
-                kept.append(text if clean_as_is and not ranges else b" ".join(parts).decode())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c not in ("text", "marks")), pa.array(words_n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*(c for c in b.schema.names if c not in ("text", "marks")), "n_words", "n_removed", "kept_text"])
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard the maximal passages whose windows recur, for each block that holds them."""
+    for t in _by_shard(batches):
+        block = np.repeat(t["block"].to_numpy(), _sizes(t, "n"))
+        doc, key, start, n, count, check = (_flat(t, c) for c in ("doc", "key", "start", "n", "count", "check"))
+        at = np.cumsum(n) - n
+        order = np.lexsort((start, key, doc))  # runs in the order of the corpus, so that a window's first place comes first
+        check = check[_ranges(at[order], n[order])]
+        block, doc, key, start, n, count = (x[order] for x in (block, doc, key, start, n, count))
+        owner = np.repeat(np.arange(len(n)), n)
+        _, first, back = np.unique(check, return_index=True, return_inverse=True)
+        total = np.bincount(back, count[owner]).astype(np.int64)
+        inner = np.flatnonzero(owner[1:] == owner[:-1])  # windows that have a next one in their run
+        both, pair = np.unique(back[inner] * len(total) + back[inner + 1], return_inverse=True)
+        together = np.bincount(pair, count[owner[inner]], len(both)).astype(np.int64)[pair]
+        joined = np.zeros(len(check), bool)  # to the window before it
+        joined[inner + 1] = (total[back[inner]] == together) & (total[back[inner + 1]] == together)
+        often = total[back] > 1
+        lead = np.flatnonzero(often & ~joined)
+        if not len(lead):
+            continue
+        last = np.append(np.flatnonzero(~joined)[1:], len(check))
+        length = last[np.searchsorted(np.flatnonzero(~joined), lead)] - lead
+        run = owner[lead]
+        window = lead - (np.cumsum(n) - n)[run]
+        earliest = first[back[lead]] == lead
+        by = np.argsort(block[run], kind="stable")
+        yield from _packed(block[run][by], {"key": (key[run][by], pa.int64()), "start": ((start[run] + window)[by], pa.int32()), "n": (length[by], pa.int32()), "earliest": (earliest[by], pa.bool_())})
+
+
+# ---------------------------------------------------------------------------------------------- automata
+
+
+def _spelt(hashes: np.ndarray) -> str:
+    """A code point for each word; equal words have equal ones."""
+    v = (hashes % _U(_LETTERS)).astype("<u4") + np.uint32(2)
+    return (v + np.uint32(0x800) * (v >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+
+
+class _Sums:
+    """Hashes of any range of words."""
+
+    def __init__(self, hashes: np.ndarray):
+        power = np.full(len(hashes) + 1, _STEP, _U)
+        back = np.full(len(hashes) + 1, _U(pow(int(_STEP), -1, 1 << 64)), _U)
+        power[0] = back[0] = 1
+        self.back = np.cumprod(back)
+        self.total = np.r_[_U(0), np.cumsum(hashes * np.cumprod(power)[:-1])]
+
+    def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return mix((self.total[hi] - self.total[lo]) * self.back[lo])
+
+
+class _Passages:
+    """A block's passages, spelt, with their hashes and the place that keeps its words, if it is in this block."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.hash: list[int] = []
+        self.kept: list[tuple[int, int]] = []  # (key, start); no key for passages that stand earlier in another block
+
+    def add(self, text: str, value: int, key: int | None, start: int) -> None:
+        k = self.number.setdefault(text, len(self.hash))
+        while k < len(self.hash) and self.hash[k] != value:  # other words with the same code points
+            text += "\1"
+            k = self.number.setdefault(text, len(self.hash))
+        if k == len(self.hash):
+            self.hash.append(value)
+            self.kept.append((key, start))
+        elif key is not None:
+            self.kept[k] = key, start
+
+    def automata(self, limit: int) -> Iterator:
+        """Automata of passages of about `limit` words together."""
+        import ahocorasick
+
+        held, size = ahocorasick.Automaton(ahocorasick.STORE_ANY), 0
+        alike: dict[str, list[int]] = {}
+        for text, k in self.number.items():
+            alike.setdefault(text.rstrip("\1"), []).append(k)
+        for text, ks in alike.items():
+            held.add_word(text, (len(text), ks))
+            size += len(text)
+            if size >= limit:
+                held.make_automaton()
+                yield held
+                held, size = ahocorasick.Automaton(ahocorasick.STORE_ANY), 0
+        if size:
+            held.make_automaton()
+            yield held
+
+
+def _remove(span: int, clean_as_is: bool, passing: tuple[str, ...], automaton_words: int):
+    def run(t: pa.Table, told: pa.Table) -> pa.Table:
+        batches = list(slices(t.to_batches(), "text"))
+        passages = _Passages()
+        where: dict[int, list[tuple[int, int, bool]]] = {}
+        for key, start, n, earliest in zip(*(_flat(told, c).tolist() for c in ("key", "start", "n", "earliest")), strict=True):
+            where.setdefault(key, []).append((start, n + span - 1, bool(earliest)))
+        for b in batches if where else ():
+            at = [(k, key) for k, key in enumerate(b["key"].to_pylist()) if key in where]
+            if not at:
+                continue
+            w = Words(b["text"].take(pa.array([k for k, _ in at])))
+            sums, text = _Sums(w.hashes[0]), _spelt(w.hashes[0])
+            for first, (_, key) in zip(w.first.tolist(), at, strict=False):
+                places = where.pop(key, ())  # a row that repeats it has the same words
+                lo = np.array([first + s for s, _, _ in places], np.int64)
+                hi = lo + np.array([n for _, n, _ in places], np.int64)
+                for (s, _, earliest), a, z, value in zip(places, lo.tolist(), hi.tolist(), sums.of(lo, hi).tolist(), strict=True):
+                    passages.add(text[a:z], value, key if earliest else None, s)
+        hashes = np.array(passages.hash, _U)
+        automata = list(passages.automata(automaton_words))
+        out = []
+        for b in batches:
+            w = Words(b["text"])
+            gone = np.zeros(len(w.starts) + 1, np.int32)
+            if automata:
+                _mark(w, b["key"].to_numpy(), automata, passages, hashes, gone)
+            out.append(_cut(b, w, np.cumsum(gone[:-1]) > 0, clean_as_is, passing))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, *, span: int = 20, passing: tuple[str, ...] = (), clean_as_is: bool = False) -> DataFrame:
+def _mark(w: Words, keys: np.ndarray, automata: list, passages: _Passages, hashes: np.ndarray, gone: np.ndarray) -> None:
+    """Streams the texts through the automata; adds 1 to `gone` where a passage that goes begins and takes 1 where it ends."""
+    texts = len(w.first) - 1
+    # a mark that no passage holds stands between texts
+    shift = np.repeat(np.arange(texts), np.diff(w.first))
+    code = np.full(len(w.starts) + texts, 1, "<u4")
+    v = (w.hashes[0] % _U(_LETTERS)).astype("<u4") + np.uint32(2)
+    code[np.arange(len(v)) + shift] = v + np.uint32(0x800) * (v >= 0xD800)
+    text = code.tobytes().decode("utf-32-le")
+    sums = _Sums(w.hashes[0])
+    mark_at = w.first[1:] + np.arange(texts)  # places of the marks
+    for automaton in automata:
+        found = [(end, n, k) for end, (n, ks) in automaton.iter(text) for k in ks]
+        if not found:
+            continue
+        end, n, which = np.array(found, np.int64).T
+        doc = np.searchsorted(mark_at, end)
+        hi = end + 1 - doc
+        lo = hi - n
+        sure = sums.of(lo, hi) == hashes[which]
+        lo, hi, which, doc = lo[sure], hi[sure], which[sure], doc[sure]
+        start = lo - w.first[doc]
+        kept = [passages.kept[k] for k in which.tolist()]
+        stays = np.array([a == key and b == s for (a, b), key, s in zip(kept, keys[doc].tolist(), start.tolist(), strict=True)], bool)
+        np.add.at(gone, lo[~stays], 1)
+        np.add.at(gone, hi[~stays], -1)
+
+
+def _cut(b: pa.RecordBatch, w: Words, gone: np.ndarray, clean_as_is: bool, passing: tuple[str, ...]) -> pa.RecordBatch:
+    """The rows with their numbers of words and the texts of the words that stay, joined by one space."""
+    texts = len(w.first) - 1
+    doc = np.repeat(np.arange(texts), np.diff(w.first))
+    removed = np.bincount(doc[gone], minlength=texts)
+    stay = np.flatnonzero(~gone)
+    more = np.zeros(len(stay), bool)
+    more[:-1] = doc[stay][1:] == doc[stay][:-1]  # another word of the text follows
+    data = w.data.copy()
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[w.starts[stay]] += 1
+    edge[w.stops[stay]] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    spaces = w.stops[stay][more]
+    keep[spaces] = True
+    data[spaces] = 0x20
+    ends = np.r_[0, np.cumsum(keep)][w.ends]
+    kept = pa.LargeBinaryArray.from_buffers(pa.large_binary(), texts, [None, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(data[keep].tobytes())]).cast(pa.large_string())
+    if clean_as_is:
+        kept = pc.if_else(pa.array(removed > 0), kept, b["text"].cast(pa.large_string()))
+    columns = [b[c] for c in ("doc_id", *passing)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(np.diff(w.first), pa.int64()), pa.array(removed, pa.int64()), kept.cast(pa.string())], ["doc_id", *passing, "n_words", "n_removed", "kept_text"])
+
+
+def remove_repeats(
+    docs: DataFrame,
+    *,
+    span: int = 20,
+    passing: tuple[str, ...] = (),
+    clean_as_is: bool = False,
+    block_bytes: tuple[int, int] = (1 << 20, 1 << 24),
+    hot_blocks: int = 4096,
+    automaton_words: int = 1 << 20,
+) -> DataFrame:
     """doc_id, the columns `passing`, n_words, n_removed and kept_text of every document.
 
-    kept_text: the kept words joined by one space; with `clean_as_is` a text that loses nothing stays as it was.
+    kept_text: the kept words joined by one space; with `clean_as_is` a text that loses nothing stays as it was. A block holds
+    a 128th of all text, but at least and at most `block_bytes`; none of the last three parameters changes a result.
     """
-    spark = docs.sparkSession
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "key": F.xxhash64("text", F.col("doc_id").cast("long"))}).select("key", "doc_id", *passing, "text")
-    anchors = docs.select("key", "text").mapInArrow(_anchors(span, shards), _ANCHORS)
-    told = anchors.repartition("p").sortWithinPartitions("p").mapInArrow(_recurring, "key long, pos int")
-    told = told.groupBy("key").agg(F.collect_list("pos").alias("pos"))
-    held = docs.join(told.hint("shuffle_hash"), "key").select("key", "doc_id", *passing, "pos", "text")
-    segments = held.mapInArrow(_segments(span, shards), _SEGMENTS)
-    marks = segments.repartition("p").sortWithinPartitions("p").mapInArrow(_locate(span), "key long, doc long, start int, n int")
-    marks = marks.groupBy("key").agg(F.collect_list(F.struct("doc", "start", "n")).alias("marks"))
-    # the same columns, dealt in the same way, as above: Spark reuses the exchange
-    found = docs.join(marks.hint("shuffle_hash"), "key", "left").select("doc_id", *passing, "marks", "text")
+    shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, size // min(block_bytes[1], max(block_bytes[0], size // 128)))
+    docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "key": F.xxhash64("text", F.col("doc_id").cast("long"))})
+    docs = docs.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "doc_id", *passing, "text")
+    # every step takes the same columns, dealt in the same way: Spark reuses the exchange
+    held = docs.groupBy("block")
+    phrases = held.applyInArrow(_phrases(span, shards), _PHRASES)
+    told = phrases.repartition("p").sortWithinPartitions("p").mapInArrow(_recurring(hot_blocks), _TOLD)
+    sent = held.cogroup(told.groupBy("block")).applyInArrow(_send(span, shards), _SENT)
+    passages = sent.repartition("p").sortWithinPartitions("p").mapInArrow(_confirm, _PASSAGES)
     more = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return found.mapInArrow(_cut(span, clean_as_is), T.StructType([*found.drop("marks", "text").schema, *more]))
+    schema = T.StructType([*docs.drop("block", "key", "text").schema, *more])
+    return held.cogroup(passages.groupBy("block")).applyInArrow(_remove(span, clean_as_is, passing, automaton_words), schema)

@@ -430,22 +430,54 @@ def test_registers_merge_and_estimate():
     assert setsketch.possible(a[None], b[None], n, n, 60)[0] and not setsketch.possible(a[None], b[None], n, n, 85)[0]
 
 
-def test_repeated_passages(docs, rows, empty):
-    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in phrase_automata.remove_repeats(docs).collect()}
+def brute_repeats(rows):
+    """n_words, n_removed and the hash of the kept words of each doc_id."""
     seen, want = set(), {}
     for i, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        gone = set()
+        gone = np.zeros(len(w), bool)
         for k in range(len(w) - 19):
-            window = tuple(w[k : k + 20])
+            window = hash(tuple(w[k : k + 20]))
             if window in seen:
-                gone |= set(range(k, k + 20))
+                gone[k : k + 20] = True
             seen.add(window)
-        want[i] = (len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest())
-    assert got == want and sum(v[1] for v in got.values()) > 100
+        want[i] = (len(w), int(gone.sum()), hashlib.sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest())
+    return want
+
+
+def told_repeats(df, **how):
+    return {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in phrase_automata.remove_repeats(df, **how).collect()}
+
+
+def test_repeated_passages(docs, rows, empty):
+    want = brute_repeats(rows)
+    for how in ({}, {"block_bytes": (500, 1000)}, {"block_bytes": (500, 1000), "hot_blocks": 1, "automaton_words": 60}):
+        assert told_repeats(docs, **how) == want
+    assert sum(v[1] for v in want.values()) > 100
     assert phrase_automata.remove_repeats(empty).count() == 0
 
 
+def test_a_passage_in_a_third_of_all_rows_and_a_phrase_in_ever_other_surroundings(spark):
+    rng = random.Random(13)
+    passage, phrase = prose(rng, 60), prose(rng, 14)
+    rows = [(i, " ".join([prose(rng, rng.randrange(9, 40)), *([passage] if i % 3 == 0 else [phrase] if i % 3 == 1 else []), prose(rng, 30)])) for i in range(600)]
+    rows += [(700 + i, passage[k : k + 200]) for i, k in enumerate(range(0, 200, 7))] + [(900, "la " * 90), (901, "la " * 25), (902, "x " + "la " * 40 + "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_repeats(rows)
+    for how in ({"block_bytes": (4000, 4000)}, {"block_bytes": (4000, 4000), "hot_blocks": 3, "automaton_words": 200}):
+        assert told_repeats(df, **how) == want
+
+
+def test_repeats_in_a_very_long_text(spark):
+    rng = random.Random(14)
+    passage = prose(rng, 80)
+    long = " ".join(f"{rng.randrange(10**6):x}" for _ in range(700_000))
+    long = " ".join([long[:2_000_000], passage, long[2_000_000:], passage, long[1_500_000:1_600_000]])
+    rows = [(1, "a " + passage + " b"), (2, long), (3, long[-300_000:]), (4, passage)]
+    assert len(long) > 4_000_000
+    assert told_repeats(spark.createDataFrame(rows, "doc_id long, text string")) == brute_repeats(rows)
+
+
 def test_rows_that_repeat_are_one_document_to_phrase_automata(spark):
     text = prose(random.Random(12), 50)
     df = spark.createDataFrame([(7, text), (7, text), (9, text)], "doc_id long, text string")
