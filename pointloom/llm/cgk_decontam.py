@@ -1,27 +1,26 @@
 """Benchmark decontamination under edit distance: CGK embedding, bit-sampling LSH, exact verification.
 
 Texts are sequences of words (runs of ASCII letters and digits or of non-ASCII bytes, ASCII lower case). A document holds an
-item of m words if one of its windows of m words (all of it, if it has fewer) is within floor(m * (1 - similarity)) word edits
-of the item.
+item of m words if some run of its words, of whatever length, is within floor(m * (1 - similarity)) word edits of the item.
 
 The CGK embedding walks over a sequence: at step j it writes the current word and moves on if a random bit of (j, word) says
 so. Sequences a few edits apart fall back into step, so their embeddings are close in Hamming distance. A table samples some
-steps of a walk; a window whose samples equal an item's in any table is a candidate. `WALKS` walks with `TABLES` tables each
-are taken; tests measure the recall at the threshold itself, and a window equal to its item is found by every table. Candidates
-are verified by their exact edit distance.
+steps of a walk. The items' samples are looked up with those of the documents' windows of m words: a window that equals an
+item in any of `WALKS` x `TABLES` tables is a candidate, and nothing else is. Candidates are verified by their exact edit distance
+with free ends around the window, so that an inserted or deleted word costs one edit. A window equal to its item is found by
+every table whose samples lie within it; tests measure the recall at the threshold itself.
 
-Windows are embedded only where they can match at all: m words with e edits leave an unchanged run of k = ceil((m - e) / (e + 1))
+Windows are embedded only where an item can match at all: m words with e edits leave an unchanged run of k = ceil((m - e) / (e + 1))
 words, and m - k + 1 - k * e runs of k words unchanged if that is more than one, each shifted by at most e. These bounds lose
 nothing.
 
-The items are a stated set, taken in blocks of at most `item_block`; each block is scanned against all documents.
+The items are a stated set, taken in blocks of at most `item_block`; each block is broadcast (its size is bounded by that
+parameter and the items' lengths) and scanned against all documents.
 
 Cases: null or empty items and items without a word match nothing; a null text matches nothing; a null doc_id or item_id is
-carried along; items that repeat match each on its own id; an empty table gives an empty result; other columns are ignored.
-
-With `free_ends` a document holds an item if any run of its words, of whatever length, is within the edits allowed, so that an
-inserted or deleted word costs one edit. Every place that holds enough unchanged runs is then verified, without the embedding:
-no match is lost. `start` is that of a closest run: the first to end, and of these the longest.
+carried along; items that repeat in text match each on its own id, in both they are one; a long text is handled in ranges of
+words that overlap by more than the longest item; an empty table gives an empty result; other columns are ignored. `start` is
+that of a closest run: the first to end, and of these the longest.
 """
 
 from __future__ import annotations
@@ -32,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import MARKS, mix, slices, utf8, word_hashes, words
+from .common import MARKS, Words, mix, slices
 
 WALKS, TABLES, SAMPLES = 16, 4, 2
 _U = np.uint64
-_PAD = _U(0xA0761D6478BD642F)
 _STEP = _U(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
+#: Words of a long text that are handled at once, and windows that are embedded at once.
+_RANGE, _WINDOWS = 1 << 18, 1 << 13
 
 
 def _run_length(m: int, e: int) -> int:
@@ -57,25 +57,27 @@ def _gram(h: np.ndarray, k: int) -> np.ndarray:
 
 def samples(m: int) -> np.ndarray:
     """The sampled steps of each walk and table, for sequences of m words: fixed, so that items and windows agree."""
-    draw = np.random.default_rng(m)
-    return draw.integers(0, max(1, 2 * m - 1), (WALKS, TABLES, SAMPLES))
+    walks = WALKS * -(-m // 50)  # long sequences drift further apart
+    return np.random.default_rng(m).integers(0, max(1, 2 * m - 1), (walks, TABLES, SAMPLES))
 
 
 def table_keys(h: np.ndarray, starts: np.ndarray, sizes: np.ndarray, m: int) -> np.ndarray:
-    """Keys of windows of `sizes` words (at most m) from `starts`, in each table."""
+    """Keys of windows of `sizes` words (at most m) from `starts`, in each table; 0 where a sampled step lies past the window's end."""
     steps = samples(m)
-    keys = np.zeros((len(starts), WALKS, TABLES), _U)
-    for walk in range(WALKS):
+    keys = np.zeros((len(starts), len(steps), TABLES), _U)
+    for walk in range(len(steps)):
         at = np.zeros(len(starts), np.int64)
         out = np.empty((int(steps[walk].max()) + 1, len(starts)), _U)
         for j in range(len(out)):
             inside = at < sizes
-            w = np.where(inside, h[np.minimum(starts + at, len(h) - 1)], _PAD)
+            w = np.where(inside, h[np.minimum(starts + at, len(h) - 1)], _U(0))
             out[j] = w
             at += (mix(w + _U((0x9E3779B97F4A7C15 * (walk * 65_536 + j + 1)) % 2**64)) >> _U(63)).astype(np.int64) & inside
         for t in range(TABLES):
+            key = np.full(len(starts), walk * TABLES + t + 1, _U)  # keys of different tables do not meet
             for s in steps[walk, t]:
-                keys[:, walk, t] = mix(keys[:, walk, t] * _STEP + out[s])
+                key = mix(key * _STEP + out[s])
+            keys[:, walk, t] = np.where((out[steps[walk, t]] == 0).any(0), _U(0), key)
     return keys.reshape(len(starts), -1)
 
 
@@ -114,25 +116,30 @@ def closest_run(a: list[int], b: list[int]) -> tuple[int, int]:
 
 
 class ItemIndex:
-    """A block of items: runs that a match must hold, and table keys, by item length."""
+    """A block of items: their tables by item length, and the runs that a match must hold."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], similarity: float):
         self.ids = [i for i, _ in items]
-        data, ends = utf8(pa.array([t for _, t in items], pa.large_string()))
-        starts, stops, first = words(data, ends, MARKS)
-        h = word_hashes(data, starts, stops, lower=True)
+        w = Words(pa.array([t for _, t in items], pa.large_string()), lower=True, separators=MARKS)
+        h, first = w.hashes[0], w.first
         self.words = [h[a:z] for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         self.m = np.diff(first)
         self.edits = np.floor(self.m * (1 - similarity) + 1e-9).astype(np.int64)
-        self.keys = [table_keys(w, np.zeros(1, np.int64), np.array([len(w)]), len(w))[0] if len(w) else None for w in self.words]
+        self.reach = int((self.m + 2 * self.edits).max(initial=0))
+        self.tables = {}
+        for m in np.unique(self.m[self.m > 0]).tolist():
+            own = np.flatnonzero(self.m == m)
+            keys = table_keys(h, first[own], np.full(len(own), m), m)
+            order = np.argsort(keys, axis=None)
+            order = order[np.count_nonzero(keys == 0) :]
+            self.tables[m] = keys.ravel()[order], np.repeat(own, keys.shape[1])[order]
         runs = np.array([_run_length(m, e) for m, e in zip(self.m.tolist(), self.edits.tolist(), strict=True)], np.int64)
         self.shared = np.maximum(1, self.m - runs + 1 - runs * self.edits)  # an edit breaks at most `runs` of them
         grams: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for i, w in enumerate(self.words):
-            if len(w):
-                k = _run_length(len(w), int(self.edits[i]))
-                g = _gram(w, k)
-                grams.setdefault(k, []).append((g, np.full(len(g), i), np.arange(len(g))))
+        for i, x in enumerate(self.words):
+            if len(x):
+                g = _gram(x, int(runs[i]))
+                grams.setdefault(int(runs[i]), []).append((g, np.full(len(g), i), np.arange(len(g))))
         self.grams = {}
         for k, parts in grams.items():
             g, item, offset = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -141,8 +148,10 @@ class ItemIndex:
             bits[(g >> _U(64 - _FILTER_BITS)).astype(np.int64)] = True
             self.grams[k] = bits, g[order], item[order], offset[order]
 
-    def _runs(self, h: np.ndarray, first: np.ndarray, apart: int):
-        """For each run length, the items, documents and shifts of unchanged runs with enough others at most `apart` * e away."""
+    def windows(self, h: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
+        """For each item length the (document, start) of the windows that can be an item of that length."""
+        found: dict[int, list[np.ndarray]] = {}
+        counts, docs = np.diff(first), len(first) - 1
         for k, (bits, g, item, offset) in self.grams.items():
             own = _gram(h, k)
             at = np.flatnonzero(bits[(own >> _U(64 - _FILTER_BITS)).astype(np.int64)])
@@ -154,81 +163,83 @@ class ItemIndex:
             same = at + k <= first[doc + 1] if len(at) else np.zeros(0, bool)
             at, i, doc, which = at[same], i[same], doc[same], which[same]
             base = at - first[doc] - offset[which]
-            e = self.edits[i]
-            line = np.sort((i * (len(first) - 1) + doc) * (1 << 33) + base + (1 << 32))
-            near = lambda i, doc, b, r: np.searchsorted(line, (i * (len(first) - 1) + doc) * (1 << 33) + b + r + (1 << 32), "right") - np.searchsorted(line, (i * (len(first) - 1) + doc) * (1 << 33) + b - r + (1 << 32), "left")  # noqa: E731, B023
-            shared = self.shared[i]
-            some = near(i, doc, base, apart * e) >= shared
-            yield i[some], doc[some], base[some], e[some], near
-
-    def places(self, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Items, documents and window starts (words from the document's first) that can match."""
+            line = np.sort((i * docs + doc) * (1 << 33) + base + (1 << 32))
+
+            def enough(i, doc, start, line=line):
+                """Whether so many of the item's runs start within e words of where they would stand."""
+                e, name = self.edits[i], (i * docs + doc) * (1 << 33) + start + (1 << 32)
+                return np.searchsorted(line, name + e, "right") - np.searchsorted(line, name - e, "left") >= self.shared[i]
+
+            some = enough(i, doc, base)
+            i, doc, base = np.unique(np.stack([i, doc, base], 1)[some], axis=0).T
+            width = 2 * self.edits[i] + 1
+            start = np.repeat(base - self.edits[i] - (np.cumsum(width) - width), width) + np.arange(int(width.sum()))
+            i, doc = np.repeat(i, width), np.repeat(doc, width)
+            some = enough(i, doc, start)
+            i, doc, start = i[some], doc[some], start[some]
+            start = np.clip(start, 0, np.maximum(counts[doc] - self.m[i], 0))
+            for m in np.unique(self.m[i]).tolist():
+                own = self.m[i] == m
+                found.setdefault(m, []).append(np.stack([doc[own], start[own]], 1))
+        return {m: np.unique(np.concatenate(parts), axis=0) for m, parts in found.items()}
+
+    def candidates(self, h: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(item, document, start) of the windows that meet an item in a table."""
         found = [np.zeros((0, 3), np.int64)]
-        for i, doc, base, e, near in self._runs(h, first, 2):  # all runs that a window holds start within e of it
-            shifts = np.repeat(-e - (np.cumsum(2 * e + 1) - (2 * e + 1)), 2 * e + 1) + np.arange(int((2 * e + 1).sum()))
-            last = np.maximum(np.diff(first)[doc] - self.m[i], 0)
-            start = np.repeat(base, 2 * e + 1) + shifts
-            fits = (start >= 0) & (start <= np.repeat(last, 2 * e + 1))
-            rows = np.unique(np.stack([np.repeat(i, 2 * e + 1), np.repeat(doc, 2 * e + 1), start], 1)[fits], axis=0)
-            i, doc, start = rows.T
-            found.append(rows[near(i, doc, start, self.edits[i]) >= self.shared[i]])
-        pairs = np.concatenate(found)
-        return pairs[:, 0], pairs[:, 1], pairs[:, 2]
-
-    def closest(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        counts = np.diff(first)
+        for m, windows in self.windows(h, first).items():
+            table, item = self.tables[m]
+            for at in range(0, len(windows), _WINDOWS):
+                doc, start = windows[at : at + _WINDOWS].T
+                keys = table_keys(h, first[doc] + start, np.minimum(m, counts[doc]), m)
+                lo, hi = np.searchsorted(table, keys.ravel(), "left"), np.searchsorted(table, keys.ravel(), "right")
+                n = hi - lo
+                hit = np.repeat(np.arange(len(n)), n) // keys.shape[1]
+                which = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(len(hit))
+                found.append(np.unique(np.stack([item[which], doc[hit], start[hit]], 1), axis=0))
+        return np.concatenate(found)
+
+    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, start, edits) of the closest run of words of each document and item within the edits allowed."""
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for i, doc, base, e, _ in self._runs(h, first, 1):  # e edits shift the runs of a match by at most e against each other
-            if not len(i):
-                continue
-            i, doc, base = np.unique(np.stack([i, doc, base], 1), axis=0).T
-            e, m = self.edits[i], self.m[i]
-            joined = (np.diff(i) == 0) & (np.diff(doc) == 0) & (np.diff(base) <= (m + 2 * e)[1:])
-            head, tail = np.flatnonzero(np.r_[True, ~joined]), np.flatnonzero(np.r_[~joined, True])
-            i, doc, e, m = i[head], doc[head], e[head], m[head]
-            lo = np.maximum(base[head] - e, 0)
-            hi = np.minimum(base[tail] + m + e, np.diff(first)[doc])
-            for k, pair in enumerate(zip(doc.tolist(), i.tolist(), strict=True)):
-                d, at = closest_run(self.words[pair[1]].tolist(), h[first[pair[0]] + lo[k] : first[pair[0]] + hi[k]].tolist())
-                if d <= e[k] and (pair not in best or d < best[pair][0]):
-                    best[pair] = d, int(lo[k]) + at
+        i, doc, start = np.unique(self.candidates(h, first), axis=0).T
+        if not len(i):
+            return []
+        e, m = self.edits[i], self.m[i]
+        joined = (np.diff(i) == 0) & (np.diff(doc) == 0) & (np.diff(start) <= (m + 2 * e)[1:])
+        head, tail = np.flatnonzero(np.r_[True, ~joined]), np.flatnonzero(np.r_[~joined, True])
+        i, doc, e, m = i[head], doc[head], e[head], m[head]
+        lo = np.maximum(start[head] - 2 * e, 0)
+        hi = np.minimum(start[tail] + m + 2 * e, np.diff(first)[doc])
+        for k, pair in enumerate(zip(doc.tolist(), i.tolist(), strict=True)):
+            d, at = closest_run(self.words[pair[1]].tolist(), h[first[pair[0]] + lo[k] : first[pair[0]] + hi[k]].tolist())
+            if d <= e[k] and (pair not in best or d < best[pair][0]):
+                best[pair] = d, int(lo[k]) + at
         return [(d, i, s, e) for (d, i), (e, s) in sorted(best.items())]
 
-    def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, start, edits) of the closest window of each document and item within the edits allowed."""
-        item, doc, start = self.places(h, first)
+    def all_matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The same, long texts in ranges that overlap by more than an item and its edits take."""
+        if len(h) <= 2 * _RANGE:
+            return self.matches(h, first)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        counts = np.diff(first)
-        for m in np.unique(self.m[item]).tolist():
-            own = np.flatnonzero(self.m[item] == m)
-            windows, back = np.unique(np.stack([doc[own], start[own]], 1), axis=0, return_inverse=True)
-            at = first[windows[:, 0]] + windows[:, 1]
-            sizes = np.minimum(m, counts[windows[:, 0]])
-            keys = table_keys(h, at, sizes, m)
-            for k, w in zip(own.tolist(), back.tolist(), strict=True):
-                i = int(item[k])
-                if not (keys[w] == self.keys[i]).any():
-                    continue
-                pair, e = (int(doc[k]), i), int(self.edits[i])
-                if pair in best and best[pair][0] == 0:
-                    continue
-                d = edit_distance(self.words[i].tolist(), h[at[w] : at[w] + sizes[w]].tolist())
-                if d <= e and (pair not in best or (d, int(start[k])) < best[pair]):
-                    best[pair] = d, int(start[k])
+        for doc, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            for at in range(a, z, _RANGE):
+                part = h[at : min(at + _RANGE + 2 * self.reach, z)]
+                for _, i, s, e in self.matches(part, np.array([0, len(part)])):
+                    best[doc, i] = min(best.get((doc, i), (e, s + at - a)), (e, s + at - a))
         return [(d, i, s, e) for (d, i), (e, s) in sorted(best.items())]
 
 
 _MATCHES = "doc_id long, text_hash long, item_id long, start long, edits int, item_words int"
 
 
-def _scan(shared, free_ends: bool):
+def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: ItemIndex = shared.value
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for b in slices(batches, "text"):
-            data, ends = utf8(b["text"])
-            starts, stops, first = words(data, ends, MARKS)
-            found = (index.closest if free_ends else index.matches)(word_hashes(data, starts, stops, lower=True), first)
+            w = Words(b["text"], lower=True, separators=MARKS)
+            found = index.all_matches(w.hashes[0], w.first)
             if found:
                 ids, hashes = b["doc_id"].to_pylist(), b["text_hash"].to_pylist()
                 rows = [(ids[d], hashes[d], index.ids[i], s, e, int(index.m[i])) for d, i, s, e in found]
@@ -237,15 +248,15 @@ def _scan(shared, free_ends: bool):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, item_block: int = 5000, free_ends: bool = False) -> DataFrame:
-    """doc_id, text_hash (xxhash64), item_id, start (word), edits and item_words of the closest window (`free_ends`: run) of each pair that matches."""
+def contaminated(docs: DataFrame, items: DataFrame, *, similarity: float = 0.8, item_block: int = 20_000) -> DataFrame:
+    """doc_id, text_hash (xxhash64), item_id, start (word), edits and item_words of the closest run of each pair that matches."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     blocks = -(-items.count() // item_block)
     out = docs.sparkSession.createDataFrame([], _MATCHES)
     for k in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
         shared = docs.sparkSession.sparkContext.broadcast(ItemIndex([(r["item_id"], r["text"]) for r in part], similarity))
-        found = docs.mapInArrow(_scan(shared, free_ends), _MATCHES)
+        found = docs.mapInArrow(_scan(shared), _MATCHES)
         out = found if k == 0 else out.unionByName(found)
     return out
