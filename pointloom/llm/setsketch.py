@@ -9,16 +9,17 @@ larger of both, and two registers agree with a probability slightly above the Ja
    probability of 0.728 ** 40 = 3e-6. Lower thresholds take shorter bands (`bands`), at J = 0.8 53 of six: 0.738 ** 53 = 1e-7.
 3. In each bucket every node is compared with one hub, and then with another one. Nodes found in one component need no further
    comparison among themselves; where a bucket still holds several components, every pair that crosses them is compared, in
-   blocks of bounded size: first the registers, then, where these agree often enough, the full sets, which come along. Only
-   links leave the task. Of buckets that hold the same nodes one is taken. So a group of thousands of near copies costs a few comparisons a node, and no
-   pair that could join two components is left out.
+   blocks of bounded size: first by their registers alone, and then, where these leave any pair open, by the full sets of the
+   nodes in open pairs. Only links leave the task. Of buckets that hold the same nodes one is taken. So a group of thousands of
+   near copies costs a few comparisons a node, and no pair that could join two components is left out.
 4. A pair whose similarity by joint maximum likelihood (given both set sizes) is incompatible with the threshold is dropped
    (likelihood ratio over `RATIO`, more than five standard deviations); all others are counted on their full sets.
 5. Components by minimum labels.
 
 Cases: no words, or a null text: empty set, linked with nothing; fewer words than five: the whole sequence is the one
-shingle; a null doc_id never is a component's smallest and is kept; repeated doc_ids are separate rows; an empty table gives
-an empty table; other columns are ignored.
+shingle; a null doc_id never is a component's smallest and is kept; repeated doc_ids are separate rows; a long text is hashed
+in parts; a set that holds over a ten-thousandth of all rows is told to its rows by broadcast (there are fewer than ten thousand
+such sets), so that no task gathers its copies; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, slices, utf8, window_hashes, word_hashes, words, written
+from .common import Words, mix, slices, window_hashes, written
 from .components import components
 
 REGISTERS = 320
@@ -58,11 +59,10 @@ _MUL = _multipliers()
 
 def shingle_sets(column: pa.Array, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted, one text after the other, and n + 1 offsets."""
-    data, ends = utf8(column)
-    starts, stops, first = words(data, ends)
-    hashes = word_hashes(data, starts, stops, lower=True)
+    w = Words(column, lower=True)
+    hashes, first = w.hashes[0], w.first
     flat, index = window_hashes(hashes, first, size)
-    out, counts = [], np.zeros(len(ends) - 1, np.int64)
+    out, counts = [], np.zeros(len(first) - 1, np.int64)
     for k in range(len(counts)):
         n = int(first[k + 1] - first[k])
         if n >= size:
@@ -175,23 +175,66 @@ def _estimate(percent: int):
     return run
 
 
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Of rows sorted by (bucket, ob, mb) a table for each."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch[c].to_numpy() for c in ("bucket", "ob", "mb")], 1)
+        cuts = np.r_[0, 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1)), batch.num_rows]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if held and tuple(keys[lo]) != key:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = tuple(keys[lo])
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a meeting each outsider with the members of other components that the likelihood leaves open, the likeliest first."""
+    sketch, label, size = _rows(t["sketch"]), t["label"].to_numpy(), t["n"].to_numpy()
+    outside = t["outside"].to_numpy()
+    ins = np.flatnonzero(~outside)
+    # at the threshold over five standard deviations above the least share of registers that agree
+    least = REGISTERS * (percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5)
+    for o in np.flatnonzero(outside).tolist():
+        near = ins[(100 * np.minimum(size[ins], size[o]) >= percent * np.maximum(size[ins], size[o])) & (label[ins] != label[o])]
+        agree = np.count_nonzero(sketch[near] == sketch[o], axis=1)
+        order = np.argsort(-agree, kind="stable")
+        near = near[order[agree[order] >= least]]
+        if len(near):
+            ok = possible(np.broadcast_to(sketch[o], (len(near), REGISTERS)), sketch[near], np.full(len(near), float(size[o])), size[near].astype(float), percent)
+            yield o, near[ok]
+
+
+def _cross_open(percent: int):
+    """Of rows sorted by (bucket, ob, mb), with registers alone, those that have a part in an open pair."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _meetings(batches):
+            part = np.zeros(t.num_rows, bool)
+            for o, near in _open_pairs(t, percent):
+                part[near] = True
+                part[o] |= len(near) > 0
+            yield from t.filter(pa.array(part)).to_batches()
+
+    return run
+
+
 def _cross_links(percent: int):
     """Of rows sorted by (bucket, ob, mb): links of outsiders to members of other components, as many as join these.
 
-    Pairs whose registers agree too seldom are skipped, all others are counted on their full sets, unless links found before
-    have joined their components already.
+    Open pairs are counted on their full sets, unless links found before have joined their components already.
     """
-    margin = int(np.ceil(550 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5))
-    least = -(-REGISTERS * (percent - margin) // 100)  # at the threshold, over five standard deviations below what agrees
     seen: set[tuple[int, int]] = set()  # pairs that this task has counted in another bucket
 
-    def meet(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-        t = pa.Table.from_batches(rows).combine_chunks()
+    def meet(t: pa.Table) -> pa.RecordBatch | None:
         label, node, n = (t[c].to_numpy().tolist() for c in ("label", "node", "n"))
-        sketch, outside, size = _rows(t["sketch"]), t["outside"].to_numpy(), np.array(n)
         lists = t["shingles"].chunk(0)
         flat, cut = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
-        outs, ins = np.flatnonzero(outside).tolist(), np.flatnonzero(~outside)
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -202,11 +245,8 @@ def _cross_links(percent: int):
         if len(seen) > 1_000_000:
             seen.clear()
         a, b = [], []
-        for o in outs:
-            near = ins[100 * np.minimum(size[ins], n[o]) >= percent * np.maximum(size[ins], n[o])]
-            agree = np.count_nonzero(sketch[near] == sketch[o], axis=1)
-            order = np.argsort(-agree, kind="stable")
-            for m in near[order[agree[order] >= least]].tolist():
+        for o, near in _open_pairs(t, percent):
+            for m in near.tolist():
                 x, y = find(label[o]), find(label[m])
                 pair = (min(node[o], node[m]), max(node[o], node[m]))
                 if x == y or pair in seen:
@@ -222,21 +262,9 @@ def _cross_links(percent: int):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch[c].to_numpy() for c in ("bucket", "ob", "mb")], 1)
-            cuts = np.r_[0, 1 + np.flatnonzero((keys[1:] != keys[:-1]).any(1)), batch.num_rows]
-            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if held and tuple(keys[lo]) != key:
-                    if out := meet(held):
-                        yield out
-                    held = []
-                key = tuple(keys[lo])
-                held.append(batch.slice(lo, hi - lo))
-        if held and (out := meet(held)):
-            yield out
+        for t in _meetings(batches):
+            if out := meet(t):
+                yield out
 
     return run
 
@@ -249,7 +277,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     sketched = written(docs.mapInArrow(_sketch, "doc_id long, text_hash long, n_shingles long, key binary, sketch binary"), "sketches")
     full = sketched.filter("key is not null")
-    nodes = full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    # a node's row: the one with the smallest doc_id, a null one only where there is no other
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n_shingles", "sketch"))
+    nodes = full.groupBy("key").agg(one.alias("one"), F.count(F.lit(1)).alias("copies"))
+    nodes = nodes.select("key", "copies", F.col("one.doc_id").alias("rep"), F.col("one.text_hash").alias("text_hash"), F.col("one.n_shingles").alias("n"), F.col("one.sketch").alias("sketch"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     count, rows = bands(percent)
@@ -258,9 +289,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).filter("size > 1")
     members = written(members.join(shared, "bucket"), "members")
 
-    suspects = members.select("node").distinct().join(nodes, "node").select("node", "key", "rep", "n", "sketch")
+    suspects = members.select("node").distinct().join(nodes, "node").select("node", "key", "rep", "text_hash", "n", "sketch")
     suspects = written(suspects, "suspects")
-    texts = docs.join(suspects.select("node", "rep", "key"), docs["doc_id"].eqNullSafe(F.col("rep"))).select("node", "key", "text")
+    named = suspects.select("node", "rep", "key", F.col("text_hash").alias("rep_hash"))
+    texts = docs.join(named, docs["doc_id"].eqNullSafe(F.col("rep")) & (docs["text_hash"] == F.col("rep_hash"))).select("node", "key", "text")
     sets = texts.mapInArrow(_full_sets, "node long, shingles array<long>")
     sets = written(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
@@ -311,20 +343,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85) -> DataFrame:
     blocks = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
     spot = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     rest = F.col("size") - F.col("top.k")
-    open_ = open_.join(sets, "node")
-    one = ["bucket", "node", "label", "n", "sketch", "shingles"]
+    one = ["bucket", "node", "label", "n", "sketch"]
     ins = open_.select(*one, F.lit(False).alias("outside"), F.explode(F.sequence(F.lit(0), blocks(rest) - 1)).alias("ob"), spot(F.col("size")).alias("mb"))
     outs = open_.filter(F.col("label") != F.col("top.label")).select(*one, F.lit(True).alias("outside"), spot(rest).alias("ob"), F.explode(F.sequence(F.lit(0), blocks(F.col("size")) - 1)).alias("mb"))
     by = ["bucket", "ob", "mb"]
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    crossing = ins.union(outs).repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_cross_links(percent), "a long, b long")
+    met = ins.union(outs)
+    met = written(met.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_cross_open(percent), met.schema), "meetings")
+    crossing = met.join(sets, "node").repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(_cross_links(percent), "a long, b long")
     labels = merged(crossing.distinct())
 
-    by_key = full.select("doc_id", "key").join(suspects.select("key", "node"), "key").join(labels, "node")
-    least = by_key.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    groups = written(suspects.select("key", "node").join(labels, "node").join(least, "label").select("key", "component_id"), "groups")
-    alone = nodes.select("key", "rep").join(groups, "key", "left").select("key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = sketched.select("doc_id", "text_hash", "n_shingles", "key").join(alone, "key", "left")
+    grouped = suspects.select("key", "node", "rep").join(labels, "node")
+    least = grouped.groupBy("label").agg(F.min("rep").alias("component_id"))
+    groups = grouped.join(least, "label").select("key", "component_id")
+    told = nodes.select("key", "copies", "rep").join(groups, "key", "left").select("key", "copies", F.coalesce("component_id", "rep").alias("component_id"))
+    told = written(told, "groups")
+    rows = sketched.select("doc_id", "text_hash", "n_shingles", "key")
+    # fewer than ten thousand sets hold over a ten-thousandth of all rows each
+    large = F.broadcast(told.filter(F.col("copies") > max(64, sketched.count() // 10_000)).drop("copies"))
+    some = rows.filter("key is not null")
+    parts = rows.filter("key is null").withColumn("component_id", F.lit(None).cast("long"))
+    parts = parts.unionByName(some.join(large, "key")).unionByName(some.join(large.select("key"), "key", "left_anti").join(told.drop("copies"), "key", "left"))
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
-
+    return parts.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_hash")
