@@ -2,17 +2,19 @@
 before it.
 
 Features are the presence of byte n-grams of words (n = 4, 5, 6, 8; ASCII lower case; a word's start counts as a byte), hashed
-into 2**20 buckets, of which the `features` that differ most between the rows with and without each category are kept. Every link is a logistic
-regression over these features and the earlier links' probabilities. A link is trained with out-of-fold probabilities of the
-earlier ones: their models of the other folds score each fold (equal texts share a fold), so that it learns from what they
-give on unseen texts; when documents are scored, models fitted on all rows feed each other.
+into 2**20 buckets, of which the `features` that differ most between the rows with and without each category are kept. Every
+link is a logistic regression over these features and the earlier links' probabilities. A link is trained with out-of-fold
+probabilities of the earlier ones: the models that score a fold have their features chosen and their weights fitted on the
+other folds alone (equal texts share a fold), so that a link learns from what the earlier ones give on unseen texts; when
+documents are scored, models fitted on all rows feed each other.
 
 The fit takes at most about `fit_rows` labelled rows, drawn by a hash; prediction covers every byte of every text.
 
-Cases: a label row with a null category, or of an unknown document, is not learned from; several label rows of a document
-count each; a category with one value only gives its rate to all; no usable label rows: all probabilities are null and no
-document is marked; a null or empty text is scored by its absence of features; a null doc_id is carried along; repeated rows are scored one by one; an
-empty table gives an empty table; other columns are ignored.
+Cases: a label row with a null category, or of an unknown document, is not learned from; label rows of a document that agree
+count once, those that differ count each; a category with one value only gives its rate to all; no usable label rows: all
+probabilities are null and no document is marked; a null or empty text is scored by its absence of features; a null doc_id is
+carried along; repeated rows are scored one by one; features that differ equally go by their bucket; a long text is read in
+parts; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from .common import MARKS, mix, slices, utf8, written
+from .common import CHUNK_BYTES, MARKS, mix, slices, utf8, written
 
 BITS = 20
 SIZES = (4, 5, 6, 8)
@@ -37,62 +39,69 @@ _PLAIN[MARKS] = 32
 
 
 def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each gram size: the texts of the grams that lie within a word or start at the mark before it, and their buckets."""
+    """Part by part and for each gram size: the texts of the grams that lie within a word or start at the mark before it, and their buckets."""
     padded = pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), pc.fill_null(column.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()))
     data, ends = utf8(padded)  # each text starts with a mark, so no gram reaches into the next text
-    plain = _PLAIN[data].astype(np.uint64)
-    marks = np.r_[0, np.cumsum(plain == 32)]
-    for n in SIZES:
-        if len(data) < n:
-            continue
-        code = np.full(len(data) - n + 1, n, np.uint64)
-        for k in range(n):
-            code *= np.uint64(0x100000001B3)
-            code += plain[k : k + len(code)]
-        at = np.flatnonzero(marks[n:] == marks[1 : len(marks) - n + 1])
-        yield np.searchsorted(ends, at, "right") - 1, (mix(code[at]) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _count(kinds: int):
-    """Of each partition: in how many rows, and rows of each category, a bucket occurs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((1 + kinds, 1 << BITS), np.int32)
-        for b in slices(batches, "text"):
-            parts = [doc << BITS | bucket for doc, bucket in grams(b["text"])]
-            if not parts:
+    for lo in range(0, len(data), CHUNK_BYTES):
+        plain = _PLAIN[data[lo : lo + CHUNK_BYTES + max(SIZES) - 1]].astype(np.uint64)
+        marks = np.r_[0, np.cumsum(plain == 32)]
+        for n in SIZES:
+            size = min(len(plain) - n + 1, CHUNK_BYTES)
+            if size <= 0:
                 continue
-            pairs = np.unique(np.concatenate(parts))
-            doc, bucket = pairs >> BITS, pairs & (1 << BITS) - 1
-            total[0] += np.bincount(bucket, minlength=1 << BITS).astype(np.int32)
-            for c in range(kinds):
-                yes = b[f"c{c}"].to_numpy(zero_copy_only=False)[doc] > 0
-                total[1 + c] += np.bincount(bucket[yes], minlength=1 << BITS).astype(np.int32)
-        some = np.flatnonzero(total[0])
-        for at in range(0, len(some), 100_000):
-            s = some[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), *(pa.array(t[s], pa.int64()) for t in total)], ["bucket", "n", *(f"n{c}" for c in range(kinds))])
-
-    return run
+            code = np.full(size, n, np.uint64)
+            for k in range(n):
+                code *= np.uint64(0x100000001B3)
+                code += plain[k : k + size]
+            at = np.flatnonzero(marks[n : n + size] == marks[1 : size + 1])
+            yield np.searchsorted(ends, lo + at, "right") - 1, (mix(code[at]) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _present(column: pa.Array, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, sorted."""
-    parts = [np.zeros(0, np.int64)]
+def _pairs(column: pa.Array, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, bucket) pairs, sorted; with `number` only buckets that have one, as that number less 1."""
+    parts, held = [np.zeros(0, np.int64)], 0
     for doc, bucket in grams(column):
-        f = number[bucket]
-        hit = np.flatnonzero(f)
-        parts.append(doc[hit] << 32 | (f[hit] - 1))
+        if number is not None:
+            bucket = number[bucket]
+            doc, bucket = doc[bucket > 0], bucket[bucket > 0] - 1
+        parts.append(np.unique(doc << 32 | bucket))
+        held += len(parts[-1])
+        if held > 4 * CHUNK_BYTES:  # a long text repeats its grams
+            parts = [np.unique(np.concatenate(parts))]
+            held = 0
     pairs = np.unique(np.concatenate(parts))
     return pairs >> 32, pairs & 0xFFFFFFFF
 
 
-def _vectors(shared):
+def _count(kinds: int, folds: int):
+    """Of each partition and fold: in how many rows, and rows of each category, a bucket occurs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((folds, 1 + kinds, 1 << BITS), np.int32)
         for b in slices(batches, "text"):
-            doc, f = _present(b["text"], shared.value)
+            doc, bucket = _pairs(b["text"])
+            fold = b["fold"].to_numpy()[doc]
+            for j in range(folds):
+                for c in range(1 + kinds):
+                    some = fold == j if c == 0 else (fold == j) & (b[f"c{c - 1}"].to_numpy(zero_copy_only=False)[doc] > 0)
+                    total[j, c] += np.bincount(bucket[some], minlength=1 << BITS).astype(np.int32)
+        for j in range(folds):
+            seen = np.flatnonzero(total[j, 0])
+            for at in range(0, len(seen), 100_000):
+                s = seen[at : at + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), j), pa.int32()), pa.array(s, pa.int32()), *(pa.array(t[s], pa.int64()) for t in total[j])], ["fold", "bucket", "n", *(f"n{c}" for c in range(kinds))])
+
+    return run
+
+
+def _features(shared):
+    """Replaces the text by the names of its features."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            doc, f = _pairs(b["text"], shared.value)
             ends = np.searchsorted(doc, np.arange(b.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(f, pa.int32()).cast(pa.string()))
             keep = [c for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), lists], [*keep, "f"])
 
@@ -102,7 +111,7 @@ def _vectors(shared):
 def _score(shared, models: list[tuple[np.ndarray, float]], features: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            doc, f = _present(b["text"], shared.value)
+            doc, f = _pairs(b["text"], shared.value)
             p = np.zeros((b.num_rows, len(models)))
             for k, (w, base) in enumerate(models):
                 z = base + np.bincount(doc, w[:features][f], b.num_rows) + p[:, :k] @ w[features : features + k]
@@ -112,16 +121,43 @@ def _score(shared, models: list[tuple[np.ndarray, float]], features: int):
     return run
 
 
-def _fit(rows: DataFrame, k: int, features: int) -> tuple[np.ndarray, float]:
-    """Weights (features, then earlier probabilities) and intercept of link k."""
+def _fit(rows: DataFrame, names: list[str], k: int, max_iter: int) -> tuple[np.ndarray, float]:
+    """Weights (of the features `names`, then of the earlier probabilities) and intercept of link k."""
     rates = rows.agg(F.avg(f"c{k}")).first()[0]
     if rates is None or rates in (0.0, 1.0):
-        return np.zeros(features + k), {None: 0.0, 0.0: -50.0, 1.0: 50.0}[rates]
-    m = LogisticRegression(featuresCol="x", labelCol=f"c{k}", maxIter=25, regParam=0.0005, standardization=False).fit(rows)
-    return m.coefficients.toArray(), float(m.intercept)
+        return np.zeros(len(names) + k), {None: 0.0, 0.0: -50.0, 1.0: 50.0}[rates]
+    present = CountVectorizerModel.from_vocabulary(names or ["none"], inputCol="f", outputCol="v").setBinary(True)
+    x = VectorAssembler(inputCols=["v", *(f"o{j}" for j in range(k))], outputCol="x").transform(present.transform(rows))
+    m = LogisticRegression(featuresCol="x", labelCol=f"c{k}", maxIter=max_iter, regParam=0.0005, standardization=False).fit(x.select(f"c{k}", "x"))
+    w = m.coefficients.toArray()
+    return (w if names else w[1:]), float(m.intercept)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, fit_rows: int = 20_000, features: int = 3072, folds: int = 4) -> DataFrame:
+def _choose(rows: DataFrame, kinds: int, folds: int, features: int) -> list[list[int]]:
+    """The buckets chosen without each fold, and last without none: those that differ most in each category, by the z-test of two rates."""
+    sums = ", ".join(f"n{k} long" for k in range(kinds))
+    by = ["n", *(f"n{k}" for k in range(kinds))]
+    seen = rows.groupBy("fold").agg(F.count(F.lit(1)), *(F.sum(f"c{k}") for k in range(kinds))).collect()
+    rates = []
+    for j in range(folds + 1):
+        total, *yes = (sum(r[1 + c] for r in seen if r["fold"] != j) for c in range(1 + kinds))
+        rates += [(j, k, float(y), float(total)) for k, y in enumerate(yes) if 0 < y < total]
+    counts = rows.select("fold", "text", *(f"c{k}" for k in range(kinds))).mapInArrow(_count(kinds, folds), f"fold int, bucket int, n long, {sums}")
+    counts = written(counts.groupBy("fold", "bucket").agg(*(F.sum(c).alias(c) for c in by)), "counts")
+    without = F.explode(F.filter(F.sequence(F.lit(0), F.lit(folds)), lambda j: j != F.col("fold")))
+    counts = counts.withColumn("j", without).groupBy("j", "bucket").agg(*(F.sum(c).alias(c) for c in by))
+    counts = counts.select("j", "bucket", "n", F.posexplode(F.array(*by[1:])).alias("k", "yes"))
+    known = rows.sparkSession.createDataFrame(rates, "j int, k int, all_yes double, total double")  # a row for each fold and category
+    counts = counts.join(F.broadcast(known), ["j", "k"])
+    yes, rest = F.col("all_yes"), F.col("total") - F.col("all_yes")
+    p1, p0, p = (F.col("yes") + 0.5) / (yes + 1), (F.col("n") - F.col("yes") + 0.5) / (rest + 1), (F.col("n") + 1) / (F.col("total") + 2)
+    z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / yes + 1 / rest))
+    rank = F.row_number().over(W.partitionBy("j", "k").orderBy(F.col("z").desc(), "bucket"))
+    best = counts.withColumn("z", z).withColumn("rank", rank).filter(F.col("rank") <= features // kinds).select("j", "bucket").distinct().collect()
+    return [sorted(r["bucket"] for r in best if r["j"] == j) for j in range(folds + 1)]
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], *, fit_rows: int = 20_000, features: int = 3072, folds: int = 4, max_iter: int = 25) -> DataFrame:
     """doc_id, the probability of each category (in the chain's order) and `toxic` (the first one's is at least a half).
 
     `categories` maps names to 0/1 columns over `labels`, in the order of the chain.
@@ -129,60 +165,55 @@ def toxicity(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     spark = docs.sparkSession
     names, kinds = list(categories), len(categories)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("double").alias(f"c{k}") for k, c in enumerate(categories.values()))).dropna()
-    share = min(1.0, fit_rows / max(1, known.count()))
-    drawn = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    # bounded by fit_rows, so small enough to send to all
-    cs = ", ".join(f"c{k} double" for k in range(kinds))
-    rows = written(docs.join(F.broadcast(drawn), "doc_id").select("text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), *(f"c{k}" for k in range(kinds))), "labelled")
-    totals = rows.agg(F.count(F.lit(1)), *(F.sum(f"c{k}") for k in range(kinds))).first()
-    if not totals[0]:
+    cs = [f"c{k}" for k in range(kinds)]
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(c.cast("double").alias(f"c{k}") for k, c in enumerate(categories.values()))).dropna().distinct()
+    below = lambda share: share * (1 << 30)
+    # about fit_rows label rows, so small enough to send to all
+    drawn = F.broadcast(known.filter(F.pmod(F.xxhash64(F.lit(1), "doc_id", *cs), F.lit(1 << 30)) < below(min(1.0, fit_rows / max(1, known.count())))))
+    # rows may share a doc_id, so what is found is drawn from again
+    share = min(1.0, fit_rows / max(1, docs.select("doc_id").join(drawn, "doc_id").count()))
+    found = docs.join(drawn, "doc_id").filter(F.pmod(F.xxhash64(F.lit(2), "doc_id", "text", *cs), F.lit(1 << 30)) < below(share))
+    rows = written(found.select("text", F.pmod(F.xxhash64("text"), F.lit(folds)).cast("int").alias("fold"), *cs), "labelled")
+    if rows.isEmpty():
         return docs.select("doc_id", *(F.lit(None).cast("double").alias(n) for n in names), F.lit(False).alias("toxic"))
-    sums = ", ".join(f"n{k} long" for k in range(kinds))
-    counts = rows.select("text", *(f"c{k}" for k in range(kinds))).mapInArrow(_count(kinds), f"bucket int, n long, {sums}")
-    counts = written(counts.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in ("n", *(f"n{k}" for k in range(kinds))))), "counts")
-    chosen: set[int] = set()
-    for k in range(kinds):
-        yes, total = float(totals[1 + k]), float(totals[0])
-        if 0 < yes < total:
-            p1, p0 = (F.col(f"n{k}") + 0.5) / (yes + 1), (F.col("n") - F.col(f"n{k}") + 0.5) / (total - yes + 1)
-            p = (F.col("n") + 1) / (total + 2)
-            z = F.abs(p1 - p0) / F.sqrt(p * (1 - p) * (1 / yes + 1 / (total - yes)))
-            chosen |= {r[0] for r in counts.orderBy(z.desc(), "bucket").limit(features // kinds).select("bucket").collect()}
-    number = np.zeros(1 << BITS, np.int32)
-    number[sorted(chosen)] = 1 + np.arange(len(chosen))
-    width, shared = len(chosen), spark.sparkContext.broadcast(number)
-    table = rows.mapInArrow(_vectors(shared), f"fold int, {cs}, f array<int>")
-    table = written(table.withColumn("row", F.monotonically_increasing_id()), "vectors")
-
-    def with_x(t: DataFrame, k: int) -> DataFrame:
-        x = F.udf(lambda f, p: Vectors.sparse(width + k, [*f, *range(width, width + k)], [1.0] * len(f) + list(p)), VectorUDT())
-        return t.withColumn("x", x("f", F.array(*[F.col(f"o{j}") for j in range(k)]).cast("array<double>")))
-
+    chosen = _choose(rows, kinds, folds, features)
+    every = sorted(set().union(*chosen))
+    place = {bucket: k for k, bucket in enumerate(every)}
+    numbers = [[place[x] for x in own] for own in chosen]
+    table = rows.mapInArrow(_features(spark.sparkContext.broadcast(_numbered(every))), "fold int, " + ", ".join(f"{c} double" for c in cs) + ", f array<string>")
+    table = written(table, "features")
     models = []
     for k in range(kinds):
-        here = with_x(table, k).select("row", "fold", f"c{k}", "x").persist()
-        models.append(_fit(here, k, width))
+        called = [[str(x) for x in own] for own in numbers]
+        models.append(_fit(table, called[folds], k, max_iter))
         if k + 1 < kinds:
-            parts = [_fit(here.filter(F.col("fold") != j), k, width) for j in range(folds)]
+            parts = [(*_fit(table.filter(F.col("fold") != j), called[j], k, max_iter), np.array(numbers[j], np.int64)) for j in range(folds)]
             send = spark.sparkContext.broadcast(parts)
-            table = written(table.mapInArrow(_out_of_fold(send, k), T.StructType([*table.schema, T.StructField(f"o{k}", T.DoubleType())])), "vectors")
-        here.unpersist()
-    out = docs.mapInArrow(_score(shared, models, width), "doc_id long, " + ", ".join(f"p{k} double" for k in range(kinds)))
+            table = written(table.mapInArrow(_out_of_fold(send, k, len(every)), T.StructType([*table.schema, T.StructField(f"o{k}", T.DoubleType())])), "features")
+    shared = spark.sparkContext.broadcast(_numbered(chosen[folds]))
+    out = docs.mapInArrow(_score(shared, models, len(chosen[folds])), "doc_id long, " + ", ".join(f"p{k} double" for k in range(kinds)))
     return out.select("doc_id", *(F.col(f"p{k}").alias(n) for k, n in enumerate(names)), (F.col("p0") >= 0.5).alias("toxic"))
 
 
+def _numbered(buckets: list[int]) -> np.ndarray:
+    """A number from 1 for each of the buckets, 0 for all others."""
+    number = np.zeros(1 << BITS, np.int32)
+    number[buckets] = 1 + np.arange(len(buckets))
+    return number
+
 
-def _out_of_fold(shared, k: int):
+def _out_of_fold(shared, k: int, width: int):
     """Adds o{k}: the probability by the model that was fitted without the row's fold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fold, lists = b["fold"].to_numpy(), b["f"]
-            f, row = lists.flatten().to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
+            f, row = lists.flatten().cast(pa.int32()).to_numpy(), np.repeat(np.arange(b.num_rows), np.diff(lists.offsets.to_numpy()))
             out = np.zeros(b.num_rows)
-            for j, (w, base) in enumerate(shared.value):
-                z = base + np.bincount(row, w[f], b.num_rows) + sum((w[len(w) - k + i] * b[f"o{i}"].to_numpy() for i in range(k)), np.zeros(b.num_rows))
+            for j, (w, base, own) in enumerate(shared.value):
+                weight = np.zeros(width)
+                weight[own] = w[: len(own)]
+                z = base + np.bincount(row, weight[f], b.num_rows) + sum((w[len(own) + i] * b[f"o{i}"].to_numpy() for i in range(k)), np.zeros(b.num_rows))
                 out = np.where(fold == j, 1 / (1 + np.exp(-np.clip(z, -500, 500))), out)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, f"o{k}"])
 

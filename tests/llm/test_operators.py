@@ -139,6 +139,80 @@ def test_toxicity_chain(spark, empty):
     assert len(none) == 403 and not any(r.toxic for r in none)
 
 
+def newton(x, y, reg):
+    """Weights and intercept of the logistic regression with penalty reg / 2 * |w|^2 on the mean loss."""
+    x1 = np.c_[x, np.ones(len(x))]
+    w = np.zeros(x1.shape[1])
+    pen = np.r_[np.full(x.shape[1], reg), 0.0]
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x1 @ w))
+        w = w - np.linalg.solve((x1 * (p * (1 - p))[:, None]).T @ x1 / len(x) + np.diag(pen + 1e-12), x1.T @ (p - y) / len(x) + pen * w)
+    return w
+
+
+def test_toxicity_chain_against_a_plain_one(spark):
+    """Features by plain Python sets, chosen without the fold that is scored; models by Newton's method."""
+    rng = random.Random(22)
+    rows, labels = [], []
+    for i in range(160):
+        w = prose(rng, 12).split()
+        toxic, junk = i % 4 == 0, i % 3 == 0
+        if rng.random() < 0.9 if toxic else rng.random() < 0.1:
+            w[3] = "wretchx"
+        if rng.random() < 0.9 if junk else rng.random() < 0.1:
+            w[7] = "zzgarble"
+        rows.append((i, " ".join(w)))
+        labels.append((i, float(toxic), float(toxic and junk)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = {"a": F.col("a"), "b": F.col("b")}
+    got = {r.doc_id: r for r in toxic_chain.toxicity(docs, spark.createDataFrame(labels * 2, "doc_id long, a double, b double"), chain, features=24, max_iter=400).collect()}
+    fold = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(4)).alias("f")).collect()}
+
+    def buckets(text):
+        return {int(x) for _, b in toxic_chain.grams(pa.array([text])) for x in b}
+
+    held = [buckets(t) for _, t in rows]
+    for n, text in enumerate(t for _, t in rows[:20]):  # as many as there are distinct grams
+        plain = {(k, (" " + text)[i : i + k]) for k in toxic_chain.SIZES for i in range(len(text) + 2 - k) if " " not in (" " + text)[i + 1 : i + k]}
+        assert len(held[n]) == len(plain)
+
+    def choose(train):
+        out = set()
+        for c in (1, 2):
+            yes = sum(labels[i][c] for i in train)
+            score = {}
+            for b in set().union(*(held[i] for i in train)):
+                n, n1 = sum(b in held[i] for i in train), sum(b in held[i] for i in train if labels[i][c])
+                p1, p0, p = (n1 + 0.5) / (yes + 1), (n - n1 + 0.5) / (len(train) - yes + 1), (n + 1) / (len(train) + 2)
+                score[b] = abs(p1 - p0) / (p * (1 - p) * (1 / yes + 1 / (len(train) - yes))) ** 0.5
+            out |= set(sorted(score, key=lambda b: (-score[b], b))[:12])
+        return sorted(out)
+
+    matrix = lambda ids, own: np.array([[b in held[i] for b in own] for i in ids], float)
+    sets = [choose([i for i in range(160) if fold[i] != j]) for j in range(5)]
+    y = np.array([x[1:] for x in labels])
+    first = newton(matrix(range(160), sets[4]), y[:, 0], 0.0005)
+    oof = np.zeros(160)
+    for j in range(4):
+        train, test = [i for i in range(160) if fold[i] != j], [i for i in range(160) if fold[i] == j]
+        w = newton(matrix(train, sets[j]), y[train, 0], 0.0005)
+        oof[test] = 1 / (1 + np.exp(-(matrix(test, sets[j]) @ w[:-1] + w[-1])))
+    second = newton(np.c_[matrix(range(160), sets[4]), oof], y[:, 1], 0.0005)
+    p0 = 1 / (1 + np.exp(-(matrix(range(160), sets[4]) @ first[:-1] + first[-1])))
+    p1 = 1 / (1 + np.exp(-(np.c_[matrix(range(160), sets[4]), p0] @ second[:-1] + second[-1])))
+    assert max(abs(got[i].a - p0[i]) for i in range(160)) < 0.01 and max(abs(got[i].b - p1[i]) for i in range(160)) < 0.01
+
+
+def test_long_texts_are_scored_whole(spark):
+    rng = random.Random(23)
+    rows = [(i, prose(rng, 30) + (" wretchx" if i % 2 else "")) for i in range(200)] + [(900, prose(rng, 500_000) + " wretchx " + prose(rng, 500_000)), (901, prose(rng, 300_000))]
+    assert len(rows[-2][1]) > 3_000_000
+    table = spark.createDataFrame([(i, i % 2, 1) for i in range(200)] + [(0, 0, 1)] * 3, "doc_id long, toxic int, quality int")
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string")
+    got = toxic_chain.toxicity(df, table, {"p": F.col("toxic"), "q": F.col("toxic") * F.col("quality")}, features=100, fit_rows=150).collect()
+    assert len(got) == 404 and all(r.toxic == (r.doc_id % 2 == 1 if r.doc_id < 900 else r.doc_id == 900) for r in got)
+
+
 def brute_fit(items, capacity):
     bins, out = [], []
     for size, source, cluster in items:
