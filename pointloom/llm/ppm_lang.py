@@ -35,8 +35,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _PAD = b"\n\n\n"
 LEAST_BYTES = 2048
-#: Languages whose code lengths are summed at once.
-_COLUMNS = 16
+#: Languages, and bytes, whose code lengths are held at once.
+_COLUMNS, _PART = 16, 1 << 17
 
 
 class ContextTrees:
@@ -139,18 +139,27 @@ def fit(table: DataFrame, lang: Column, *, fit_bytes: int = 1_000_000, fit_doc_b
     return ContextTrees(texts, {r["lang"]: r["n"] for r in sums})
 
 
+def _add_lengths(trees: ContextTrees, data: np.ndarray, ends: np.ndarray, of: slice, total: np.ndarray) -> None:
+    """Adds to `total` the code length of each text (padded by three bytes) under the languages in `of`, part by part."""
+    for lo in range(3, len(data), _PART):
+        hi = min(lo + _PART, len(data))
+        bits = np.zeros((hi - lo + 1, len(trees.langs[of])))
+        np.cumsum(trees.code_lengths(data[lo - 3 : hi], of), axis=0, out=bits[1:])
+        some = slice(int(np.searchsorted(ends, lo, "right")) - 1, int(np.searchsorted(ends, hi)))
+        first = np.clip(ends[:-1][some] + 3, lo, hi) - lo
+        last = np.clip(ends[1:][some], lo, hi) - lo
+        total[some, of] += bits[np.maximum(last, first)] - bits[first]
+
+
 def _predict(shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trees: ContextTrees = shared.value
         for b in slices(batches, "text"):
             padded = pc.binary_join_element_wise(pa.scalar("\n\n\n", pa.large_string()), pc.fill_null(b["text"].cast(pa.large_string()), ""), pa.scalar("", pa.large_string()))
             data, ends = utf8(padded)
-            total = np.empty((b.num_rows, len(trees.langs)))
+            total = np.zeros((b.num_rows, len(trees.langs))) + trees.prior
             for at in range(0, len(trees.langs), _COLUMNS):
-                of = slice(at, at + _COLUMNS)
-                bits = np.zeros((len(data) + 1, len(trees.langs[of])))
-                np.cumsum(trees.code_lengths(data, of), axis=0, out=bits[4:])
-                total[:, of] = bits[ends[1:]] - bits[ends[:-1] + 3] + trees.prior[of]
+                _add_lengths(trees, data, ends, slice(at, at + _COLUMNS), total)
             best = total.argmin(1)
             score = 1 / np.exp2(np.minimum(total.min(1)[:, None] - total, 0)).sum(1)
             known = np.asarray(b["lettered"].to_numpy(zero_copy_only=False), bool)
