@@ -10,7 +10,7 @@ Documents are dealt by a hash into blocks of bounded text; all steps below work
    and joined to maximal passages: neighbours stay together if they stand together wherever either stands. A block is told its
    passages, each by one place where it stands in the block, and whether that place is the first of the corpus (by doc_id, then
    start).
-3. Automata. Each block compiles its passages into Aho-Corasick automata of bounded size, words being single code points, and
+3. Automata. Each block compiles its passages into Aho-Corasick automata of bounded size, words being single letters, and
    streams all its documents, whole, through them. This alone finds where a passage stands; a hit counts if a 64-bit hash of
    its words is the passage's. All occurrences but the corpus' first are marked, and words in marked passages are removed.
 
@@ -38,8 +38,8 @@ _U = np.uint64
 _NONE = -(1 << 63)  # stands for a null doc_id, which comes first
 #: Words of a text whose windows are handled at once.
 _RANGE = 1 << 18
-#: Code points for words: all but those below 2 and the surrogates.
-_LETTERS = 0x110000 - 0x800 - 2
+#: Letters that stand for words. Few, as a node's children are searched one by one; a hit's words are confirmed by their hash.
+_LETTERS = 64
 _STEP = _U(0x9E3779B97F4A7C15)
 
 
@@ -276,10 +276,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------------------------------------- automata
 
 
-def _spelt(hashes: np.ndarray) -> str:
-    """A code point for each word; equal words have equal ones."""
-    v = (hashes % _U(_LETTERS)).astype("<u4") + np.uint32(2)
-    return (v + np.uint32(0x800) * (v >= 0xD800)).astype("<u4").tobytes().decode("utf-32-le")
+def _letters(hashes: np.ndarray) -> np.ndarray:
+    """A letter for each word; equal words have equal ones."""
+    return (hashes % _U(_LETTERS)).astype(np.uint8) + np.uint8(2)
 
 
 class _Sums:
@@ -306,7 +305,7 @@ class _Passages:
 
     def add(self, text: str, value: int, key: int | None, start: int) -> None:
         k = self.number.setdefault(text, len(self.hash))
-        while k < len(self.hash) and self.hash[k] != value:  # other words with the same code points
+        while k < len(self.hash) and self.hash[k] != value:  # other words with the same letters
             text += "\1"
             k = self.number.setdefault(text, len(self.hash))
         if k == len(self.hash):
@@ -347,7 +346,7 @@ def _remove(span: int, clean_as_is: bool, passing: tuple[str, ...], automaton_wo
             if not at:
                 continue
             w = Words(b["text"].take(pa.array([k for k, _ in at])))
-            sums, text = _Sums(w.hashes[0]), _spelt(w.hashes[0])
+            sums, text = _Sums(w.hashes[0]), _letters(w.hashes[0]).tobytes().decode()
             for first, (_, key) in zip(w.first.tolist(), at, strict=False):
                 places = where.pop(key, ())  # a row that repeats it has the same words
                 lo = np.array([first + s for s, _, _ in places], np.int64)
@@ -373,10 +372,9 @@ def _mark(w: Words, keys: np.ndarray, automata: list, passages: _Passages, hashe
     texts = len(w.first) - 1
     # a mark that no passage holds stands between texts
     shift = np.repeat(np.arange(texts), np.diff(w.first))
-    code = np.full(len(w.starts) + texts, 1, "<u4")
-    v = (w.hashes[0] % _U(_LETTERS)).astype("<u4") + np.uint32(2)
-    code[np.arange(len(v)) + shift] = v + np.uint32(0x800) * (v >= 0xD800)
-    text = code.tobytes().decode("utf-32-le")
+    code = np.full(len(w.starts) + texts, 1, np.uint8)
+    code[np.arange(len(w.starts)) + shift] = _letters(w.hashes[0])
+    text = code.tobytes().decode()
     sums = _Sums(w.hashes[0])
     mark_at = w.first[1:] + np.arange(texts)  # places of the marks
     for automaton in automata:
@@ -426,18 +424,18 @@ def remove_repeats(
     span: int = 20,
     passing: tuple[str, ...] = (),
     clean_as_is: bool = False,
-    block_bytes: tuple[int, int] = (1 << 20, 1 << 24),
+    block_bytes: tuple[int, int] = (1 << 20, 1 << 23),
     hot_blocks: int = 4096,
     automaton_words: int = 1 << 20,
 ) -> DataFrame:
     """doc_id, the columns `passing`, n_words, n_removed and kept_text of every document.
 
     kept_text: the kept words joined by one space; with `clean_as_is` a text that loses nothing stays as it was. A block holds
-    a 128th of all text, but at least and at most `block_bytes`; none of the last three parameters changes a result.
+    a 4096th of all text, but at least and at most `block_bytes`; none of the last three parameters changes a result.
     """
     shards = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, size // min(block_bytes[1], max(block_bytes[0], size // 128)))
+    blocks = max(1, size // min(block_bytes[1], max(block_bytes[0], size // 4096)))
     docs = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "key": F.xxhash64("text", F.col("doc_id").cast("long"))})
     docs = docs.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "key", "doc_id", *passing, "text")
     # every step takes the same columns, dealt in the same way: Spark reuses the exchange
