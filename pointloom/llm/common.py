@@ -32,9 +32,11 @@ _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of its own only where the session names none, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); one of its own only where a local session names none, as in tests."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="pointloom-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)

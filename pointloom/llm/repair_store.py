@@ -1,5 +1,9 @@
 """Token-id shards compressed by Re-Pair: frequent id pairs become nonterminals, round after round, in each shard on its own.
 
+Each round replaces the most frequent pairs, up to `per_round` of them; rounds go on until no pair occurs `least` times or, where
+ids and nonterminals fit 16 bits, until these are used up. A rule takes twelve bytes and a replaced pair saves two, so a
+pair seen less often than `least` = 8 times, or symbols of 32 bits, would make a shard larger.
+
 Format of a shard (little-endian): the magic b"RPS1"; int64 counts of documents, rules, rounds and symbols; int64 first
 nonterminal; then uint32 rule left sides, right sides and expansion lengths, int64 rules at the end of each round, int64
 symbols of each document, and the symbols as uint16 where all fit, else uint32 (a last header number tells the width). No
@@ -31,7 +35,7 @@ MAGIC = b"RPS1"
 _SLOTS = 1 << 20
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, rounds: int = 8, least: int = 8, per_round: int = 2048) -> bytes:
+def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, least: int = 8, per_round: int = 2048) -> bytes:
     """A shard from the ids of its documents, one after the other. `first`: the smallest number above all ids."""
     s = ids.astype(np.uint32)
     last = np.zeros(len(s), bool)
@@ -39,7 +43,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, rounds: int = 8
     left, right = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     lengths = np.zeros(0, np.uint32)
     ends = []
-    for _ in range(rounds):
+    while True:
         room = min(per_round, (1 << 16) - first - len(left) if first < 1 << 16 else per_round)
         if len(s) < 2 or room <= 0:
             break
@@ -78,9 +82,7 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, rounds: int = 8
         keep[hit + 1] = False
         left, right, lengths = np.r_[left, a], np.r_[right, b], np.r_[lengths, grown]
         ends.append(len(left))
-        before, s, last = len(s), s[keep], last[keep]
-        if before - len(s) < before // 200:
-            break
+        s, last = s[keep], last[keep]
     stops = np.r_[0, np.flatnonzero(last) + 1]
     symbols = np.zeros(len(counts), np.int64)
     symbols[counts > 0] = np.diff(stops)
@@ -204,9 +206,11 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Decodes the whole store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 of each document."""
     store = spark.read.schema(_STORE).parquet(path)
-    # one small row per shard; the prefix sum over them needs one task
-    order = W.orderBy("part", "seq").rowsBetween(W.unboundedPreceding, -1)
-    starts = store.select("part", "seq", "n_ids").withColumn("before", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).cast("long")).drop("n_ids")
+    # sums within each part, and over a row per part: as many as the writer had partitions
+    upto = lambda w: F.coalesce(F.sum("n_ids").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    parts = store.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).select("part", upto(W.orderBy("part")).alias("parts_before"))
+    starts = store.select("part", "seq", "n_ids").withColumn("own", upto(W.partitionBy("part").orderBy("seq"))).join(parts, "part")
+    starts = starts.select("part", "seq", (F.col("own") + F.col("parts_before")).alias("before"))
     return store.join(starts, ["part", "seq"]).select("doc_ids", "payload", "before").mapInArrow(_decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
