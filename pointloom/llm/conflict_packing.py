@@ -5,7 +5,7 @@ bins ordered by what room they have left; a bin carries a bitmap of the sources
 holds. A row goes to the tightest bin that has room and holds neither its source nor its cluster: the search starts at the
 bin of the least sufficient room and goes on to its successors until one is compatible, and opens a new bin if none is.
 
-Hot sources and large clusters are spread over all groups by the hash, so no task holds more than its share. A document
+Hot sources, large clusters and rows that repeat are spread over all groups by the hash, so no task holds more than its share. A document
 larger than the capacity is cut into pieces of the full capacity and a rest; all bytes of all documents are packed.
 
 Cases: a null or empty text has size 1, as every size counts one byte for the document's end; a null source or cluster
@@ -20,6 +20,8 @@ from bisect import bisect_left, insort
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import written
+
 
 def best_fit(sizes: list[int], sources: list[str | None], clusters: list[int | None], capacity: int) -> list[int]:
     """The bin of each row, rows taken in the given order."""
@@ -77,10 +79,12 @@ def pack(docs: DataFrame, *, capacity: int = 8192, cluster: Column | None = None
     cluster = F.xxhash64("text") if cluster is None else cluster
     size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), cluster).alias("cluster"), size.alias("whole"))
+    # numbered once, so that rows that repeat in all columns spread over the groups as well
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "sizes")
     pieces = F.expr(f"(whole + {capacity - 1}) div {capacity}")
     total = rows.agg(F.sum(pieces)).first()[0] or 0
     groups = max(1, -(-total // group_rows))
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
     rows = rows.withColumn("size", F.least(F.lit(capacity).cast("long"), F.col("whole") - F.col("piece") * capacity)).withColumn("piece", F.col("piece").cast("int"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(groups)).cast("long")).drop("whole")
+    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "cluster", "row"), F.lit(groups)).cast("long")).drop("whole", "row")
     return rows.groupBy("grp").applyInArrow(_pack(capacity), _OUT)

@@ -83,10 +83,32 @@ def test_repair_round_trip_and_random_access():
             n = len(docs[k])
             assert s.part(k, n // 3, n // 2).tolist() == docs[k][n // 3 : n // 2].tolist()
         assert len(s.left) and len(s.symbols) < counts.sum() / 2
+        # nothing is left to replace: no pair within a document occurs twice but where it overlaps itself
+        left = collections.Counter(p for k in range(s.docs) for x in [s.symbols[s.starts[k] : s.starts[k + 1]].tolist()] for p in zip(x, x[1:]) if p[0] != p[1])
+        assert max(left.values()) == 1
+        assert all(s.lengths[r] == len(s._expand(np.array([s.first + r]))) for r in range(len(s.left)))
     empty = repair_store.Shard(repair_store.compress(np.zeros(0, int), np.zeros(0, int), 10))
     assert empty.ids().tolist() == [] and empty.docs == 0
 
 
+def test_rows_that_repeat_and_long_texts_in_stores_and_counts(spark):
+    rng = random.Random(15)
+    long = prose(rng, 400_000) + " É<|endoftext|>"
+    rows = [(3, long), (1, "a b"), (1, "a b"), (1, None), (None, "x"), (None, "x"), (2, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    t = tokenizer()
+    ids = {x: t.encode(x or "", add_special_tokens=False).ids for _, x in rows}
+    got = sorted(map(tuple, repair_store.token_store(df, TOKENIZER).collect()), key=lambda r: r[1])
+    at = 0
+    for i, start, n, crc in got:
+        assert start == at
+        at += n
+    want = sorted((str(i), len(ids[x]) + 1, zlib.crc32(np.array([*ids[x], 2], "<u4").tobytes())) for i, x in rows)
+    assert sorted((str(i), n, c) for i, _, n, c in got) == want and [i for i, *_ in got] == [None, None, 1, 1, 1, 2, 3]
+    counts = token_counts.token_counts(df, TOKENIZER).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in counts) == sorted((str(i), len((x or "").encode()), len(ids[x])) for i, x in rows)
+
+
 def test_token_store(docs, rows, empty):
     got = repair_store.token_store(docs, TOKENIZER, shard_ids=2000).collect()
     t, at, want = tokenizer(), 0, []
@@ -461,6 +483,25 @@ def test_byte_shards(docs, rows, empty):
     assert byte_shards.byte_shards(empty).count() == 0
 
 
+def test_rows_that_repeat_and_long_texts_in_shards_languages_and_bins(spark):
+    rng = random.Random(16)
+    long = "der Hund " * 400_000 + "ist nicht schön"
+    rows = [(i, f"the {rng.choice(['cat', 'dog'])} was there with that thing", "en", "s") for i in range(30)]
+    rows += [(i, f"der {rng.choice(['Hund', 'Vogel'])} ist nicht über die Straße gegangen", "de", "s") for i in range(30, 60)]
+    rows += [(100, long, None, "s"), (101, "the thing " + "was there " * 300_000, None, "s")] + [(7, "the same", None, None)] * 3 + [(None, None, None, None)] * 3 + [(None, "the", None, None)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = ppm_lang.identify(df).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got if r.doc_id in (100, *range(30, 60))} == {"de"} and {r.lang_pred for r in got if r.doc_id in (101, 7, *range(30))} <= {"en"}
+    assert collections.Counter(r.lang_pred for r in got if r.doc_id is None) == {"und": 3, "en": 2}
+    shards = byte_shards.byte_shards(df, shards=4).collect()
+    assert len(shards) == len(rows) and sorted((r.size, r.text_crc32) for r in shards) == sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, *_ in rows)
+    for k in range(4):
+        assert sorted(r.slot for r in shards if r.shard == k) == list(range(sum(r.shard == k for r in shards)))
+    bins = conflict_packing.pack(df, capacity=100_000).collect()
+    assert sum(r.size for r in bins) == sum(len((t or "").encode()) + 1 for _, t, *_ in rows) and max(r.bin_used for r in bins) <= 100_000
+    assert len({r.bin_id for r in bins if r.doc_id == 7}) == 4  # equal texts are one cluster
+
+
 # ---------------------------------------------------------------------------------------------- 9, 10
 
 
@@ -503,6 +544,21 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert setsketch.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_templates_repeated_rows_and_long_texts(spark):
+    """Pages that share seven tenths of their shingles link with nothing; rows that repeat an id or all of a row stay rows."""
+    rng = random.Random(17)
+    base = prose(rng, 400).split()
+    rows = [(i, " ".join(base[:310] + [f"w{i}x{k}" for k in range(80)])) for i in range(700)]
+    long = [f"{rng.randrange(16**6):06x}" for _ in range(300_000)]
+    rows += [(1000, " ".join(long)), (1001, " ".join(long[:290_000])), (1002, " ".join(long[:150_000]))]
+    rows += [(1003, "one and the same row of words"), (1003, "one and the same row of words"), (1003, "another text of this id"), (None, "one and the same row of words"), (None, "a null id alone here now"), (None, "")]
+    got = setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    assert all(r.component_id == r.doc_id and r.kept for r in got if r.doc_id is not None and r.doc_id < 1000)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got if r.doc_id in (1000, 1001, 1002)} == {(1000, 299_996, 1000), (1001, 289_996, 1000), (1002, 149_996, 1002)}
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in got if r.doc_id is None or r.doc_id == 1003) == [("1003", "1003")] * 3 + [("None", "1003"), ("None", "None"), ("None", "None")]
+
+
 def test_registers_merge_and_estimate():
     rng = np.random.default_rng(11)
     pool = rng.integers(0, 2**63, 3000).astype(np.uint64)

@@ -75,6 +75,19 @@ def test_language_keeps_an_unlabelled_corpus(spark):
         assert sorted(r.text for r in got) == ["some words", "weitere", "é"]
 
 
+def test_language_is_written_where_there_is_none(spark):
+    rows = [(i, "the cat was there with that thing", "en", "s", 5) for i in range(20)] + [(i, "der Hund ist nicht über die Straße", "de", "s", 5) for i in range(20, 40)]
+    rows += [(50, "die Straße ist nicht der Hund", None, "s", 5), (51, "that was the cat", None, "s", 5), (52, "the cat was there", "fr", "s", 5)]
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, spark.createDataFrame(rows, SCHEMA), "").collect()}
+    assert len(got) == 43 and (got[50], got[51], got[52]) == ("de", "en", "fr")
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_near_dedup_takes_pairs_from_four_fifths_on(spark):
     rng = random.Random(33)
     rows = []
