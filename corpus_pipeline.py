@@ -15,9 +15,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are null or have no letter go; the language found rejects none."""
+    """Documents that are null or have no letter go; the language found rejects none, but is written where `lang` is null."""
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return ppm_lang.identify(docs, passing=COLUMNS).filter((F.col("lang_pred") != "und") | lettered).select(*COLUMNS)
+    found = ppm_lang.identify(docs, passing=COLUMNS).filter((F.col("lang_pred") != "und") | lettered)
+    return found.withColumn("lang", F.coalesce("lang", F.nullif(F.col("lang_pred"), F.lit("und")))).select(*COLUMNS)
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
