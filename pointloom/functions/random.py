@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 _M = 0xFFFFFFFF
+#: Fixed value: the factor of the 64-bit multiply-with-carry generator.
+MWC64 = 698769069
 
 
 def _and(c: Column) -> Column:
@@ -64,3 +66,17 @@ def kiss(m: tuple[Column, Column], c: Column, s: Column) -> tuple[Column, Column
     u, v, x = mwc(*m)
     c, s = cong(c), shr3(s)
     return u, v, c, s, _and(x.bitwiseXOR(c) + s)
+
+
+def mwc64(upper: Column, lower: Column) -> tuple[Column, Column, Column]:
+    """One 64-bit multiply-with-carry: next upper, next lower, output."""
+    whole = MWC64 * lower + upper  # below 2**62
+    low = _and(whole)
+    return _shr(whole, 32), low, low
+
+
+def kiss2(m: tuple[Column, Column], c: Column, s: Column) -> tuple[Column, Column, Column, Column, Column]:
+    """MWC64, congruence and shifts added up: next states, output."""
+    u, v, x = mwc64(*m)
+    c, s = cong(c), shr3(s)
+    return u, v, c, s, _and(x + c + s)

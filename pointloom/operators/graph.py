@@ -1,16 +1,17 @@
 """Neighbour graphs of points, geodesics and components.
 
-Joins do what joins can: neighbours, radius pairs, adjacency, extrema. A shortest path is not a join; it runs per shape in
-an Arrow kernel, one search per source that ends at the radius.
+Joins do what joins can: radius pairs, adjacency, extrema. The k nearest, shortest paths and components run in NumPy, a task for
+each shape: the nearest over a grid of cells, ring by ring; paths for blocks of sources, so that a large shape's are spread over
+tasks. A task holds one shape's points or edges (some hundred bytes each), never all pairs of them.
 """
 
 from __future__ import annotations
 
-import heapq
 from itertools import product
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
 
@@ -18,16 +19,106 @@ from ..functions import geometry as G
 K = 10
 
 
-def _pair(points: DataFrame, key: list[str]) -> DataFrame:
-    side = lambda s: points.select(*key, F.col("point_idx").alias(s), *(F.col(c).alias(s + c) for c in "xyz"))
-    return side("i").join(side("j"), key)
+def _coordinates(t: pa.Table) -> np.ndarray:
+    return np.stack([t[c].to_numpy() for c in "xyz"], 1).astype(float)
+
+
+class _Grid:
+    """Points in cells of about `k` points each, sorted by cell; equally near points go by their place."""
+
+    def __init__(self, p: np.ndarray, k: int):
+        self.low = p.min(0)
+        self.width = float((p.max(0) - self.low).max()) / max(1, round((len(p) / k) ** (1 / 3))) or 1.0
+        cell = self.cells(p)
+        self.shape = cell.max(0) + 1
+        code = self.code(cell)
+        self.order = np.argsort(code, kind="stable")
+        self.p, self.sorted = p, code[self.order]
+
+    def cells(self, p: np.ndarray) -> np.ndarray:
+        return np.floor(np.clip((p - self.low) / self.width, -(2.0**40), 2.0**40)).astype(np.int64)
+
+    def code(self, cell: np.ndarray) -> np.ndarray:
+        return (cell[..., 0] * self.shape[1] + cell[..., 1]) * self.shape[2] + cell[..., 2]
+
+    def within(self, cell: np.ndarray, ring: int) -> np.ndarray:
+        """Places of the points in cells at most `ring` away."""
+        lo, hi = np.maximum(cell - ring, 0), np.minimum(cell + ring, self.shape - 1)
+        if (lo > hi).any():
+            return np.zeros(0, np.int64)
+        rows = np.stack(np.meshgrid(np.arange(lo[0], hi[0] + 1), np.arange(lo[1], hi[1] + 1), indexing="ij"), -1).reshape(-1, 2)
+        ends = [self.code(np.c_[rows, np.full(len(rows), z)]) for z in (lo[2], hi[2])]
+        first, last = np.searchsorted(self.sorted, ends[0]), np.searchsorted(self.sorted, ends[1], "right")
+        n = last - first
+        return np.sort(self.order[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+
+    def nearest(self, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of q the places of its k nearest points and their squared distances (all, if there are fewer), one row each."""
+        k = min(k, len(self.p))
+        at, d2 = np.empty((len(q), k), np.int64), np.empty((len(q), k))
+        cell = self.cells(q)
+        groups, back = np.unique(cell, axis=0, return_inverse=True)
+        order = np.argsort(back, kind="stable")
+        ends = np.r_[0, np.cumsum(np.bincount(back))]
+        for g in range(len(groups)):
+            own, ring = order[ends[g] : ends[g + 1]], 1
+            while len(own):
+                near = self.within(groups[g], ring)
+                whole = len(near) == len(self.p)
+                if len(near) >= k:
+                    for part in range(0, len(own), 256):
+                        o = own[part : part + 256]
+                        x, y, z = (q[o, c, None] - self.p[None, near, c] for c in range(3))
+                        d = x * x + y * y + z * z
+                        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+                        at[o], d2[o] = near[best], np.take_along_axis(d, best, 1)
+                    # whatever lies outside is at least `ring` cells away
+                    own = own[:0] if whole else own[d2[own, -1] >= (ring * self.width * (1 - 1e-9)) ** 2]
+                ring *= 2
+        return at, d2
+
+
+def _key_columns(t: pa.Table, key: list[str], n: int) -> dict[str, pa.Array]:
+    return {c: pa.array([t[c][0].as_py()] * n, t[c].type) for c in key}
+
+
+def _kinds(df: DataFrame, key: list[str]) -> str:
+    return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in key)
 
 
 def nearest(points: DataFrame, k: int = K, *, key: list[str] = ["shape_id"]) -> DataFrame:  # noqa: B006
     """key, i, j, d2, rank: the k nearest points j of each point i, itself included; ties go to the smaller j."""
-    pairs = _pair(points, key).withColumn("d2", G.squared_distance(G.cols("i"), G.cols("j")))
-    rank = F.row_number().over(W.partitionBy(*key, "i").orderBy("d2", "j"))
-    return pairs.withColumn("rank", rank).filter(F.col("rank") <= k).select(*key, "i", "j", "d2", "rank")
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("point_idx")
+        p, ids = _coordinates(t), t["point_idx"].to_numpy()
+        at, d2 = _Grid(p, k).nearest(p, k)
+        n = at.shape[1]
+        kind = t["point_idx"].type
+        return pa.table({**_key_columns(t, key, at.size), "i": pa.array(np.repeat(ids, n), kind), "j": pa.array(ids[at].ravel(), kind), "d2": pa.array(d2.ravel()), "rank": pa.array(np.tile(np.arange(1, n + 1), len(p)), pa.int32())})
+
+    kind = points.schema["point_idx"].dataType.simpleString()
+    rows = points.select(*key, "point_idx", *(F.col(c).cast("double").alias(c) for c in "xyz")).dropna()
+    return rows.groupBy(*key).applyInArrow(run, f"{_kinds(points, key)}, i {kind}, j {kind}, d2 double, rank int")
+
+
+def nearest_of(points: DataFrame, onto: DataFrame, key: str) -> DataFrame:
+    """key, i, j, d2: for each of points the nearest of `onto`, both (key, idx, x, y, z); ties go to the smaller j; no row where `onto` has none."""
+
+    def run(t: pa.Table, other: pa.Table) -> pa.Table:
+        t, other = (x.rename_columns([key, "idx", "x", "y", "z"]) for x in (t, other))
+        if not t.num_rows or not other.num_rows:
+            t, at, d2, to = t.slice(0, 0), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+        else:
+            other = other.sort_by("idx")
+            at, d2 = (x[:, 0] for x in _Grid(_coordinates(other), 8).nearest(_coordinates(t), 1))
+            to = other["idx"].to_numpy()
+        return pa.table({key: t[key], "i": t["idx"], "j": pa.array(to[at], other["idx"].type), "d2": pa.array(d2)})
+
+    # columns of their own for either side, as both may come from one table
+    sides = [x.select(key, "idx", *(F.col(c).cast("double").alias(c) for c in "xyz")).dropna().toDF(*(f"{s}_{c}" for c in (key, "idx", "x", "y", "z"))) for s, x in (("p", points), ("q", onto))]
+    i, j = (x.schema["idx"].dataType.simpleString() for x in (points, onto))
+    return sides[0].groupBy(f"p_{key}").cogroup(sides[1].groupBy(f"q_{key}")).applyInArrow(run, f"{_kinds(points, [key])}, i {i}, j {j}, d2 double")
 
 
 def knn_edges(points: DataFrame, k: int = K, *, key: list[str] = ["shape_id"]) -> DataFrame:  # noqa: B006
@@ -80,46 +171,55 @@ def reindex(faces: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------------------------- shortest paths
 
 
-def _search(links: list[list[tuple[int, float]]], source: int, radius: float) -> dict[int, float]:
-    best, done, heap = {source: 0.0}, {}, [(0.0, source)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if u in done:
-            continue
-        done[u] = d
-        for v, w in links[u]:
-            n = d + w
-            if n < radius and n < best.get(v, radius):
-                best[v] = n
-                heapq.heappush(heap, (n, v))
-    return done
+#: Sources that one task searches from, and that are advanced at once.
+SOURCES, _AT_ONCE = 1024, 32
+
+
+def _search(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, sources: np.ndarray, radius: float) -> np.ndarray:
+    """Distances below radius (else infinite) from each source to all n points, by relaxing all directed edges (sorted by v) until none helps."""
+    dist = np.full((len(sources), n), np.inf)
+    dist[np.arange(len(sources)), sources] = 0.0
+    first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+    to = v[first]
+    while True:
+        reached = dist[:, u] + w
+        reached[reached >= radius] = np.inf
+        best = np.minimum.reduceat(reached, first, axis=1)
+        before = dist[:, to]
+        if not (best < before).any():
+            return dist
+        dist[:, to] = np.minimum(before, best)
 
 
 def _geodesics(radius: float):
     def run(t: pa.Table) -> pa.Table:
-        shape = t["shape_id"][0]
-        i, j, w = (t[c].to_pylist() for c in "ijw")
-        n = 1 + max(max(i), max(j))
-        links: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for a, b, d in zip(i, j, w, strict=True):
-            links[a].append((b, d))
-            links[b].append((a, d))
-        src, dst, dist = [], [], []
-        for s in range(n):
-            for v, d in _search(links, s, radius).items():
-                if v != s:
-                    src.append(s)
-                    dst.append(v)
-                    dist.append(d)
-        return pa.table({"shape_id": pa.array([shape.as_py()] * len(src), shape.type), "src": pa.array(src, pa.int32()), "dst": pa.array(dst, pa.int32()), "d": pa.array(dist, pa.float64())})
+        i, j, w = (t[c].to_numpy() for c in "ijw")
+        names, ends = np.unique(np.r_[i, j], return_inverse=True)
+        u, v, w = ends, np.r_[ends[len(i) :], ends[: len(i)]], np.r_[w, w]
+        order = np.argsort(v, kind="stable")
+        u, v, w = u[order], v[order], w[order]
+        lo = t["block"][0].as_py() * SOURCES
+        own = np.flatnonzero((names >= lo) & (names < lo + SOURCES))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(own), _AT_ONCE):
+            s = own[at : at + _AT_ONCE]
+            dist = _search(len(names), u, v, w, s, radius)
+            a, b = np.nonzero(np.isfinite(dist))
+            other = s[a] != b
+            a, b = a[other], b[other]
+            out.append((names[s[a]], names[b], dist[a, b]))
+        src, dst, d = (np.concatenate(x) for x in zip(*out, strict=True))
+        return pa.table({**_key_columns(t, ["shape_id"], len(src)), "src": pa.array(src, pa.int32()), "dst": pa.array(dst, pa.int32()), "d": pa.array(d)})
 
     return run
 
 
 def geodesics(edges: DataFrame, radius: float = 1.3) -> DataFrame:
     """shape_id, src, dst, d of all different points with a path shorter than radius."""
-    kind = edges.schema["shape_id"].dataType.simpleString()
-    return edges.select("shape_id", "i", "j", "w").groupBy("shape_id").applyInArrow(_geodesics(radius), f"shape_id {kind}, src int, dst int, d double")
+    last = F.max("j").over(W.partitionBy("shape_id"))  # of an edge the higher point
+    blocks = F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / SOURCES).cast("int")))
+    edges = edges.select("shape_id", "i", "j", "w").withColumn("last", last).select("shape_id", "i", "j", "w", blocks.alias("block")).repartition("shape_id", "block")
+    return edges.groupBy("shape_id", "block").applyInArrow(_geodesics(radius), f"{_kinds(edges, ['shape_id'])}, src int, dst int, d double")
 
 
 def all_distances(edges: DataFrame) -> DataFrame:
@@ -145,25 +245,24 @@ def nearest_by_path(distances: DataFrame, k: int, *, compat: bool = False) -> Da
 # ---------------------------------------------------------------------------------------------- components
 
 
-def _union_find(key: list[str]):
+def _components(key: list[str]):
     def run(t: pa.Table) -> pa.Table:
-        node, other = t["u"].to_pylist(), t["v"].to_pylist()
-        parent = {a: a for a in node}
-
-        def root(a: int) -> int:
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        for a, b in zip(node, other, strict=True):
-            if b is not None:
-                a, b = root(a), root(b)
-                parent[max(a, b)] = min(a, b)
-        nodes = sorted(parent)
-        ids: dict[int, int] = {}
-        comp = [ids.setdefault(root(a), len(ids)) for a in nodes]
-        return pa.table({**{k: pa.array([t[k][0].as_py()] * len(nodes), t[k].type) for k in key}, "point_idx": pa.array(nodes, pa.int32()), "component": pa.array(comp, pa.int32())})
+        other = t["v"].is_valid().to_numpy()
+        u, v = t["u"].to_numpy(), t["v"].fill_null(0).to_numpy()
+        nodes, place = np.unique(np.r_[u, v[other]], return_inverse=True)
+        a, b = place[: len(u)][other], place[len(u) :]
+        label = np.arange(len(nodes))
+        while True:
+            low = np.minimum(label[a], label[b])
+            after = label.copy()
+            for x in (a, b, label[a], label[b]):  # ends and the ends' labels take the lower one
+                np.minimum.at(after, x, low)
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+        _, number = np.unique(label, return_inverse=True)
+        return pa.table({**_key_columns(t, key, len(nodes)), "point_idx": pa.array(nodes, pa.int32()), "component": pa.array(number, pa.int32())})
 
     return run
 
@@ -172,8 +271,7 @@ def components(points: DataFrame, edges: DataFrame, *, key: list[str] = ["shape_
     """key, point_idx, component: numbered by their first points; every point is in one, isolated ones too."""
     ends = points.select(*key, F.col("point_idx").cast("int").alias("u"), F.lit(None).cast("int").alias("v"))
     rows = ends.union(edges.select(*key, F.col("i").cast("int"), F.col("j").cast("int")))
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in key)
-    return rows.groupBy(*key).applyInArrow(_union_find(key), f"{kinds}, point_idx int, component int")
+    return rows.groupBy(*key).applyInArrow(_components(key), f"{_kinds(points, key)}, point_idx int, component int")
 
 
 def local_extrema(values: DataFrame, edges: DataFrame, depth: int = 1) -> DataFrame:
@@ -230,13 +328,3 @@ def orient_faces(faces: DataFrame) -> DataFrame:
 def distance_of(distances: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (shape_id, src, dst) with their distance, null where there is no path, 0 for a point and itself."""
     return pairs.join(distances, ["shape_id", "src", "dst"], "left").withColumn("d", F.when(F.col("src") == F.col("dst"), F.lit(0.0)).otherwise(F.col("d")))
-
-
-def edge_ends(faces: DataFrame) -> DataFrame:
-    """shape_id, a, b, faces: the undirected edges of a mesh and how many faces hold each."""
-    e = F.explode(F.array(*[F.struct(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")) for p, q in (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))]))
-    return faces.select("shape_id", e.alias("e")).groupBy("shape_id", F.col("e.a").alias("a"), F.col("e.b").alias("b")).agg(F.count(F.lit(1)).alias("faces"))
-
-
-def as_points(column: Column) -> Column:
-    return column.cast("int")

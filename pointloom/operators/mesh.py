@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
+from .graph import components, nearest_of
 from .sampling import corners
 
 SIDES = (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))
@@ -206,19 +207,13 @@ def fit_plane(points: DataFrame) -> DataFrame:
 
 def hausdorff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """key, d: the largest distance from a point of either set to the other set, both (key, idx, x, y, z)."""
-    p = a.select(key, F.col("idx").alias("i"), *(F.col(c).alias("i" + c) for c in "xyz"))
-    q = b.select(key, F.col("idx").alias("j"), *(F.col(c).alias("j" + c) for c in "xyz"))
-    d = p.join(q, key).withColumn("d", G.norm(G.sub(G.cols("i"), G.cols("j"))))
-    far = lambda by: d.groupBy(key, by).agg(F.min("d").alias("d")).groupBy(key).agg(F.max("d").alias("d"))
-    return far("i").union(far("j")).groupBy(key).agg(F.max("d").alias("d"))
+    far = lambda p, q: nearest_of(p, q, key).groupBy(key).agg(F.max("d2").alias("d2"))
+    return far(a, b).union(far(b, a)).groupBy(key).agg(F.sqrt(F.max("d2")).alias("d"))
 
 
 def snap(points: DataFrame, onto: DataFrame, key: str) -> DataFrame:
     """key, i, j, d2: for each of points the nearest of `onto`, both (key, idx, x, y, z); ties go to the smaller j."""
-    p = points.select(key, F.col("idx").alias("i"), *(F.col(c).alias("i" + c) for c in "xyz"))
-    q = onto.select(key, F.col("idx").alias("j"), *(F.col(c).alias("j" + c) for c in "xyz"))
-    d = p.join(q, key).withColumn("d2", G.squared_distance(G.cols("i"), G.cols("j")))
-    return d.groupBy(key, "i").agg(F.min_by("j", F.struct("d2", "j")).alias("j"), F.min("d2").alias("d2"))
+    return nearest_of(points, onto, key)
 
 
 def winding_numbers(queries: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -273,3 +268,105 @@ def in_polygon(points: DataFrame, polygon: list[tuple[float, float]]) -> DataFra
             at = F.lit(float(x1)) + (F.col("y") - y1) * ((x2 - x1) / (y2 - y1))
             crossed = crossed + F.when(((F.col("y") >= min(y1, y2)) & (F.col("y") < max(y1, y2))) & (F.col("x") < at), 1).otherwise(0)
     return points.withColumn("inside", crossed % 2 == 1)
+
+
+def corner_normals(faces: DataFrame, vertices: DataFrame, degrees: float) -> DataFrame:
+    """shape_id, f_idx, k, nx, ny, nz: at each corner the normal of all faces of its vertex that are within `degrees` of the
+    corner's own face, weighted by area."""
+    n = face_normals(faces, vertices).select("shape_id", "f_idx", "nx", "ny", "nz", F.col("area2").alias("area"))
+    corner = faces.select("shape_id", "f_idx", F.posexplode(F.array("v0", "v1", "v2")).alias("k", "v_idx")).join(n, ["shape_id", "f_idx"])
+    other = corner.select("shape_id", "v_idx", *(F.col(c).alias("o" + c) for c in ("nx", "ny", "nz", "area")))
+    met = corner.join(other, ["shape_id", "v_idx"])
+    near = G.dot(G.cols("n"), G.cols("on")) > math.cos(math.radians(degrees))
+    sums = met.filter(near).groupBy("shape_id", "f_idx", "k").agg(*(F.sum(F.col("on" + c) * F.col("oarea")).alias(c) for c in "xyz"))
+    return sums.select("shape_id", "f_idx", "k", *(c.alias("n" + a) for c, a in zip(G.unit(G.cols()), "xyz", strict=True)))
+
+
+def gradients(faces: DataFrame, vertices: DataFrame, values: DataFrame) -> DataFrame:
+    """shape_id, f_idx, gx, gy, gz: the gradient of values (shape_id, v_idx, value) that are linear on each face; null on a face without area."""
+    tri = corners(faces, vertices)
+    for k, v in enumerate(("v0", "v1", "v2")):
+        tri = tri.join(values.select("shape_id", F.col("v_idx").alias(v), F.col("value").alias(f"h{k}")), ["shape_id", v])
+    a, b, c = (G.cols(p) for p in "abc")
+    n = G.cross(G.sub(b, a), G.sub(c, a))
+    tri = tri.withColumns({f"_n{k}": x for k, x in zip("xyz", n, strict=True)})
+    n = G.cols("_n")
+    turned = lambda e: G.cross(n, e)
+    parts = [G.scale(turned(e), F.col(f"h{k}")) for k, e in enumerate((G.sub(c, b), G.sub(a, c), G.sub(b, a)))]
+    g = G.add(*parts)
+    return tri.select("shape_id", "f_idx", *(F.try_divide(x, G.dot(n, n)).alias("g" + k) for k, x in zip("xyz", g, strict=True)))
+
+
+def barycentric(points: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """points (shape_id, q_idx, f_idx, x, y, z) with l0, l1, l2: their coordinates in the plane of face f_idx; null without area."""
+    met = corners(faces, vertices).join(points, ["shape_id", "f_idx"])
+    a, b, c = (G.cols(p) for p in "abc")
+    e0, e1, e2 = G.sub(b, a), G.sub(c, a), G.sub(G.cols(), a)
+    dots = {"_d00": G.dot(e0, e0), "_d01": G.dot(e0, e1), "_d11": G.dot(e1, e1), "_d20": G.dot(e2, e0), "_d21": G.dot(e2, e1)}
+    met = met.withColumns(dots)
+    d00, d01, d11, d20, d21 = (F.col(n) for n in dots)
+    det = d00 * d11 - d01 * d01
+    met = met.withColumns({"l1": F.try_divide(d11 * d20 - d01 * d21, det), "l2": F.try_divide(d00 * d21 - d01 * d20, det)})
+    return met.select("shape_id", "q_idx", "f_idx", (1 - F.col("l1") - F.col("l2")).alias("l0"), "l1", "l2")
+
+
+def edge_topology(faces: DataFrame) -> DataFrame:
+    """shape_id, a, b, f0, f1: the edges, and the first and the last face of each; f1 is -1 on the border."""
+    e = directed_edges(faces).groupBy("shape_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    both = e.agg(F.min("f_idx").alias("f0"), F.max("f_idx").alias("f1"))
+    return both.withColumn("f1", F.when(F.col("f1") == F.col("f0"), F.lit(-1)).otherwise(F.col("f1")))
+
+
+def facet_components(faces: DataFrame) -> DataFrame:
+    """shape_id, f_idx, component: faces that share edges, numbered by their first ones."""
+    e = directed_edges(faces).select("shape_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "f_idx")
+    nxt = F.lead("f_idx").over(W.partitionBy("shape_id", "a", "b").orderBy("f_idx"))
+    links = e.withColumn("j", nxt).filter("j is not null").select("shape_id", F.col("f_idx").alias("i"), "j")
+    found = components(faces.select("shape_id", F.col("f_idx").alias("point_idx")), links)
+    return found.withColumnRenamed("point_idx", "f_idx")
+
+
+def vertex_manifold(faces: DataFrame) -> DataFrame:
+    """shape_id, v_idx, manifold: whether the faces around a vertex hang together by edges at it."""
+    corner = faces.select("shape_id", "f_idx", F.explode(F.array("v0", "v1", "v2")).alias("v_idx"))
+    others = faces.select("shape_id", "f_idx", F.posexplode(F.array("v0", "v1", "v2")).alias("c", "v_idx"), "v0", "v1", "v2")
+    spoke = others.select("shape_id", "v_idx", "f_idx", F.explode(F.filter(F.array("v0", "v1", "v2"), lambda x: x != F.col("v_idx"))).alias("end"))
+    nxt = F.lead("f_idx").over(W.partitionBy("shape_id", "v_idx", "end").orderBy("f_idx"))
+    links = spoke.withColumn("j", nxt).filter("j is not null").select("shape_id", "v_idx", F.col("f_idx").alias("i"), "j")
+    found = components(corner.withColumnRenamed("f_idx", "point_idx"), links, key=["shape_id", "v_idx"])
+    return found.groupBy("shape_id", "v_idx").agg((F.max("component") == 0).alias("manifold"))
+
+
+def resolve_duplicates(faces: DataFrame) -> DataFrame:
+    """Faces with the same corners: as many of one direction more than of the other, one of these (the first) stays, else none."""
+    least = F.least("v0", "v1", "v2")
+    turned = F.when(F.col("v0") == least, F.array("v0", "v1", "v2")).when(F.col("v1") == least, F.array("v1", "v2", "v0")).otherwise(F.array("v2", "v0", "v1"))
+    rows = faces.withColumns({"_set": F.array_sort(F.array("v0", "v1", "v2")), "_up": F.get(turned, F.lit(1)) < F.get(turned, F.lit(2))})
+    sums = rows.groupBy("shape_id", "_set").agg(F.sum(F.when(F.col("_up"), 1).otherwise(-1)).alias("_sum"), F.min(F.when(F.col("_up"), F.col("f_idx"))).alias("_first_up"), F.min(F.when(~F.col("_up"), F.col("f_idx"))).alias("_first_down"))
+    one = F.when(F.col("_sum") > 0, F.col("_first_up")).when(F.col("_sum") < 0, F.col("_first_down"))
+    kept = sums.select("shape_id", one.alias("f_idx")).filter("f_idx is not null")
+    return faces.join(kept, ["shape_id", "f_idx"], "left_semi")
+
+
+def _nearest_on_triangle(p: G.Vec) -> Column:
+    """Squared distance from p to the triangle of columns a, b, c: to its plane if the foot lies inside, else to the nearest side."""
+    a, b, c = (G.cols(n) for n in "abc")
+
+    def to_side(u: G.Vec, v: G.Vec) -> Column:
+        e, w = G.sub(v, u), G.sub(p, u)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(G.dot(w, e), G.dot(e, e)), F.lit(0.0))))
+        d = G.sub(w, G.scale(e, t))
+        return G.dot(d, d)
+
+    n = G.cross(G.sub(b, a), G.sub(c, a))
+    inside = [G.dot(G.cross(G.sub(v, u), G.sub(p, u)), n) >= 0 for u, v in ((a, b), (b, c), (c, a))]
+    height = G.dot(G.sub(p, a), n)
+    return F.when(inside[0] & inside[1] & inside[2] & (G.dot(n, n) > 0), F.try_divide(height * height, G.dot(n, n))).otherwise(F.least(to_side(a, b), to_side(b, c), to_side(c, a)))
+
+
+def point_mesh_distance(points: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """shape_id, q_idx, d2, f_idx: the squared distance of points (shape_id, q_idx, x, y, z) to their shape's mesh, and the first
+    face at it."""
+    met = points.select("shape_id", "q_idx", *(F.col(c).alias("q" + c) for c in "xyz")).join(corners(faces, vertices), "shape_id")
+    d = met.select("shape_id", "q_idx", "f_idx", _nearest_on_triangle(G.cols("q")).alias("d2"))
+    return d.groupBy("shape_id", "q_idx").agg(F.min("d2").alias("d2"), F.min_by("f_idx", F.struct("d2", "f_idx")).alias("f_idx"))

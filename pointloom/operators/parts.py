@@ -14,6 +14,12 @@ SMALL, FEW, LARGE = 10, 3, 20
 MODES = {"no_less": 1, "force_match": 2, "no_more": 3}
 
 
+def checked(points: DataFrame, labels: int) -> DataFrame:
+    """points; a label that is neither null nor in 0 to labels - 1 is an error."""
+    ok = F.assert_true(F.col("label").isNull() | F.col("label").between(0, labels - 1), F.concat(F.lit("label out of range: "), F.col("label").cast("string")))
+    return points.withColumn("label", F.coalesce(ok.cast("int"), F.col("label")))
+
+
 def part_components(points: DataFrame, least: int) -> DataFrame:
     """shape_id, label, point_idx, component of the parts (points with one label) of at least `least` points."""
     n = points.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least).select(*KEY)

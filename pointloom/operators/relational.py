@@ -4,12 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..shared import written
+
+
+def before(rows: DataFrame, keys: list[str | Column], value: Column, name: str) -> DataFrame:
+    """Adds the sum of `value` over all rows that come before in the order of keys (unique): sums within ranges of the keys, and
+    the ranges' totals, a row each, before them."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # written once, so that both readers below see the same ranges
+    dealt = written(rows.withColumn("_value", value).repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id()), "ranges")
+    upto = lambda w: F.coalesce(F.sum("_value").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    totals = dealt.groupBy("_part").agg(F.sum("_value").alias("_value")).select("_part", upto(W.orderBy("_part")).alias("_before"))
+    own = dealt.withColumn("_own", upto(W.partitionBy("_part").orderBy(*keys)))
+    return own.join(F.broadcast(totals), "_part").withColumn(name, F.col("_own") + F.col("_before")).drop("_part", "_own", "_before", "_value")
+
 
 def unique(table: DataFrame, columns: list[str], index: str) -> DataFrame:
     """Distinct rows of `columns` with first (the smallest index that holds them), times, and place (from 0, in sorted order)."""
     rows = table.groupBy(*columns).agg(F.min(index).alias("first"), F.count(F.lit(1)).alias("times"))
-    # the distinct rows are numbered by one sort: the number of a row is a property of the whole result
-    return rows.withColumn("place", F.row_number().over(W.orderBy(*columns)) - 1)
+    return before(rows, list(columns), F.lit(1), "place").withColumn("place", F.col("place").cast("int"))
 
 
 def unique_places(table: DataFrame, columns: list[str], index: str) -> DataFrame:
@@ -19,8 +32,9 @@ def unique_places(table: DataFrame, columns: list[str], index: str) -> DataFrame
 
 def sort_rows(table: DataFrame, keys: list[Column], index: str, *, by: list[str] | None = None) -> DataFrame:
     """Adds rank (from 0) in the order of keys within groups; ties go by index."""
-    window = W.partitionBy(*by) if by else W.partitionBy()
-    return table.withColumn("rank", F.row_number().over(window.orderBy(*keys, index)) - 1)
+    if not by:
+        return before(table, [*keys, index], F.lit(1), "rank").withColumn("rank", F.col("rank").cast("int"))
+    return table.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*keys, index)) - 1)
 
 
 def running_sum(table: DataFrame, value: str, index: str, by: list[str]) -> DataFrame:
@@ -99,12 +113,6 @@ def row_normalize(table: DataFrame, columns: list[str]) -> DataFrame:
     return table.withColumns({c: F.try_divide(F.col(c), total) for c in columns})
 
 
-def unit_rows(table: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns divided by their length in each row; null where it is 0."""
-    n = F.sqrt(sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0)))
-    return table.withColumns({c: F.try_divide(F.col(c), n) for c in columns})
-
-
 def sparse(triplets: DataFrame) -> DataFrame:
     """i, j, v with equal places summed."""
     return triplets.groupBy("i", "j").agg(F.sum("v").alias("v"))
@@ -113,8 +121,7 @@ def sparse(triplets: DataFrame) -> DataFrame:
 def compressed_columns(triplets: DataFrame) -> DataFrame:
     """j, rows, values and start (elements before the column): compressed storage by columns."""
     c = sparse(triplets).groupBy("j").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("e"))
-    before = W.orderBy("j").rowsBetween(W.unboundedPreceding, -1)
-    return c.select("j", F.col("e.i").alias("rows"), F.col("e.v").alias("values"), F.coalesce(F.sum(F.size("e")).over(before), F.lit(0)).alias("start"))
+    return before(c, ["j"], F.size("e"), "start").select("j", F.col("e.i").alias("rows"), F.col("e.v").alias("values"), "start")
 
 
 def diagonal(triplets: DataFrame, *, inverse: bool = False) -> DataFrame:
@@ -145,9 +152,12 @@ def list_shape(table: DataFrame, array: str) -> DataFrame:
     return table.agg(F.min(F.size(array)).alias("min_size"), F.max(F.size(array)).alias("max_size")).withColumn("rectangular", F.col("min_size") == F.col("max_size"))
 
 
-def combinations(table: DataFrame, column: str, k: int) -> DataFrame:
-    """All ascending k-tuples of a small column's distinct values, as columns c0, c1, ..."""
+def combinations(table: DataFrame, column: str, k: int, *, most: int = 1000) -> DataFrame:
+    """All ascending k-tuples of a column's distinct values, as columns c0, c1, ...; over `most` values are an error."""
     values = table.select(column).distinct()
+    if values.limit(most + 1).count() > most:
+        raise ValueError(f"{column} has over {most} distinct values")
+    values = F.broadcast(values)
     out = values.select(F.col(column).alias("c0"))
     for n in range(1, k):
         nxt = values.select(F.col(column).alias(f"c{n}"))

@@ -38,6 +38,12 @@ def face_cdf(areas: DataFrame) -> DataFrame:
     return areas.select("shape_id", "f_idx", "area", share(running - F.col("area")).alias("cdf_lo"), share(running).alias("cdf"))
 
 
+def shape_key(df: DataFrame) -> Column:
+    """A number for each shape_id: itself if it is one, a hash of any other."""
+    whole = df.schema["shape_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.pmod(F.col("shape_id").cast("long") if whole else F.xxhash64("shape_id"), F.lit(1 << 31))
+
+
 def uniform(shape: Column, draw: Column, stream: int, seed: int) -> Column:
     """A number in [0, 1) that shape, draw, stream and seed decide: one step of a 31-bit linear congruence over a mixed key."""
     key = (shape.cast("long") * 1_000_003 + draw.cast("long") * 7_919 + stream * 104_729 + seed) % (1 << 31)
@@ -51,7 +57,7 @@ def draw_faces(cdf: DataFrame, n: int, *, seed: int = 0) -> DataFrame:
     Draws and faces are merged by one sort per shape: a draw takes the nearest face whose cdf lies above it.
     """
     shapes = cdf.select("shape_id").distinct()
-    draws = shapes.select("shape_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("point_idx")).withColumn("at", uniform(F.col("shape_id"), F.col("point_idx"), 0, seed))
+    draws = shapes.select("shape_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("point_idx")).withColumn("at", uniform(shape_key(cdf), F.col("point_idx"), 0, seed))
     both = draws.select("shape_id", "at", "point_idx", F.lit(None).cast("int").alias("face")).unionByName(
         cdf.select("shape_id", F.col("cdf").alias("at"), F.lit(None).cast("int").alias("point_idx"), F.col("f_idx").cast("int").alias("face"))
     )
@@ -66,7 +72,8 @@ def sample_points(faces: DataFrame, vertices: DataFrame, n: int, *, seed: int =
     areas = face_areas(faces, vertices)
     drawn = draw_faces(face_cdf(areas.select("shape_id", "f_idx", "area")), n, seed=seed)
     on = drawn.join(areas.drop("area", "cross_area"), (drawn["shape_id"] == areas["shape_id"]) & (drawn["face_idx"] == areas["f_idx"])).drop(areas["shape_id"])
-    r1, r2 = F.sqrt(uniform(F.col("shape_id"), F.col("point_idx"), 1, seed)), uniform(F.col("shape_id"), F.col("point_idx"), 2, seed)
+    key = shape_key(drawn)
+    r1, r2 = F.sqrt(uniform(key, F.col("point_idx"), 1, seed)), uniform(key, F.col("point_idx"), 2, seed)
     a, b, c = (G.cols(p) for p in "abc")
     at = G.add(G.scale(a, 1 - r1), G.scale(b, r1 * (1 - r2)), G.scale(c, r1 * r2))
     center = G.scale(G.add(a, b, c), 1 / 3)

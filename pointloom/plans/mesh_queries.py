@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import random as rnd
+from ..functions import geometry as G, random as rnd
 from ..operators import graph, kernels, labels as lab, learning, mesh, normalize as nrm, relational as rel, sampling as smp
 from . import views as V
 from .views import r, table
@@ -101,10 +101,10 @@ def coincident_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(graph.surface_faces(smp.face_centroids(V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), 0.002), "d2")
 
 
-@query(_STRIP + f""", {V.CORNER}, few AS (SELECT * FROM corner WHERE f_idx % 4 = 1), n AS (SELECT shape_id, v_idx, row_number() OVER (PARTITION BY shape_id ORDER BY min(f_idx * 3 + k)) - 1 AS n FROM few GROUP BY 1, 2)
+@query(_STRIP + f""", {V.CORNER}, few AS (SELECT shape_id, 1000 - f_idx AS f_idx, k, v_idx FROM corner), n AS (SELECT shape_id, v_idx, row_number() OVER (PARTITION BY shape_id ORDER BY min(f_idx * 3 + k)) - 1 AS n FROM few GROUP BY 1, 2)
 SELECT shape_id, f_idx, CAST(max(CASE WHEN k = 0 THEN n END) AS INTEGER) AS v0, CAST(max(CASE WHEN k = 1 THEN n END) AS INTEGER) AS v1, CAST(max(CASE WHEN k = 2 THEN n END) AS INTEGER) AS v2 FROM few JOIN n USING (shape_id, v_idx) GROUP BY 1, 2""")
 def reindex_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.reindex(V.strip(spark, sf_dir).filter("f_idx % 4 = 1"))
+    return graph.reindex(V.strip(spark, sf_dir).withColumn("f_idx", 1000 - F.col("f_idx")))
 
 
 @query(f"WITH {V.POINTS}, {V.STRIP}, {V.DIRECTED} SELECT shape_id, a, b, faces, turns FROM sides")
@@ -201,9 +201,9 @@ def upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mesh.upsample(V.strip(spark, sf_dir), V.vertices(spark, sf_dir)), "x", "y", "z")
 
 
-@query(f"WITH {V.POINTS}, {V.STRIP}, {V.CORNER}, u AS (SELECT DISTINCT shape_id, v_idx FROM corner WHERE f_idx % 4 = 0) SELECT shape_id, v_idx, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY v_idx) - 1 AS INTEGER) AS new_idx FROM u")
+@query(f"WITH {V.POINTS}, {V.FACES}, {V.CORNER}, u AS (SELECT DISTINCT shape_id, v_idx FROM corner) SELECT shape_id, v_idx, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY v_idx) - 1 AS INTEGER) AS new_idx FROM u")
 def remove_unreferenced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mesh.remove_unreferenced(V.vertices(spark, sf_dir), V.strip(spark, sf_dir).filter("f_idx % 4 = 0")).select("shape_id", "v_idx", "new_idx")
+    return mesh.remove_unreferenced(V.vertices(spark, sf_dir), V.faces(spark, sf_dir)).select("shape_id", "v_idx", "new_idx")
 
 
 @query(f"WITH {V.POINTS}, {V.STRIP} SELECT shape_id, f_idx, v0 FROM faces WHERE v0 % 5 <> 0 AND v1 % 5 <> 0 AND v2 % 5 <> 0")
@@ -253,7 +253,11 @@ def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mesh.snap(*_halves(spark, sf_dir), "shape_id"), "d2")
 
 
-@query()
+#: The strip's faces run in turn one way and the other; of both sides the smaller one is turned, at a tie the first face's.
+_TURNED = f"""WITH {V.POINTS}, {V.STRIP}, o AS (SELECT f.*, CASE WHEN n % 2 = 0 THEN f_idx % 2 = 0 ELSE f_idx % 2 = 1 END AS turned FROM faces f JOIN (SELECT shape_id, count(*) AS n FROM faces GROUP BY 1) USING (shape_id))"""
+
+
+@query(_TURNED + " SELECT shape_id, f_idx, v0, CASE WHEN turned THEN v2 ELSE v1 END AS v1, CASE WHEN turned THEN v1 ELSE v2 END AS v2, turned FROM o")
 def orient_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.orient_faces(V.strip(spark, sf_dir))
 
@@ -300,7 +304,7 @@ def prob_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {V.PROBS}, g AS (SELECT CAST(unnest([0, 1, 1, 2, 2, 2]) AS INTEGER) AS g, CAST(unnest([0, 1, 2, 3, 4, 5]) AS INTEGER) AS label) SELECT p.shape_id, p.point_idx, g.label, round(p, 6)+0.0 AS p FROM probs p JOIN g ON g.g = p.label")
 def group_prob_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = V.probs(spark, sf_dir).filter("label < 3").withColumnRenamed("label", "group_idx")
+    p = V.probs(spark, sf_dir).withColumnRenamed("label", "group_idx")
     return _rounded(lab.spread_groups(p, V.groups(spark)), "p")
 
 
@@ -337,13 +341,14 @@ def label_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rf_train_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forests over the first 36 components; trained on three points of four, accuracy over all."""
+    """Forests over the first 36 components; trained on three points of four, accuracy over the fourth."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", 1, 36), lambda c: c.cast("double")).alias("f"))
     rows = e.select(F.lit(0).alias("shape_id"), F.col("vec_id").alias("point_idx"), "f", F.col("label").alias("label"))
     groups = [[0], [1, 2], [3, 4], [5, 6], [7, 8], [9]]
     models = learning.train(rows.filter("point_idx % 4 <> 0"), groups, trees=20, depth=8)
-    probs = learning.predict(rows.select("shape_id", "point_idx", "f"), models, groups, 10)
-    return learning.evaluate(probs, rows.select("shape_id", F.col("point_idx").alias("elem_idx"), "label"), 10)
+    rest = rows.filter("point_idx % 4 = 0")
+    probs = learning.predict(rest.select("shape_id", "point_idx", "f"), models, groups, 10)
+    return learning.evaluate(probs, rest.select("shape_id", F.col("point_idx").alias("elem_idx"), "label"), 10)
 
 
 # ---------------------------------------------------------------------------------------------- matrix-style
@@ -395,10 +400,10 @@ def group_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_rounded(rel.group_sums(table(spark, sf_dir, "lineitem"), "l_suppkey", ["l_quantity", "l_extendedprice"]), "l_quantity", digits=2), "l_extendedprice", digits=1)
 
 
-@query("SELECT c_custkey, min(c_custkey) AS first FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) GROUP BY 1")
+@query("SELECT c_custkey, min(c_custkey) AS first FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1")
 def setdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("at"))
-    return rel.setdiff(c, table(spark, sf_dir, "orders").filter("o_orderkey % 7 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "at")
+    return rel.setdiff(c, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("c_custkey")), "c_custkey", "at")
 
 
 @query("SELECT c_nationkey AS k, count(*) AS n FROM customer JOIN supplier ON s_nationkey = c_nationkey GROUP BY 1")
@@ -418,11 +423,13 @@ def slice_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("vec_id", *(r(F.get("s", F.lit(k)).cast("double")).alias(n) for k, n in enumerate("abc")))
 
 
-@query("SELECT n.n_nationkey AS new, p.n_name FROM nation n JOIN nation p ON p.n_nationkey = (n.n_nationkey * 3) % 25")
+@query("SELECT p.p_partkey AS new, q.p_name FROM part p JOIN part q ON q.p_partkey = (SELECT max(p_partkey) + min(p_partkey) FROM part) - p.p_partkey")
 def slice_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    places = n.select(F.col("n_nationkey").alias("new"), ((F.col("n_nationkey") * 3) % 25).alias("old"))
-    return rel.slice_rows(n.select("n_nationkey", "n_name"), places, "n_nationkey")
+    """The rows of a table in the opposite order."""
+    n = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    ends = n.agg((F.max("p_partkey") + F.min("p_partkey")).alias("ends"))
+    places = n.select("p_partkey").join(F.broadcast(ends)).select(F.col("p_partkey").alias("new"), (F.col("ends") - F.col("p_partkey")).alias("old"))
+    return rel.slice_rows(n, places, "p_partkey")
 
 
 @query("SELECT c_custkey, round(coalesce(t, c_acctbal), 2)+0.0 AS c_acctbal FROM customer LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -431,9 +438,9 @@ def slice_into(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rel.slice_into(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), new, "c_custkey", "c_acctbal"), "c_acctbal", digits=2)
 
 
-@query("SELECT n_nationkey, n_name, CAST(copy AS INTEGER) AS copy FROM nation, range(3) t(copy)")
+@query("SELECT o_orderkey, o_orderstatus, CAST(copy AS INTEGER) AS copy FROM orders, range(3) t(copy)")
 def repmat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rel.repeat_rows(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 3)
+    return rel.repeat_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), 3)
 
 
 @query("SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY (((p_partkey * 48271 + 7) % 2147483647) * 48271) % 2147483647, p_partkey) - 1 AS INTEGER) AS place FROM part")
@@ -518,17 +525,32 @@ def enclosing_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.enclosing_balls(V.points(spark, sf_dir))
 
 
-@query()
+def _farthest_sql(k: int) -> str:
+    """Seeds one after the other: a table for each seed's distances and one for the least of all so far."""
+    d = lambda g: f"(p.x-s{g}.x)*(p.x-s{g}.x)+(p.y-s{g}.y)*(p.y-s{g}.y)+(p.z-s{g}.z)*(p.z-s{g}.z)"
+    out = f"WITH {V.POINTS}, s0 AS (SELECT shape_id, x, y, z FROM points WHERE point_idx = 0), b0 AS (SELECT p.*, {d(0)} AS d2, 0 AS seed FROM points p JOIN s0 USING (shape_id))"
+    for g in range(1, k):
+        out += f""", s{g} AS (SELECT shape_id, arg_max(x, (d2, -point_idx)) AS x, arg_max(y, (d2, -point_idx)) AS y, arg_max(z, (d2, -point_idx)) AS z FROM b{g - 1} GROUP BY 1),
+        b{g} AS (SELECT p.shape_id, p.point_idx, p.label, p.x, p.y, p.z, least(d2, {d(g)}) AS d2, CASE WHEN {d(g)} < d2 THEN {g} ELSE seed END AS seed FROM b{g - 1} p JOIN s{g} USING (shape_id))"""
+    return out + f" SELECT shape_id, point_idx, seed, round(d2, 6)+0.0 AS d2 FROM b{k - 1}"
+
+
+@query(_farthest_sql(5))
 def farthest_point_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(kernels.farthest_groups(V.points(spark, sf_dir), 5), "d2")
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.POINTS}, near AS (SELECT a.shape_id, a.point_idx, coalesce(list(b.point_idx ORDER BY b.point_idx) FILTER (WHERE b.point_idx < a.point_idx AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.1::DOUBLE * 0.1::DOUBLE), []) AS near FROM points a JOIN points b USING (shape_id) GROUP BY 1, 2),
+walk(shape_id, point_idx, kept, held) AS (SELECT DISTINCT shape_id, 0, 0, [0] FROM points
+  UNION ALL SELECT n.shape_id, n.point_idx, coalesce(list_min(list_intersect(held, near)), n.point_idx), CASE WHEN len(list_intersect(held, near)) = 0 THEN list_append(held, n.point_idx) ELSE held END FROM walk w JOIN near n ON n.shape_id = w.shape_id AND n.point_idx = w.point_idx + 1)
+SELECT shape_id, point_idx, kept FROM walk""")
 def dedup_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kernels.greedy_merge(V.points(spark, sf_dir), 0.1)
 
 
-@query()
+@query(_TURNED + """, p AS (SELECT shape_id, max(v2) AS last, count(*) % 2 = 1 AS odd FROM faces GROUP BY 1), v AS (SELECT shape_id, unnest(range(0, last + 1)) AS v, last, odd FROM p),
+k AS (SELECT *, CASE WHEN odd = (v % 2 = 0) THEN 1 ELSE 0 END AS down FROM v)
+SELECT shape_id, 0 AS loop, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY v > 0, down, CASE WHEN down = 1 THEN -v ELSE v END) - 1 AS INTEGER) AS place, CAST(v AS INTEGER) AS v FROM k""")
 def boundary_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = graph.orient_faces(V.strip(spark, sf_dir))
     d = mesh.directed_edges(f)
@@ -552,11 +574,11 @@ def sample_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mesh.edge_samples(mesh.edge_counts(V.faces(spark, sf_dir)), V.vertices(spark, sf_dir), 2), "x", "y", "z", digits=5)
 
 
-@query(_FACES + """, q AS (SELECT shape_id, point_idx AS q_idx, x + 0.01 AS x, y, z FROM points WHERE point_idx < 5), t AS (SELECT q.shape_id, q_idx, ax-x AS ax, ay-y AS ay, az-z AS az, bx-x AS bx, "by"-y AS "by", bz-z AS bz, cx-x AS cx, cy-y AS cy, cz-z AS cz FROM corners c JOIN q USING (shape_id)),
+@query(_FACES + """, q AS (SELECT shape_id, point_idx AS q_idx, x + 0.01 AS x, y, z FROM points), t AS (SELECT q.shape_id, q_idx, ax-x AS ax, ay-y AS ay, az-z AS az, bx-x AS bx, "by"-y AS "by", bz-z AS bz, cx-x AS cx, cy-y AS cy, cz-z AS cz FROM corners c JOIN q USING (shape_id)),
 l AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS la, sqrt(bx*bx+"by"*"by"+bz*bz) AS lb, sqrt(cx*cx+cy*cy+cz*cz) AS lc FROM t)
 SELECT shape_id, q_idx, round(sum(2*atan2(ax*("by"*cz-bz*cy)+ay*(bz*cx-bx*cz)+az*(bx*cy-"by"*cx), la*lb*lc+(ax*bx+ay*"by"+az*bz)*lc+(bx*cx+"by"*cy+bz*cz)*la+(cx*ax+cy*ay+cz*az)*lb))/(4*pi()), 5)+0.0 AS w FROM l GROUP BY 1, 2""")
 def winding_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = V.points(spark, sf_dir).filter("point_idx < 5").select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
+    q = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
     return _rounded(mesh.winding_numbers(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "w", digits=5)
 
 
@@ -565,9 +587,101 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mesh.in_polygon(V.points(spark, sf_dir), [(0.0, -0.1), (0.1, -0.1), (0.1, 0.1), (-0.1, 0.1)]).select("shape_id", "point_idx", "inside")
 
 
-@query()
+_TURN = G.rotation((0.0, 0.6, 0.8), 25.0)
+
+
+@query("SELECT DISTINCT CAST(vec_id // 125 AS INTEGER) AS shape_id, 1.5::DOUBLE AS scale, " + ", ".join(f"round({_TURN[i][j]!r}::DOUBLE, 6)+0.0 AS r{i}{j}" for i in range(3) for j in range(3)) + ", 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2 FROM embeddings")
 def procrustes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The turn that undoes a known one."""
+    """The similarity that takes each shape to a copy turned and scaled in a known way."""
     p = V.points(spark, sf_dir)
     turned = nrm.rescale(nrm.rotate_axis_angle(p, axis=(0.0, 0.6, 0.8), degrees=25.0), 1.5).select("shape_id", "point_idx", *(F.col(a).alias(b) for a, b in zip("xyz", "uvw", strict=True)))
-    return kernels.align(p.join(turned, ["shape_id", "point_idx"]))
+    a = kernels.align(p.join(turned, ["shape_id", "point_idx"]))
+    return a.select("shape_id", r(F.col("scale")).alias("scale"), *(r(F.get("rotation", F.lit(3 * i + j))).alias(f"r{i}{j}") for i in range(3) for j in range(3)), *(r(F.get("shift", F.lit(k))).alias(f"s{k}") for k in range(3)))
+
+
+# ---------------------------------------------------------------------------------------------- corners, gradients, topology
+
+
+@query(_STRIP + f""", {V.CORNER}, n AS (SELECT c.shape_id, c.f_idx, c.k, c.v_idx, ux/(2*area) AS nx, uy/(2*area) AS ny, uz/(2*area) AS nz, 2*area AS w FROM corner c JOIN area a USING (shape_id, f_idx)),
+s AS (SELECT a.shape_id, a.f_idx, a.k, sum(b.nx*b.w) AS x, sum(b.ny*b.w) AS y, sum(b.nz*b.w) AS z FROM n a JOIN n b ON a.shape_id = b.shape_id AND a.v_idx = b.v_idx AND a.nx*b.nx+a.ny*b.ny+a.nz*b.nz > cos(radians(40)) GROUP BY 1, 2, 3)
+SELECT shape_id, f_idx, k, round(x/sqrt(x*x+y*y+z*z), 4)+0.0 AS nx, round(y/sqrt(x*x+y*y+z*z), 4)+0.0 AS ny, round(z/sqrt(x*x+y*y+z*z), 4)+0.0 AS nz FROM s""")
+def per_corner_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(mesh.corner_normals(V.strip(spark, sf_dir), V.vertices(spark, sf_dir), 40.0), "nx", "ny", "nz", digits=4)
+
+
+@query(_STRIP + """, h AS (SELECT n.*, p.z + p.x AS h0, q.z + q.x AS h1, s.z + s.x AS h2 FROM n0 n JOIN points p ON p.shape_id = n.shape_id AND p.point_idx = v0 JOIN points q ON q.shape_id = n.shape_id AND q.point_idx = v1 JOIN points s ON s.shape_id = n.shape_id AND s.point_idx = v2),
+e AS (SELECT *, h0*(cx-bx)+h1*(ax-cx)+h2*(bx-ax) AS ex, h0*(cy-"by")+h1*(ay-cy)+h2*("by"-ay) AS ey, h0*(cz-bz)+h1*(az-cz)+h2*(bz-az) AS ez, ux*ux+uy*uy+uz*uz AS nn FROM h)
+SELECT shape_id, f_idx, round((uy*ez-uz*ey)/nn, 4)+0.0 AS gx, round((uz*ex-ux*ez)/nn, 4)+0.0 AS gy, round((ux*ey-uy*ex)/nn, 4)+0.0 AS gz FROM e""")
+def gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    values = V.vertices(spark, sf_dir).select("shape_id", "v_idx", (F.col("z") + F.col("x")).alias("value"))
+    return _rounded(mesh.gradients(V.strip(spark, sf_dir), V.vertices(spark, sf_dir), values), "gx", "gy", "gz", digits=4)
+
+
+@query(_FACES + """, q AS (SELECT c.*, p.x - ax AS qx, p.y - ay AS qy, p.z - az AS qz FROM corners c JOIN points p ON p.shape_id = c.shape_id AND p.point_idx = c.f_idx),
+d AS (SELECT *, (bx-ax)*(bx-ax)+("by"-ay)*("by"-ay)+(bz-az)*(bz-az) AS d00, (bx-ax)*(cx-ax)+("by"-ay)*(cy-ay)+(bz-az)*(cz-az) AS d01, (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az) AS d11, qx*(bx-ax)+qy*("by"-ay)+qz*(bz-az) AS d20, qx*(cx-ax)+qy*(cy-ay)+qz*(cz-az) AS d21 FROM q),
+l AS (SELECT *, (d11*d20-d01*d21)/(d00*d11-d01*d01) AS l1, (d00*d21-d01*d20)/(d00*d11-d01*d01) AS l2 FROM d) SELECT shape_id, f_idx AS q_idx, f_idx, round(1-l1-l2, 4)+0.0 AS l0, round(l1, 4)+0.0 AS l1, round(l2, 4)+0.0 AS l2 FROM l""")
+def barycentric_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), F.col("point_idx").alias("f_idx"), "x", "y", "z")
+    return _rounded(mesh.barycentric(p, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "l0", "l1", "l2", digits=4)
+
+
+@query(f"WITH {V.POINTS}, {V.STRIP}, {V.DIRECTED} SELECT shape_id, least(u, v) AS a, greatest(u, v) AS b, min(f_idx) AS f0, CASE WHEN min(f_idx) = max(f_idx) THEN -1 ELSE max(f_idx) END AS f1 FROM directed GROUP BY 1, 2, 3")
+def edge_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.edge_topology(V.strip(spark, sf_dir))
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strips of ten vertices each."""
+    return V.strip(spark, sf_dir).filter("v0 div 10 = v2 div 10")
+
+
+@query(f"WITH {V.POINTS}, {V.STRIP} SELECT shape_id, f_idx, CAST(dense_rank() OVER (PARTITION BY shape_id ORDER BY v0 // 10) - 1 AS INTEGER) AS component FROM faces WHERE v0 // 10 = v2 // 10")
+def facet_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.facet_components(_blocks(spark, sf_dir))
+
+
+@query(f"WITH {V.POINTS}, {V.FACES}, c AS (SELECT shape_id, f_idx, unnest([v0 % 9, v1, v2]) AS v_idx FROM faces WHERE v1 > 9) SELECT shape_id, v_idx, count(*) = 1 AS manifold FROM c GROUP BY 1, 2")
+def vertex_manifold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Separate faces, pinched together at three vertices of each shape."""
+    return mesh.vertex_manifold(V.faces(spark, sf_dir).filter("v1 > 9").withColumn("v0", F.col("v0") % 9))
+
+
+@query(f"""WITH {V.POINTS}, {V.STRIP}, m AS (SELECT shape_id, f_idx, v0 % 6 AS v0, v1 % 6 AS v1, v2 % 6 AS v2 FROM faces),
+u AS (SELECT *, list_sort([v0, v1, v2]) AS c, CASE WHEN v0 = least(v0, v1, v2) THEN v1 < v2 WHEN v1 = least(v0, v1, v2) THEN v2 < v0 ELSE v0 < v1 END AS up FROM m),
+s AS (SELECT shape_id, c, sum(CASE WHEN up THEN 1 ELSE -1 END) AS n, min(f_idx) FILTER (WHERE up) AS a, min(f_idx) FILTER (WHERE NOT up) AS b FROM u GROUP BY 1, 2)
+SELECT u.shape_id, u.f_idx, v0, v1, v2 FROM u JOIN s ON s.shape_id = u.shape_id AND u.f_idx = CASE WHEN n > 0 THEN a WHEN n < 0 THEN b END""")
+def resolve_duplicated_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = V.strip(spark, sf_dir).withColumns({v: F.col(v) % 6 for v in ("v0", "v1", "v2")})
+    return mesh.resolve_duplicates(f).select("shape_id", "f_idx", "v0", "v1", "v2")
+
+
+def _side_sql(u: str, v: str) -> str:
+    e = [f"({v}{c}-{u}{c})" for c in "xyz"]
+    w = [f"(q{c}-{u}{c})" for c in "xyz"]
+    dot = lambda a, b: "(" + "+".join(f"{x}*{y}" for x, y in zip(a, b, strict=True)) + ")"
+    t = f"greatest(0.0, least(1.0, {dot(w, e)}/{dot(e, e)}))"
+    d = [f"({a}-{b}*{t})" for a, b in zip(w, e, strict=True)]
+    return dot(d, d)
+
+
+def _turns_sql(u: str, v: str) -> str:
+    """Whether q lies on the inner side of u to v, seen along the normal."""
+    e = [f"({v}{c}-{u}{c})" for c in "xyz"]
+    w = [f"(q{c}-{u}{c})" for c in "xyz"]
+    return f"(({e[1]}*{w[2]}-{e[2]}*{w[1]})*ux+({e[2]}*{w[0]}-{e[0]}*{w[2]})*uy+({e[0]}*{w[1]}-{e[1]}*{w[0]})*uz >= 0)"
+
+
+@query((_FACES + f""", q AS (SELECT n.*, p.point_idx AS q_idx, p.x + 0.05 AS qx, p.y AS qy, p.z AS qz FROM n0 n JOIN points p USING (shape_id)),
+d AS (SELECT shape_id, q_idx, f_idx, CASE WHEN {_turns_sql("a", "b")} AND {_turns_sql("b", "c")} AND {_turns_sql("c", "a")} THEN ((qx-ax)*ux+(qy-ay)*uy+(qz-az)*uz)*((qx-ax)*ux+(qy-ay)*uy+(qz-az)*uz)/(ux*ux+uy*uy+uz*uz)
+  ELSE least({_side_sql("a", "b")}, {_side_sql("b", "c")}, {_side_sql("c", "a")}) END AS d2 FROM q)
+SELECT shape_id, q_idx, round(min(d2), 6)+0.0 AS d2 FROM d GROUP BY 1, 2""").replace("-by", '-"by"').replace("(by", '("by"'))
+def point_mesh_squared_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.05).alias("x"), "y", "z")
+    return _rounded(mesh.point_mesh_distance(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)).select("shape_id", "q_idx", "d2"), "d2")
+
+
+@query("WITH s AS (SELECT event_id, event_id % 4294967296 AS seed FROM events), m AS (SELECT event_id, 698769069 * seed + (seed * 7 + 1) % 4294967296 AS w, (69069 * seed + 12345) % 4294967296 AS c, seed + 1 AS s FROM s), a AS (SELECT *, xor(s, (s << 13) & 4294967295) AS a FROM m), b AS (SELECT *, xor(a, a >> 17) AS b FROM a) SELECT event_id, w >> 32 AS upper, w & 4294967295 AS lower, ((w & 4294967295) + c + xor(b, (b << 5) & 4294967295)) & 4294967295 AS kiss2 FROM b")
+def random_generators_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.col("event_id") % (1 << 32)
+    u, v, _, _, x = rnd.kiss2(((seed * 7 + 1) % (1 << 32), seed), seed, seed + 1)
+    return table(spark, sf_dir, "events").select("event_id", u.alias("upper"), v.alias("lower"), x.alias("kiss2"))

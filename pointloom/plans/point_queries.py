@@ -137,10 +137,10 @@ def farthest_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest_by_path(_pairs(spark, sf_dir), 5, compat=True).select("shape_id", "src", "dst", "rank", r(F.col("d")).alias("d"))
 
 
-@query(f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, want AS (SELECT shape_id, point_idx AS src, (7 * point_idx + 3) % 11 AS dst FROM points WHERE point_idx < 11)
+@query(f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, want AS (SELECT shape_id, point_idx AS src, (7 * point_idx + 3) % 125 AS dst FROM points)
 SELECT w.shape_id, w.src, w.dst, round(CASE WHEN w.src = w.dst THEN 0 ELSE d END, 6)+0.0 AS d FROM want w LEFT JOIN nbrs n ON n.shape_id = w.shape_id AND n.src = w.src AND n.dst = w.dst""")
 def path_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    want = V.points(spark, sf_dir).filter("point_idx < 11").select("shape_id", F.col("point_idx").alias("src"), ((7 * F.col("point_idx") + 3) % 11).alias("dst"))
+    want = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("src"), ((7 * F.col("point_idx") + 3) % 125).alias("dst"))
     return graph.distance_of(_pairs(spark, sf_dir), want).select("shape_id", "src", "dst", r(F.col("d")).alias("d"))
 
 
@@ -169,12 +169,14 @@ def local_extrema_two_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- features
 
-_SECOND = f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, m AS (SELECT n.shape_id, n.src AS point_idx, avg(x*x) AS a, avg(x*y) AS b, avg(x*z) AS c, avg(y*y) AS d, avg(y*z) AS e, avg(z*z) AS f, var_pop(z) AS zv
-  FROM nbrs n JOIN points p ON p.shape_id = n.shape_id AND p.point_idx = n.dst WHERE n.d < {{radius}} GROUP BY 1, 2)"""
+_SECOND = f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, m AS (SELECT o.shape_id, o.src AS point_idx, avg(x*x) AS a, avg(x*y) AS b, avg(x*z) AS c, avg(y*y) AS d, avg(y*z) AS e, avg(z*z) AS f, var_pop(z) AS zv
+  FROM (SELECT shape_id, point_idx AS src FROM points) o LEFT JOIN (SELECT shape_id, src, dst FROM nbrs WHERE d < {{radius}}) n USING (shape_id, src) LEFT JOIN points p ON p.shape_id = o.shape_id AND p.point_idx = n.dst GROUP BY 1, 2)"""
 
 
 def _hood(spark: SparkSession, sf_dir: str, radius: float) -> DataFrame:
-    return feat.neighbourhoods(_pairs(spark, sf_dir), V.points(spark, sf_dir), (radius,)).filter("e2_0 is not null")
+    """All points; null where none is near."""
+    p = V.points(spark, sf_dir)
+    return p.select("shape_id", "point_idx").join(feat.neighbourhoods(_pairs(spark, sf_dir), p, (radius,)), ["shape_id", "point_idx"], "left")
 
 
 @query(_SECOND.format(radius=0.3) + f", {V.eig()} SELECT shape_id, point_idx, round(l2/l1, 5)+0.0 AS e2, round(l3/l1, 5)+0.0 AS e3 FROM eig")
@@ -182,10 +184,9 @@ def eig_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hood(spark, sf_dir, 0.3).select("shape_id", "point_idx", r(F.col("e2_0"), 5).alias("e2"), r(F.col("e3_0"), 5).alias("e3"))
 
 
-@query(_SECOND.format(radius=0.3) + f", {V.eig()}, {V.eigenvector('l1', 'eig', 'v')}, {V.eigenvector('l3', '(SELECT * RENAME (ex AS fx, ey AS fy, ez AS fz) FROM v)', 'w')} SELECT shape_id, point_idx, round(abs(fy), 4)+0.0 AS g1, round(abs(ey), 4)+0.0 AS g3 FROM w WHERE l2 > l3 * 1.05 AND l1 > l2 * 1.05")
+@query(_SECOND.format(radius=0.3) + f", {V.eig()}, {V.eigenvector('l1', 'eig', 'v')}, {V.eigenvector('l3', '(SELECT * RENAME (ex AS fx, ey AS fy, ez AS fz) FROM v)', 'w')} SELECT shape_id, point_idx, CASE WHEN a IS NOT NULL THEN round(CASE WHEN l1 - l2 > 1e-3 * l1 THEN abs(fy) ELSE 0 END, 4)+0.0 END AS g1, CASE WHEN a IS NOT NULL THEN round(CASE WHEN l2 - l3 > 1e-3 * l1 THEN abs(ey) ELSE 0 END, 4)+0.0 END AS g3 FROM w")
 def gravity_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only where the eigenvalues are well apart, so that the axes are well defined."""
-    h = _hood(spark, sf_dir, 0.3).filter("e2_0 > e3_0 * 1.05 and 1 > e2_0 * 1.05")
+    h = _hood(spark, sf_dir, 0.3)
     return h.select("shape_id", "point_idx", r(F.col("g1_0"), 4).alias("g1"), r(F.col("g3_0"), 4).alias("g3"))
 
 
@@ -194,20 +195,18 @@ def z_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hood(spark, sf_dir, 0.2).select("shape_id", "point_idx", r(F.col("zv_0")).alias("z_variance"))
 
 
-@query(f"""WITH {V.POINTS}, m AS (SELECT a.shape_id, a.point_idx, any_value(a.x) AS px, any_value(a.y) AS py, any_value(a.z) AS pz, count(*) AS n, covar_pop(b.x, b.x) AS a, covar_pop(b.x, b.y) AS b, covar_pop(b.x, b.z) AS c, covar_pop(b.y, b.y) AS d, covar_pop(b.y, b.z) AS e, covar_pop(b.z, b.z) AS f
-  FROM points a JOIN points b ON b.shape_id = a.shape_id AND (a.point_idx = b.point_idx OR sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < 0.15) GROUP BY 1, 2),
-{V.eig("(SELECT * FROM m WHERE n >= 6)")}, {V.eigenvector('l3', 'eig', 'v')}
-SELECT shape_id, point_idx, round(CASE WHEN ex*px+ey*py+ez*pz > 0 THEN -ex ELSE ex END, 3)+0.0 AS nx, round(CASE WHEN ex*px+ey*py+ez*pz > 0 THEN -ey ELSE ey END, 3)+0.0 AS ny, round(CASE WHEN ex*px+ey*py+ez*pz > 0 THEN -ez ELSE ez END, 3)+0.0 AS nz FROM v WHERE l2 > l3 * 1.2""")
+def _normals_sql(radius: float) -> str:
+    """A table nrm of all points with nx, ny, nz (null where there is no normal)."""
+    return f"""nm AS (SELECT a.shape_id, a.point_idx, any_value(a.x) AS px, any_value(a.y) AS py, any_value(a.z) AS pz, count(*) AS n, covar_pop(b.x, b.x) AS a, covar_pop(b.x, b.y) AS b, covar_pop(b.x, b.z) AS c, covar_pop(b.y, b.y) AS d, covar_pop(b.y, b.z) AS e, covar_pop(b.z, b.z) AS f
+  FROM points a JOIN points b ON b.shape_id = a.shape_id AND (a.point_idx = b.point_idx OR sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)) < {radius}) GROUP BY 1, 2),
+{V.eig("nm").replace("q0 AS", "nq0 AS").replace("q1 AS", "nq1 AS").replace("q2 AS", "nq2 AS").replace("q3 AS", "nq3 AS").replace("eig AS", "neig AS").replace("FROM q", "FROM nq")}, {V.eigenvector('l3', 'neig', 'nv')},
+nrm AS (SELECT shape_id, point_idx, CASE WHEN n >= 3 AND l2 - l3 > 1e-3 * l1 THEN CASE WHEN ex*px+ey*py+ez*pz > 0 THEN -ex ELSE ex END END AS nx, CASE WHEN n >= 3 AND l2 - l3 > 1e-3 * l1 THEN CASE WHEN ex*px+ey*py+ez*pz > 0 THEN -ey ELSE ey END END AS ny,
+  CASE WHEN n >= 3 AND l2 - l3 > 1e-3 * l1 THEN CASE WHEN ex*px+ey*py+ez*pz > 0 THEN -ez ELSE ez END END AS nz FROM nv)"""
+
+
+@query(f"WITH {V.POINTS}, {_normals_sql(0.15)} SELECT shape_id, point_idx, round(nx, 3)+0.0 AS nx, round(ny, 3)+0.0 AS ny, round(nz, 3)+0.0 AS nz FROM nrm")
 def normals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only points with six neighbours and a clearly smallest spread."""
-    p = V.points(spark, sf_dir)
-    near = graph.radius_pairs(p, 0.15).select("shape_id", F.col("i").alias("src"), F.col("j").alias("dst"))
-    own = p.select("shape_id", F.col("point_idx").alias("src"), F.col("point_idx").alias("dst"))
-    met = feat.with_neighbour(near.union(own), p).groupBy("shape_id", F.col("src").alias("point_idx"))
-    m = met.agg(F.count(F.lit(1)).alias("n"), *(F.covar_pop(a, b).alias("m" + a + b) for a, b in (("x", "x"), ("x", "y"), ("x", "z"), ("y", "y"), ("y", "z"), ("z", "z"))))
-    m = G.with_eigenvalues(m, ["m" + k for k in ("xx", "xy", "xz", "yy", "yz", "zz")], "l")
-    clear = m.filter("n >= 6 and l2 > l3 * 1.2").select("shape_id", "point_idx")
-    return feat.normals(p, 0.15).join(clear, ["shape_id", "point_idx"]).select("shape_id", "point_idx", *(r(F.col(c), 3).alias(c) for c in ("nx", "ny", "nz")))
+    return feat.normals(V.points(spark, sf_dir), 0.15).select("shape_id", "point_idx", *(r(F.col(c), 3).alias(c) for c in ("nx", "ny", "nz")))
 
 
 @query(f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, b AS (SELECT shape_id, src, CAST(floor(8*d/1.3+0.5) AS INTEGER) AS b FROM nbrs WHERE d <= 1.3)
@@ -217,27 +216,60 @@ def geodesic_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.filter("share > 0").select("shape_id", "point_idx", "bin", r(F.col("share")).alias("share"))
 
 
-@query(f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, s AS (SELECT n.shape_id, n.src, avg(p.z) AS m, count(*) AS k, sum(p.z) AS t FROM nbrs n JOIN points p ON p.shape_id = n.shape_id AND p.point_idx = n.dst WHERE d < 0.3 GROUP BY 1, 2)
-SELECT p.shape_id, p.point_idx, round((p.z + coalesce(t, 0)) / (coalesce(k, 0) + 1), 6)+0.0 AS mean_curvature FROM points p LEFT JOIN s ON s.shape_id = p.shape_id AND s.src = p.point_idx""")
+def _curvature_sql(radius: float) -> str:
+    """Tables nrm and cv: all points with their curvature."""
+    return f"""{_normals_sql(radius)}, t AS (SELECT n.shape_id, n.src, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz FROM nbrs n JOIN points a ON a.shape_id = n.shape_id AND a.point_idx = n.src JOIN points b ON b.shape_id = n.shape_id AND b.point_idx = n.dst WHERE n.d < {radius}),
+bend AS (SELECT shape_id, src, sum(dx/sqrt(dx*dx+dy*dy+dz*dz)) AS sx, sum(dy/sqrt(dx*dx+dy*dy+dz*dz)) AS sy, sum(dz/sqrt(dx*dx+dy*dy+dz*dz)) AS sz, count(*) AS n FROM t WHERE dx*dx+dy*dy+dz*dz > 0 GROUP BY 1, 2),
+cv AS (SELECT p.shape_id, p.point_idx, coalesce(abs(sx*nx+sy*ny+sz*nz)/n, 0) AS curvature FROM nrm p LEFT JOIN bend s ON s.shape_id = p.shape_id AND s.src = p.point_idx)"""
+
+
+_MEAN = """smooth AS (SELECT c.shape_id, c.point_idx, any_value(c.curvature) AS curvature, (any_value(c.curvature) + coalesce(sum(o.curvature), 0)) / (count(o.point_idx) + 1) AS mean_curvature
+  FROM cv c LEFT JOIN nbrs n ON n.shape_id = c.shape_id AND n.src = c.point_idx AND n.d < 0.3 LEFT JOIN cv o ON o.shape_id = n.shape_id AND o.point_idx = n.dst GROUP BY 1, 2)"""
+
+
+def _curved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = V.points(spark, sf_dir)
+    pairs = _pairs(spark, sf_dir)
+    return pairs, feat.curvature(pairs, p, feat.normals(p, 0.15), 0.15)
+
+
+@query(f"WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, {_curvature_sql(0.15)}, {_MEAN} SELECT shape_id, point_idx, round(mean_curvature, 5)+0.0 AS mean_curvature FROM smooth")
 def mean_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoothing alone, over z in the place of curvature."""
-    own = V.points(spark, sf_dir).select("shape_id", "point_idx", F.col("z").alias("curvature"))
-    return feat.mean_curvature(_pairs(spark, sf_dir), own).select("shape_id", "point_idx", r(F.col("mean_curvature")).alias("mean_curvature"))
+    return feat.mean_curvature(*_curved(spark, sf_dir)).select("shape_id", "point_idx", r(F.col("mean_curvature"), 5).alias("mean_curvature"))
 
 
-@query(f"""WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, t AS (SELECT n.shape_id, n.src, b.x-a.x AS dx, b.y-a.y AS dy, b.z-a.z AS dz, a.x, a.y, a.z FROM nbrs n JOIN points a ON a.shape_id = n.shape_id AND a.point_idx = n.src JOIN points b ON b.shape_id = n.shape_id AND b.point_idx = n.dst WHERE n.d < 0.15),
-s AS (SELECT shape_id, src, abs(sum(dx/sqrt(dx*dx+dy*dy+dz*dz)*x) + sum(dy/sqrt(dx*dx+dy*dy+dz*dz)*y) + sum(dz/sqrt(dx*dx+dy*dy+dz*dz)*z)) / count(*) AS c FROM t GROUP BY 1, 2)
-SELECT p.shape_id, p.point_idx, round(coalesce(c, 0), 6)+0.0 AS curvature FROM points p LEFT JOIN s ON s.shape_id = p.shape_id AND s.src = p.point_idx""")
+@query(f"WITH RECURSIVE {V.POINTS}, {V.KNN}, {V.GEODESIC()}, {_curvature_sql(0.15)} SELECT shape_id, point_idx, round(curvature, 5)+0.0 AS curvature FROM cv")
 def curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The formula alone, with the points themselves in the place of normals."""
-    p = V.points(spark, sf_dir)
-    stand_in = p.select("shape_id", "point_idx", *(F.col(c).alias("n" + c) for c in "xyz"))
-    return feat.curvature(_pairs(spark, sf_dir), p, stand_in, 0.15).select("shape_id", "point_idx", r(F.col("curvature")).alias("curvature"))
+    return _curved(spark, sf_dir)[1].select("shape_id", "point_idx", r(F.col("curvature"), 5).alias("curvature"))
+
 
+_UNIT = V.POINTS.replace("points AS", "raw AS", 1) + """, box AS (SELECT shape_id, min(x) AS lx, min(y) AS ly, min(z) AS lz, max(x) AS hx, max(y) AS hy, max(z) AS hz FROM raw GROUP BY 1),
+box2 AS (SELECT *, (hx+lx)/2 AS mx, (hy+ly)/2 AS my, (hz+lz)/2 AS mz, sqrt((hx-lx)*(hx-lx)+(hy-ly)*(hy-ly)+(hz-lz)*(hz-lz)) AS diag FROM box),
+points AS (SELECT p.shape_id, point_idx, label, (x-mx)/diag AS x, (y-my)/diag AS y, (z-mz+(hz-lz)/2)/diag AS z FROM raw p JOIN box2 USING (shape_id))"""
 
-@query()
+
+def _vector_sql() -> str:
+    """All 36 features: five rows of moments a point, one for each radius, turned into columns."""
+    radii = ", ".join(f"({k}, {x})" for k, x in enumerate(feat.RADII))
+    of = lambda c, k: f"coalesce(max(CASE WHEN k = {k} THEN {c} END), 0)"
+    names = [of(c, k) for k in range(5) for c in ("e2", "e3", "g1", "g3")] + [of("zv", k) for k in range(5)]
+    tail = ["height", "curvature", "mean_curvature", *(f"coalesce(h{b}, 0)" for b in range(8))]
+    outer = ", ".join(f"round({c}, 4)+0.0 AS f{k}" for k, c in enumerate([f"v{k}" for k in range(25)] + tail))
+    return f"""WITH RECURSIVE {_UNIT}, {V.KNN}, {V.GEODESIC()}, radius(k, r) AS (VALUES {radii}),
+m AS (SELECT n.shape_id, n.src AS point_idx, k, avg(x*x) AS a, avg(x*y) AS b, avg(x*z) AS c, avg(y*y) AS d, avg(y*z) AS e, avg(z*z) AS f, var_pop(z) AS zv FROM nbrs n JOIN radius ON n.d < r JOIN points p ON p.shape_id = n.shape_id AND p.point_idx = n.dst GROUP BY 1, 2, 3),
+{V.eig()}, {V.eigenvector('l1', 'eig', 'v')}, {V.eigenvector('l3', '(SELECT * RENAME (ex AS fx, ey AS fy, ez AS fz) FROM v)', 'w')},
+part AS (SELECT shape_id, point_idx, k, coalesce(l2/l1, 0) AS e2, coalesce(l3/l1, 0) AS e3, CASE WHEN l1 - l2 > 1e-3 * l1 THEN abs(fy) ELSE 0 END AS g1, CASE WHEN l2 - l3 > 1e-3 * l1 THEN abs(ey) ELSE 0 END AS g3, zv FROM w),
+wide AS (SELECT p.shape_id, p.point_idx, {", ".join(f"{c} AS v{k}" for k, c in enumerate(names))} FROM points p LEFT JOIN part USING (shape_id, point_idx) GROUP BY 1, 2),
+{_curvature_sql(0.05)}, {_MEAN}, tall AS (SELECT shape_id, point_idx, z - min(z) OVER (PARTITION BY shape_id) AS height FROM points),
+bin AS (SELECT shape_id, src, CAST(floor(8*d/1.3+0.5) AS INTEGER) AS b FROM nbrs WHERE d <= 1.3),
+hist AS (SELECT shape_id, src AS point_idx, {", ".join(f"count(*) FILTER (WHERE b = {b}) / count(*) AS h{b}" for b in range(8))} FROM bin WHERE b < 8 GROUP BY 1, 2)
+SELECT shape_id, point_idx, {outer} FROM wide JOIN tall USING (shape_id, point_idx) JOIN smooth USING (shape_id, point_idx) LEFT JOIN hist USING (shape_id, point_idx)"""
+
+
+@query(_vector_sql())
 def feature_vector36(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat.features36(nrm.normalize_points(V.points(spark, sf_dir)))
+    f = feat.features36(nrm.normalize_points(V.points(spark, sf_dir)))
+    return f.select("shape_id", "point_idx", *(r(F.get("f", F.lit(k)), 4).alias(f"f{k}") for k in range(36)))
 
 
 # ---------------------------------------------------------------------------------------------- parts
@@ -258,11 +290,11 @@ def count_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components over the two nearest neighbours only, so that parts have several."""
-    p = V.points(spark, sf_dir).filter("label in (1, 2)")
+    p = V.points(spark, sf_dir)
     return graph.components(p, graph.knn_edges(p, 3, key=parts.KEY), key=parts.KEY)
 
 
-_CENTERS = _PARTS.format(least=1, which="p.label IN (1, 2)", k=3) + ", center AS (SELECT shape_id, label, component, count(*) AS size, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM comp GROUP BY 1, 2, 3)"
+_CENTERS = _PARTS.format(least=1, which="true", k=3) + ", center AS (SELECT shape_id, label, component, count(*) AS size, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM comp GROUP BY 1, 2, 3)"
 
 
 def _centers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -282,15 +314,14 @@ def split_order_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CENTERS + """, o AS (SELECT *, x-avg(x) OVER w AS dx, y-avg(y) OVER w AS dy, z-avg(z) OVER w AS dz FROM center WINDOW w AS (PARTITION BY shape_id, label)),
 c AS (SELECT *, greatest(-1, least(1, CASE WHEN dx*dx+dy*dy+dz*dz > 0 THEN dx/sqrt(dx*dx+dy*dy+dz*dz) ELSE 1 END)) AS cosine FROM o),
 g AS (SELECT *, CASE WHEN dy < 0 THEN 2*3.14159265358-acos(cosine) ELSE acos(cosine) END AS angle FROM c)
-SELECT shape_id, label, component, round(angle, 4)+0.0 AS angle, CAST(row_number() OVER (PARTITION BY shape_id, label ORDER BY angle, component) - 1 AS INTEGER) AS rank FROM g WHERE size > 1""")
+SELECT shape_id, label, component, round(angle, 4)+0.0 AS angle, CAST(row_number() OVER (PARTITION BY shape_id, label ORDER BY angle, component) - 1 AS INTEGER) AS rank FROM g""")
 def split_order_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _centers(spark, sf_dir)
     out = parts.order_by_angle(c, (1.0, 0.0, 0.0), (0.0, 1.0, 0.0))
-    rank = F.row_number().over(parts.W.partitionBy(*parts.KEY).orderBy("angle", "component")) - 1
-    return out.filter("size > 1").select("shape_id", "label", "component", r(F.col("angle"), 4).alias("angle"), rank.cast("int").alias("rank"))
+    return out.select("shape_id", "label", "component", r(F.col("angle"), 4).alias("angle"), "rank")
 
 
-_EXPECTED = "CASE label WHEN 1 THEN 2 ELSE 3 END"
+_EXPECTED = "CASE label WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 END"
 
 
 @query(_CENTERS + f" SELECT shape_id, label, component, size FROM (SELECT *, row_number() OVER (PARTITION BY shape_id, label ORDER BY size DESC, component) AS rn FROM center) WHERE rn <= {_EXPECTED}")
@@ -298,9 +329,9 @@ def drop_smallest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.keep_largest(_centers(spark, sf_dir), V.groups(spark)).select("shape_id", "label", "component", "size")
 
 
-@query(_CENTERS + f", k AS (SELECT shape_id, label, count(*) AS k, sum(size) AS n FROM center GROUP BY 1, 2) SELECT DISTINCT shape_id FROM k WHERE n < 10 OR k <> {_EXPECTED}")
+@query(_CENTERS + f", k AS (SELECT shape_id, label, count(*) AS k, sum(size) AS n FROM center WHERE label IN (1, 2) GROUP BY 1, 2) SELECT DISTINCT shape_id FROM k WHERE n < 10 OR k <> {_EXPECTED}")
 def wrong_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.wrong_shapes(V.points(spark, sf_dir).filter("label in (1, 2)"), _clusters(spark, sf_dir), V.groups(spark), "force_match")
+    return parts.wrong_shapes(V.points(spark, sf_dir), _clusters(spark, sf_dir), V.groups(spark), "force_match")
 
 
 @query(_PARTS.format(least=10, which="p.label IN (1, 2)", k=10) + f""", center AS (SELECT shape_id, label, component, count(*) AS size, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM comp GROUP BY 1, 2, 3),

@@ -14,9 +14,14 @@ def r(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+#: Points of a shape: like meshes, shapes grow in number with the table, not in size.
+SHAPE_POINTS = 125
+SHAPE = f"cast(vec_id div {SHAPE_POINTS} as int)"
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """shape_id (the label), point_idx (order of vec_id), label (vec_id mod 4), x, y, z (the first three components)."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("shape_id"), *(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")))
+    """shape_id (runs of vec_ids), point_idx (order of vec_id), label (vec_id mod 4), x, y, z (the first three components)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.expr(SHAPE).alias("shape_id"), *(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")))
     at = F.row_number().over(W.partitionBy("shape_id").orderBy("vec_id")) - 1
     return e.select("shape_id", at.alias("point_idx"), (F.col("vec_id") % 4).cast("int").alias("label"), "x", "y", "z")
 
@@ -48,8 +53,8 @@ def vertex_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magnitudes of the first four components as the probabilities of labels 0 to 3."""
     e = table(spark, sf_dir, "embeddings")
-    at = F.row_number().over(W.partitionBy("label").orderBy("vec_id")) - 1
-    rows = e.select(F.col("label").alias("shape_id"), at.alias("point_idx"), F.slice("embedding", 1, 4).alias("e"))
+    at = F.row_number().over(W.partitionBy("shape_id").orderBy("vec_id")) - 1
+    rows = e.withColumn("shape_id", F.expr(SHAPE)).select("shape_id", at.alias("point_idx"), F.slice("embedding", 1, 4).alias("e"))
     p = rows.select("shape_id", "point_idx", F.posexplode("e").alias("label", "p"))
     return p.withColumn("p", F.abs(F.col("p").cast("double")))
 
@@ -63,7 +68,8 @@ def groups(spark: SparkSession) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- SQL
 
-POINTS = """points AS (SELECT label AS shape_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS point_idx,
+_SHAPE = f"CAST(vec_id // {SHAPE_POINTS} AS INTEGER)"
+POINTS = f"""points AS (SELECT {_SHAPE} AS shape_id, CAST(row_number() OVER (PARTITION BY {_SHAPE} ORDER BY vec_id) - 1 AS INTEGER) AS point_idx,
   CAST(vec_id % 4 AS INTEGER) AS label, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings)"""
 FACES = """faces AS (SELECT shape_id, point_idx // 3 AS f_idx, point_idx - 2 AS v0, point_idx - 1 AS v1, point_idx AS v2 FROM points WHERE point_idx % 3 = 2)"""
 STRIP = """faces AS (SELECT shape_id, point_idx - 2 AS f_idx, point_idx - 2 AS v0, point_idx - 1 AS v1, point_idx AS v2 FROM points WHERE point_idx >= 2)"""
@@ -89,7 +95,7 @@ nbrs AS (SELECT shape_id, src, dst, d FROM sp WHERE src <> dst)"""
 DIRECTED = """directed AS (SELECT shape_id, f_idx, 0 AS k, v0 AS u, v1 AS v FROM faces UNION ALL SELECT shape_id, f_idx, 1, v1, v2 FROM faces UNION ALL SELECT shape_id, f_idx, 2, v2, v0 FROM faces),
 sides AS (SELECT shape_id, least(u, v) AS a, greatest(u, v) AS b, count(*) AS faces, CAST(sum(CASE WHEN u < v THEN 1 ELSE -1 END) AS BIGINT) AS turns FROM directed GROUP BY 1, 2, 3)"""
 CORNER = """corner AS (SELECT shape_id, f_idx, 0 AS k, v0 AS v_idx FROM faces UNION ALL SELECT shape_id, f_idx, 1, v1 FROM faces UNION ALL SELECT shape_id, f_idx, 2, v2 FROM faces)"""
-PROBS = """probs AS (SELECT shape_id, point_idx, label, abs(CAST(e[label + 1] AS DOUBLE)) AS p FROM (SELECT label AS shape_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INTEGER) AS point_idx, embedding AS e FROM embeddings), (SELECT unnest([0, 1, 2, 3]) AS label))"""
+PROBS = f"""probs AS (SELECT shape_id, point_idx, label, abs(CAST(e[label + 1] AS DOUBLE)) AS p FROM (SELECT {_SHAPE} AS shape_id, CAST(row_number() OVER (PARTITION BY {_SHAPE} ORDER BY vec_id) - 1 AS INTEGER) AS point_idx, embedding AS e FROM embeddings), (SELECT unnest([0, 1, 2, 3]) AS label))"""
 
 
 def eig(m: str = "m") -> str:

@@ -17,8 +17,10 @@ def path_parts(path: Column) -> Column:
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """shape_id, path, text of each file under a path or pattern."""
-    return spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_path")).alias("shape_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """shape_id, path, text of each file under a path or pattern; files that `sinks.write_texts` wrote bear their folder's shape_id."""
+    at = F.col("_metadata.file_path")
+    named = F.regexp_extract(at, r"/shape_id=([^/]*)/[^/]*$", 1)
+    return spark.read.text(path, wholetext=True).select(F.when(named != "", named).otherwise(stem(at)).alias("shape_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def lines(spark: SparkSession, path: str, *, blank: bool = False) -> DataFrame:
@@ -76,13 +78,16 @@ def read_off_vertices(spark: SparkSession, path: str) -> DataFrame:
 
 def read_off_polygons(spark: SparkSession, path: str) -> DataFrame:
     """shape_id, f_idx, corners."""
-    f = _off(spark, path).filter("n >= nv and n < nv + nf")
-    return f.select("shape_id", (F.col("n") - F.col("nv")).alias("f_idx"), F.transform(F.slice("t", 2, number("t", 0, "int")), lambda x: x.try_cast("int")).alias("corners"))
+    face = F.expr("n >= nv and n < nv + nf")
+    f = _off(spark, path).filter(face)
+    # the condition again, as a check of the corners may be evaluated before the filter
+    corners = F.when(face, F.transform(F.slice("t", 2, number("t", 0, "int")), lambda x: x.try_cast("int")))
+    return f.select("shape_id", (F.col("n") - F.col("nv")).alias("f_idx"), corners.alias("corners"))
 
 
 def triangles(polygons: DataFrame) -> DataFrame:
     """Triangle faces of a table whose polygons are all triangles; any other polygon is an error."""
-    ok = F.assert_true(F.size("corners") == 3, F.lit("a face is no triangle"))
+    ok = F.assert_true(F.col("corners").isNull() | (F.size("corners") == 3), F.lit("a face is no triangle"))
     return polygons.select("shape_id", "f_idx", F.coalesce(ok.cast("int"), F.get("corners", F.lit(0))).alias("v0"), F.get("corners", F.lit(1)).alias("v1"), F.get("corners", F.lit(2)).alias("v2"))
 
 

@@ -76,7 +76,7 @@ def test_cdf_and_samples(spark):
     assert [a.area for a in areas] == pytest.approx([0.5, 4.5, 0])
     cdf = sampling.face_cdf(sampling.face_areas(f, v).select("shape_id", "f_idx", "area")).collect()
     assert max(c.cdf for c in cdf) == pytest.approx(1)
-    drawn = sampling.draw_faces(sampling.face_cdf(sampling.face_areas(f, v).select("shape_id", "f_idx", "area")).withColumn("shape_id", F.lit(1)), 500).groupBy("face_idx").count().collect()
+    drawn = sampling.draw_faces(sampling.face_cdf(sampling.face_areas(f, v).select("shape_id", "f_idx", "area")), 500).groupBy("face_idx").count().collect()
     share = {r.face_idx: r["count"] / 500 for r in drawn}
     assert 2 not in share and share[1] == pytest.approx(0.9, abs=0.06)
 
@@ -163,3 +163,85 @@ def test_procrustes_undoes_a_turn(cloud):
     r = kernels.align(p.join(q, ["shape_id", "point_idx"])).first()
     assert r.scale == pytest.approx(2) and list(r.shift) == pytest.approx([1, 2, 3])
     assert list(r.rotation) == pytest.approx([v for row in G.rotation((0.0, 0.6, 0.8), 40.0) for v in row], abs=1e-9)
+
+
+def test_nearest_over_the_grid_against_all_pairs():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for p in (rng.normal(size=(700, 3)), np.round(rng.random((400, 3)) * 5), np.zeros((30, 3)), np.c_[rng.random((300, 1)) * 100, np.zeros((300, 2))], rng.random((4, 3)), np.r_[rng.random((200, 3)), [[1e4, 0, 0]]]):
+        q = np.r_[p, rng.normal(size=(20, 3)) * 3, [[500.0, -500.0, 0.0]]]
+        for k in (1, 10):
+            at, d2 = graph._Grid(p, k).nearest(q, k)
+            d = ((q[:, None] - p[None]) ** 2).sum(2)
+            for i in range(len(q)):
+                x, y, z = (q[i, c] - p[:, c] for c in range(3))
+                want = np.argsort(x * x + y * y + z * z, kind="stable")[: min(k, len(p))]
+                assert at[i].tolist() == want.tolist() and d2[i] == pytest.approx(d[i][want])
+
+
+def test_one_large_shape(spark):
+    """A shape of 100,000 points: neighbours, components and bounded paths, its sources spread over tasks."""
+    n = 100_000
+    p = spark.range(n, numPartitions=4).select(F.lit("big").alias("shape_id"), F.col("id").cast("int").alias("point_idx"), (F.col("id") % 317).cast("double").alias("x"), F.floor(F.col("id") / 317).cast("double").alias("y"), F.lit(0.0).alias("z"))
+    edges = graph.knn_edges(p, 5).persist()
+    assert edges.count() > 150_000 and edges.filter("w <> 1").count() < 2000
+    assert graph.components(p, edges).select("component").distinct().count() == 1
+    few = graph.geodesics(edges.filter("i < 3170 and j < 3170"), 2.5)
+    assert few.filter("src = 1600").count() == 12
+
+
+def test_orientation_loops_groups_and_merging_against_brute_force(spark, cloud):
+    rows = [r for r in cloud.filter("shape_id = 'a'").orderBy("point_idx").collect()]
+    xyz = [(r.x, r.y, r.z) for r in rows]
+    kept, to = [], {}
+    for i, a in enumerate(xyz):
+        near = [k for k in kept if math.dist(xyz[k], a) < 0.15]
+        to[i] = near[0] if near else i
+        kept += [] if near else [i]
+    assert {r.point_idx: r.kept for r in kernels.greedy_merge(cloud, 0.15).filter("shape_id = 'a'").collect()} == to and 1 < len(kept) < 60
+    seeds = [0]
+    for _ in range(4):
+        seeds.append(max(range(60), key=lambda i: (min(math.dist(xyz[i], xyz[s]) for s in seeds), -i)))
+    got = {r.point_idx: r for r in kernels.farthest_groups(cloud, 5).filter("shape_id = 'a'").collect()}
+    assert all(got[i].d2 == pytest.approx(min(math.dist(xyz[i], xyz[s]) for s in seeds) ** 2) and got[s].seed == k for i in range(60) for k, s in enumerate(seeds))
+    # a cube of twelve faces, some turned, without its lid: one loop of four
+    quads = [(0, 1, 3, 2), (4, 5, 7, 6), (0, 1, 5, 4), (2, 3, 7, 6), (0, 2, 6, 4)]
+    random.seed(4)
+    faces = [f for a, b, c, d in quads for f in ((a, b, c), (a, c, d))]
+    faces = [f if random.random() < 0.5 else f[::-1] for f in faces]
+    df = spark.createDataFrame([("c", k, *f) for k, f in enumerate(faces)], "shape_id string, f_idx int, v0 int, v1 int, v2 int")
+    out = graph.orient_faces(df)
+    assert mesh.edge_counts(out).filter("faces = 2 and turns <> 0").count() == 0 and 2 * out.filter("turned").count() <= 10
+    d, border = mesh.directed_edges(out), mesh.boundary_edges(out)
+    on = d.join(border, (d["shape_id"] == border["shape_id"]) & (F.least("u", "v") == border["a"]) & (F.greatest("u", "v") == border["b"]), "left_semi")
+    loop = [r.v for r in kernels.boundary_loops(on).orderBy("loop", "place").collect()]
+    assert loop[0] == 1 and set(loop) == {1, 3, 5, 7} and {frozenset(e) for e in zip(loop, loop[1:] + loop[:1])} == {frozenset(e) for e in ((1, 3), (3, 7), (7, 5), (5, 1))}
+    assert {r.v_idx for r in mesh.irregular_vertices(df, 5).collect()} <= {0, 2, 4, 6}
+    assert {(r.v_idx, r.manifold) for r in mesh.vertex_manifold(spark.createDataFrame([("s", 0, 0, 1, 2), ("s", 1, 0, 2, 3), ("s", 2, 0, 4, 5)], df.schema)).collect()} == {(0, False), (1, True), (2, True), (3, True), (4, True), (5, True)}
+
+
+def test_labels_out_of_range_are_an_error(spark):
+    p = spark.createDataFrame([("s", 0, 0), ("s", 1, None), ("s", 2, 2)], "shape_id string, point_idx int, label int")
+    assert [r.label for r in parts.checked(p, 3).orderBy("point_idx").collect()] == [0, None, 2]
+    with pytest.raises(Exception, match="label out of range: 2"):
+        parts.checked(p, 2).collect()
+
+
+def test_numbering_over_ranges(spark):
+    t = spark.range(0, 5000).select((F.col("id") * 7919 % 5003).alias("k"), (F.col("id") % 13).alias("v"))
+    got = {r.k: r.s for r in relational.before(t, ["k"], F.col("v"), "s").collect()}
+    total = 0
+    for r in sorted(t.collect()):
+        assert got[r.k] == total
+        total += r.v
+    assert [r["rank"] for r in relational.sort_rows(t, [F.col("k").desc()], "v").orderBy(F.col("k").desc()).collect()] == list(range(5000))
+    with pytest.raises(ValueError, match="distinct"):
+        relational.combinations(t, "k", 2)
+
+
+def test_wide_generators_against_plain_integers(spark):
+    r = spark.range(1, 40).select("id", *(c.alias(f"c{k}") for k, c in enumerate(rnd.kiss2((F.col("id") * 99_999_989 % 2**32, F.col("id") * 77_777_777 % 2**32), F.col("id"), F.col("id") + 5)))).collect()
+    for x in r:
+        whole = 698769069 * (x.id * 77_777_777 % 2**32) + x.id * 99_999_989 % 2**32
+        assert (x.c0, x.c1) == (whole >> 32, whole % 2**32) and x.c4 == (x.c1 + x.c2 + x.c3) % 2**32
