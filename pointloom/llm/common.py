@@ -1,4 +1,4 @@
-"""Helpers that the training-data operators share: intermediate tables in the shared folder and vectorised word hashing.
+"""Helpers that the training-data operators share: slices of batches and vectorised word hashing.
 
 Word hashing works on the UTF-8 bytes of an Arrow column with a handful of NumPy passes per batch, so a word costs
 nanoseconds and no Python object is made for it. A 64-bit polynomial over the bytes, finished by a mixing step, stands for
@@ -7,16 +7,13 @@ a word; where a false equality would change a result, two hashes with different
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+
+from ..shared import shared_dir, table_path, written  # noqa: F401  used by the operators beside this module
 
 #: The six ASCII separators of the word definition (space, tab, line feed, vertical tab, form feed, return).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -28,44 +25,6 @@ _U = np.uint64
 _BASES = (_U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93))
 
 
-# ---------------------------------------------------------------------------------------------- shared folder
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); one of its own only where a local session names none, as in tests."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="pointloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def table_path(spark: SparkSession, name: str) -> str:
-    """A new folder for a written table, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/pointloom/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone already
-        return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps column pruning."""
-    path = table_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # ---------------------------------------------------------------------------------------------- Arrow helpers
 
 
