@@ -137,27 +137,42 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------------------------------------- estimation
 
 
+_SHARE, _LOG_BASE = (BASE - 1) / BASE, np.log(BASE)
+
+
 def _log_likelihood(j: np.ndarray, u: np.ndarray, v: np.ndarray, more: np.ndarray, less: np.ndarray, same: np.ndarray) -> np.ndarray:
-    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (BASE - 1) / BASE) / np.log(BASE)
+    p = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * _SHARE) / _LOG_BASE
     a, b = p(u - v * j), p(v - u * j)
     return more * np.log(a) + less * np.log(b) + same * np.log(np.clip(1 - a - b, 1e-12, 1))
 
 
+def _slope(j: np.ndarray, u: np.ndarray, v: np.ndarray, more: np.ndarray, less: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """The derivative of the log-likelihood, which is concave, by j."""
+    x, y = np.clip(u - v * j, 1e-12, 1), np.clip(v - u * j, 1e-12, 1)
+    a, b = -np.log1p(-x * _SHARE) / _LOG_BASE, -np.log1p(-y * _SHARE) / _LOG_BASE
+    da, db = -v * _SHARE / (1 - x * _SHARE) / _LOG_BASE, -u * _SHARE / (1 - y * _SHARE) / _LOG_BASE
+    return more * da / a + less * db / b - same * (da + db) / np.clip(1 - a - b, 1e-12, 1)
+
+
 def possible(left: np.ndarray, right: np.ndarray, n1: np.ndarray, n2: np.ndarray, percent: int) -> np.ndarray:
     """Whether pairs of register rows are compatible with a similarity of percent / 100, given the set sizes."""
-    fits = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
-    more, less = (left > right).sum(1).astype(float), (left < right).sum(1).astype(float)
-    same = REGISTERS - more - less
+    ok = 100 * np.minimum(n1, n2) >= percent * np.maximum(n1, n2)
+    more, less = np.count_nonzero(left > right, axis=1).astype(float), np.count_nonzero(left < right, axis=1).astype(float)
     u, v = n1 / (n1 + n2), n2 / (n1 + n2)
     top = np.minimum(u / v, v / u)
-    lo, hi = np.zeros(len(u)), top.copy()
-    for _ in range(45):
-        a, b = lo + (hi - lo) / 3, hi - (hi - lo) / 3
-        rising = _log_likelihood(a, u, v, more, less, same) < _log_likelihood(b, u, v, more, less, same)
-        lo, hi = np.where(rising, a, lo), np.where(rising, hi, b)
-    best, bar = (lo + hi) / 2, np.minimum(percent / 100, top)
-    ratio = 2 * (_log_likelihood(best, u, v, more, less, same) - _log_likelihood(bar, u, v, more, less, same))
-    return fits & ((best >= percent / 100) | (ratio <= RATIO))
+    bar = np.minimum(percent / 100, top)
+    known = (u, v, more, less, REGISTERS - more - less)
+    # where the likelihood still rises at the threshold, the likeliest similarity lies beyond it
+    below = np.flatnonzero(ok & (_slope(bar, *known) < 0))
+    if len(below):
+        known, bar = tuple(x[below] for x in known), bar[below]
+        lo, hi = np.zeros(len(below)), bar.copy()
+        for _ in range(24):
+            mid = (lo + hi) / 2
+            rising = _slope(mid, *known) > 0
+            lo, hi = np.where(rising, mid, lo), np.where(rising, hi, mid)
+        ok[below] = 2 * (_log_likelihood((lo + hi) / 2, *known) - _log_likelihood(bar, *known)) <= RATIO
+    return ok
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -193,21 +208,30 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _open_pairs(t: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of a meeting each outsider with the members of other components that the likelihood leaves open, the likeliest first."""
-    sketch, label, size = _rows(t["sketch"]), t["label"].to_numpy(), t["n"].to_numpy()
-    outside = t["outside"].to_numpy()
-    ins = np.flatnonzero(~outside)
-    # at the threshold over five standard deviations above the least share of registers that agree
-    least = REGISTERS * (percent / 100 - 5.5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5)
-    for o in np.flatnonzero(outside).tolist():
-        near = ins[(100 * np.minimum(size[ins], size[o]) >= percent * np.maximum(size[ins], size[o])) & (label[ins] != label[o])]
-        agree = np.count_nonzero(sketch[near] == sketch[o], axis=1)
-        order = np.argsort(-agree, kind="stable")
-        near = near[order[agree[order] >= least]]
-        if len(near):
-            ok = possible(np.broadcast_to(sketch[o], (len(near), REGISTERS)), sketch[near], np.full(len(near), float(size[o])), size[near].astype(float), percent)
-            yield o, near[ok]
+class _Meeting:
+    """The rows of a meeting, and which pairs of an outsider and a member of another component are open."""
+
+    def __init__(self, t: pa.Table, percent: int):
+        self.percent, self.t = percent, t
+        self.sketch, self.label, self.size, self.outside = _rows(t["sketch"]), t["label"].to_numpy(), t["n"].to_numpy(), t["outside"].to_numpy()
+
+    def near(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each outsider with the members whose registers agree often enough, most first."""
+        ins = np.flatnonzero(~self.outside)
+        share = self.percent / 100
+        least = REGISTERS * (share - 5.5 * (share * (1 - share) / REGISTERS) ** 0.5)  # over five standard deviations below the mean at the threshold
+        for o in np.flatnonzero(self.outside).tolist():
+            fits = 100 * np.minimum(self.size[ins], self.size[o]) >= self.percent * np.maximum(self.size[ins], self.size[o])
+            near = ins[fits & (self.label[ins] != self.label[o])]
+            agree = np.count_nonzero(self.sketch[near] == self.sketch[o], axis=1)
+            order = np.argsort(-agree, kind="stable")
+            near = near[order[agree[order] >= least]]
+            if len(near):
+                yield o, near
+
+    def open(self, o: int, near: np.ndarray) -> np.ndarray:
+        """Which of `near` the likelihood leaves open."""
+        return possible(np.broadcast_to(self.sketch[o], (len(near), REGISTERS)), self.sketch[near], np.full(len(near), float(self.size[o])), self.size[near].astype(float), self.percent)
 
 
 def _cross_open(percent: int):
@@ -215,10 +239,13 @@ def _cross_open(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _meetings(batches):
-            part = np.zeros(t.num_rows, bool)
-            for o, near in _open_pairs(t, percent):
-                part[near] = True
-                part[o] |= len(near) > 0
+            m, part = _Meeting(t, percent), np.zeros(t.num_rows, bool)
+            for o, near in m.near():
+                near = near[~part[near]] if part[o] else near  # of two rows that stay anyway nothing need be known
+                if len(near):
+                    ok = m.open(o, near)
+                    part[near[ok]] = True
+                    part[o] |= bool(ok.any())
             yield from t.filter(pa.array(part)).to_batches()
 
     return run
@@ -232,6 +259,7 @@ def _cross_links(percent: int):
     seen: set[tuple[int, int]] = set()  # pairs that this task has counted in another bucket
 
     def meet(t: pa.Table) -> pa.RecordBatch | None:
+        meeting = _Meeting(t, percent)
         label, node, n = (t[c].to_numpy().tolist() for c in ("label", "node", "n"))
         lists = t["shingles"].chunk(0)
         flat, cut = lists.flatten().to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
@@ -242,23 +270,29 @@ def _cross_links(percent: int):
                 x = root[x]
             return x
 
+        def pair(o: int, m: int) -> tuple[int, int]:
+            return min(node[o], node[m]), max(node[o], node[m])
+
         if len(seen) > 1_000_000:
             seen.clear()
         a, b = [], []
-        for o, near in _open_pairs(t, percent):
-            for m in near.tolist():
-                x, y = find(label[o]), find(label[m])
-                pair = (min(node[o], node[m]), max(node[o], node[m]))
-                if x == y or pair in seen:
+        for o, near in meeting.near():
+            for at in range(0, len(near), 128):
+                some = [m for m in near[at : at + 128].tolist() if find(label[o]) != find(label[m]) and pair(o, m) not in seen]
+                if not some:
                     continue
-                seen.add(pair)
-                both = np.concatenate((flat[cut[o] : cut[o + 1]], flat[cut[m] : cut[m + 1]]))
-                both.sort()
-                same = int(np.count_nonzero(both[1:] == both[:-1]))
-                if 100 * same >= percent * (n[o] + n[m] - same):
-                    root[max(x, y)] = min(x, y)
-                    a.append(pair[0])
-                    b.append(pair[1])
+                for m, is_open in zip(some, meeting.open(o, np.array(some)).tolist(), strict=True):
+                    x, y = find(label[o]), find(label[m])
+                    if not is_open or x == y:
+                        continue
+                    seen.add(pair(o, m))
+                    both = np.concatenate((flat[cut[o] : cut[o + 1]], flat[cut[m] : cut[m + 1]]))
+                    both.sort()
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * same >= percent * (n[o] + n[m] - same):
+                        root[max(x, y)] = min(x, y)
+                        a.append(pair(o, m)[0])
+                        b.append(pair(o, m)[1])
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]) if a else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
