@@ -1,8 +1,9 @@
 """Exact top-k inner products over integer vectors, blocks of candidates sorted by falling length.
 
 The candidates are dealt to blocks of bounded size by ranges of their length. The block of the longest vectors, of fixed
-size, goes first and gives each query a floor: its k-th score there. Every other pair of a query block and a candidate block
-starts from that floor. Within a pair, the candidates are taken in slices of falling length; a query stops at the first
+size, goes first and gives each query a floor: its k-th score there. A query block is sent only to candidate blocks whose longest
+vector could reach one of its floors (Cauchy-Schwarz; lengths are told apart in quarter powers of two of their squares), and
+these only to it. Every pair starts from that floor. Within a pair, the candidates are taken in slices of falling length; a query stops at the first
 slice whose longest vector times the query's length cannot reach its floor (Cauchy-Schwarz). For the queries that go on, the
 vectors are rotated by the singular vectors of the longest ones; the product of the first rotated components plus the product
 of the lengths of the rest bounds the score from above, and only pairs whose bound, with a margin for rounding, reaches the
@@ -38,30 +39,41 @@ def integer_vectors(table: DataFrame, scale: int = 64) -> DataFrame:
     return table.filter(F.coalesce(sound & F.col("vec_id").isNotNull(), F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"))
 
 
-def _packed(pdf_ids: list[int], rows: list[list[int]]) -> tuple[bytes, bytes]:
-    return np.asarray(pdf_ids, "<i8").tobytes(), np.asarray(rows, "<i8").tobytes()
-
-
 def _pack(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by falling length become blocks: a row with the ids and vectors of up to `size` of them and one dimension."""
-    ids, rows, width = [], [], None
+    """Rows sorted by falling length become blocks: a row with the ids and vectors of up to `size` of them and one dimension, and
+    the level of the longest one."""
+    ids, vectors, width, held = [], [], None, 0
 
     def block() -> pa.RecordBatch:
-        a, b = _packed(ids, rows)
-        return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([a], pa.binary()), pa.array([b], pa.binary())], ["dims", "ids", "vectors"])
+        a, b = np.concatenate(ids), np.concatenate(vectors)
+        top = _level(float((b.reshape(len(a), -1).astype(float) ** 2).sum(1).max()))
+        return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([a.astype("<i8").tobytes()], pa.binary()), pa.array([b.astype("<i8").tobytes()], pa.binary()), pa.array([top], pa.int32())], ["dims", "ids", "vectors", "level"])
 
     for batch in batches:
-        for i, v in zip(batch["vec_id"].to_pylist(), batch["v"].to_pylist(), strict=True):
-            if ids and (len(ids) >= size or len(v) != width):
-                yield block()
-                ids, rows = [], []
-            width = len(v)
-            ids.append(i)
-            rows.append(v)
-    if ids:
+        if not batch.num_rows:
+            continue
+        own, lists = batch["vec_id"].to_numpy(), batch["v"]
+        flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        dims = np.diff(ends)
+        cuts = np.r_[0, 1 + np.flatnonzero(dims[1:] != dims[:-1]), len(dims)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            while lo < hi:
+                if held and (held >= size or dims[lo] != width):
+                    yield block()
+                    ids, vectors, held = [], [], 0
+                width, to = int(dims[lo]), min(hi, lo + size - held)
+                ids.append(own[lo:to])
+                vectors.append(flat[ends[lo] : ends[to]])
+                held, lo = held + to - lo, to
+    if held:
         yield block()
 
 
+def _level(n2: float) -> int:
+    """Squared lengths in steps of a quarter power of two; grows with n2."""
+    return int(np.floor(4 * np.log2(n2 + 1)))
+
+
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: by falling score, then by id."""
     return np.lexsort((ids, -scores))[:k]
@@ -125,8 +137,9 @@ def _pairs(k: int):
     return run
 
 
-def _floors(k: int, leaders: list[tuple[int, bytes, bytes]]):
-    """Adds to each query block its floors: the k-th scores among the leaders of the same dimension."""
+def _floors(k: int, shared):
+    """Adds to each query block its floors, the k-th scores among the leaders of the same dimension, and the least level of a
+    candidate that could reach one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,19 +147,22 @@ def _floors(k: int, leaders: list[tuple[int, bytes, bytes]]):
                 q_ids = np.frombuffer(row["q_ids"], "<i8")
                 q = np.frombuffer(row["q_vectors"], "<i8").reshape(len(q_ids), -1)
                 floor = np.full(len(q_ids), -(1 << 62), np.int64)
-                for dims, ids, vectors in leaders:
+                for dims, ids, vectors in shared.value:
                     if dims == row["dims"]:
                         c_ids = np.frombuffer(ids, "<i8")
                         found = search(q_ids, q, c_ids, np.frombuffer(vectors, "<i8").reshape(len(c_ids), -1), floor, k)
                         floor = np.array([max(f, s[-1]) if len(s) == k else f for f, (_, s) in zip(floor.tolist(), found, strict=True)], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in (("dims", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()))] + [pa.array([floor.tobytes()], pa.binary())], ["dims", "q_ids", "q_vectors", "floors"])
+                q2 = (q.astype(float) ** 2).sum(1)
+                reach = np.where((floor > 0) & (q2 > 0), floor.astype(float) ** 2 / np.maximum(q2, 1), 0)
+                need = _level(float(reach.min()) * (1 - 1e-9))
+                yield pa.RecordBatch.from_arrays([pa.array([row[c]], t) for c, t in (("dims", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()))] + [pa.array([floor.tobytes()], pa.binary()), pa.array([need], pa.int32())], ["dims", "q_ids", "q_vectors", "floors", "need"])
 
     return run
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, *, k: int = 20, block: int = 4096, query_block: int = 1024, leaders: int = 2048) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best candidates of every query row; a row is no candidate of its own."""
-    kind = "dims int, ids binary, vectors binary"
+    kind = "dims int, ids binary, vectors binary, level int"
     length = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
     rows = vectors.withColumn("n2", length)
     by = [F.col("n2").desc(), F.col("vec_id")]
@@ -154,12 +170,19 @@ def top_inner_products(vectors: DataFrame, is_query: Column, *, k: int = 20, blo
     asked = rows.filter(is_query).repartition("vec_id").select("vec_id", "v").mapInArrow(lambda it: _pack(it, query_block), kind)
     asked = asked.select("dims", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
     # a fixed number of the longest vectors, whatever the table's size
-    longest = rows.orderBy(*by).limit(leaders).select("vec_id", "v").coalesce(1).mapInArrow(lambda it: _pack(it, leaders), kind).collect()
-    floors = written(asked.mapInArrow(_floors(k, [tuple(r) for r in longest]), "dims int, q_ids binary, q_vectors binary, floors binary"), "query-blocks")
-    # either side is repeated for the other's groups of blocks, so that each pair of groups is a task of bounded size
-    c_groups, q_groups = max(1, blocks.count()), max(1, floors.count())
-    left = blocks.withColumn("cg", F.pmod(F.xxhash64("ids"), F.lit(c_groups))).withColumn("qg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_groups - 1).cast("long"))))
-    right = floors.withColumn("qg", F.pmod(F.xxhash64("q_ids"), F.lit(q_groups))).withColumn("cg", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(c_groups - 1).cast("long"))))
-    found = left.hint("shuffle_hash").join(right, ["dims", "cg", "qg"]).mapInArrow(_pairs(k), _FOUND)
+    longest = rows.orderBy(*by).limit(leaders).select("vec_id", "v").coalesce(1).mapInArrow(lambda it: _pack(it, leaders), kind).drop("level").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast([tuple(r) for r in longest])
+    floors = written(asked.mapInArrow(_floors(k, shared), "dims int, q_ids binary, q_vectors binary, floors binary, need int"), "query-blocks")
+    # either side is repeated for the other's live blocks, so that each pair is a task's row of bounded size; of a dimension
+    # and level (a few hundred levels) only the number of blocks is known to all
+    c_groups = blocks.groupBy("dims", "level").agg(F.count(F.lit(1)).alias("c_groups"))
+    q_groups = floors.groupBy("dims", "need").agg(F.count(F.lit(1)).alias("q_groups"))
+    group = lambda name, n: F.pmod(F.xxhash64(name), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = blocks.join(F.broadcast(c_groups), ["dims", "level"]).join(F.broadcast(q_groups), "dims").filter("level >= need")
+    left = left.withColumn("cg", group("ids", "c_groups")).withColumn("qg", every("q_groups")).drop("c_groups", "q_groups")
+    right = floors.join(F.broadcast(q_groups), ["dims", "need"]).join(F.broadcast(c_groups), "dims").filter("level >= need")
+    right = right.withColumn("qg", group("q_ids", "q_groups")).withColumn("cg", every("c_groups")).drop("c_groups", "q_groups")
+    found = left.hint("shuffle_hash").join(right, ["dims", "level", "need", "cg", "qg"]).select("ids", "vectors", "q_ids", "q_vectors", "floors").mapInArrow(_pairs(k), _FOUND)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
