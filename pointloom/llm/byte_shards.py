@@ -6,8 +6,8 @@ order, and the few totals, summed in one small task, lift these sums to global o
 interval holds its first byte.
 
 Law `bytes`: a shard's bytes differ from the mean by less than one row's size at either end. Equal texts are rows like any
-other. Cases: a null text has size 1 and crc32 0; null doc_ids come first; rows equal in all three columns are told apart by
-their order within the range only, which no returned figure but slot shows; an empty table gives an empty table; other
+other. Cases: a null text has size 1 and crc32 0; null doc_ids come first; rows equal in all three columns are numbered, so
+that they spread over ranges like all others; an empty table gives an empty table; other
 columns are ignored.
 """
 
@@ -26,8 +26,8 @@ def byte_shards(docs: DataFrame, *, shards: int = 16) -> DataFrame:
         F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"),
     )
     # written once: range bounds, totals and rows below must come from one and the same deal
-    key = ["doc_id", "size", "text_crc32"]
-    dealt = written(rows.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "dealt")
+    key = ["doc_id", "size", "text_crc32", "row"]  # the last one tells rows apart that are equal in all others
+    dealt = written(rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "dealt")
     order = W.partitionBy("part").orderBy(*key).rowsBetween(W.unboundedPreceding, -1)
     local = dealt.withColumn("b", F.coalesce(F.sum("size").over(order), F.lit(0))).withColumn("r", F.coalesce(F.count(F.lit(1)).over(order), F.lit(0)))
     totals = dealt.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
@@ -39,10 +39,10 @@ def byte_shards(docs: DataFrame, *, shards: int = 16) -> DataFrame:
         F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("rows_before"),
         F.sum("bytes").over(every).alias("all_bytes"),
     )
-    at = local.join(F.broadcast(totals), "part").withColumn("first", F.col("b") + F.col("bytes_before")).withColumn("row", F.col("r") + F.col("rows_before"))
+    at = local.join(F.broadcast(totals), "part").withColumn("first", F.col("b") + F.col("bytes_before")).withColumn("at", F.col("r") + F.col("rows_before"))
     at = at.withColumn("shard", F.least(F.lit(shards - 1), F.expr(f"(first * {shards}) div all_bytes")).cast("int"))
-    heads = at.groupBy("shard").agg(F.min("row").alias("head"))  # at most `shards` rows
+    heads = at.groupBy("shard").agg(F.min("at").alias("head"))  # at most `shards` rows
     return at.join(F.broadcast(heads), "shard").select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("row") - F.col("head")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("at") - F.col("head")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
 

@@ -87,6 +87,16 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: The crc32 of a text is a fold over its bytes, by a table of 256 entries that the reversed polynomial gives.
+_OP8_SQL = """
+WITH tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab),
+hex AS (SELECT doc_id, row_number() OVER () AS r, CAST(coalesce(octet_length(encode(text)), 0) + 1 AS BIGINT) AS size, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+crc AS (SELECT doc_id, r, size, xor(list_reduce(list_prepend(4294967295, list_transform(h, lambda x: CAST(16 * (instr('0123456789ABCDEF', x[1]) - 1) + instr('0123456789ABCDEF', x[2]) - 1 AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS crc FROM hex, tab),
+placed AS (SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, size, crc, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first, sum(size) OVER () AS total FROM crc),
+s AS (SELECT *, CAST(least(15, first * 16 // total) AS INTEGER) AS shard FROM placed)
+SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY first, r) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
+"""
+
 _WORDS = r"""regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"""
 
 _OP9_SQL = f"""
@@ -112,4 +122,4 @@ kept AS (SELECT a.doc_id, count(*) AS n, count(g.p) AS gone, string_agg(word, '
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL}
+ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL}

@@ -4,7 +4,7 @@ Texts up to `chunk_chars` are counted whole. A longer one is cut into chunks tha
 spread over the cluster and encoded with offsets, each on its own. Two neighbours are spliced at the first position of their
 overlap that both prove stable: a space in the text that no token of either side crosses and after which both give the same
 next token. The tokenizer carries nothing over a space (see `pieces`), so left of it the left chunk and right of it the
-right chunk give just what the whole text would. Where an overlap has no such position, the text is cut anew with chunks and
+right chunk give just what the whole text would; texts for a tokenizer that might carry something over are not cut. Where an overlap has no such position, the text is cut anew with chunks and
 overlaps eight times as wide, until one chunk holds it all; no text is ever guessed at.
 
 Cases: a null text counts as empty (0 bytes, 0 tokens); a null doc_id stays null; repeated rows are counted one by one;
@@ -111,7 +111,8 @@ def token_counts(docs: DataFrame, path: str, *, chunk_chars: int = 32_768, overl
     results, step, overlap = [whole], chunk_chars, overlap_chars
     chunks = written(docs.filter(long).mapInArrow(_cut(step, overlap, True), _CHUNKS), "chunks")
     while not chunks.isEmpty():
-        ends = chunks.repartition("rid", "chunk").mapInArrow(_encode_chunks(path, step, overlap), _ENDS)
+        # a given number, as the few bytes of a chunk say little about the time that it takes
+        ends = chunks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "rid", "chunk").mapInArrow(_encode_chunks(path, step, overlap), _ENDS)
         done = written(_spliced(ends), "spliced")
         results.append(done.filter("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens"))
         failed = done.filter("n_tokens is null").select("rid")

@@ -1,8 +1,11 @@
 """The pipeline against a brute-force version, and its registered queries."""
 
+import glob
+import os
 import random
 import re
 
+import duckdb
 import pytest
 
 import corpus_pipeline
@@ -104,6 +107,18 @@ def test_near_dedup_takes_pairs_from_four_fifths_on(spark):
     assert setsketch.bands(85) == (40, 8) and all((1 - (p / 100) ** r) ** n < 5e-6 for p in (75, 80, 85, 90) for n, r in [setsketch.bands(p)])
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_as_sql(spark, name):
+    con = duckdb.connect()
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        con.execute(f"create view {os.path.basename(path)[:-8]} as select * from '{path}'")
+    got = queries.QUERIES[name](spark, DATA)
+    found = con.execute(queries.ORACLE_SQL[name])
+    columns = [d[0] for d in found.description]
+    assert sorted(columns) == sorted(got.columns)
+    assert sorted(map(str, (tuple(r[c] for c in columns) for r in got.collect()))) == sorted(map(str, found.fetchall()))
+
+
 def test_registered(spark):
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
     small = queries.QUERIES["op8_prefix_sum_shards"](spark, DATA)
