@@ -10,13 +10,7 @@ from pointloom.plans import registry
 
 from .conftest import DATA
 
-#: A sample over all kinds; POINTLOOM_ALL=1 takes every query that has SQL.
-SAMPLE = (
-    "normalize_points", "normalize_points_compat", "normalize_mesh", "rotate_axis_angle", "knn_edges", "adjacency", "radius_join", "geodesic_distance", "graph_diameter", "components",
-    "gravity_abs", "geodesic_histogram", "count_parts", "split_order_angle", "split_parts", "face_area", "face_cdf", "sample_faces_hash", "vertex_normals", "cotangent_matrix",
-    "gray_colors", "argmax_accuracy", "unique_rows", "histc", "mode", "compressed_columns", "flood_fill", "random_generators",
-)
-NAMES = sorted(registry.ORACLE_SQL) if os.environ.get("POINTLOOM_ALL") else SAMPLE
+NAMES = sorted(registry.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
