@@ -91,6 +91,12 @@ def label_rgb(label: Column) -> tuple[Column, Column, Column]:
     return tuple(F.floor(c * 255).cast("int") for c in G.hsv_to_rgb(hue - F.floor(hue), F.lit(0.9), F.lit(0.9)))
 
 
+def face_colors(faces: DataFrame, face_labels: DataFrame) -> DataFrame:
+    """shape_id, f_idx, r, g, b: the colour of each face's label, white where it has none."""
+    met = faces.join(face_labels.select("shape_id", F.col("elem_idx").alias("f_idx"), "label"), ["shape_id", "f_idx"], "left")
+    return met.select("shape_id", "f_idx", *(F.when(F.col("label").isNull(), F.lit(255)).otherwise(c).alias(n) for c, n in zip(label_rgb(F.col("label")), "rgb", strict=True)))
+
+
 def near_zero(values: DataFrame, share: float = 0.01) -> DataFrame:
     """Values whose magnitude is below a share of the shape's largest."""
     top = values.groupBy("shape_id").agg(F.max(F.abs("value")).alias("top"))

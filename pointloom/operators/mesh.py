@@ -370,3 +370,26 @@ def point_mesh_distance(points: DataFrame, faces: DataFrame, vertices: DataFrame
     met = points.select("shape_id", "q_idx", *(F.col(c).alias("q" + c) for c in "xyz")).join(corners(faces, vertices), "shape_id")
     d = met.select("shape_id", "q_idx", "f_idx", _nearest_on_triangle(G.cols("q")).alias("d2"))
     return d.groupBy("shape_id", "q_idx").agg(F.min("d2").alias("d2"), F.min_by("f_idx", F.struct("d2", "f_idx")).alias("f_idx"))
+
+
+def signed_distance(points: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """shape_id, q_idx, s: the distance of points (shape_id, q_idx, x, y, z) to their shape's mesh times 1 - 2 w, w being the winding
+    number: negative inside a closed mesh whose faces turn outward."""
+    d = point_mesh_distance(points, faces, vertices).join(winding_numbers(points, faces, vertices), ["shape_id", "q_idx"])
+    return d.select("shape_id", "q_idx", (F.sqrt("d2") * (1 - 2 * F.col("w"))).alias("s"))
+
+
+def ray_hits(rays: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """shape_id, q_idx, f_idx, t, u, v: where rays (shape_id, q_idx, x, y, z, dx, dy, dz) meet the faces of their shape, on either
+    side and ahead of their start: at t times the direction, with weights u and v of the second and third corner."""
+    met = rays.select("shape_id", "q_idx", *(F.col(c).alias("o" + c) for c in "xyz"), "dx", "dy", "dz").join(corners(faces, vertices), "shape_id")
+    a, b, c = (G.cols(n) for n in "abc")
+    first, second = G.sub(b, a), G.sub(c, a)
+    across = G.cross(G.cols("d"), second)
+    met = met.withColumns({f"_p{k}": x for k, x in zip("xyz", across, strict=True)})
+    from_corner = G.sub(G.cols("o"), a)
+    up = G.cross(from_corner, first)
+    met = met.withColumns({"_det": G.dot(first, G.cols("_p")), **{f"_q{k}": x for k, x in zip("xyz", up, strict=True)}})
+    share = lambda x: F.try_divide(x, F.col("_det"))
+    found = met.select("shape_id", "q_idx", "f_idx", share(G.dot(second, G.cols("_q"))).alias("t"), share(G.dot(from_corner, G.cols("_p"))).alias("u"), share(G.dot(G.cols("d"), G.cols("_q"))).alias("v"))
+    return found.filter("t > 0 and u >= 0 and v >= 0 and u + v <= 1")

@@ -80,6 +80,20 @@ def rescale(points: DataFrame, factor: float) -> DataFrame:
     return points.withColumns({a: F.col(a) * float(factor) for a in AXES})
 
 
+def moved(points: DataFrame, steps: Sequence[tuple[Sequence[float], float]]) -> DataFrame:
+    """Translates and rescales in turn: each step shifts by a vector, then multiplies by a factor."""
+    for by, factor in steps:
+        points = rescale(translate(points, by), factor)
+    return points
+
+
+def restored(points: DataFrame, steps: Sequence[tuple[Sequence[float], float]]) -> DataFrame:
+    """Undoes `moved` with the same steps; no factor may be 0."""
+    for by, factor in reversed(steps):
+        points = translate(rescale(points, 1 / factor), [-float(d) for d in by])
+    return points
+
+
 def heights(points: DataFrame) -> DataFrame:
     """Adds height: z above the shape's lowest point."""
     low = points.groupBy("shape_id").agg(F.min("z").alias("low"))

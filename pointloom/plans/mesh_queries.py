@@ -574,9 +574,13 @@ def sample_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(mesh.edge_samples(mesh.edge_counts(V.faces(spark, sf_dir)), V.vertices(spark, sf_dir), 2), "x", "y", "z", digits=5)
 
 
-@query(_FACES + """, q AS (SELECT shape_id, point_idx AS q_idx, x + 0.01 AS x, y, z FROM points), t AS (SELECT q.shape_id, q_idx, ax-x AS ax, ay-y AS ay, az-z AS az, bx-x AS bx, "by"-y AS "by", bz-z AS bz, cx-x AS cx, cy-y AS cy, cz-z AS cz FROM corners c JOIN q USING (shape_id)),
-l AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS la, sqrt(bx*bx+"by"*"by"+bz*bz) AS lb, sqrt(cx*cx+cy*cy+cz*cz) AS lc FROM t)
-SELECT shape_id, q_idx, round(sum(2*atan2(ax*("by"*cz-bz*cy)+ay*(bz*cx-bx*cz)+az*(bx*cy-"by"*cx), la*lb*lc+(ax*bx+ay*"by"+az*bz)*lc+(bx*cx+"by"*cy+bz*cz)*la+(cx*ax+cy*ay+cz*az)*lb))/(4*pi()), 5)+0.0 AS w FROM l GROUP BY 1, 2""")
+def _winding_sql(shift: float) -> str:
+    return f""", wq AS (SELECT shape_id, point_idx AS q_idx, x + {shift} AS x, y, z FROM points), wt AS (SELECT q.shape_id, q_idx, ax-x AS ax, ay-y AS ay, az-z AS az, bx-x AS bx, "by"-y AS "by", bz-z AS bz, cx-x AS cx, cy-y AS cy, cz-z AS cz FROM corners c JOIN wq q USING (shape_id)),
+wl AS (SELECT *, sqrt(ax*ax+ay*ay+az*az) AS la, sqrt(bx*bx+"by"*"by"+bz*bz) AS lb, sqrt(cx*cx+cy*cy+cz*cz) AS lc FROM wt),
+w AS (SELECT shape_id, q_idx, sum(2*atan2(ax*("by"*cz-bz*cy)+ay*(bz*cx-bx*cz)+az*(bx*cy-"by"*cx), la*lb*lc+(ax*bx+ay*"by"+az*bz)*lc+(bx*cx+"by"*cy+bz*cz)*la+(cx*ax+cy*ay+cz*az)*lb))/(4*pi()) AS w FROM wl GROUP BY 1, 2)"""
+
+
+@query(_FACES + _winding_sql(0.01) + " SELECT shape_id, q_idx, round(w, 5)+0.0 AS w FROM w")
 def winding_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
     return _rounded(mesh.winding_numbers(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "w", digits=5)
@@ -671,13 +675,40 @@ def _turns_sql(u: str, v: str) -> str:
     return f"(({e[1]}*{w[2]}-{e[2]}*{w[1]})*ux+({e[2]}*{w[0]}-{e[0]}*{w[2]})*uy+({e[0]}*{w[1]}-{e[1]}*{w[0]})*uz >= 0)"
 
 
-@query((_FACES + f""", q AS (SELECT n.*, p.point_idx AS q_idx, p.x + 0.05 AS qx, p.y AS qy, p.z AS qz FROM n0 n JOIN points p USING (shape_id)),
+_DISTANCE = (f""", q AS (SELECT n.*, p.point_idx AS q_idx, p.x + 0.05 AS qx, p.y AS qy, p.z AS qz FROM n0 n JOIN points p USING (shape_id)),
 d AS (SELECT shape_id, q_idx, f_idx, CASE WHEN {_turns_sql("a", "b")} AND {_turns_sql("b", "c")} AND {_turns_sql("c", "a")} THEN ((qx-ax)*ux+(qy-ay)*uy+(qz-az)*uz)*((qx-ax)*ux+(qy-ay)*uy+(qz-az)*uz)/(ux*ux+uy*uy+uz*uz)
-  ELSE least({_side_sql("a", "b")}, {_side_sql("b", "c")}, {_side_sql("c", "a")}) END AS d2 FROM q)
-SELECT shape_id, q_idx, round(min(d2), 6)+0.0 AS d2 FROM d GROUP BY 1, 2""").replace("-by", '-"by"').replace("(by", '("by"'))
+  ELSE least({_side_sql("a", "b")}, {_side_sql("b", "c")}, {_side_sql("c", "a")}) END AS d2 FROM q)""").replace("-by", '-"by"').replace("(by", '("by"')
+
+
+@query(_FACES + _DISTANCE + " SELECT shape_id, q_idx, round(min(d2), 6)+0.0 AS d2 FROM d GROUP BY 1, 2")
 def point_mesh_squared_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.05).alias("x"), "y", "z")
-    return _rounded(mesh.point_mesh_distance(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)).select("shape_id", "q_idx", "d2"), "d2")
+    return _rounded(mesh.point_mesh_distance(_queries(spark, sf_dir), V.faces(spark, sf_dir), V.vertices(spark, sf_dir)).select("shape_id", "q_idx", "d2"), "d2")
+
+
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.05).alias("x"), "y", "z")
+
+
+@query(_FACES + _DISTANCE + _winding_sql(0.05) + ", m AS (SELECT shape_id, q_idx, min(d2) AS d2 FROM d GROUP BY 1, 2) SELECT shape_id, q_idx, round(sqrt(d2) * (1 - 2 * w), 5)+0.0 AS s FROM m JOIN w USING (shape_id, q_idx)")
+def signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(mesh.signed_distance(_queries(spark, sf_dir), V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "s", digits=5)
+
+
+@query(_FACES + """, o AS (SELECT c.shape_id, c.f_idx, p.point_idx AS q_idx, p.x + 0.05 - ax AS ox, p.y - ay AS oy, p.z - az AS oz, bx-ax AS ex, "by"-ay AS ey, bz-az AS ez, cx-ax AS gx, cy-ay AS gy, cz-az AS gz, 0.6::DOUBLE AS dx, 0.0::DOUBLE AS dy, 0.8::DOUBLE AS dz FROM corners c JOIN points p USING (shape_id)),
+p AS (SELECT *, dy*gz-dz*gy AS px, dz*gx-dx*gz AS py, dx*gy-dy*gx AS pz, oy*ez-oz*ey AS qx, oz*ex-ox*ez AS qy, ox*ey-oy*ex AS qz FROM o),
+h AS (SELECT shape_id, q_idx, f_idx, (gx*qx+gy*qy+gz*qz)/(ex*px+ey*py+ez*pz) AS t, (ox*px+oy*py+oz*pz)/(ex*px+ey*py+ez*pz) AS u, (dx*qx+dy*qy+dz*qz)/(ex*px+ey*py+ez*pz) AS v FROM p)
+SELECT shape_id, q_idx, f_idx, round(t, 5)+0.0 AS t, round(u, 5)+0.0 AS u, round(v, 5)+0.0 AS v FROM h WHERE t > 0 AND u >= 0 AND v >= 0 AND u + v <= 1""")
+def ray_mesh_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rays = _queries(spark, sf_dir).withColumns({"dx": F.lit(0.6), "dy": F.lit(0.0), "dz": F.lit(0.8)})
+    return _rounded(mesh.ray_hits(rays, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "t", "u", "v", digits=5)
+
+
+@query(f"WITH {V.POINTS}, {V.STRIP}, l AS (SELECT shape_id, f_idx, CASE WHEN f_idx % 3 < 2 THEN f_idx % 3 END AS label FROM faces), h0 AS (SELECT *, {lab.FIRST_HUE!r}::DOUBLE + label * {lab.GOLDEN!r}::DOUBLE AS a FROM l), h AS (SELECT *, a - floor(a) AS h FROM h0), c AS (SELECT shape_id, f_idx, label, {_rgb_sql('0.9::DOUBLE', '0.9::DOUBLE')} FROM h) SELECT shape_id, f_idx, CASE WHEN label IS NULL THEN 255 ELSE r END AS r, CASE WHEN label IS NULL THEN 255 ELSE g END AS g, CASE WHEN label IS NULL THEN 255 ELSE b END AS b FROM c")
+def face_colors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third face has no label."""
+    f = V.strip(spark, sf_dir)
+    known = f.select("shape_id", F.col("f_idx").alias("elem_idx"), F.when(F.col("f_idx") % 3 < 2, F.col("f_idx") % 3).alias("label"))
+    return lab.face_colors(f, known)
 
 
 @query("WITH s AS (SELECT event_id, event_id % 4294967296 AS seed FROM events), m AS (SELECT event_id, 698769069 * seed + (seed * 7 + 1) % 4294967296 AS w, (69069 * seed + 12345) % 4294967296 AS c, seed + 1 AS s FROM s), a AS (SELECT *, xor(s, (s << 13) & 4294967295) AS a FROM m), b AS (SELECT *, xor(a, a >> 17) AS b FROM a) SELECT event_id, w >> 32 AS upper, w & 4294967295 AS lower, ((w & 4294967295) + c + xor(b, (b << 5) & 4294967295)) & 4294967295 AS kiss2 FROM b")

@@ -245,3 +245,21 @@ def test_wide_generators_against_plain_integers(spark):
     for x in r:
         whole = 698769069 * (x.id * 77_777_777 % 2**32) + x.id * 99_999_989 % 2**32
         assert (x.c0, x.c1) == (whole >> 32, whole % 2**32) and x.c4 == (x.c1 + x.c2 + x.c3) % 2**32
+
+
+def test_moves_are_undone(cloud):
+    steps = [((1.0, -2.0, 0.5), 3.0), ((0.0, 4.0, 0.0), 0.25)]
+    back = {tuple(r)[:2]: tuple(r)[2:] for r in normalize.restored(normalize.moved(cloud, steps), steps).collect()}
+    assert all(back[tuple(r)[:2]] == pytest.approx(tuple(r)[2:]) for r in cloud.collect())
+
+
+def test_distances_and_rays_of_a_cube(spark):
+    corner = [(x, y, z) for x in (0.0, 1.0) for y in (0.0, 1.0) for z in (0.0, 1.0)]
+    quads = [(0, 1, 3, 2), (4, 6, 7, 5), (0, 4, 5, 1), (2, 3, 7, 6), (0, 2, 6, 4), (1, 5, 7, 3)]
+    faces = spark.createDataFrame([("c", 2 * k + j, *f) for k, (a, b, c, d) in enumerate(quads) for j, f in enumerate(((a, b, c), (a, c, d)))], "shape_id string, f_idx int, v0 int, v1 int, v2 int")
+    vertices = spark.createDataFrame([("c", i, *p) for i, p in enumerate(corner)], "shape_id string, v_idx int, x double, y double, z double")
+    q = spark.createDataFrame([("c", 0, 0.5, 0.4, 0.3), ("c", 1, 2.0, 0.5, 0.5), ("c", 2, 2.0, 2.0, 0.5)], "shape_id string, q_idx int, x double, y double, z double")
+    s = {r.q_idx: r.s for r in mesh.signed_distance(q, faces, vertices).collect()}
+    assert (s[0], s[1], s[2]) == pytest.approx((-0.3, 1.0, 2**0.5))
+    hits = mesh.ray_hits(q.withColumns({"dx": F.lit(-1.0), "dy": F.lit(0.01), "dz": F.lit(0.02)}), faces, vertices).collect()
+    assert sorted((r.q_idx, round(r.t, 9)) for r in hits) == [(0, 0.5), (1, 1.0), (1, 2.0)]
