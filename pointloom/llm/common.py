@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..shared import shared_dir, table_path, written  # noqa: F401  used by the operators beside this module
+from ..shared import table_path, written  # noqa: F401  used by the operators beside this module
 
 #: The six ASCII separators of the word definition (space, tab, line feed, vertical tab, form feed, return).
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -54,11 +54,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, ends - ends[0]
 
 
-def list_array(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """A list column from flat values and n + 1 offsets."""
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, kind))
-
-
 # ---------------------------------------------------------------------------------------------- words
 
 
