@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, phrase_automata, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
+from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, katz, phrase_automata, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -62,6 +62,13 @@ def op10_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bigram model; sums of logarithms are rounded, as their last digits depend on the order of summing."""
+    training = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) != 2
+    out = katz.score(_read(spark, sf_dir, "documents"), training, order=2)
+    return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +82,7 @@ QUERIES = {
         op8_prefix_sum_shards,
         op9_setsketch_near_dedup,
         op10_phrase_automata,
+        op11_katz_backoff,
     )
 }
 
@@ -97,6 +105,10 @@ s AS (SELECT *, CAST(least(15, first * 16 // total) AS INTEGER) AS shard FROM pl
 SELECT doc_id, size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY first, r) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s
 """
 
+#: The crc32 of a document's id as text, by the same table.
+_ID_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295)"
+_TAB = "tab AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END))) AS tab)"
+
 _WORDS = r"""regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"""
 
 _OP9_SQL = f"""
@@ -122,4 +134,29 @@ kept AS (SELECT a.doc_id, count(*) AS n, count(g.p) AS gone, string_agg(word, '
 SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: ' end' and ' start' hold a space, so that they are no words.
+_OP11_SQL = f"""
+WITH {_TAB},
+d AS (SELECT doc_id, row_number() OVER () AS r, coalesce({_ID_CRC} % 7 = 2, false) AS held, list_append({_WORDS.format(text=_LOWER)}, ' end') AS w FROM documents, tab),
+tok AS (SELECT r, held, unnest(w) AS w, unnest(list_prepend(' start', w[:-2])) AS v FROM d),
+c1 AS (SELECT w, count(*) AS c FROM tok WHERE NOT held GROUP BY 1),
+c2 AS (SELECT v, w, count(*) AS c FROM tok WHERE NOT held GROUP BY 1, 2),
+t AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c1),
+of AS (SELECT v, sum(c) AS c FROM c2 GROUP BY 1),
+nr AS (SELECT 1 AS level, c, count(*) AS n FROM c1 GROUP BY 2 UNION ALL SELECT 2, c, count(*) FROM c2 GROUP BY 2),
+fit AS (SELECT level, least(CASE WHEN count(*) > 1 THEN regr_slope(ln(n), ln(c)) ELSE -2 END, -1.05) + 1 AS power FROM nr WHERE c <= 64 GROUP BY 1),
+turing AS (SELECT a.level, a.c, (a.c + 1) * b.n / (a.c * a.n) AS t FROM nr a JOIN nr b ON b.level = a.level AND b.c = a.c + 1 WHERE a.c <= 5),
+disc AS (SELECT nr.level, nr.c, CASE WHEN t > 0 AND t < 1 THEN t ELSE pow(1 + 1 / nr.c, power) END AS d FROM nr JOIN fit USING (level) LEFT JOIN turing u ON u.level = nr.level AND u.c = nr.c),
+p1 AS (SELECT w, c1.c AS c, d * c1.c / n AS p FROM c1, t, disc WHERE disc.level = 1 AND disc.c = c1.c),
+p2 AS (SELECT c2.v, c2.w, d * c2.c / of.c AS p FROM c2 JOIN of USING (v) JOIN disc ON disc.level = 2 AND disc.c = c2.c),
+a0 AS (SELECT 1 - coalesce(sum(p), 0) AS a FROM p1),
+a1 AS (SELECT v, (1 - sum(p2.p)) / (1 - sum(p1.p)) AS a FROM p2 JOIN p1 USING (w) GROUP BY 1),
+s AS (SELECT r, count(*) AS n_tokens, count(p1.c) AS n_known, sum(log10((coalesce(p1.c, 0) + 1) / (t.n + t.v + 1))) AS base,
+      sum(CASE WHEN p2.p IS NOT NULL THEN log10(p2.p) ELSE log10(coalesce(a1.a, 1)) + log10(coalesce(p1.p, a0.a)) END) AS score
+      FROM tok CROSS JOIN t CROSS JOIN a0 LEFT JOIN p1 ON p1.w = tok.w LEFT JOIN p2 ON p2.v = tok.v AND p2.w = tok.w LEFT JOIN a1 ON a1.v = tok.v GROUP BY r)
+SELECT doc_id, held AS held_out, n_tokens, n_known, t.n AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM d JOIN s USING (r), t
+"""
+
+ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL, "op11_katz_backoff": _OP11_SQL}
