@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, katz, phrase_automata, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
+from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, katz, phrase_automata, phrase_mining, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -69,6 +69,10 @@ def op11_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})
 
 
+def op12_phrase_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(_read(spark, sf_dir, "documents"), least=100, best=2000)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +87,7 @@ QUERIES = {
         op9_setsketch_near_dedup,
         op10_phrase_automata,
         op11_katz_backoff,
+        op12_phrase_quicksort,
     )
 }
 
@@ -159,4 +164,21 @@ s AS (SELECT r, count(*) AS n_tokens, count(p1.c) AS n_known, sum(log10((coalesc
 SELECT doc_id, held AS held_out, n_tokens, n_known, t.n AS train_tokens, round(base, 6) AS base_score, round(score, 6) AS score FROM d JOIN s USING (r), t
 """
 
-ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL, "op11_katz_backoff": _OP11_SQL}
+_OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all({_LOWER}, '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM w, range(1, 6) r(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM c, range(1, 5) r(k) WHERE k < m),
+s AS (SELECT cut.lang, cut.phrase, cut.a, k, x.a AS l, y.a AS r, n, CAST(1000::HUGEINT * cut.a * n // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+      FROM cut JOIN t USING (lang) JOIN f x ON x.lang = cut.lang AND x.phrase = head JOIN f y ON y.lang = cut.lang AND y.phrase = tail),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS i FROM s) WHERE i = 1),
+sub AS (SELECT lang, a, array_to_string(w[:m - 1], ' ') AS phrase FROM c WHERE m > 2 UNION SELECT lang, a, array_to_string(w[2:], ' ') FROM c WHERE m > 2),
+kept AS (SELECT * FROM low ANTI JOIN sub ON sub.lang = low.lang AND sub.phrase = low.phrase AND sub.a = low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL, "op11_katz_backoff": _OP11_SQL, "op12_phrase_quicksort": _OP12_SQL}
