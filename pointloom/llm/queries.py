@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, katz, phrase_automata, phrase_mining, ppm_lang, repair_store, setsketch, token_counts, toxic_chain
+from . import byte_shards, cgk_decontam, conflict_packing, inner_topk, katz, phrase_automata, phrase_mining, ppm_lang, prefix_trie, repair_store, setsketch, token_counts, toxic_chain
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -73,6 +73,10 @@ def op12_phrase_quicksort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_mining.collocations(_read(spark, sf_dir, "documents"), least=100, best=2000)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -88,6 +92,7 @@ QUERIES = {
         op10_phrase_automata,
         op11_katz_backoff,
         op12_phrase_quicksort,
+        op13_prefix_trie,
     )
 }
 
@@ -181,4 +186,23 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
 SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
 """
 
-ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL, "op11_katz_backoff": _OP11_SQL, "op12_phrase_quicksort": _OP12_SQL}
+_OP13_SQL = f"""
+WITH {_TAB},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_ID_CRC.replace("doc_id", "conv_id")} % 6 AS h, conv_id - conv_id % 100 AS base FROM (SELECT DISTINCT conv_id FROM o), tab),
+hd AS (SELECT c.conv_id, pos, role, text FROM c JOIN o ON o.conv_id = base AND pos <= h),
+k AS (SELECT c.conv_id, h, count(hd.pos) AS n FROM c LEFT JOIN hd ON hd.conv_id = c.conv_id GROUP BY 1, 2),
+re AS (SELECT * FROM hd UNION ALL SELECT o.conv_id, pos - h + n, role, text FROM o JOIN k ON k.conv_id = o.conv_id WHERE pos > h),
+l AS (SELECT k.conv_id, coalesce(list([role, text] ORDER BY pos) FILTER (pos IS NOT NULL), []) AS t FROM k LEFT JOIN re ON re.conv_id = k.conv_id GROUP BY 1),
+pre AS (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM l),
+m AS (SELECT conv_id, d, t, md5(CAST(to_json(t[:d]) AS VARCHAR)) AS key, CASE WHEN d > 0 THEN md5(CAST(to_json(t[:d - 1]) AS VARCHAR)) END AS up, CASE WHEN d > 0 THEN length(t[d][2]) ELSE 0 END AS chars FROM pre),
+node AS (SELECT key, d, any_value(up) AS up, any_value(t) AS t, min(conv_id) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM m GROUP BY 1, 2),
+kids AS (SELECT up, count(*) AS n FROM node GROUP BY 1),
+sub AS (SELECT n.key, n.d, (n.n - 1) * n.chars AS saved, CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END AS leaf, n.t, unnest(range(0, n.d + 1)) AS j FROM node n LEFT JOIN kids ON kids.up = n.key),
+total AS (SELECT md5(CAST(to_json(t[:j]) AS VARCHAR)) AS key, sum(saved) AS saved, sum(leaf) AS leaves FROM sub GROUP BY 1),
+fin AS (SELECT md5(CAST(to_json(t) AS VARCHAR)) AS key, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM l GROUP BY 1)
+SELECT node.conv_id, CAST(node.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, node.n AS n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM node JOIN total USING (key) LEFT JOIN kids ON kids.up = node.key LEFT JOIN node p ON p.key = node.up LEFT JOIN fin ON fin.key = node.key
+"""
+
+ORACLE_SQL = {"op4_norm_sorted_topk": _OP4_SQL, "op8_prefix_sum_shards": _OP8_SQL, "op9_setsketch_near_dedup": _OP9_SQL, "op10_phrase_automata": _OP10_SQL, "op11_katz_backoff": _OP11_SQL, "op12_phrase_quicksort": _OP12_SQL, "op13_prefix_trie": _OP13_SQL}
