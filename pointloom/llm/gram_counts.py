@@ -151,7 +151,7 @@ def _blocks(separators: np.ndarray, breaks: np.ndarray | None, end: np.uint64 |
     return run
 
 
-def token_blocks(docs: DataFrame, *, separators: tuple[int, ...] = SEPARATORS, breaks: tuple[int, ...] = (), end: np.uint64 | None = None, before: int = 0, after: int = 0, block_tokens: int = 1 << 21, spell: bool = False) -> DataFrame:
+def token_blocks(docs: DataFrame, *, separators: tuple[int, ...] = SEPARATORS, breaks: tuple[int, ...] = (), end: np.uint64 | None = None, before: int = 0, after: int = 0, block_tokens: int = 1 << 20, spell: bool = False) -> DataFrame:
     """The blocks of docs (text, label string, flag boolean, salt long), a written table.
 
     Words are lower-cased (A-Z) and cut at separators; breaks are separators that no gram may span; `end` is a token's hash that every

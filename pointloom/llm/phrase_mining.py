@@ -171,7 +171,7 @@ def _sorted(least: int):
     return run
 
 
-def phrase_counts(docs: DataFrame, *, least: int = 100, block_tokens: int = 1 << 21) -> tuple[DataFrame, DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, *, least: int = 100, block_tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Phrases (lang, a, words, gram, heads, tails: hashes) of 2 to 5 words that stand `least` times or more, such single words (lang,
     word, spelled, a), and each language's number of words (lang, n)."""
     lang = F.coalesce("lang", F.lit("und"))
@@ -187,7 +187,7 @@ def phrase_counts(docs: DataFrame, *, least: int = 100, block_tokens: int = 1 <<
     return written(short.unionByName(deep), "phrases"), words, totals
 
 
-def collocations(docs: DataFrame, *, least: int = 100, best: int = 2000, block_tokens: int = 1 << 21) -> DataFrame:
+def collocations(docs: DataFrame, *, least: int = 100, best: int = 2000, block_tokens: int = 1 << 20) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score of each language's best phrases."""
     phrases, words, totals = phrase_counts(docs, least=least, block_tokens=block_tokens)
     count = phrases.select("gram", "a").union(words.select("word", "a"))
