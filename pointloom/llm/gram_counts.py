@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import CHUNK_BYTES, SEPARATORS, Words, mix, slices, written
+from .common import SEPARATORS, Words, mix, slices, written
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -144,7 +144,7 @@ def _blocks(separators: np.ndarray, breaks: np.ndarray | None, end: np.uint64 |
                         yield block()
                         waiting = 0
                     held.append((h[lo:hi], broken[lo:hi], spans[lo:hi], (row, at - lo, to - lo, at == 0), labels[k], flags[k], low))
-                    waiting += hi - lo
+                    waiting += max(1, hi - lo)
         if held:
             yield block()
 

@@ -123,7 +123,7 @@ def _suffixes(least: int, cells: int):
         alive = np.ones(len(h), bool)
         for k in range(1, DEPTH):
             step = np.zeros(len(h), bool)
-            step[: len(h) - k + 1] = goes[k - 1 :]
+            step[: max(0, len(h) - k + 1)] = goes[k - 1 :]
             alive &= step
             long += alive
         start = np.flatnonzero(own & (long >= LEADING))

@@ -139,6 +139,10 @@ def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def text() -> bytes:
         return ",".join(map(str, np.concatenate(held).tolist())).encode()
 
+    def rest() -> Iterator[pa.RecordBatch]:
+        if held:
+            yield _row(node, None, int(held[0][0]), text())
+
     def flush() -> Iterator[pa.RecordBatch]:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done]), pa.nulls(len(done), pa.int64()), pa.nulls(len(done), pa.binary())], ["conv_id", "depth", "sha256", "first", "piece"])
@@ -160,11 +164,10 @@ def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 node, held = here, []
             held.append(m[lo:hi])
             if sum(map(len, held)) >= PIECE:
-                yield _row(node, None, int(held[0][0]), text())
-                held, border = [m[hi:hi]], True
+                yield from rest()
+                held, border = [], True
         yield from flush()
-    if node is not None and len(np.concatenate(held)):
-        yield _row(node, None, int(next(x for x in held if len(x))[0]), text())
+    yield from rest()
 
 
 def _hash_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
