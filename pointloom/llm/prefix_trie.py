@@ -157,7 +157,7 @@ def _hash_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             here = int(c[lo]), int(d[lo])
             if here != node:
                 if node is not None and border:
-                    yield _row(node, None, int(held[0][0]), text())
+                    yield from rest()
                 elif node is not None:
                     done.append((*node, hashlib.sha256(text()).hexdigest()))
                 border = node is None  # a range's first node may have begun before it
