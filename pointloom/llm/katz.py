@@ -146,7 +146,7 @@ def _score(order: int, model: dict):
     return run
 
 
-def train_and_score(docs: DataFrame, training: Column, *, order: int = 2, block_tokens: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
+def train_and_score(docs: DataFrame, training: Column, *, order: int = 2, block_tokens: int = 1 << 19) -> tuple[DataFrame, DataFrame]:
     """Scores: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs. Weights: level, context (a
     hash), alpha of the model that the rows for which `training` holds give."""
     rows = docs.select("text", F.col("doc_id").cast("long").cast("string").alias("label"), F.coalesce(training, F.lit(True)).alias("flag"), F.lit(None).cast("long").alias("salt"))
