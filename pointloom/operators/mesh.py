@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
+from . import surface
 from .graph import components, nearest_of
 from .sampling import corners
 
@@ -216,19 +217,9 @@ def snap(points: DataFrame, onto: DataFrame, key: str) -> DataFrame:
     return nearest_of(points, onto, key)
 
 
-def winding_numbers(queries: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """shape_id, q_idx, w: the solid angle of all faces seen from each query (shape_id, q_idx, x, y, z), over 4 pi."""
-    tri = corners(faces, vertices)
-    q = queries.select("shape_id", "q_idx", *(F.col(c).alias("q" + c) for c in "xyz"))
-    met = tri.join(q, "shape_id")
-    o = G.cols("q")
-    a, b, c = (G.sub(G.cols(p), o) for p in "abc")
-    met = met.withColumns({f"{n}{k}_": x for n, v in zip("abc", (a, b, c), strict=True) for k, x in zip("xyz", v, strict=True)})
-    a, b, c = (tuple(F.col(f"{n}{k}_") for k in "xyz") for n in "abc")
-    met = met.withColumns({"_la": G.norm(a), "_lb": G.norm(b), "_lc": G.norm(c)})
-    la, lb, lc = F.col("_la"), F.col("_lb"), F.col("_lc")
-    solid = F.atan2(G.dot(a, G.cross(b, c)), la * lb * lc + G.dot(a, b) * lc + G.dot(b, c) * la + G.dot(c, a) * lb)
-    return met.groupBy("shape_id", "q_idx").agg((F.sum(2 * solid) / (4 * math.pi)).alias("w"))
+def winding_numbers(queries: DataFrame, faces: DataFrame, vertices: DataFrame, *, error: float = 1e-4) -> DataFrame:
+    """shape_id, q_idx, w: the solid angle of all faces seen from each query (shape_id, q_idx, x, y, z), over 4 pi, within `error`."""
+    return surface.winding_numbers(queries, surface.face_tree(faces, vertices), error=error)
 
 
 def border_vertices(faces: DataFrame) -> DataFrame:
@@ -348,48 +339,21 @@ def resolve_duplicates(faces: DataFrame) -> DataFrame:
     return faces.join(kept, ["shape_id", "f_idx"], "left_semi")
 
 
-def _nearest_on_triangle(p: G.Vec) -> Column:
-    """Squared distance from p to the triangle of columns a, b, c: to its plane if the foot lies inside, else to the nearest side."""
-    a, b, c = (G.cols(n) for n in "abc")
-
-    def to_side(u: G.Vec, v: G.Vec) -> Column:
-        e, w = G.sub(v, u), G.sub(p, u)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(G.dot(w, e), G.dot(e, e)), F.lit(0.0))))
-        d = G.sub(w, G.scale(e, t))
-        return G.dot(d, d)
-
-    n = G.cross(G.sub(b, a), G.sub(c, a))
-    inside = [G.dot(G.cross(G.sub(v, u), G.sub(p, u)), n) >= 0 for u, v in ((a, b), (b, c), (c, a))]
-    height = G.dot(G.sub(p, a), n)
-    return F.when(inside[0] & inside[1] & inside[2] & (G.dot(n, n) > 0), F.try_divide(height * height, G.dot(n, n))).otherwise(F.least(to_side(a, b), to_side(b, c), to_side(c, a)))
-
-
 def point_mesh_distance(points: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """shape_id, q_idx, d2, f_idx: the squared distance of points (shape_id, q_idx, x, y, z) to their shape's mesh, and the first
     face at it."""
-    met = points.select("shape_id", "q_idx", *(F.col(c).alias("q" + c) for c in "xyz")).join(corners(faces, vertices), "shape_id")
-    d = met.select("shape_id", "q_idx", "f_idx", _nearest_on_triangle(G.cols("q")).alias("d2"))
-    return d.groupBy("shape_id", "q_idx").agg(F.min("d2").alias("d2"), F.min_by("f_idx", F.struct("d2", "f_idx")).alias("f_idx"))
+    return surface.nearest_faces(points, surface.face_tree(faces, vertices))
 
 
-def signed_distance(points: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
+def signed_distance(points: DataFrame, faces: DataFrame, vertices: DataFrame, *, error: float = 1e-4) -> DataFrame:
     """shape_id, q_idx, s: the distance of points (shape_id, q_idx, x, y, z) to their shape's mesh times 1 - 2 w, w being the winding
-    number: negative inside a closed mesh whose faces turn outward."""
-    d = point_mesh_distance(points, faces, vertices).join(winding_numbers(points, faces, vertices), ["shape_id", "q_idx"])
+    number (within `error`): negative inside a closed mesh whose faces turn outward."""
+    tree = surface.face_tree(faces, vertices)
+    d = surface.nearest_faces(points, tree).join(surface.winding_numbers(points, tree, error=error), ["shape_id", "q_idx"])
     return d.select("shape_id", "q_idx", (F.sqrt("d2") * (1 - 2 * F.col("w"))).alias("s"))
 
 
 def ray_hits(rays: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """shape_id, q_idx, f_idx, t, u, v: where rays (shape_id, q_idx, x, y, z, dx, dy, dz) meet the faces of their shape, on either
     side and ahead of their start: at t times the direction, with weights u and v of the second and third corner."""
-    met = rays.select("shape_id", "q_idx", *(F.col(c).alias("o" + c) for c in "xyz"), "dx", "dy", "dz").join(corners(faces, vertices), "shape_id")
-    a, b, c = (G.cols(n) for n in "abc")
-    first, second = G.sub(b, a), G.sub(c, a)
-    across = G.cross(G.cols("d"), second)
-    met = met.withColumns({f"_p{k}": x for k, x in zip("xyz", across, strict=True)})
-    from_corner = G.sub(G.cols("o"), a)
-    up = G.cross(from_corner, first)
-    met = met.withColumns({"_det": G.dot(first, G.cols("_p")), **{f"_q{k}": x for k, x in zip("xyz", up, strict=True)}})
-    share = lambda x: F.try_divide(x, F.col("_det"))
-    found = met.select("shape_id", "q_idx", "f_idx", share(G.dot(second, G.cols("_q"))).alias("t"), share(G.dot(from_corner, G.cols("_p"))).alias("u"), share(G.dot(G.cols("d"), G.cols("_q"))).alias("v"))
-    return found.filter("t > 0 and u >= 0 and v >= 0 and u + v <= 1")
+    return surface.ray_hits(rays, surface.face_tree(faces, vertices))

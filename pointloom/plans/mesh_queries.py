@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, random as rnd
@@ -583,7 +585,7 @@ w AS (SELECT shape_id, q_idx, sum(2*atan2(ax*("by"*cz-bz*cy)+ay*(bz*cx-bx*cz)+az
 @query(_FACES + _winding_sql(0.01) + " SELECT shape_id, q_idx, round(w, 5)+0.0 AS w FROM w")
 def winding_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = V.points(spark, sf_dir).select("shape_id", F.col("point_idx").alias("q_idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
-    return _rounded(mesh.winding_numbers(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "w", digits=5)
+    return _rounded(mesh.winding_numbers(q, V.faces(spark, sf_dir), V.vertices(spark, sf_dir), error=1e-8), "w", digits=5)
 
 
 @query(f"WITH {V.POINTS} SELECT shape_id, point_idx, (CASE WHEN y >= -0.1 AND y < 0.1 AND x < 0.1 + (y + 0.1) * 0.0 THEN 1 ELSE 0 END + CASE WHEN y >= -0.1 AND y < 0.1 AND x < 0.0 + (y + 0.1) * -0.5 THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM points")
@@ -691,7 +693,7 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_FACES + _DISTANCE + _winding_sql(0.05) + ", m AS (SELECT shape_id, q_idx, min(d2) AS d2 FROM d GROUP BY 1, 2) SELECT shape_id, q_idx, round(sqrt(d2) * (1 - 2 * w), 5)+0.0 AS s FROM m JOIN w USING (shape_id, q_idx)")
 def signed_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(mesh.signed_distance(_queries(spark, sf_dir), V.faces(spark, sf_dir), V.vertices(spark, sf_dir)), "s", digits=5)
+    return _rounded(mesh.signed_distance(_queries(spark, sf_dir), V.faces(spark, sf_dir), V.vertices(spark, sf_dir), error=1e-8), "s", digits=5)
 
 
 @query(_FACES + """, o AS (SELECT c.shape_id, c.f_idx, p.point_idx AS q_idx, p.x + 0.05 - ax AS ox, p.y - ay AS oy, p.z - az AS oz, bx-ax AS ex, "by"-ay AS ey, bz-az AS ez, cx-ax AS gx, cy-ay AS gy, cz-az AS gz, 0.6::DOUBLE AS dx, 0.0::DOUBLE AS dy, 0.8::DOUBLE AS dz FROM corners c JOIN points p USING (shape_id)),
@@ -716,3 +718,44 @@ def random_generators_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     seed = F.col("event_id") % (1 << 32)
     u, v, _, _, x = rnd.kiss2(((seed * 7 + 1) % (1 << 32), seed), seed, seed + 1)
     return table(spark, sf_dir, "events").select("event_id", u.alias("upper"), v.alias("lower"), x.alias("kiss2"))
+
+
+def _register_sql(z: str, a: int, b: int, keep: int, c: int) -> str:
+    m = 0xFFFFFFFF
+    return f"xor((({z} & {keep}) << {c}) & {m}, xor(({z} << {a}) & {m}, {z}) >> {b})"
+
+
+def _skip_sql() -> str:
+    """All generators stepped one by one, to each row's number of steps."""
+    m, registers = 0xFFFFFFFF, [*zip(("z1", "z2", "z3", "z4"), rnd.LFSR113, strict=True), *zip(("y1", "y2", "y3"), rnd.LFSR88, strict=True)]
+    fold = lambda x, keep: f"CASE WHEN xor({x}, ({x} << 16) & {m}) >= {m + 1 - keep} THEN xor({x}, ({x} << 16) & {m}) WHEN (({x} << 24) & {m}) >= {m + 1 - keep} THEN ({x} << 24) & {m} ELSE {m} - (({x} << 24) & {m}) END"
+    seeds = ", ".join(f"{fold('x', r[2])} AS {z}" for z, r in registers)
+    steps = ", ".join(_register_sql(z, *r) for z, r in registers)
+    part = lambda x, p: f"CASE WHEN {x} % {p} = 0 THEN xor({x}, {m}) % {p} ELSE {x} % {p} END"
+    p64, names = rnd.PRIME64, ", ".join(z for z, _ in registers)
+    three = f"xor(xor(xor(s, (s << 13) & {m}), xor(s, (s << 13) & {m}) >> 17), (xor(xor(s, (s << 13) & {m}), xor(s, (s << 13) & {m}) >> 17) << 5) & {m})"
+    return f"""WITH RECURSIVE x AS (SELECT event_id, event_id % 24 AS n, (event_id * 2654435761) % 4294967296 AS x FROM events),
+g(event_id, n, k, c, s, u, v, w, {names}) AS (
+  SELECT event_id, n, 0, x, CASE WHEN x = 0 THEN {m} ELSE x END, {part("x", rnd.PRIMES[0])}, {part("x", rnd.PRIMES[1])},
+    CASE WHEN (x::HUGEINT * 4294967296 + x) % {p64} = 0 THEN (({m} - x)::HUGEINT * 4294967296 + {m} - x) % {p64} ELSE (x::HUGEINT * 4294967296 + x) % {p64} END, {seeds} FROM x
+  UNION ALL SELECT event_id, n, k + 1, ({rnd.CONG[0]} * c + {rnd.CONG[1]}) % 4294967296, {three},
+    {rnd.MWC[0]} * (u & 65535) + (u >> 16), {rnd.MWC[1]} * (v & 65535) + (v >> 16), {rnd.MWC64}::HUGEINT * (w % 4294967296) + w // 4294967296, {steps} FROM g WHERE k < n),
+o AS (SELECT *, ((u << 16) & {m}) + (u >> 16) + v AS t, CAST(w % 4294967296 AS BIGINT) AS l FROM g WHERE k = n)
+SELECT event_id, n, c AS cong, s AS shr3, (((u << 16) & {m}) + v) % 4294967296 AS mwc1, t % 4294967296 AS mwc2, (xor(t % 4294967296, c) + s) % 4294967296 AS kiss, l AS mwc64, (l + c + s) % 4294967296 AS kiss2,
+  xor(xor(z1, z2), xor(z3, z4)) AS lfsr113, xor(xor(y1, y2), y3) AS lfsr88 FROM o"""
+
+
+@query(_skip_sql())
+def random_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All generators, seeded by each event and taken its number of steps on; the SQL takes them one by one."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 24).alias("n"), ((F.col("event_id") * 2654435761) % (1 << 32)).alias("x"))
+    x, n = F.col("x"), F.col("n")
+    e = e.withColumn("m", F.struct(*(c.alias(k) for k, c in zip("uv", rnd.skip_mwc(*rnd.seed_mwc(x, x), n), strict=True))))
+    e = e.withColumns({"cong": rnd.skip_cong(rnd.seed_cong(x), n), "shr3": rnd.skip_shr3(rnd.seed_shr3(x), n), "mwc64": rnd.skip_mwc64(*rnd.seed_mwc64(x, x), n)[1]})
+    registers = {"lfsr113": rnd.LFSR113, "lfsr88": rnd.LFSR88}
+    for name, r in registers.items():
+        z = rnd.skip_lfsr(rnd.seed_lfsr((x,) * len(r), r), n, r)
+        e = e.withColumn(name, functools.reduce(lambda a, b: a.bitwiseXOR(b), z))
+    u, v, c, s = F.col("m.u"), F.col("m.v"), F.col("cong"), F.col("shr3")
+    out = {"mwc1": rnd.mwc1_output(u, v), "mwc2": rnd.mwc2_output(u, v), "kiss": rnd.kiss_output(u, v, c, s), "kiss2": rnd.kiss2_output(u, F.col("mwc64"), c, s)}
+    return e.withColumns(out).drop("x", "m")
