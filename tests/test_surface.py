@@ -147,7 +147,7 @@ def test_skips_add_up_over_their_whole_range(spark):
     df = spark.createDataFrame([(1 << 40, 12_345), (3**38, 1 << 61), (2**32 - 1, 2**32), (None, -5)], "a long, b long")
     a, b, both = F.col("a"), F.col("b"), F.coalesce(F.col("a"), F.lit(0)) + F.greatest(F.col("b"), F.lit(0))
     lit = lambda x: F.lit(x).cast("long")
-    one = {"shr3": lambda n, s: rnd.skip_shr3(s, n), "cong": lambda n, s: rnd.skip_cong(s, n), "upper": lambda n, s: rnd.skip_mwc(s, s, n)[0], "lfsr": lambda n, s: rnd.skip_lfsr((s,), n)[0], "wide": lambda n, s: rnd.skip_mwc64(lit(5), s, n)[1] if s is not None else None}
+    one = {"shr3": lambda n, s: rnd.skip_shr3(s, n), "cong": lambda n, s: rnd.skip_cong(s, n), "upper": lambda n, s: rnd.skip_mwc(s, s, n)[0], "lfsr": lambda n, s: rnd.skip_lfsr((s,), n, rnd.LFSR113[:1])[0], "wide": lambda n, s: rnd.skip_mwc64(lit(5), s, n)[1] if s is not None else None}
     for name, skip in one.items():
         if name == "wide":
             first = rnd.skip_mwc64(lit(5), lit(77), a)
