@@ -297,8 +297,14 @@ def test_exact_top_k(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     # ids that repeat are rows of their own, and no candidates of each other; columns of any name may come along
     twice = df.union(df.filter("vec_id in (20, 45)")).withColumns({c: F.lit("clash") for c in ("n2", "dims", "rank", "level", "need", "v")})
-    got = collections.Counter(map(tuple, inner_topk.top_inner_products(inner_topk.integer_vectors(twice), F.col("vec_id") % 20 == 0, k=20, block=32, query_block=5, leaders=40).collect()))
-    assert {r[0] for r in got} == set(range(0, 260, 20)) - {240} and all(q != v for q, _, v, _ in got)
+    got = collections.Counter(map(tuple, inner_topk.top_inner_products(inner_topk.integer_vectors(twice), F.col("vec_id") % 20 == 0, k=20, block=32, query_block=5, leaders=40, salts=3).collect()))
+    twice_ids = [*range(240), 20, 45]
+    want = collections.Counter()
+    for q in [*range(0, 240, 20), 20]:
+        s = whole @ whole[q]
+        best = sorted((i for i in twice_ids if i != q), key=lambda i: (-s[i], i))[:20]
+        want.update((q, k + 1, i, s[i]) for k, i in enumerate(best))
+    assert got == want
     few = inner_topk.top_inner_products(inner_topk.integer_vectors(df.filter("vec_id < 5")), F.col("vec_id") % 20 == 0, k=20).collect()
     assert len(few) == 4
     assert inner_topk.top_inner_products(inner_topk.integer_vectors(df.filter("false")), F.col("vec_id") % 20 == 0).count() == 0
