@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -463,12 +464,36 @@ def test_recall_of_the_tables_at_the_threshold(m, kind):
             p = rng.randrange(len(x))
             x = x[:p] + ([] if kind == "delete" else [word()]) + x[p + (kind != "insert") :]
         texts.append(" ".join([word() for _ in range(rng.randrange(30))] + x + [word() for _ in range(30)]))
-    index = cgk_decontam.ItemIndex(list(enumerate(items)), 0.8)
+    index = cgk_decontam.ItemIndex(cgk_decontam.embedded(list(range(40)), pa.array(items)), 0.8)
     w = common.Words(pa.array(texts), lower=True, separators=common.MARKS)
     found = {(d, i) for d, i, *_ in index.matches(w.hashes[0], w.first)}
     assert sum((k, k) in found for k in range(40)) >= 38 and len(found) <= 41
 
 
+@pytest.mark.parametrize(("m", "n"), ((500, 12), (2000, 6), (5000, 3)))
+@pytest.mark.parametrize("kind", ("replace", "insert", "delete", "mix"))
+def test_recall_of_long_items_at_the_threshold(m, n, kind):
+    """A fifth of the words edited; most edits in one half, too, so that a piece may hold many."""
+    rng = random.Random(m)
+    word = lambda: f"{rng.randrange(16**6):06x}"
+    items, texts = [], []
+    for k in range(n):
+        x = [word() for _ in range(m)]
+        items.append(" ".join(x))
+        for _ in range(m // 5):
+            p, what = rng.randrange(len(x) // (1 + k % 2)), rng.choice(("replace", "insert", "delete")) if kind == "mix" else kind
+            x = x[:p] + ([] if what == "delete" else [word()]) + x[p + (what != "insert") :]
+        texts.append(" ".join([word() for _ in range(rng.randrange(30))] + x + [word() for _ in range(30)]))
+    half = " ".join(items[0].split()[: m // 2])  # holds pieces, but not the item
+    began = time.time()
+    index = cgk_decontam.ItemIndex(cgk_decontam.embedded(list(range(n)), pa.array(items)), 0.8)
+    w = common.Words(pa.array([*texts, half, *items]), lower=True, separators=common.MARKS)
+    found = {(d, i): e for d, i, _, e in index.matches(w.hashes[0], w.first)}
+    assert time.time() - began < 4 * n  # seconds
+    assert sum((k, k) in found for k in range(n)) >= 0.9 * n and all(found.get((n + 1 + k, k)) == 0 for k in range(n))
+    assert all(e <= m // 5 for e in found.values()) and len(found) <= 2 * n
+
+
 def test_contamination_of_a_very_long_text(spark):
     rng = random.Random(19)
     items = [(1, prose(rng, 40)), (2, prose(rng, 300))]
