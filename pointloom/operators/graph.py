@@ -289,42 +289,6 @@ def local_extrema(values: DataFrame, edges: DataFrame, depth: int = 1) -> DataFr
     return met.groupBy("shape_id", F.col("u").alias("point_idx")).agg(F.bool_and(F.col("a") < F.col("b")).alias("is_min"), F.bool_and(F.col("a") >= F.col("b")).alias("is_max"))
 
 
-def _orient(t: pa.Table) -> pa.Table:
-    """Breadth-first over faces that share an edge; in each component the smaller of both sides is turned, at a tie the first one."""
-    f, corners = t["f_idx"].to_pylist(), list(zip(*(t[c].to_pylist() for c in ("v0", "v1", "v2")), strict=True))
-    at: dict[tuple[int, int], list[tuple[int, bool]]] = {}
-    for k, c in enumerate(corners):
-        for a, b in zip(c, c[1:] + c[:1], strict=True):
-            at.setdefault((min(a, b), max(a, b)), []).append((k, a < b))
-    links: list[list[tuple[int, bool]]] = [[] for _ in f]
-    for sides in at.values():
-        for (a, x), (b, y) in zip(sides, sides[1:], strict=False):
-            links[a].append((b, x == y))
-            links[b].append((a, x == y))
-    turn: list[bool | None] = [None] * len(f)
-    for s in sorted(range(len(f)), key=lambda k: f[k]):
-        if turn[s] is not None:
-            continue
-        turn[s], group = False, [s]
-        for k in group:
-            for o, against in links[k]:
-                if turn[o] is None:
-                    turn[o] = turn[k] ^ against
-                    group.append(o)
-        if 2 * sum(bool(turn[k]) for k in group) >= len(group) and len(group) > 1:
-            for k in group:
-                turn[k] = not turn[k]
-    out = [(a, c, b) if w else (a, b, c) for (a, b, c), w in zip(corners, turn, strict=True)]
-    return pa.table({"shape_id": t["shape_id"], "f_idx": t["f_idx"], **{n: pa.array([o[k] for o in out], pa.int32()) for k, n in enumerate(("v0", "v1", "v2"))}, "turned": pa.array([bool(w) for w in turn])})
-
-
-def orient_faces(faces: DataFrame) -> DataFrame:
-    """Faces turned so that neighbours agree on the direction of their common edge, and whether each was turned."""
-    kind = faces.schema["shape_id"].dataType.simpleString()
-    fk = faces.schema["f_idx"].dataType.simpleString()
-    return faces.select("shape_id", "f_idx", "v0", "v1", "v2").groupBy("shape_id").applyInArrow(_orient, f"shape_id {kind}, f_idx {fk}, v0 int, v1 int, v2 int, turned boolean")
-
-
 def distance_of(distances: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (shape_id, src, dst) with their distance, null where there is no path, 0 for a point and itself."""
     return pairs.join(distances, ["shape_id", "src", "dst"], "left").withColumn("d", F.when(F.col("src") == F.col("dst"), F.lit(0.0)).otherwise(F.col("d")))

@@ -1,4 +1,4 @@
-"""Per-shape Arrow kernels for what no join expresses: enclosing balls, farthest-point groups, greedy dedup, loops, alignment."""
+"""Per-shape Arrow kernels for what no join expresses: enclosing balls, farthest-point groups, greedy dedup, alignment."""
 
 from __future__ import annotations
 
@@ -103,30 +103,6 @@ def greedy_merge(points: DataFrame, eps: float) -> DataFrame:
     return points.select("shape_id", "point_idx", "x", "y", "z").groupBy("shape_id").applyInArrow(run, f"shape_id {_kind(points, 'shape_id')}, point_idx {k}, kept {k}")
 
 
-def boundary_loops(directed: DataFrame) -> DataFrame:
-    """shape_id, loop, place, v: chains of the directed border edges (shape_id, u, v), each from its smallest vertex."""
-
-    def run(t: pa.Table) -> pa.Table:
-        after: dict[int, list[int]] = {}
-        for u, v in sorted(zip(t["u"].to_pylist(), t["v"].to_pylist(), strict=True), reverse=True):
-            after.setdefault(u, []).append(v)
-        rows, loop = [], 0
-        for start in sorted(after):
-            while after[start]:
-                chain, u = [], start
-                while after.get(u):
-                    chain.append(u)
-                    u = after[u].pop()
-                    if u == start:
-                        break
-                rows += [(loop, k, v) for k, v in enumerate(chain)]
-                loop += 1
-        cols = list(zip(*rows, strict=True)) or [[], [], []]
-        return pa.table({"shape_id": pa.array([t["shape_id"][0].as_py()] * len(rows), t["shape_id"].type), **{n: pa.array(c, pa.int32()) for n, c in zip(("loop", "place", "v"), cols, strict=True)}})
-
-    return directed.select("shape_id", "u", "v").groupBy("shape_id").applyInArrow(run, f"shape_id {_kind(directed, 'shape_id')}, loop int, place int, v int")
-
-
 def align(pairs: DataFrame, *, scaling: bool = True) -> DataFrame:
     """shape_id, scale, rotation (by rows), shift: the similarity that takes points (x, y, z) closest to their partners (u, v, w)."""
 

@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
-from . import surface
+from ..shared import written
+from . import linking, surface
 from .graph import components, nearest_of
+from .relational import before
 from .sampling import corners
 
 SIDES = (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))
@@ -308,13 +310,94 @@ def edge_topology(faces: DataFrame) -> DataFrame:
     return both.withColumn("f1", F.when(F.col("f1") == F.col("f0"), F.lit(-1)).otherwise(F.col("f1")))
 
 
+def _face_links(faces: DataFrame, *, only_pairs: bool = False) -> DataFrame:
+    """shape_id, a, b, flip: each face of an edge but the first (b) with that one (a), and whether both run along the edge the same
+    way; `only_pairs`: of edges with two faces alone."""
+    e = directed_edges(faces).select("shape_id", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q"), F.struct(F.col("f_idx").cast("long").alias("f"), (F.col("u") < F.col("v")).alias("up")).alias("face"))
+    first = e.groupBy("shape_id", "p", "q").agg(F.min("face").alias("first"), F.count(F.lit(1)).alias("n"))
+    if only_pairs:
+        first = first.filter("n = 2")
+    met = e.join(first, ["shape_id", "p", "q"]).filter("face.f <> first.f")
+    return met.select("shape_id", F.col("first.f").alias("a"), F.col("face.f").alias("b"), (F.col("face.up") == F.col("first.up")).alias("flip"))
+
+
+def _numbered(faces: DataFrame, links: DataFrame) -> DataFrame:
+    """shape_id, f_idx, component: numbers of the components, in the order of their first faces."""
+    found = linking.signed_components(faces.select("shape_id", F.col("f_idx").alias("node")), links)
+    names = before(found.select("shape_id", "label").distinct(), ["shape_id", "label"], F.lit(1), "place")
+    first = names.groupBy("shape_id").agg(F.min("place").alias("first"))
+    names = names.join(first, "shape_id").select("shape_id", "label", (F.col("place") - F.col("first")).cast("int").alias("component"))
+    return found.join(names, ["shape_id", "label"]).select("shape_id", F.col("node").cast(faces.schema["f_idx"].dataType).alias("f_idx"), "component")
+
+
 def facet_components(faces: DataFrame) -> DataFrame:
     """shape_id, f_idx, component: faces that share edges, numbered by their first ones."""
-    e = directed_edges(faces).select("shape_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), "f_idx")
-    nxt = F.lead("f_idx").over(W.partitionBy("shape_id", "a", "b").orderBy("f_idx"))
-    links = e.withColumn("j", nxt).filter("j is not null").select("shape_id", F.col("f_idx").alias("i"), "j")
-    found = components(faces.select("shape_id", F.col("f_idx").alias("point_idx")), links)
-    return found.withColumnRenamed("point_idx", "f_idx")
+    return _numbered(faces, _face_links(faces))
+
+
+def manifold_patches(faces: DataFrame) -> DataFrame:
+    """shape_id, f_idx, component: faces that hang together by edges of two faces, numbered by their first ones; where more meet, patches end."""
+    return _numbered(faces, _face_links(faces, only_pairs=True))
+
+
+def orient_faces(faces: DataFrame) -> DataFrame:
+    """Faces turned so that neighbours agree on the direction of their common edge, and whether each was turned. In each component the
+    smaller of both sides is turned, at a tie the first face's; a lone face stays."""
+    found = linking.signed_components(faces.select("shape_id", F.col("f_idx").alias("node")), _face_links(faces))
+    sides = found.groupBy("shape_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("turned").cast("int")).alias("k"))
+    swap = (F.col("n") > 1) & (2 * F.col("k") >= F.col("n"))
+    turned = found.join(sides, ["shape_id", "label"]).select("shape_id", F.col("node").cast(faces.schema["f_idx"].dataType).alias("f_idx"), (F.col("turned") != swap).alias("turned"))
+    v1, v2 = (F.when(F.col("turned"), F.col(x)).otherwise(F.col(y)) for x, y in (("v2", "v1"), ("v1", "v2")))
+    return faces.join(turned, ["shape_id", "f_idx"]).select("shape_id", "f_idx", "v0", v1.alias("v1"), v2.alias("v2"), "turned")
+
+
+def _arc(u: str, v: str) -> Column:
+    """A number for an arc between two vertices, in the order of (u, v)."""
+    return F.shiftleft(F.col(u).cast("long"), 32) + F.col(v).cast("long")
+
+
+def boundary_loops(faces: DataFrame) -> DataFrame:
+    """shape_id, loop, place, v: chains of the border's directed edges, closed ones from their smallest vertex, numbered by their first edges.
+
+    Where several border edges leave a vertex, the first that comes in goes on by the first that leaves, and so on.
+    """
+    border = boundary_edges(faces).withColumnsRenamed({"a": "p", "b": "q"})
+    d = directed_edges(faces).select("shape_id", "u", "v", F.least("u", "v").alias("p"), F.greatest("u", "v").alias("q")).join(border, ["shape_id", "p", "q"]).select("shape_id", "u", "v")
+    rank = lambda at, by: F.row_number().over(W.partitionBy("shape_id", at).orderBy(by))
+    d = written(d.withColumns({"into": rank("v", "u"), "out": rank("u", "v")}), "border")
+    ahead = d.select("shape_id", F.col("u").alias("v"), F.col("out").alias("into"), _arc("u", "v").alias("next"))
+    lists = linking.ranked_lists(d.select("shape_id", "v", "into", _arc("u", "v").alias("id")).join(ahead, ["shape_id", "v", "into"], "left"))
+    names = before(lists.filter("place = 0").select("shape_id", "head"), ["shape_id", "head"], F.lit(1), "n")
+    first = names.groupBy("shape_id").agg(F.min("n").alias("first"))
+    names = names.join(first, "shape_id").select("shape_id", "head", (F.col("n") - F.col("first")).cast("int").alias("loop"))
+    kind = faces.schema["v0"].dataType
+    return lists.join(names, ["shape_id", "head"]).select("shape_id", "loop", F.col("place").cast("int").alias("place"), F.shiftright("id", 32).cast(kind).alias("v"))
+
+
+def edge_curves(faces: DataFrame) -> DataFrame:
+    """shape_id, curve, place, v, closed: the edges where more than two faces meet, as curves between the vertices where not just two of
+    them do; a closed curve begins at its smallest vertex, an open one at its smaller end, and names its last vertex too."""
+    heavy = edge_counts(faces).filter("faces > 2").select("shape_id", "a", "b")
+    arcs = heavy.union(heavy.select("shape_id", F.col("b"), F.col("a"))).toDF("shape_id", "u", "v")
+    around = arcs.groupBy("shape_id", "u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    on = around.filter("n = 2").select("shape_id", F.col("u").alias("v"), "lo", "hi")
+    ahead = F.when(F.col("u") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))
+    step = arcs.join(on, ["shape_id", "v"], "left").withColumn("w", F.when(F.col("lo").isNotNull(), ahead))
+    lists = written(linking.ranked_lists(step.select("shape_id", _arc("u", "v").alias("id"), _arc("v", "w").alias("next"))), "curves")
+    lists = lists.withColumns({"u": F.shiftright("id", 32), "v": F.col("id").bitwiseAND(F.lit(0xFFFFFFFF))})
+    # either direction is a list of its own; the one whose first edge is the smaller one stays
+    ends = lists.groupBy("shape_id", "head").agg(F.max(F.struct("place", "u", "v")).alias("last"), F.min(F.struct("place", "u", "v")).alias("first"))
+    back = _arc("last.v", "last.u")
+    closed = F.col("last.v") == F.col("first.u")
+    ends = ends.select("shape_id", "head", closed.alias("closed"), F.when(closed, F.shiftleft(F.col("first.u"), 32) + F.col("last.u")).otherwise(back).alias("other"))
+    kept = ends.filter("head < other").drop("other")
+    names = before(kept, ["shape_id", "head"], F.lit(1), "n")
+    first = names.groupBy("shape_id").agg(F.min("n").alias("start"))
+    names = names.join(first, "shape_id").select("shape_id", "head", "closed", (F.col("n") - F.col("start")).cast("int").alias("curve"))
+    rows = lists.join(names, ["shape_id", "head"])
+    last = rows.filter((F.col("place") == F.col("length") - 1) & ~F.col("closed")).select("shape_id", "curve", (F.col("place") + 1).alias("place"), "v", "closed")
+    out = rows.select("shape_id", "curve", "place", F.col("u").alias("v"), "closed").union(last)
+    return out.select("shape_id", "curve", F.col("place").cast("int").alias("place"), F.col("v").cast(faces.schema["v0"].dataType).alias("v"), "closed")
 
 
 def vertex_manifold(faces: DataFrame) -> DataFrame:

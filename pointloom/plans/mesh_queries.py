@@ -261,7 +261,7 @@ _TURNED = f"""WITH {V.POINTS}, {V.STRIP}, o AS (SELECT f.*, CASE WHEN n % 2 = 0
 
 @query(_TURNED + " SELECT shape_id, f_idx, v0, CASE WHEN turned THEN v2 ELSE v1 END AS v1, CASE WHEN turned THEN v1 ELSE v2 END AS v2, turned FROM o")
 def orient_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.orient_faces(V.strip(spark, sf_dir))
+    return mesh.orient_faces(V.strip(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------------------------------- labels and probabilities
@@ -554,11 +554,7 @@ def dedup_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT *, CASE WHEN odd = (v % 2 = 0) THEN 1 ELSE 0 END AS down FROM v)
 SELECT shape_id, 0 AS loop, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY v > 0, down, CASE WHEN down = 1 THEN -v ELSE v END) - 1 AS INTEGER) AS place, CAST(v AS INTEGER) AS v FROM k""")
 def boundary_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = graph.orient_faces(V.strip(spark, sf_dir))
-    d = mesh.directed_edges(f)
-    border = mesh.boundary_edges(f)
-    on = d.join(border, (d["shape_id"] == border["shape_id"]) & (F.least("u", "v") == border["a"]) & (F.greatest("u", "v") == border["b"]), "left_semi")
-    return kernels.boundary_loops(on)
+    return mesh.boundary_loops(mesh.orient_faces(V.strip(spark, sf_dir)))
 
 
 @query(f"WITH {V.POINTS}, {V.STRIP}, {V.DIRECTED} SELECT shape_id, a AS v_idx FROM sides WHERE faces = 1 UNION SELECT shape_id, b FROM sides WHERE faces = 1")
@@ -759,3 +755,50 @@ def random_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, v, c, s = F.col("m.u"), F.col("m.v"), F.col("cong"), F.col("shr3")
     out = {"mwc1": rnd.mwc1_output(u, v), "mwc2": rnd.mwc2_output(u, v), "kiss": rnd.kiss_output(u, v, c, s), "kiss2": rnd.kiss2_output(u, F.col("mwc64"), c, s)}
     return e.withColumns(out).drop("x", "m")
+
+
+def _finned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strip with a third face, to a vertex of its own, on each edge (k, k + 1) with k mod 10 below 4."""
+    f = V.strip(spark, sf_dir)
+    fins = f.filter("v0 % 10 < 4").select("shape_id", F.col("f_idx") + 100_000, "v0", "v1", F.col("v0") + 1000)
+    return f.select("shape_id", "f_idx", "v0", "v1", "v2").union(fins)
+
+
+_FINNED = f"WITH {V.POINTS}, {V.STRIP}, cut AS (SELECT shape_id, f_idx, f_idx > 0 AND f_idx % 10 < 4 AS cut FROM faces)"
+
+
+@query(_FINNED + """, p AS (SELECT shape_id, f_idx, 0 AS fin, sum(CAST(cut AS INTEGER)) OVER (PARTITION BY shape_id ORDER BY f_idx) AS part FROM cut UNION ALL SELECT shape_id, f_idx + 100000, 1, f_idx FROM faces WHERE f_idx % 10 < 4 AND f_idx > 0
+  UNION ALL SELECT shape_id, 100000, 0, 0 FROM cut WHERE f_idx = 0), g AS (SELECT *, min(f_idx) OVER (PARTITION BY shape_id, fin, part) AS first FROM p)
+SELECT shape_id, f_idx, CAST(dense_rank() OVER (PARTITION BY shape_id ORDER BY first) - 1 AS INTEGER) AS component FROM g""")
+def manifold_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.manifold_patches(_finned(spark, sf_dir))
+
+
+@query(_FINNED + """, e AS (SELECT shape_id, f_idx AS k, f_idx // 10 AS j FROM cut WHERE cut), c AS (SELECT shape_id, j, min(k) AS lo, max(k) + 1 AS hi FROM e GROUP BY 1, 2),
+v AS (SELECT shape_id, j, lo, unnest(range(lo, hi + 1)) AS v FROM c)
+SELECT shape_id, CAST(dense_rank() OVER (PARTITION BY shape_id ORDER BY lo) - 1 AS INTEGER) AS curve, CAST(v - lo AS INTEGER) AS place, CAST(v AS INTEGER) AS v, false AS closed FROM v""")
+def non_manifold_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mesh.edge_curves(_finned(spark, sf_dir))
+
+
+#: One shape that grows with the table: strips of a thousand orders each, in shuffled faces, some of them turned.
+_LARGE = """WITH o AS (SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS k, o_custkey FROM orders),
+f AS (SELECT 0 AS shape_id, k, (k * 7919) % 1000003 AS f_idx, k // 1000 AS strip, o_custkey % 3 = 0 AS back FROM o WHERE k % 1000 < 998),
+s AS (SELECT *, (k % 2 = 0) <> back AS up, min(f_idx) OVER (PARTITION BY strip) AS first FROM f),
+t AS (SELECT *, up <> first_value(up) OVER (PARTITION BY strip ORDER BY f_idx) AS far FROM s),
+n AS (SELECT *, 2 * sum(CAST(far AS INTEGER)) OVER (PARTITION BY strip) >= count(*) OVER (PARTITION BY strip) AND count(*) OVER (PARTITION BY strip) > 1 AS swap FROM t)
+"""
+
+
+def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = rel.before(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], F.lit(1), "k").filter("k % 1000 < 998")
+    k, back = F.col("k"), F.col("o_custkey") % 3 == 0
+    corners = [k.cast("int"), F.when(back, k + 2).otherwise(k + 1).cast("int"), F.when(back, k + 1).otherwise(k + 2).cast("int")]
+    return o.select(F.lit(0).alias("shape_id"), ((k * 7919) % 1_000_003).alias("f_idx"), *(c.alias(f"v{i}") for i, c in enumerate(corners)))
+
+
+@query(_LARGE + "SELECT shape_id, f_idx, far <> swap AS turned, CAST(k AS INTEGER) AS v0, CAST(CASE WHEN back <> (far <> swap) THEN k + 2 ELSE k + 1 END AS INTEGER) AS v1, CAST(CASE WHEN back <> (far <> swap) THEN k + 1 ELSE k + 2 END AS INTEGER) AS v2, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS component FROM n")
+def large_shape_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components and orientation of one shape with a face for each order."""
+    f = _large(spark, sf_dir)
+    return mesh.orient_faces(f).join(mesh.facet_components(f), ["shape_id", "f_idx"])
