@@ -128,6 +128,39 @@ def with_eigenvector(df: DataFrame, m: Sequence[str], value: str, out: str) -> D
     return df.drop(*names, *(f"_{out}n{k}" for k in range(3)), f"_{out}best")
 
 
+def with_solution(df: DataFrame, a: Sequence[Sequence[str]], b: Sequence[str], out: str, *, least: float = 1e-12) -> DataFrame:
+    """Adds {out}0, {out}1, .. : the solution of a x = b, a symmetric with positive pivots (columns by name, its lower half is read).
+
+    By L D L^T, a column for each step. Null where a pivot is not above `least` of its diagonal element.
+    """
+    n = len(b)
+    low, pivot = lambda i, k: F.col(f"_{out}l{i}{k}"), lambda k: F.col(f"_{out}d{k}")
+    for j in range(n):
+        d = F.col(a[j][j])
+        for k in range(j):
+            d = d - low(j, k) * low(j, k) * pivot(k)
+        df = df.withColumn(f"_{out}d{j}", F.when(d > least * F.col(a[j][j]), d))
+        columns = {}
+        for i in range(j + 1, n):
+            x = F.col(a[i][j])
+            for k in range(j):
+                x = x - low(i, k) * low(j, k) * pivot(k)
+            columns[f"_{out}l{i}{j}"] = x / pivot(j)
+        if columns:
+            df = df.withColumns(columns)
+    for i in range(n):
+        y = F.col(b[i])
+        for k in range(i):
+            y = y - low(i, k) * F.col(f"_{out}y{k}")
+        df = df.withColumn(f"_{out}y{i}", y)
+    for i in reversed(range(n)):
+        x = F.col(f"_{out}y{i}") / pivot(i)
+        for k in range(i + 1, n):
+            x = x - low(k, i) * F.col(f"{out}{k}")
+        df = df.withColumn(f"{out}{i}", x)
+    return df.drop(*(f"_{out}{c}{i}" for c in "dy" for i in range(n)), *(f"_{out}l{i}{k}" for i in range(n) for k in range(i)))
+
+
 def hsv_to_rgb(h: Column, s: Column, v: Column) -> Vec:
     """Colour with hue, saturation and value in [0, 1]."""
     six = h * 6

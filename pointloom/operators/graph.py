@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
+from ..shared import written
 
 #: Neighbours of a point, itself included.
 K = 10
@@ -222,6 +223,41 @@ def geodesics(edges: DataFrame, radius: float = 1.3) -> DataFrame:
     return edges.groupBy("shape_id", "block").applyInArrow(_geodesics(radius), f"{_kinds(edges, ['shape_id'])}, src int, dst int, d double")
 
 
+def geodesics_by_rounds(edges: DataFrame, radius: float) -> DataFrame:
+    """shape_id, src, dst, d as `geodesics` gives them (up to rounding), for shapes of any size: a frontier of (src, dst) that meets the edges by joins.
+
+    Each round takes what the last one reached or shortened one edge further and keeps what is shorter than before, so that there are as
+    many rounds as edges on a shortest path within radius. Edges are joined by their vertex, never copied to sources, and no task
+    holds a shape: work and space are those of the pairs within radius. What a round reaches is a written table; distances of all
+    rounds are merged by a minimum when the rounds have grown to as many rows again.
+    """
+    key = ["shape_id", "src", "dst"]
+    step = undirected(edges).filter(F.col("w") < radius).groupBy("shape_id", "u", "v").agg(F.min("w").alias("w"))
+    step = written(step.repartition("shape_id", "u"), "steps")
+    known = front = written(step.select("shape_id", F.col("u").alias("src"), F.col("v").alias("dst"), F.col("w").alias("d")).filter("src <> dst"), "front")
+    base, since, more = known.count(), 0, []
+    while True:
+        met = front.select("shape_id", "src", F.col("dst").alias("u"), "d").join(step, ["shape_id", "u"]).select("shape_id", "src", F.col("v").alias("dst"), (F.col("d") + F.col("w")).alias("d"))
+        met = met.filter((F.col("d") < radius) & (F.col("src") != F.col("dst"))).groupBy(*key).agg(F.min("d").alias("d"))
+        had = known
+        for part in more:
+            had = had.union(part)
+        if more:
+            had = had.groupBy(*key).agg(F.min("d").alias("d"))
+        front = met.join(had.withColumnRenamed("d", "was"), key, "left").filter(F.col("was").isNull() | (F.col("d") < F.col("was"))).drop("was")
+        front = written(front, "front")
+        n = front.count()
+        if not n:
+            return had
+        since, more = since + n, [*more, front]
+        if since >= base or len(more) >= 8:
+            known = known.union(more[0])
+            for part in more[1:]:
+                known = known.union(part)
+            known, more, since = written(known.groupBy(*key).agg(F.min("d").alias("d")), "known"), [], 0
+            base = known.count()
+
+
 def all_distances(edges: DataFrame) -> DataFrame:
     """All finite distances; pairs without a path have no row."""
     return geodesics(edges, float("inf"))

@@ -119,6 +119,47 @@ def vertex_normals(faces: DataFrame, vertices: DataFrame, *, weight: str = "area
     return s.select("shape_id", "v_idx", *(u.alias("n" + k) for u, k in zip(G.unit(G.cols("s")), "xyz", strict=True)))
 
 
+def rings(faces: DataFrame, depth: int) -> DataFrame:
+    """shape_id, u, v: all pairs of different vertices at most `depth` edges apart, in both directions."""
+    step = edge_counts(faces).select("shape_id", "a", "b")
+    step = step.union(step.select("shape_id", F.col("b"), F.col("a"))).toDF("shape_id", "u", "v")
+    out = step
+    for _ in range(depth - 1):
+        out = out.union(out.join(step.toDF("shape_id", "v", "w"), ["shape_id", "v"]).select("shape_id", "u", F.col("w").alias("v"))).filter("u <> v").distinct()
+    return out
+
+
+def principal_curvatures(faces: DataFrame, vertices: DataFrame, *, depth: int = 2) -> DataFrame:
+    """shape_id, v_idx, k1, k2: the larger and the smaller curvature of a vertex, positive where the surface bends away from its normal.
+
+    A height a u^2 + b u v + c v^2 + d u + e v over the plane across the vertex normal is fitted to the vertices at most `depth` edges
+    away: sums of their monomials give the normal equations. No row where fewer than five are near; null where they do not fix a height.
+    """
+    n = G.cols("n")
+    normal = vertex_normals(faces, vertices).join(vertices.select("shape_id", "v_idx", "x", "y", "z"), ["shape_id", "v_idx"])
+    # an axis across the normal: its cross product with the unit vector that it has least of
+    least = F.least(*(F.abs(c) for c in n))
+    one = [F.when(F.abs(n[0]) <= least, 1.0).otherwise(0.0), F.when((F.abs(n[0]) > least) & (F.abs(n[1]) <= least), 1.0).otherwise(0.0)]
+    one = (*one, 1.0 - one[0] - one[1])
+    normal = normal.withColumns({"s" + k: c for k, c in zip("xyz", G.unit(G.cross(n, one)), strict=True)})
+    normal = normal.withColumns({"t" + k: c for k, c in zip("xyz", G.cross(n, G.cols("s")), strict=True)})
+    to = vertices.select("shape_id", F.col("v_idx").alias("v"), *(F.col(k).alias("q" + k) for k in "xyz"))
+    met = rings(faces, depth).withColumnRenamed("u", "v_idx").join(normal, ["shape_id", "v_idx"]).join(to, ["shape_id", "v"])
+    step = G.sub(G.cols("q"), G.cols())
+    met = met.select("shape_id", "v_idx", *(G.dot(step, G.cols(a)).alias(k) for a, k in zip("stn", "uvh", strict=True)))
+    power = lambda i, j: F.pow("u", F.lit(float(i))) * F.pow("v", F.lit(float(j)))
+    terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1)]
+    sums = {f"m{i}{j}": F.sum(power(i, j)) for i, j in sorted({(a + c, b + d) for a, b in terms for c, d in terms})} | {f"h{i}{j}": F.sum(power(i, j) * F.col("h")) for i, j in terms}
+    met = met.groupBy("shape_id", "v_idx").agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items()))
+    met = G.with_solution(met.filter("n >= 5"), [[f"m{a + c}{b + d}" for c, d in terms] for a, b in terms], [f"h{i}{j}" for i, j in terms], "q")
+    a, b, c, d, e = (F.col(f"q{k}") for k in range(5))
+    met = met.withColumn("g", 1 + d * d + e * e)
+    g = F.col("g")
+    met = met.withColumns({"k": (4 * a * c - b * b) / (g * g), "m": -(a * (1 + e * e) - b * d * e + c * (1 + d * d)) / (g * F.sqrt(g))})
+    root = F.sqrt(F.greatest(F.col("m") * F.col("m") - F.col("k"), F.lit(0.0)))
+    return met.select("shape_id", "v_idx", (F.col("m") + root).alias("k1"), (F.col("m") - root).alias("k2"))
+
+
 def gaussian_curvature(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """shape_id, v_idx, k: 2 pi minus the sum of the angles at a vertex."""
     t = internal_angles(faces, vertices).join(faces, ["shape_id", "f_idx"])

@@ -802,3 +802,79 @@ def large_shape_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components and orientation of one shape with a face for each order."""
     f = _large(spark, sf_dir)
     return mesh.orient_faces(f).join(mesh.facet_components(f), ["shape_id", "f_idx"])
+
+
+def _whole_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shape that grows with the table: all embeddings."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("shape_id"), F.col("vec_id").cast("int").alias("point_idx"), *(F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate("xyz")))
+    return e
+
+
+_WHOLE = V.KNN.replace("points a", "cloud a").replace("points b", "cloud b")
+
+
+@query(f"WITH RECURSIVE cloud AS (SELECT 0 AS shape_id, CAST(vec_id AS INTEGER) AS point_idx, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings), {_WHOLE}, {V.GEODESIC('0.2')} SELECT shape_id, src, dst, round(d, 6)+0.0 AS d FROM nbrs")
+def large_shape_geodesic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths shorter than 0.2 between all points of one shape, by rounds of joins."""
+    return _rounded(graph.geodesics_by_rounds(graph.knn_edges(_whole_cloud(spark, sf_dir)), 0.2), "d")
+
+
+#: A landscape that grows with the table: orders in rows of a hundred, their prices as heights; two faces a square.
+_LAND = """WITH points AS (SELECT 0 AS shape_id, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS point_idx, o_totalprice / 300000::DOUBLE AS z FROM orders),
+land AS (SELECT shape_id, point_idx, CAST(point_idx % 100 AS DOUBLE) AS x, CAST(point_idx // 100 AS DOUBLE) AS y, z FROM points),
+square AS (SELECT a.point_idx AS k FROM points a JOIN points b ON b.point_idx = a.point_idx + 101 WHERE a.point_idx % 100 < 99),
+faces AS (SELECT 0 AS shape_id, 2 * k AS f_idx, k AS v0, k + 1 AS v1, k + 100 AS v2 FROM square UNION ALL SELECT 0, 2 * k + 1, k + 1, k + 101, k + 100 FROM square)"""
+
+
+def _landscape(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Faces and vertices."""
+    o = rel.before(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), ["o_orderkey"], F.lit(1), "k").withColumn("k", F.col("k").cast("int"))
+    k = F.col("k")
+    vertices = o.select(F.lit(0).alias("shape_id"), k.alias("v_idx"), (k % 100).cast("double").alias("x"), F.floor(k / 100).cast("double").alias("y"), (F.col("o_totalprice") / 300_000).alias("z"))
+    square = o.filter(k % 100 < 99).join(o.select((k - 101).alias("k")), "k")
+    two = F.array(*[F.struct((2 * k + j).alias("f_idx"), *((k + d).alias(f"v{c}") for c, d in enumerate(ds))) for j, ds in enumerate(((0, 1, 100), (1, 101, 100)))])
+    return square.select(F.lit(0).alias("shape_id"), F.explode(two).alias("f")).select("shape_id", "f.*"), vertices
+
+
+def _solved_sql(a: list[list[str]], b: list[str], source: str) -> str:
+    """Tables s0, s1, .. from `source`: pivots, factors and solution of a symmetric system, one after the other; x0, x1, .. in `solved`."""
+    n, steps = len(b), []
+    for j in range(n):
+        steps.append({f"d{j}": "-".join([a[j][j], *(f"l{j}{k}*l{j}{k}*d{k}" for k in range(j))])})
+        steps.append({f"l{i}{j}": f"({'-'.join([a[i][j], *(f'l{i}{k}*l{j}{k}*d{k}' for k in range(j))])})/d{j}" for i in range(j + 1, n)})
+    steps += [{f"y{i}": "-".join([b[i], *(f"l{i}{k}*y{k}" for k in range(i))])} for i in range(n)]
+    steps += [{f"x{i}": "-".join([f"y{i}/d{i}", *(f"l{k}{i}*x{k}" for k in range(i + 1, n))])} for i in reversed(range(n))]
+    out, last = "", source
+    for k, step in enumerate(s for s in steps if s):
+        out, last = out + f", s{k} AS (SELECT *, {', '.join(f'{e} AS {c}' for c, e in step.items())} FROM {last})", f"s{k}"
+    return out + f", solved AS (SELECT * FROM {last})"
+
+
+def _curvature_sql() -> str:
+    terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1)]
+    power = lambda i, j: "*".join(["u"] * i + ["v"] * j)
+    names = sorted({(p + r, q + s) for p, q in terms for r, s in terms})
+    sums = ", ".join([f"sum({power(i, j)}) AS m{i}{j}" for i, j in names] + [f"sum({power(i, j)}*h) AS h{i}{j}" for i, j in terms])
+    solved = _solved_sql([[f"m{p + r}{q + s}" for r, s in terms] for p, q in terms], [f"h{i}{j}" for i, j in terms], "m")
+    corner = "corner AS (SELECT shape_id, f_idx, v0 AS v_idx FROM faces UNION ALL SELECT shape_id, f_idx, v1 FROM faces UNION ALL SELECT shape_id, f_idx, v2 FROM faces)"
+    dot = lambda a: f"(q.x-p.x)*{a}x+(q.y-p.y)*{a}y+(q.z-p.z)*{a}z"
+    return f"""{_LAND}, {V.CORNERS.replace("JOIN points", "JOIN land")}, {V.NORMALS}, {corner},
+n1 AS (SELECT v_idx, sum(ux) AS x, sum(uy) AS y, sum(uz) AS z FROM corner JOIN n0 USING (shape_id, f_idx) GROUP BY 1),
+n2 AS (SELECT v_idx, x/sqrt(x*x+y*y+z*z) AS nx, y/sqrt(x*x+y*y+z*z) AS ny, z/sqrt(x*x+y*y+z*z) AS nz FROM n1),
+n3 AS (SELECT *, least(abs(nx), abs(ny), abs(nz)) AS lo FROM n2),
+n4 AS (SELECT *, CASE WHEN abs(nx) <= lo THEN 1.0::DOUBLE ELSE 0 END AS ox, CASE WHEN abs(nx) > lo AND abs(ny) <= lo THEN 1.0::DOUBLE ELSE 0 END AS oy FROM n3),
+n5 AS (SELECT *, 1-ox-oy AS oz FROM n4), n6 AS (SELECT *, ny*oz-nz*oy AS ax, nz*ox-nx*oz AS ay, nx*oy-ny*ox AS az FROM n5),
+n7 AS (SELECT *, ax/sqrt(ax*ax+ay*ay+az*az) AS sx, ay/sqrt(ax*ax+ay*ay+az*az) AS sy, az/sqrt(ax*ax+ay*ay+az*az) AS sz FROM n6),
+n8 AS (SELECT *, ny*sz-nz*sy AS tx, nz*sx-nx*sz AS ty, nx*sy-ny*sx AS tz FROM n7),
+st AS (SELECT v0 AS i, v1 AS j FROM faces UNION SELECT v1, v0 FROM faces UNION SELECT v1, v2 FROM faces UNION SELECT v2, v1 FROM faces UNION SELECT v2, v0 FROM faces UNION SELECT v0, v2 FROM faces),
+ring AS (SELECT i, j FROM st UNION SELECT a.i, b.j FROM st a JOIN st b ON b.i = a.j WHERE a.i <> b.j),
+loc AS (SELECT i AS v_idx, {dot("s")} AS u, {dot("t")} AS v, {dot("n")} AS h FROM ring JOIN n8 ON n8.v_idx = i JOIN land p ON p.point_idx = i JOIN land q ON q.point_idx = j),
+m AS (SELECT v_idx, count(*) AS n, {sums} FROM loc GROUP BY 1){solved},
+g AS (SELECT *, 1+x3*x3+x4*x4 AS g FROM solved), k AS (SELECT *, (4*x0*x2-x1*x1)/(g*g) AS k, -(x0*(1+x4*x4)-x1*x3*x4+x2*(1+x3*x3))/(g*sqrt(g)) AS mean FROM g)
+SELECT 0 AS shape_id, v_idx, round(mean+sqrt(greatest(mean*mean-k, 0)), 4)+0.0 AS k1, round(mean-sqrt(greatest(mean*mean-k, 0)), 4)+0.0 AS k2 FROM k WHERE n >= 5"""
+
+
+@query(_curvature_sql())
+def principal_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all vertices of a landscape with five others near."""
+    return _rounded(mesh.principal_curvatures(*_landscape(spark, sf_dir)), "k1", "k2", digits=4)

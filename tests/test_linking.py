@@ -103,3 +103,43 @@ def test_curves_where_three_faces_meet(spark):
     assert got == [(False, [20, 21, 22, 23]), (False, [30, 31]), (False, [31, 32]), (False, [31, 33]), (True, [0, 1, 2, 3, 4, 5])]
     patches = mesh.manifold_patches(df).filter("shape_id = 's'").collect()
     assert len({r.component for r in patches}) == len(faces)
+
+
+def test_curvatures_of_a_sphere_and_a_cylinder(spark):
+    """Random patches of known radius; flat ones have none."""
+    import math
+
+    rng = random.Random(3)
+    n, rows, faces = 12, [], []
+    shapes = {"ball": 2.0, "tube": 0.5, "flat": 1.0}
+    for s, r in shapes.items():
+        for k in range(n * n):
+            a, b = (k % n - n / 2 + rng.uniform(-0.2, 0.2)) * 0.04, (k // n - n / 2 + rng.uniform(-0.2, 0.2)) * 0.04
+            x, y = a * r, b * r
+            z = {"ball": math.sqrt(r * r - x * x - y * y), "tube": math.sqrt(r * r - x * x), "flat": 0.3 * x - 0.1 * y}[s]
+            rows.append((s, k, x, y, z))
+        for k in range(n * n):
+            if k % n < n - 1 and k // n < n - 1:
+                faces += [(s, 2 * k, k, k + 1, k + n), (s, 2 * k + 1, k + 1, k + n + 1, k + n)]
+    got = mesh.principal_curvatures(spark.createDataFrame(faces, FACES), spark.createDataFrame(rows, "shape_id string, v_idx int, x double, y double, z double")).collect()
+    inner = [r for r in got if 2 <= r.v_idx % n < n - 2 and 2 <= r.v_idx // n < n - 2]
+    assert len(inner) == 3 * (n - 4) ** 2
+    want = {"ball": (0.5, 0.5), "tube": (2.0, 0.0), "flat": (0.0, 0.0)}
+    for r in inner:
+        assert abs(r.k1 - want[r.shape_id][0]) < 0.03 * (1 + want[r.shape_id][0]) and abs(r.k2 - want[r.shape_id][1]) < 0.05, r
+
+
+def test_paths_by_rounds_are_those_of_the_kernel(spark):
+    import math
+
+    from pointloom.operators import graph
+
+    rng = random.Random(11)
+    rows = [(s, k, rng.random() * w, rng.random(), rng.random() * 0.2) for s, w in (("a", 1.0), ("b", 6.0)) for k in range(150)]
+    edges = graph.knn_edges(spark.createDataFrame(rows, "shape_id string, point_idx int, x double, y double, z double"), 6).persist()
+    for radius in (0.25, 0.8, math.inf):
+        want = {tuple(r)[:3]: r.d for r in graph.geodesics(edges, radius).collect()}
+        got = {tuple(r)[:3]: r.d for r in graph.geodesics_by_rounds(edges, radius).collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - d) < 1e-9 for k, d in want.items())
+        if radius == 0.8:
+            break
