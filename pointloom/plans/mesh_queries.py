@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry as G, random as rnd
-from ..operators import graph, kernels, labels as lab, learning, mesh, normalize as nrm, relational as rel, sampling as smp
+from ..operators import graph, kernels, labels as lab, learning, mesh, normalize as nrm, relational as rel, sampling as smp, tets as tet
 from . import views as V
 from .views import r, table
 
@@ -878,3 +878,52 @@ SELECT 0 AS shape_id, v_idx, round(mean+sqrt(greatest(mean*mean-k, 0)), 4)+0.0 A
 def principal_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of all vertices of a landscape with five others near."""
     return _rounded(mesh.principal_curvatures(*_landscape(spark, sf_dir)), "k1", "k2", digits=4)
+
+
+def _tets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tets k to k + 3 of consecutive points: neighbours share facets."""
+    v = V.points(spark, sf_dir).filter("point_idx >= 3").select("shape_id", F.col("point_idx").alias("v3"))
+    return v.select("shape_id", (F.col("v3") - 3).alias("t_idx"), *((F.col("v3") - 3 + k).alias(f"v{k}") for k in range(3)), "v3")
+
+
+_TETS = f"""WITH {V.POINTS}, tets AS (SELECT shape_id, point_idx - 3 AS t_idx, point_idx - 3 AS v0, point_idx - 2 AS v1, point_idx - 1 AS v2, point_idx AS v3 FROM points WHERE point_idx >= 3),
+lead AS (SELECT shape_id, point_idx AS t_idx, {", ".join(f'lead({c}, {k}) OVER w AS p{k}{c}' for k in range(4) for c in "xyz")} FROM points WINDOW w AS (PARTITION BY shape_id ORDER BY point_idx)),
+tc AS (SELECT * FROM lead WHERE p3x IS NOT NULL)"""
+
+
+def _cross_sql(a: list[str], b: list[str]) -> list[str]:
+    return [f"({a[i]}*{b[j]}-{a[j]}*{b[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+
+
+def _dot_sql(a: list[str], b: list[str]) -> str:
+    return "(" + "+".join(f"{x}*{y}" for x, y in zip(a, b, strict=True)) + ")"
+
+
+def _between_sql(i: int, j: int) -> list[str]:
+    return [f"(p{j}{c}-p{i}{c})" for c in "xyz"]
+
+
+@query(_TETS + f" SELECT shape_id, t_idx, round({_dot_sql(_between_sql(0, 1), _cross_sql(_between_sql(0, 2), _between_sql(0, 3)))}/6, 7)+0.0 AS volume FROM tc")
+def tet_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tet.volumes(_tets(spark, sf_dir), V.vertices(spark, sf_dir)), "volume", digits=7)
+
+
+@query(_TETS + f""", f AS ({" UNION ALL ".join(f"SELECT shape_id, t_idx, {k} AS k, list_sort([v{a}, v{b}, v{c}]) AS s FROM tets" for k, (a, b, c) in enumerate(tet.FACETS))}),
+o AS (SELECT *, count(*) OVER (PARTITION BY shape_id, s) = 1 AS alone FROM f)
+SELECT shape_id, t_idx, bool_or(alone) AS on_boundary, {", ".join(f"bool_or(alone AND k = {k}) AS c{k}" for k in range(4))} FROM o GROUP BY 1, 2""")
+def tet_on_boundary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tet.on_boundary(_tets(spark, sf_dir))
+
+
+def _dihedral_sql() -> str:
+    each = []
+    for k, (i, j) in enumerate(tet.EDGES):
+        r, s = (x for x in range(4) if x not in (i, j))
+        each.append(f"SELECT shape_id, t_idx, {k} AS k, " + ", ".join(f"{x} AS {n}{c}" for n, o in (("u", r), ("w", s)) for c, x in zip("xyz", _cross_sql(_between_sql(i, j), _between_sql(i, o)), strict=True)) + " FROM tc")
+    cross = _cross_sql(["ux", "uy", "uz"], ["wx", "wy", "wz"])
+    return _TETS + f", e AS ({' UNION ALL '.join(each)}) SELECT shape_id, t_idx, k, round(atan2(sqrt({_dot_sql(cross, cross)}), ux*wx+uy*wy+uz*wz), 5)+0.0 AS theta FROM e"
+
+
+@query(_dihedral_sql())
+def tet_dihedral_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(tet.dihedral_angles(_tets(spark, sf_dir), V.vertices(spark, sf_dir)), "theta", digits=5)

@@ -169,6 +169,18 @@ def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return v, e
 
 
+def read_tets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Vertices, triangles and tets (all from 0) of .mesh files: a section's name, its number of lines, and these; references are left out."""
+    rows = tokens(lines(spark, path))
+    heads = rows.filter(F.col("line").isin("Vertices", "Triangles", "Tetrahedra")).select("shape_id", F.col("n").alias("at"), F.col("line").alias("section"))
+    sizes = rows.select("shape_id", (F.col("n") - 1).alias("at"), number("t", 0, "int").alias("size"))
+    heads = heads.join(sizes, ["shape_id", "at"])  # a few rows a file
+    met = rows.join(heads, "shape_id").filter("n > at + 1 and n <= at + 1 + size").select("shape_id", "section", (F.col("n") - F.col("at") - 2).alias("k"), "t")
+    corners = lambda section, index, m: met.filter(F.col("section") == section).select("shape_id", F.col("k").alias(index), *((number("t", i, "int") - 1).alias(f"v{i}") for i in range(m)))
+    vertices = met.filter(F.col("section") == "Vertices").select("shape_id", F.col("k").alias("v_idx"), *(number("t", i).alias(c) for i, c in enumerate("xyz")))
+    return vertices, corners("Triangles", "f_idx", 3), corners("Tetrahedra", "t_idx", 4)
+
+
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """.seg: shape_id, elem_idx, label, an integer a line, of any number of digits."""
     return lines(spark, path).select("shape_id", F.col("n").alias("elem_idx"), F.col("line").try_cast("int").alias("label"))
