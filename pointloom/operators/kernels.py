@@ -1,10 +1,15 @@
-"""Per-shape Arrow kernels for what no join expresses: enclosing balls, farthest-point groups, greedy dedup, alignment."""
+"""Enclosing balls, the one per-shape Arrow kernel here, farthest-point groups and alignment from aggregates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import geometry as G
+from ..shared import written
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -19,13 +24,16 @@ def ball(p: np.ndarray) -> tuple[np.ndarray, float]:
     """Centre and radius of the smallest ball around points of any dimension.
 
     The centre walks towards the point of its support's flat that is equally far from all support points, until a new point
-    touches the ball; a support point whose share in that flat is negative leaves.
+    touches the ball; a support point whose share in that flat is negative leaves. A ball is the smallest one if its centre is a mean of
+    points on it with shares that are not negative; where rounding leaves no such shares, that is an error.
     """
     center = p[0].copy()
     far = int(((p - center) ** 2).sum(1).argmax())
     support = [far]
     radius2 = ((p[far] - center) ** 2).sum()
     for _ in range(100 * (len(p) + p.shape[1])):
+        if len(support) > p.shape[1] + 1:
+            support.pop(0)
         base = p[support[0]]
         span = (p[support[1:]] - base).T
         q = np.linalg.qr(span)[0] if len(support) > 1 else np.zeros((p.shape[1], 0))
@@ -48,10 +56,10 @@ def ball(p: np.ndarray) -> tuple[np.ndarray, float]:
         t = min(1.0, max(0.0, float(limit[k])))
         center = center + t * step
         radius2 = ((base - center) ** 2).sum()
-        if t < 1.0 and len(support) <= p.shape[1]:
+        if t < 1.0:
             support.append(k)
-        elif t < 1.0:
-            break
+    else:
+        raise ValueError("no smallest ball was found within rounding")
     return center, float(np.sqrt(((p - center) ** 2).sum(1).max()))
 
 
@@ -66,55 +74,47 @@ def enclosing_balls(points: DataFrame, columns: tuple[str, ...] = ("x", "y", "z"
 
 
 def farthest_groups(points: DataFrame, k: int) -> DataFrame:
-    """shape_id, point_idx, seed, d2: k seeds, each the point farthest from those before it (the first: point 0), and the nearest seed of each point."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("point_idx")
-        p = _coordinates(t, ("x", "y", "z"))
-        best, group, seed = np.full(len(p), np.inf), np.zeros(len(p), np.int32), 0
-        for g in range(min(k, len(p))):
-            d = ((p - p[seed]) ** 2).sum(1)
-            closer = d < best
-            best, group = np.where(closer, d, best), np.where(closer, g, group).astype(np.int32)
-            seed = int(best.argmax())
-        return pa.table({"shape_id": t["shape_id"], "point_idx": t["point_idx"], "seed": pa.array(group), "d2": pa.array(best)})
-
-    s = f"shape_id {_kind(points, 'shape_id')}, point_idx {_kind(points, 'point_idx')}, seed int, d2 double"
-    return points.select("shape_id", "point_idx", "x", "y", "z").groupBy("shape_id").applyInArrow(run, s)
-
-
-def greedy_merge(points: DataFrame, eps: float) -> DataFrame:
-    """shape_id, point_idx, kept: in index order, each point goes to the first kept one closer than eps, else it is kept."""
-
-    def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by("point_idx")
-        p, ids = _coordinates(t, ("x", "y", "z")), t["point_idx"].to_numpy()
-        kept, to = [], []
-        for i in range(len(p)):
-            near = np.flatnonzero(((p[kept] - p[i]) ** 2).sum(1) < eps * eps) if kept else np.zeros(0, int)
-            if len(near):
-                to.append(kept[near[0]])
-            else:
-                kept.append(i)
-                to.append(i)
-        return pa.table({"shape_id": t["shape_id"], "point_idx": t["point_idx"], "kept": pa.array(ids[to], t["point_idx"].type)})
-
-    k = _kind(points, "point_idx")
-    return points.select("shape_id", "point_idx", "x", "y", "z").groupBy("shape_id").applyInArrow(run, f"shape_id {_kind(points, 'shape_id')}, point_idx {k}, kept {k}")
+    """shape_id, point_idx, seed, d2: k seeds, each the point farthest from those before it (the first: the first point; ties go to the
+    smaller index), and the nearest seed of each point. A round for each seed: an aggregate finds it, a join of one row a shape tells all."""
+    state = points.select("shape_id", "point_idx", "x", "y", "z").withColumns({"seed": F.lit(0), "d2": F.lit(float("inf"))})
+    for g in range(k):
+        state = written(state, "groups")
+        best = F.max_by(F.struct("x", "y", "z"), F.struct("d2", -F.col("point_idx"))).alias("s")
+        left = F.max(F.when(F.lit(g > 0) & (F.col("d2") <= 0), F.lit(0)).otherwise(F.lit(1))).alias("left")  # no point is apart from all seeds
+        seed = state.groupBy("shape_id").agg(best, left)
+        d2 = G.squared_distance(G.cols(), tuple(F.col("s")[c] for c in "xyz"))
+        met = state.join(seed, "shape_id").withColumn("n", d2)
+        closer = (F.col("n") < F.col("d2")) & (F.col("left") > 0)
+        state = met.select("shape_id", "point_idx", "x", "y", "z", F.when(closer, F.lit(g)).otherwise(F.col("seed")).alias("seed"), F.when(closer, F.col("n")).otherwise(F.col("d2")).alias("d2"))
+    return state.select("shape_id", "point_idx", "seed", "d2")
 
 
 def align(pairs: DataFrame, *, scaling: bool = True) -> DataFrame:
-    """shape_id, scale, rotation (by rows), shift: the similarity that takes points (x, y, z) closest to their partners (u, v, w)."""
+    """shape_id, scale, rotation (by rows), shift: the similarity that takes points (x, y, z) closest to their partners (u, v, w).
 
-    def run(t: pa.Table) -> pa.Table:
-        a, b = _coordinates(t, ("x", "y", "z")), _coordinates(t, ("u", "v", "w"))
-        a0, b0 = a - a.mean(0), b - b.mean(0)
-        left, s, right = np.linalg.svd(b0.T @ a0)
-        flip = np.diag([1.0, 1.0, np.sign(np.linalg.det(left @ right)) or 1.0])
-        turn = left @ flip @ right
-        size = (a0 * a0).sum()
-        scale = float((s * np.diag(flip)).sum() / size) if scaling and size else 1.0
-        shift = b.mean(0) - scale * turn @ a.mean(0)
-        return pa.table({"shape_id": t["shape_id"][:1], "scale": pa.array([scale]), "rotation": pa.array([turn.ravel().tolist()], pa.list_(pa.float64())), "shift": pa.array([shift.tolist()], pa.list_(pa.float64()))})
-
-    return pairs.select("shape_id", "x", "y", "z", "u", "v", "w").groupBy("shape_id").applyInArrow(run, f"shape_id {_kind(pairs, 'shape_id')}, scale double, rotation array<double>, shift array<double>")
+    Means and products are aggregates; the turn comes from the singular vectors of one 3 x 3 matrix a shape.
+    """
+    names = [(p, q) for p in "uvw" for q in "xyz"]
+    sums = pairs.groupBy("shape_id").agg(
+        *(F.avg(c).alias(c) for c in "xyzuvw"),
+        F.array(*(F.covar_pop(p, q) for p, q in names)).alias("m"),
+        (F.var_pop("x") + F.var_pop("y") + F.var_pop("z")).alias("size"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if not len(t):
+                continue
+            a, to = _coordinates(t, ("x", "y", "z")), _coordinates(t, ("u", "v", "w"))
+            m, size = np.array(t["m"].to_pylist(), float).reshape(-1, 3, 3), t["size"].to_numpy()
+            left, s, right = np.linalg.svd(m)
+            flip = np.ones((len(m), 3))
+            flip[:, 2] = np.where(np.linalg.det(left @ right) < 0, -1.0, 1.0)
+            turn = (left * flip[:, None]) @ right
+            scale = np.where(scaling & (size > 0), (s * flip).sum(1) / np.where(size > 0, size, 1.0), 1.0)
+            shift = to - scale[:, None] * (turn @ a[:, :, None])[:, :, 0]
+            rows = pa.list_(pa.float64())
+            yield pa.RecordBatch.from_arrays([b["shape_id"], pa.array(scale), pa.array(turn.reshape(-1, 9).tolist(), rows), pa.array(shift.tolist(), rows)], ["shape_id", "scale", "rotation", "shift"])
+
+    return sums.mapInArrow(run, f"shape_id {_kind(pairs, 'shape_id')}, scale double, rotation array<double>, shift array<double>")

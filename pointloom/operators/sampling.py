@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
+from . import linking
+from .graph import radius_pairs
 
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -90,3 +94,38 @@ def dense_sample(samples: DataFrame, faces: DataFrame, vertices: DataFrame, n: i
 def transfer_labels(samples: DataFrame, face_labels: DataFrame) -> DataFrame:
     """Each sample with the label of its face; null where the face has none."""
     return samples.join(face_labels.select("shape_id", F.col("elem_idx").alias("face_idx"), "label"), ["shape_id", "face_idx"], "left")
+
+
+def blue_noise(points: DataFrame, radius: float, *, seed: int = 0) -> DataFrame:
+    """The points that are left if they are asked in an order that a hash of each and seed decide, and each stays that no other kept
+    one is closer to than radius: no two are closer, and no point can be added.
+
+    points: shape_id, point_idx, x, y, z, such as many draws of a surface. Only points in neighbouring cells meet.
+    """
+    order = uniform(shape_key(points), F.col("point_idx"), 7, seed)
+    near = radius_pairs(points, radius).filter("i < j").select("shape_id", F.col("i").alias("a"), F.col("j").alias("b"))
+    kept = linking.independent_set(points.select("shape_id", F.col("point_idx").alias("node"), order.alias("priority")), near).filter("kept")
+    return points.join(kept.select("shape_id", F.col("node").alias("point_idx")), ["shape_id", "point_idx"], "left_semi")
+
+
+def merge_near(points: DataFrame, eps: float) -> DataFrame:
+    """shape_id, point_idx, kept: in index order, each point goes to the first kept one closer than eps, else it is kept.
+
+    Close pairs come from a join of cells; the order of the indices is a sequence, so a shape's pairs are gone through by one task.
+    """
+    kind = points.schema["point_idx"].dataType.simpleString()
+    near = radius_pairs(points, eps).filter("i < j").select("shape_id", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+
+    def run(t: pa.Table) -> pa.Table:
+        i, j = t["i"].to_numpy(), t["j"].to_numpy()
+        order = np.lexsort((i, j))
+        to: dict[int, int] = {}
+        for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+            if b not in to and a not in to:
+                to[b] = a
+        return pa.table({"shape_id": pa.array([t["shape_id"][0].as_py()] * len(to), t["shape_id"].type), "point_idx": pa.array(list(to), pa.int64()), "to": pa.array(list(to.values()), pa.int64())})
+
+    shape = points.schema["shape_id"].dataType.simpleString()
+    gone = near.groupBy("shape_id").applyInArrow(run, f"shape_id {shape}, point_idx long, to long")
+    out = points.select("shape_id", "point_idx").join(gone.withColumn("point_idx", F.col("point_idx").cast(kind)), ["shape_id", "point_idx"], "left")
+    return out.select("shape_id", "point_idx", F.coalesce(F.col("to").cast(kind), "point_idx").alias("kept"))

@@ -547,7 +547,7 @@ walk(shape_id, point_idx, kept, held) AS (SELECT DISTINCT shape_id, 0, 0, [0] FR
   UNION ALL SELECT n.shape_id, n.point_idx, coalesce(list_min(list_intersect(held, near)), n.point_idx), CASE WHEN len(list_intersect(held, near)) = 0 THEN list_append(held, n.point_idx) ELSE held END FROM walk w JOIN near n ON n.shape_id = w.shape_id AND n.point_idx = w.point_idx + 1)
 SELECT shape_id, point_idx, kept FROM walk""")
 def dedup_epsilon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.greedy_merge(V.points(spark, sf_dir), 0.1)
+    return smp.merge_near(V.points(spark, sf_dir), 0.1)
 
 
 @query(_TURNED + """, p AS (SELECT shape_id, max(v2) AS last, count(*) % 2 = 1 AS odd FROM faces GROUP BY 1), v AS (SELECT shape_id, unnest(range(0, last + 1)) AS v, last, odd FROM p),
@@ -927,3 +927,14 @@ def _dihedral_sql() -> str:
 @query(_dihedral_sql())
 def tet_dihedral_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(tet.dihedral_angles(_tets(spark, sf_dir), V.vertices(spark, sf_dir)), "theta", digits=5)
+
+
+@query(f"""WITH RECURSIVE {V.POINTS}, p0 AS (SELECT *, ((((shape_id::BIGINT * 1000003 + point_idx::BIGINT * 7919 + 7 * 104729 + 3) % 2147483648 * 1103515245 + 12345) % 2147483648) * 1103515245 + 12345) % 2147483648 AS h FROM points),
+p AS (SELECT *, CAST(row_number() OVER (PARTITION BY shape_id ORDER BY h, point_idx) - 1 AS INTEGER) AS turn FROM p0),
+near AS (SELECT a.shape_id, a.turn, coalesce(list(b.turn) FILTER (WHERE b.turn < a.turn AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z) < 0.15::DOUBLE * 0.15::DOUBLE), []) AS near FROM p a JOIN p b USING (shape_id) GROUP BY 1, 2),
+walk(shape_id, turn, kept, held) AS (SELECT DISTINCT shape_id, 0, true, [0] FROM p
+  UNION ALL SELECT n.shape_id, n.turn, len(list_intersect(held, near)) = 0, CASE WHEN len(list_intersect(held, near)) = 0 THEN list_append(held, n.turn) ELSE held END FROM walk w JOIN near n ON n.shape_id = w.shape_id AND n.turn = w.turn + 1)
+SELECT p.shape_id, p.point_idx FROM walk JOIN p ON p.shape_id = walk.shape_id AND p.turn = walk.turn WHERE kept""")
+def blue_noise_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No two closer than 0.15, none can be added."""
+    return smp.blue_noise(V.points(spark, sf_dir), 0.15, seed=3).select("shape_id", "point_idx")

@@ -51,6 +51,20 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length")
 
 
+def list_entries(spark: SparkSession, folder: str) -> DataFrame:
+    """name, is_folder, files, bytes of what lies in a folder: its files, and its sub-folders with all files below them.
+
+    Nothing is read but the listing. A folder without any file below it has no row.
+    """
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    base = F.regexp_replace(F.lit(folder), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?|/+$", "")
+    below = F.regexp_replace(F.col("path"), "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", "")
+    rest = F.expr("substring(below, length(base) + 2)")
+    named = found.withColumns({"base": base, "below": below}).withColumn("rest", rest)
+    named = named.select(F.substring_index("rest", "/", 1).alias("name"), F.contains("rest", F.lit("/")).alias("inner"), "length")
+    return named.groupBy("name").agg(F.bool_or("inner").alias("is_folder"), F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """.pts: fewer than four tokens are x y z, more are face, centroid and x y z. Coordinates are of single precision."""
     rows = tokens(lines(spark, path))

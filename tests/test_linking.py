@@ -143,3 +143,56 @@ def test_paths_by_rounds_are_those_of_the_kernel(spark):
         assert got.keys() == want.keys() and all(abs(got[k] - d) < 1e-9 for k, d in want.items())
         if radius == 0.8:
             break
+
+
+def test_independent_sets_are_those_of_the_order(spark):
+    rng = random.Random(8)
+    nodes, links = [], []
+    for s, n in (("thin", 200), ("thick", 60), ("line", 150)):
+        ids = list(range(n))
+        nodes += [(s, k, rng.randrange(5) if s != "line" else rng.randrange(1000)) for k in ids]
+        links += [(s, *rng.sample(ids, 2)) for _ in range(4 * n if s == "thick" else n)] if s != "line" else [(s, k, k + 1) for k in ids[:-1]]
+    links += links[:9] + [("thin", 3, 3)] + [("thin", b, a) for _, a, b in links[:5]]
+    df = spark.createDataFrame(nodes, "shape_id string, node int, priority int")
+    got = {(r.shape_id, r.node) for r in linking.independent_set(df, spark.createDataFrame(links, "shape_id string, a int, b int")).filter("kept").collect()}
+    want = set()
+    for s, k, _ in sorted(nodes, key=lambda x: (x[2], x[1])):
+        if not any((s, b if a == k else a) in want for t, a, b in links if t == s and k in (a, b) and a != b):
+            want.add((s, k))
+    assert got == want
+    assert linking.independent_set(df, spark.createDataFrame([], "shape_id string, a int, b int")).filter("kept").count() == len(nodes)
+
+
+def test_blue_noise_of_many_draws(spark):
+    import math
+
+    from pointloom.operators import sampling
+
+    rng = random.Random(9)
+    rows = [(s, k, rng.random(), rng.random(), 0.0) for s in ("a", "b") for k in range(400)] + [("one", 0, 1.0, 1.0, 1.0), ("same", 0, 0.0, 0.0, 0.0), ("same", 1, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "shape_id string, point_idx int, x double, y double, z double")
+    kept = {(r.shape_id, r.point_idx): (r.x, r.y, r.z) for r in sampling.blue_noise(df, 0.12, seed=5).collect()}
+    for s, k, *p in rows:
+        near = [o for o, q in kept.items() if o[0] == s and o[1] != k and math.dist(p, q) < 0.12]
+        assert bool(near) != ((s, k) in kept)
+    assert len(kept) < 200 and ("one", 0) in kept and len([k for k in kept if k[0] == "same"]) == 1
+
+
+def test_smallest_balls_of_degenerate_supports():
+    import numpy as np
+
+    from pointloom.operators import kernels
+
+    rng = np.random.default_rng(1)
+    cube = np.array([(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)])
+    for p in (cube, np.repeat(cube, 3, 0), np.r_[cube, rng.uniform(-1, 1, (500, 3))]):
+        c, r = kernels.ball(p)
+        assert np.allclose(c, 0, atol=1e-9) and abs(r - 3**0.5) < 1e-9
+    for _ in range(40):
+        u = rng.normal(size=(60, 3))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)  # all on one sphere
+        c, r = kernels.ball(u * 2 + 5)
+        assert r <= 2 + 1e-9 and (np.linalg.norm(u * 2 + 5 - c, axis=1) <= r * (1 + 1e-9)).all()
+        line = np.outer(rng.normal(size=30), (1.0, 2.0, 3.0))
+        assert abs(kernels.ball(line)[1] - np.linalg.norm(line.max(0) - line.min(0)) / 2) < 1e-9
+    assert kernels.ball(np.ones((4, 3)))[1] == 0

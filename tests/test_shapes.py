@@ -152,7 +152,7 @@ def test_enclosing_ball_holds_all_and_touches(spark):
     assert kernels.ball(square)[1] == pytest.approx(2**0.5)
     df = spark.createDataFrame([("s", 0, 0.0, 0.0, 0.0), ("s", 1, 0.0, 0.0, 2.0)], "shape_id string, point_idx int, x double, y double, z double")
     assert kernels.enclosing_balls(df).first().radius == pytest.approx(1)
-    assert [r.kept for r in kernels.greedy_merge(df, 3.0).orderBy("point_idx").collect()] == [0, 0]
+    assert [r.kept for r in sampling.merge_near(df, 3.0).orderBy("point_idx").collect()] == [0, 0]
     assert sorted(r.seed for r in kernels.farthest_groups(df, 2).collect()) == [0, 1]
 
 
@@ -199,7 +199,7 @@ def test_orientation_loops_groups_and_merging_against_brute_force(spark, cloud):
         near = [k for k in kept if math.dist(xyz[k], a) < 0.15]
         to[i] = near[0] if near else i
         kept += [] if near else [i]
-    assert {r.point_idx: r.kept for r in kernels.greedy_merge(cloud, 0.15).filter("shape_id = 'a'").collect()} == to and 1 < len(kept) < 60
+    assert {r.point_idx: r.kept for r in sampling.merge_near(cloud, 0.15).filter("shape_id = 'a'").collect()} == to and 1 < len(kept) < 60
     seeds = [0]
     for _ in range(4):
         seeds.append(max(range(60), key=lambda i: (min(math.dist(xyz[i], xyz[s]) for s in seeds), -i)))

@@ -80,3 +80,15 @@ def test_paths(spark):
     t = spark.createDataFrame([("/d/mesh/a.b.off",)], "p string")
     r = t.select(text.path_parts(F.col("p")).alias("q"), text.label_path(F.col("p")).alias("l")).first()
     assert (r.q.dir, r.q.base, r.q.ext, r.q.name, r.l) == ("/d/mesh", "a.b.off", "off", "a.b", "/d/gt/a.b.seg")
+
+
+def test_listings(spark, tmp_path):
+    put(tmp_path, "list.txt", "a/b.off\n\n  c.off  \n")
+    (tmp_path / "sub" / "deep").mkdir(parents=True)
+    put(tmp_path / "sub", "x.off", "12345")
+    put(tmp_path / "sub" / "deep", "y.off", "1")
+    assert [r.path for r in text.read_list(spark, str(tmp_path / "list.txt")).collect()] == ["a/b.off", "c.off"]
+    assert text.list_files(spark, str(tmp_path)).count() == 1
+    for folder in (str(tmp_path), f"file://{tmp_path}/"):
+        got = {r.name: (r.is_folder, r.files, r.bytes) for r in text.list_entries(spark, folder).collect()}
+        assert got == {"list.txt": (False, 1, 19), "sub": (True, 2, 6)}
