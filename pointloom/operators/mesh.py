@@ -441,6 +441,37 @@ def edge_curves(faces: DataFrame) -> DataFrame:
     return out.select("shape_id", "curve", F.col("place").cast("int").alias("place"), F.col("v").cast(faces.schema["v0"].dataType).alias("v"), "closed")
 
 
+def collapse_small(faces: DataFrame, vertices: DataFrame, eps: float, *, rounds: int | None = None) -> DataFrame:
+    """Faces without those of an area below eps times the squared diagonal of their shape's box: their shortest edges are contracted until
+    there are none (or for so many rounds), and faces that lose a corner go.
+
+    All vertices that one round's edges join become the smallest of them, which keeps its place, so that chains of small faces
+    fold in one round whatever their order. Of equally short edges the one across the first corner counts.
+    """
+    box = vertices.groupBy("shape_id").agg(*(f(c).alias(n + c) for n, f in (("l", F.min), ("h", F.max)) for c in "xyz"))
+    limit = written(box.select("shape_id", (eps * G.squared_distance(G.cols("l"), G.cols("h"))).alias("limit")), "limits")
+    kind = faces.schema["v0"].dataType
+    now, left = written(faces.select("shape_id", "f_idx", "v0", "v1", "v2"), "faces"), rounds
+    while left is None or left > 0:
+        tri = corners(now, vertices).join(limit, "shape_id")
+        p = [G.cols(n) for n in "abc"]
+        length = [G.squared_distance(p[(k + 1) % 3], p[(k + 2) % 3]) for k in range(3)]
+        tri = tri.filter(G.cross_area(*p) < F.col("limit")).withColumns({f"e{k}": x for k, x in enumerate(length)})
+        least = F.least("e0", "e1", "e2")
+        pick = lambda *v: F.when(F.col("e0") <= least, F.col(v[0])).when(F.col("e1") <= least, F.col(v[1])).otherwise(F.col(v[2])).cast("long")  # noqa: B023, E731
+        short = written(tri.select("shape_id", pick("v1", "v2", "v0").alias("a"), pick("v2", "v0", "v1").alias("b"), F.lit(False).alias("flip")), "short-edges")
+        if short.isEmpty():
+            break
+        ends = short.select("shape_id", F.explode(F.array("a", "b")).alias("node")).distinct()
+        merged = linking.signed_components(ends, short).filter("node <> label").select("shape_id", F.col("node").cast(kind).alias("v"), F.col("label").cast(kind).alias("to"))
+        after = now
+        for v in ("v0", "v1", "v2"):
+            after = after.join(merged.toDF("shape_id", v, f"to_{v}"), ["shape_id", v], "left").withColumn(v, F.coalesce(f"to_{v}", v)).drop(f"to_{v}")
+        now = written(after.filter("v0 <> v1 and v1 <> v2 and v2 <> v0").select("shape_id", "f_idx", "v0", "v1", "v2"), "faces")
+        left = None if left is None else left - 1
+    return now
+
+
 def vertex_manifold(faces: DataFrame) -> DataFrame:
     """shape_id, v_idx, manifold: whether the faces around a vertex hang together by edges at it."""
     corner = faces.select("shape_id", "f_idx", F.explode(F.array("v0", "v1", "v2")).alias("v_idx"))

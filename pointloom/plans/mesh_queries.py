@@ -938,3 +938,16 @@ SELECT p.shape_id, p.point_idx FROM walk JOIN p ON p.shape_id = walk.shape_id AN
 def blue_noise_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No two closer than 0.15, none can be added."""
     return smp.blue_noise(V.points(spark, sf_dir), 0.15, seed=3).select("shape_id", "point_idx")
+
+
+@query(f"""WITH RECURSIVE {V.POINTS}, {V.STRIP}, {V.CORNERS}, {V.NORMALS}, box AS (SELECT shape_id, 0.01::DOUBLE * ((max(x)-min(x))*(max(x)-min(x))+(max(y)-min(y))*(max(y)-min(y))+(max(z)-min(z))*(max(z)-min(z))) AS top FROM points GROUP BY 1),
+small AS (SELECT a.*, (bx-cx)*(bx-cx)+("by"-cy)*("by"-cy)+(bz-cz)*(bz-cz) AS e0, (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az) AS e1, (ax-bx)*(ax-bx)+(ay-"by")*(ay-"by")+(az-bz)*(az-bz) AS e2 FROM area a JOIN box USING (shape_id) WHERE area < top),
+e AS (SELECT shape_id, CASE WHEN e0 <= least(e1, e2) THEN v1 WHEN e1 <= e2 THEN v2 ELSE v0 END AS a, CASE WHEN e0 <= least(e1, e2) THEN v2 WHEN e1 <= e2 THEN v0 ELSE v1 END AS b FROM small),
+und AS (SELECT shape_id, a, b FROM e UNION SELECT shape_id, b, a FROM e), reach(shape_id, a, b) AS (SELECT * FROM und UNION SELECT r.shape_id, r.a, u.b FROM reach r JOIN und u ON u.shape_id = r.shape_id AND u.a = r.b),
+low AS (SELECT shape_id, a, min(b) AS low FROM reach GROUP BY 1, 2),
+f AS (SELECT faces.shape_id, f_idx, least(v0, coalesce(x.low, v0)) AS v0, least(v1, coalesce(y.low, v1)) AS v1, least(v2, coalesce(z.low, v2)) AS v2 FROM faces
+  LEFT JOIN low x ON x.shape_id = faces.shape_id AND x.a = v0 LEFT JOIN low y ON y.shape_id = faces.shape_id AND y.a = v1 LEFT JOIN low z ON z.shape_id = faces.shape_id AND z.a = v2)
+SELECT shape_id, f_idx, v0, v1, v2 FROM f WHERE v0 <> v1 AND v1 <> v2 AND v2 <> v0""")
+def collapse_small_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round; tests go on until no small face is left."""
+    return mesh.collapse_small(V.strip(spark, sf_dir), V.vertices(spark, sf_dir), 0.01, rounds=1)

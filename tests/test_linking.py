@@ -196,3 +196,23 @@ def test_smallest_balls_of_degenerate_supports():
         line = np.outer(rng.normal(size=30), (1.0, 2.0, 3.0))
         assert abs(kernels.ball(line)[1] - np.linalg.norm(line.max(0) - line.min(0)) / 2) < 1e-9
     assert kernels.ball(np.ones((4, 3)))[1] == 0
+
+
+def test_small_faces_collapse_until_none_is_left(spark):
+    """A sheet with a row of slivers, a fan of tiny faces and a big face of its own."""
+    n = 6
+    rows = [("s", y * n + x, x * 1.0 if x < 3 else x - 0.999, float(y), 0.0) for y in range(n) for x in range(n)]  # columns 2 and 3 nearly meet
+    faces = [f for y in range(n - 1) for x in range(n - 1) for a in (y * n + x,) for f in ((a, a + 1, a + n), (a + 1, a + n + 1, a + n))]
+    rows += [("s", 100 + k, 20 + 1e-5 * k, 1e-5 * k * k, 0.0) for k in range(5)] + [("s", 200, 30.0, 3.0, 0.0), ("s", 201, 31.0, 0.0, 0.0), ("s", 202, 30.0, 5.0, 0.0)]
+    faces += [(100, 101 + k, 102 + k) for k in range(3)] + [(104, 200, 201), (200, 201, 202)]
+    df = spark.createDataFrame([("s", k, *f) for k, f in enumerate(faces)], FACES)
+    vertices = spark.createDataFrame(rows, "shape_id string, v_idx int, x double, y double, z double")
+    left = {r.f_idx: (r.v0, r.v1, r.v2) for r in mesh.collapse_small(df, vertices, 1e-6).collect()}
+    at = {r[1]: r[2:] for r in rows}
+    area = lambda f: abs((at[f[1]][0] - at[f[0]][0]) * (at[f[2]][1] - at[f[0]][1]) - (at[f[1]][1] - at[f[0]][1]) * (at[f[2]][0] - at[f[0]][0])) / 2
+    limit = 1e-6 * (31.0**2 + 5.0**2)
+    slivers = {k for k, f in enumerate(faces) if area(f) < limit}
+    assert len(slivers) == 13 and set(left) == set(range(len(faces))) - slivers
+    assert all(area(f) >= limit and len(set(f)) == 3 for f in left.values())
+    assert left[len(faces) - 1] == faces[-1] and left[len(faces) - 2] == (103, 200, 201)
+    assert mesh.collapse_small(df, vertices, 0.0).count() == len(faces)
