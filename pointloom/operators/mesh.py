@@ -362,9 +362,13 @@ def _face_links(faces: DataFrame, *, only_pairs: bool = False) -> DataFrame:
     return met.select("shape_id", F.col("first.f").alias("a"), F.col("face.f").alias("b"), (F.col("face.up") == F.col("first.up")).alias("flip"))
 
 
-def _numbered(faces: DataFrame, links: DataFrame) -> DataFrame:
-    """shape_id, f_idx, component: numbers of the components, in the order of their first faces."""
-    found = linking.signed_components(faces.select("shape_id", F.col("f_idx").alias("node")), links)
+def signed_faces(faces: DataFrame, *, only_pairs: bool = False) -> DataFrame:
+    """Components of faces over common edges, with the parity of turns from their first faces: `linking.signed_components`."""
+    return linking.signed_components(faces.select("shape_id", F.col("f_idx").alias("node")), _face_links(faces, only_pairs=only_pairs))
+
+
+def numbered(faces: DataFrame, found: DataFrame) -> DataFrame:
+    """shape_id, f_idx, component: numbers of the components that `signed_faces` found, in the order of their first faces."""
     names = before(found.select("shape_id", "label").distinct(), ["shape_id", "label"], F.lit(1), "place")
     first = names.groupBy("shape_id").agg(F.min("place").alias("first"))
     names = names.join(first, "shape_id").select("shape_id", "label", (F.col("place") - F.col("first")).cast("int").alias("component"))
@@ -373,18 +377,18 @@ def _numbered(faces: DataFrame, links: DataFrame) -> DataFrame:
 
 def facet_components(faces: DataFrame) -> DataFrame:
     """shape_id, f_idx, component: faces that share edges, numbered by their first ones."""
-    return _numbered(faces, _face_links(faces))
+    return numbered(faces, signed_faces(faces))
 
 
 def manifold_patches(faces: DataFrame) -> DataFrame:
     """shape_id, f_idx, component: faces that hang together by edges of two faces, numbered by their first ones; where more meet, patches end."""
-    return _numbered(faces, _face_links(faces, only_pairs=True))
+    return numbered(faces, signed_faces(faces, only_pairs=True))
 
 
-def orient_faces(faces: DataFrame) -> DataFrame:
+def orient_faces(faces: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """Faces turned so that neighbours agree on the direction of their common edge, and whether each was turned. In each component the
-    smaller of both sides is turned, at a tie the first face's; a lone face stays."""
-    found = linking.signed_components(faces.select("shape_id", F.col("f_idx").alias("node")), _face_links(faces))
+    smaller of both sides is turned, at a tie the first face's; a lone face stays. `found`: what `signed_faces` gave, if it is known."""
+    found = signed_faces(faces) if found is None else found
     sides = found.groupBy("shape_id", "label").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("turned").cast("int")).alias("k"))
     swap = (F.col("n") > 1) & (2 * F.col("k") >= F.col("n"))
     turned = found.join(sides, ["shape_id", "label"]).select("shape_id", F.col("node").cast(faces.schema["f_idx"].dataType).alias("f_idx"), (F.col("turned") != swap).alias("turned"))

@@ -801,7 +801,8 @@ def _large(spark: SparkSession, sf_dir: str) -> DataFrame:
 def large_shape_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components and orientation of one shape with a face for each order."""
     f = _large(spark, sf_dir)
-    return mesh.orient_faces(f).join(mesh.facet_components(f), ["shape_id", "f_idx"])
+    found = mesh.signed_faces(f)
+    return mesh.orient_faces(f, found).join(mesh.numbered(f, found), ["shape_id", "f_idx"])
 
 
 def _whole_cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
