@@ -16,7 +16,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces that one worker remembers; when full it starts anew. A bound on memory, without effect on results.
+#: Pieces that one worker remembers, and words and marks in them; what is full starts anew. A bound on memory, without effect on results.
 MEMO = 1_000_000
 #: Letters up to this one are composed already and have the same lower case everywhere.
 LAST_PLAIN = "\u00ff"
@@ -100,8 +100,12 @@ class PieceEncoder:
     def _parts(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_piece:
             return [_packed(e.ids) for e in self.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.memo) > MEMO or len(self.marks) > MEMO:
-            self.memo, self.words, self.marks = _Memo(self), {"": b""}, {"": b""}
+        if len(self.memo) > MEMO:
+            self.memo = _Memo(self)
+        if len(self.words) > MEMO:
+            self.words = {"": b""}
+        if len(self.marks) > MEMO:
+            self.marks = {"": b""}
         look = self.memo.__getitem__
         return [b"".join(map(look, (t or "").replace("\n", " ").split(" "))) for t in texts]
 

@@ -33,26 +33,32 @@ from .pieces import encoder
 MAGIC = b"RPS1"
 #: Slots of the table that finds a pair's rule; a power of two.
 _SLOTS = 1 << 20
+#: Rules of up to so many ids are expanded once for a shard, longer ones where they stand.
+SHORT = 64
 
 
 def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, least: int = 8, per_round: int = 2048) -> bytes:
     """A shard from the ids of its documents, one after the other. `first`: the smallest number above all ids."""
     s = ids.astype(np.uint32)
-    last = np.zeros(len(s), bool)
-    last[np.cumsum(counts)[counts > 0] - 1] = True
+    stops = np.cumsum(counts)[counts > 0] - 1  # where each document's last symbol stands
     left, right = np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     lengths = np.zeros(0, np.uint32)
     ends = []
+    near = None  # where pairs begin that hold a nonterminal of the last round; none: any pair may be frequent
     while True:
         room = min(per_round, (1 << 16) - first - len(left) if first < 1 << 16 else per_round)
         if len(s) < 2 or room <= 0:
             break
-        half = 16 if first + len(left) <= 1 << 16 else 32
+        half = 16 if first + len(left) < 1 << 16 else 32
         kind = np.uint32 if half == 16 else np.uint64
-        wide = s.astype(kind, copy=False)
-        pair = (wide[:-1] << kind(half)) | wide[1:]
-        inner = ~last[:-1]
-        ordered = np.sort(pair[inner])
+        if near is None:
+            wide = s.astype(kind, copy=False)
+            pair = (wide[:-1] << kind(half)) | wide[1:]
+            pair[stops[:-1]] = kind(-1 % (1 << 2 * half))  # across documents; no pair is so large, as a symbol is still free
+            ordered = np.sort(pair)[: len(pair) - len(stops) + 1]
+        else:
+            pair = (s[near].astype(kind) << kind(half)) | s[near + 1].astype(kind)
+            ordered = np.sort(pair)
         if not len(ordered):
             break
         edge = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
@@ -60,30 +66,41 @@ def compress(ids: np.ndarray, counts: np.ndarray, first: int, *, least: int = 8,
         often = np.flatnonzero(seen >= least)
         if not len(often):
             break
+        waiting = len(often)
         often = often[np.lexsort((ordered[edge[often]], -seen[often]))][:room]
         keys = ordered[edge[often]]
         slot = _slot(keys)
         _, one = np.unique(slot, return_index=True)  # of pairs that share a slot the more frequent one; the others' turn comes next round
         keys = keys[np.sort(one)]
-        table = np.full(_SLOTS, -1, np.int32)
-        table[_slot(keys)] = np.arange(len(keys), dtype=np.int32)
-        rule = table[_slot(pair)]
-        hit = np.flatnonzero(inner & (rule >= 0))
-        hit = hit[keys[rule[hit]] == pair[hit]]
+        waiting -= len(keys)
+        number = np.int16 if per_round < 1 << 15 else np.int32
+        table = np.full(_SLOTS, -1, number)
+        table[_slot(keys)] = np.arange(len(keys), dtype=number)
+        rule = table.take(_slot(pair))
+        at = np.flatnonzero(rule >= 0)
+        at = at[keys[rule[at]] == pair[at]]
+        rule, hit = rule[at], at if near is None else near[at]
         start = np.r_[True, np.diff(hit) > 1]  # in a run of overlapping hits every second one counts
         place = np.arange(len(hit)) - np.maximum.accumulate(np.where(start, np.arange(len(hit)), 0))
-        hit = hit[place % 2 == 0]
+        rule, hit = rule[place % 2 == 0], hit[place % 2 == 0]
         a, b = (keys >> kind(half)).astype(np.uint32), (keys & kind((1 << half) - 1)).astype(np.uint32)
         size = lambda x: np.where(x < first, 1, lengths[np.where(x < first, 0, x - first)] if len(lengths) else 1)  # noqa: E731, B023
         grown = (size(a) + size(b)).astype(np.uint32)
-        s[hit] = first + len(left) + rule[hit]
-        last[hit] = last[hit + 1]
+        s[hit] = rule.astype(np.uint32) + np.uint32(first + len(left))
+        stops = stops - np.searchsorted(hit + 1, stops, side="right")
         keep = np.ones(len(s), bool)
         keep[hit + 1] = False
+        s = s.take(np.flatnonzero(keep))
+        near = None
+        if not waiting:
+            # all frequent pairs are gone and others only grew rarer: the next frequent ones hold one of these nonterminals
+            new = hit - np.arange(len(hit))
+            near = np.union1d(new, new - 1)
+            near = near[(near >= 0) & (near < len(s) - 1)]
+            near = near[~np.isin(near, stops)]
         left, right, lengths = np.r_[left, a], np.r_[right, b], np.r_[lengths, grown]
         ends.append(len(left))
-        s, last = s[keep], last[keep]
-    stops = np.r_[0, np.flatnonzero(last) + 1]
+    stops = np.r_[0, stops + 1]
     symbols = np.zeros(len(counts), np.int64)
     symbols[counts > 0] = np.diff(stops)
     wide = np.uint32 if len(s) and int(s.max()) >= 1 << 16 else np.uint16
@@ -97,6 +114,11 @@ def _slot(pair: np.ndarray) -> np.ndarray:
     return (pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)
 
 
+def _run(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at starts, one after the other."""
+    return flat[np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))]
+
+
 class Shard:
     """Decodes a shard: all of it, one document, or a range of a document's ids."""
 
@@ -112,19 +134,29 @@ class Shard:
         self.ends, at = take("<i8", rounds), at + 8 * rounds
         self.starts, at = np.r_[0, np.cumsum(take("<i8", self.docs))], at + 8 * self.docs
         self.symbols = take("<u2" if width == 2 else "<u4", n)
+        self._table = None
+
+    def _short(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each terminal and each rule of up to SHORT ids stands for, one after the other, and where each begins."""
+        if self._table is None:
+            flat, starts = np.arange(self.first, dtype=np.uint32), np.arange(self.first + len(self.left))
+            for low, high in zip(np.r_[0, self.ends][:-1].tolist(), self.ends.tolist(), strict=True):
+                rules = low + np.flatnonzero(self.lengths[low:high] <= SHORT)
+                parts = np.stack([self.left[rules], self.right[rules]], 1).reshape(-1)  # symbols of the rounds before
+                size = self.lengths[rules].astype(np.int64)
+                starts[self.first + rules] = len(flat) + np.cumsum(size) - size
+                flat = np.concatenate([flat, _run(flat, starts[parts], self.sizes(parts))])
+            self._table = flat, starts
+        return self._table
 
     def _expand(self, s: np.ndarray) -> np.ndarray:
         s = s.astype(np.uint32)
-        for low in np.r_[0, self.ends[:-1]][::-1] if len(self.ends) else []:
-            hit = s >= self.first + low
-            if hit.any():
-                at = np.cumsum(1 + hit) - 1 - hit
-                out = np.empty(len(s) + int(hit.sum()), np.uint32)
-                rule = s[hit] - self.first
-                out[at[~hit]] = s[~hit]
-                out[at[hit]], out[at[hit] + 1] = self.left[rule], self.right[rule]
-                s = out
-        return s
+        while len(at := np.flatnonzero(self.sizes(s) > SHORT)):
+            rule = s[at] - self.first
+            s[at] = self.left[rule]
+            s = np.insert(s, at + 1, self.right[rule])
+        flat, starts = self._short()
+        return _run(flat, starts[s], self.sizes(s))
 
     def sizes(self, s: np.ndarray) -> np.ndarray:
         """Expansion lengths of symbols."""

@@ -92,6 +92,45 @@ def test_repair_round_trip_and_random_access():
     assert empty.ids().tolist() == [] and empty.docs == 0
 
 
+def test_late_rounds_of_repair_look_at_new_pairs_only(monkeypatch):
+    rng = np.random.default_rng(2)
+    docs = [np.concatenate([np.tile(rng.integers(0, 3000, 1 << k), 8) for k in range(1, 8)] + [rng.integers(0, 3000, 4000)]) for _ in range(6)]
+    ids, counts = np.concatenate(docs), np.array(list(map(len, docs)))
+    looked, sort = [], np.sort
+    monkeypatch.setattr(repair_store.np, "sort", lambda x, *a, **k: looked.append(len(x)) or sort(x, *a, **k))
+    s = repair_store.Shard(repair_store.compress(ids, counts, 3000))
+    monkeypatch.undo()
+    assert s.ids().tolist() == ids.tolist() and s.counts().tolist() == counts.tolist() and len(s.ends) > 5
+    late = looked[-2:]  # every round sorts pairs
+    assert max(late) < len(s.symbols) / 4
+    left = collections.Counter(p for k in range(s.docs) for x in [s.symbols[s.starts[k] : s.starts[k + 1]].tolist()] for p in zip(x, x[1:]))
+    assert max(left.values()) < 8
+
+
+def test_long_and_short_rules_expand_alike(monkeypatch):
+    ids = np.concatenate([np.full(5000, 3), np.tile(np.arange(7), 300), np.tile(np.arange(200), 9)])
+    data = repair_store.compress(ids, np.array([5000, 2100, 1800]), 200)
+    for short in (1, 2, 64, 1 << 20):
+        monkeypatch.setattr(repair_store, "SHORT", short)
+        s = repair_store.Shard(data)
+        assert int(s.lengths.max()) > 64 and s.ids().tolist() == ids.tolist() and s.part(2, 150, 950).tolist() == ids[7250:8050].tolist()
+
+
+def test_words_stay_known_when_the_memory_of_pieces_is_full(monkeypatch):
+    monkeypatch.setattr(pieces, "MEMO", 20)
+    e = pieces.PieceEncoder(TOKENIZER)
+    want = e.ids(["banst lorx", " ".join(f"banst{m}" for m in "!?.,;:()[]{}<>#$%&*+-=/@^_~|")])[0].tolist()
+    asked = []
+
+    class Model:
+        def tokenize(self, word, model=e.model):
+            asked.append(word)
+            return model.tokenize(word)
+
+    e.model = Model()
+    assert e.ids(["banst lorx"])[0].tolist() == want[: len(e.ids(["banst lorx"])[0])] and len(e.memo) < 20 and not asked
+
+
 def test_rows_that_repeat_and_long_texts_in_stores_and_counts(spark):
     rng = random.Random(15)
     long = prose(rng, 400_000) + " É<|endoftext|>"
