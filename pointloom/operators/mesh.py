@@ -367,12 +367,14 @@ def signed_faces(faces: DataFrame, *, only_pairs: bool = False) -> DataFrame:
     return linking.signed_components(faces.select("shape_id", F.col("f_idx").alias("node")), _face_links(faces, only_pairs=only_pairs))
 
 
-def numbered(faces: DataFrame, found: DataFrame) -> DataFrame:
-    """shape_id, f_idx, component: numbers of the components that `signed_faces` found, in the order of their first faces."""
-    names = before(found.select("shape_id", "label").distinct(), ["shape_id", "label"], F.lit(1), "place")
+def numbered(faces: DataFrame, found: DataFrame, *, rank: Column | None = None) -> DataFrame:
+    """shape_id, f_idx, component: numbers of the components that `signed_faces` found, in the order of their first faces (`label`), or of
+    `rank`, a column made of these; components of equal rank share a number."""
+    found = found.withColumn("rank", F.col("label") if rank is None else rank)
+    names = before(found.select("shape_id", "rank").distinct(), ["shape_id", "rank"], F.lit(1), "place")
     first = names.groupBy("shape_id").agg(F.min("place").alias("first"))
-    names = names.join(first, "shape_id").select("shape_id", "label", (F.col("place") - F.col("first")).cast("int").alias("component"))
-    return found.join(names, ["shape_id", "label"]).select("shape_id", F.col("node").cast(faces.schema["f_idx"].dataType).alias("f_idx"), "component")
+    names = names.join(first, "shape_id").select("shape_id", "rank", (F.col("place") - F.col("first")).cast("int").alias("component"))
+    return found.join(names, ["shape_id", "rank"]).select("shape_id", F.col("node").cast(faces.schema["f_idx"].dataType).alias("f_idx"), "component")
 
 
 def facet_components(faces: DataFrame) -> DataFrame:
