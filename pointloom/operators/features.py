@@ -106,7 +106,8 @@ def curvature(pairs: DataFrame, points: DataFrame, normal: DataFrame, radius: fl
 def mean_curvature(pairs: DataFrame, own: DataFrame, radius: float = MEAN_RADIUS) -> DataFrame:
     """shape_id, point_idx, mean_curvature: mean over the point and its neighbours within radius."""
     # the condition stands in the aggregate, not in a filter, so that the pairs' exchange can be shared
-    met = pairs.join(own.select("shape_id", F.col("point_idx").alias("dst"), F.col("curvature").alias("c")), ["shape_id", "dst"])
+    # merged, as Spark takes pairs for as few as the edges they come from, and would broadcast them
+    met = pairs.hint("merge").join(own.select("shape_id", F.col("point_idx").alias("dst"), F.col("curvature").alias("c")), ["shape_id", "dst"])
     near = F.col("d") < radius
     sums = met.groupBy("shape_id", F.col("src").alias("point_idx")).agg(F.sum(F.when(near, F.col("c"))).alias("s"), F.count(F.when(near, 1)).alias("n"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

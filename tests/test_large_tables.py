@@ -31,7 +31,7 @@ def _broadcast(df) -> list[str]:
     return [next(x.split()[0] for x in lines[k + 1 :] if not x.startswith(("Project", "Filter"))) for k in at]
 
 
-@pytest.mark.parametrize("name", ["path_distance"])
+@pytest.mark.parametrize("name", ["path_distance", "mean_curvature"])
 def test_rows_that_spark_cannot_foresee_are_not_broadcast(spark, name):
     """A point's pairs and the 27 cells around it are many times what Spark takes them for; the driver ran out of memory."""
     assert not {"FlatMapGroupsInArrow", "Generate"} & set(_broadcast(registry.QUERIES[name](spark, DATA)))
