@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geometry as G
@@ -129,28 +132,133 @@ def rings(faces: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+#: A block has vertices whose numbers are equal but for so many bits; so many of them gather their sums at once.
+_BITS, _AT_ONCE = 17, 8192
+_CORNERS = ("v0", "v1", "v2")
+#: Powers of u and v in a height, and those that occur in its normal equations.
+_TERMS = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1)]
+_POWERS = sorted({(a + c, b + d) for a, b in _TERMS for c, d in _TERMS})
+
+
+def _block(v: str | Column) -> Column:
+    return F.shiftright(v, _BITS).cast("long")
+
+
+def _outside(faces: DataFrame) -> DataFrame:
+    """shape_id, v, block: corners of the faces of a block that belong to another one."""
+    corner = faces.select("shape_id", "block", F.explode(F.array(*_CORNERS)).alias("v"))
+    return written(corner.filter(_block("v") != F.col("block")).select("shape_id", "v", "block").distinct(), "outside")
+
+
+def _blocks(faces: DataFrame, vertices: DataFrame, depth: int) -> DataFrame:
+    """shape_id, block, v0, v1, v2, x, y, z: for each block all faces that have a corner at most `depth` - 1 edges from its vertices, and (without
+    v1 and v2) their corners' coordinates.
+
+    Only what lies across the blocks' borders is joined: little where near vertices have near numbers; where they have not, all faces.
+    """
+    own = F.array_distinct(F.array(*(_block(c) for c in _CORNERS)))
+    faces = faces.select("shape_id", "f_idx", *_CORNERS)
+    near = faces.select("*", F.explode(own).alias("block"))
+    across = crossing = near.filter(F.size(own) > 1)
+    corner = faces.select("*", F.explode(F.array_distinct(F.array(*_CORNERS))).alias("v"))
+    for _ in range(depth - 1):
+        more = corner.join(_outside(across), ["shape_id", "v"]).filter(~F.array_contains(own, F.col("block"))).select(near.columns).distinct()
+        more = written(more, "halo")
+        across = crossing.union(more)
+    xyz = [F.col(c).cast("double").alias(c) for c in "xyz"]
+    none = [F.lit(None).cast(faces.schema[c].dataType).alias(c) for c in _CORNERS[1:]]
+    inside = vertices.select("shape_id", _block("v_idx").alias("block"), F.col("v_idx").alias("v0"), *none, *xyz)
+    beyond = vertices.withColumnRenamed("v_idx", "v").join(_outside(across), ["shape_id", "v"]).select("shape_id", "block", "v", *none, *xyz)
+    flat = lambda x: x.select("shape_id", "block", *_CORNERS, *(F.lit(None).cast("double").alias(c) for c in "xyz"))
+    out = flat(near).union(inside).union(beyond)
+    return out.union(flat(more)) if depth > 1 else out
+
+
+def _spread(first: np.ndarray, to: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For all neighbours of each of v: its place in v, and the neighbour."""
+    n = first[v + 1] - first[v]
+    at = np.repeat(np.arange(len(v)), n)
+    return at, to[np.repeat(first[v] - (np.cumsum(n) - n), n) + np.arange(len(at))]
+
+
+def _gather(depth: int, kind: pa.DataType, bits: int):
+    def run(t: pa.Table) -> pa.Table:
+        face = t["v1"].is_valid()
+        f = np.stack([t[c].filter(face).to_numpy() for c in _CORNERS], 1)
+        t_v = t.filter(pa.compute.invert(face))
+        ids, xyz = t_v["v0"].to_numpy(), np.stack([t_v[c].to_numpy() for c in "xyz"], 1)
+        names = np.unique(np.r_[ids, f.ravel()])
+        size, p, there = len(names), np.full((len(names), 3), np.nan), np.zeros(len(names), bool)
+        at, f = np.searchsorted(names, ids), np.searchsorted(names, f)
+        p[at], there[at] = xyz, True
+        # normals: sums of the faces' cross products; s is across the normal and the unit vector that it has least of
+        whole = f[there[f].all(1)]
+        faced = np.zeros(size, bool)
+        faced[whole] = True
+        cross = np.cross(p[whole[:, 1]] - p[whole[:, 0]], p[whole[:, 2]] - p[whole[:, 0]])
+        cross[np.isnan(cross).any(1)] = 0
+        n = np.stack([np.bincount(whole.ravel(), np.repeat(cross[:, k], 3), size) for k in range(3)], 1).astype(float)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            n /= np.sqrt((n * n).sum(1))[:, None]
+            least = np.zeros((size, 3))
+            least[np.arange(size), np.abs(n).argmin(1)] = 1
+            s = np.cross(n, least)
+            s /= np.sqrt((s * s).sum(1))[:, None]
+        axes = (s, np.cross(n, s), n)
+        u, v = (np.r_[tuple(f[:, k] for k in ks)] for ks in ((0, 1, 1, 2, 2, 0), (1, 0, 2, 1, 0, 2)))
+        code = np.unique(u[u != v] * size + v[u != v])
+        first, to = np.searchsorted(code, np.arange(size + 1) * size), code % size
+        own = np.flatnonzero((names >> bits == t["block"][0].as_py()) & there & faced)
+        out = [[] for _ in range(len(_POWERS) + len(_TERMS) + 2)]
+        for part in range(0, len(own), _AT_ONCE):
+            o = own[part : part + _AT_ONCE]
+            src, dst = ring = _spread(first, to, o)
+            for _ in range(depth - 1):
+                at, dst = _spread(first, to, ring[1])
+                pair = np.unique(np.r_[ring[0] * size + ring[1], ring[0][at] * size + dst])
+                ring = src, dst = pair // size, pair % size
+            near = (o[src] != dst) & there[dst]
+            src, dst = src[near], dst[near]
+            if not len(src):
+                continue
+            i, start = o[src], np.flatnonzero(np.r_[True, src[1:] != src[:-1]])
+            d = p[dst] - p[i]
+            u, v, h = ((d * a[i]).sum(1) for a in axes)
+            lost = np.isnan(u) | np.isnan(v) | np.isnan(h)  # they count, but add nothing
+            u[lost] = v[lost] = h[lost] = 0
+            us, vs = ([np.ones(len(x)), x, x * x, x * x * x, x * x * x * x] for x in (u, v))
+            power = {(a, b): us[a] * vs[b] for a, b in _POWERS + _TERMS}
+            none = np.add.reduceat(~lost, start, dtype=np.int64) == 0
+            sums = [np.add.reduceat(x, start) for x in [*(power[k] for k in _POWERS), *(power[k] * h for k in _TERMS)]]
+            for to_, x in zip(out, [names[i[start]], np.diff(np.r_[start, len(src)]), *(np.where(none, np.nan, x) for x in sums)], strict=True):
+                to_.append(x)
+        flat = [np.concatenate(x) if x else np.zeros(0) for x in out]
+        key = pa.array([t["shape_id"][0].as_py()] * len(flat[0]), t["shape_id"].type)
+        return pa.table([key, pa.array(flat[0].astype(np.int64)).cast(kind), pa.array(flat[1].astype(np.int64)), *(pa.array(x, pa.float64(), from_pandas=True) for x in flat[2:])], names=["shape_id", "v_idx", "n", *_SUMS])
+
+    return run
+
+
+_SUMS = [f"m{i}{j}" for i, j in _POWERS] + [f"h{i}{j}" for i, j in _TERMS]
+
+
+def _ring_sums(faces: DataFrame, vertices: DataFrame, depth: int) -> DataFrame:
+    """shape_id, v_idx, n, m.. and h..: how many vertices are at most `depth` edges away, and the sums of their monomials in u and v, and of
+    these times h, in a frame of the vertex: u and v across its normal, h along it."""
+    shape, v = (vertices.schema[c].dataType.simpleString() for c in ("shape_id", "v_idx"))
+    kind = {"int": pa.int32(), "bigint": pa.int64()}[v]
+    return _blocks(faces, vertices, depth).groupBy("shape_id", "block").applyInArrow(_gather(depth, kind, _BITS), f"shape_id {shape}, v_idx {v}, n bigint, " + ", ".join(f"{c} double" for c in _SUMS))
+
+
 def principal_curvatures(faces: DataFrame, vertices: DataFrame, *, depth: int = 2) -> DataFrame:
     """shape_id, v_idx, k1, k2: the larger and the smaller curvature of a vertex, positive where the surface bends away from its normal.
 
     A height a u^2 + b u v + c v^2 + d u + e v over the plane across the vertex normal is fitted to the vertices at most `depth` edges
     away: sums of their monomials give the normal equations. No row where fewer than five are near; null where they do not fix a height.
+    The sums are gathered by blocks of vertices, so that pairs of near vertices never leave a task.
     """
-    n = G.cols("n")
-    normal = vertex_normals(faces, vertices).join(vertices.select("shape_id", "v_idx", "x", "y", "z"), ["shape_id", "v_idx"])
-    # an axis across the normal: its cross product with the unit vector that it has least of
-    least = F.least(*(F.abs(c) for c in n))
-    one = [F.when(F.abs(n[0]) <= least, 1.0).otherwise(0.0), F.when((F.abs(n[0]) > least) & (F.abs(n[1]) <= least), 1.0).otherwise(0.0)]
-    one = (*one, 1.0 - one[0] - one[1])
-    normal = normal.withColumns({"s" + k: c for k, c in zip("xyz", G.unit(G.cross(n, one)), strict=True)})
-    normal = normal.withColumns({"t" + k: c for k, c in zip("xyz", G.cross(n, G.cols("s")), strict=True)})
-    to = vertices.select("shape_id", F.col("v_idx").alias("v"), *(F.col(k).alias("q" + k) for k in "xyz"))
-    met = rings(faces, depth).withColumnRenamed("u", "v_idx").join(normal, ["shape_id", "v_idx"]).join(to, ["shape_id", "v"])
-    step = G.sub(G.cols("q"), G.cols())
-    met = met.select("shape_id", "v_idx", *(G.dot(step, G.cols(a)).alias(k) for a, k in zip("stn", "uvh", strict=True)))
-    power = lambda i, j: F.pow("u", F.lit(float(i))) * F.pow("v", F.lit(float(j)))
-    terms = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1)]
-    sums = {f"m{i}{j}": F.sum(power(i, j)) for i, j in sorted({(a + c, b + d) for a, b in terms for c, d in terms})} | {f"h{i}{j}": F.sum(power(i, j) * F.col("h")) for i, j in terms}
-    met = met.groupBy("shape_id", "v_idx").agg(F.count(F.lit(1)).alias("n"), *(c.alias(k) for k, c in sums.items()))
+    met = _ring_sums(faces, vertices, depth)
+    terms = _TERMS
     met = G.with_solution(met.filter("n >= 5"), [[f"m{a + c}{b + d}" for c, d in terms] for a, b in terms], [f"h{i}{j}" for i, j in terms], "q")
     a, b, c, d, e = (F.col(f"q{k}") for k in range(5))
     met = met.withColumn("g", 1 + d * d + e * e)

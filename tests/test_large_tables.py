@@ -1,11 +1,13 @@
 """What only shows on large tables, made small."""
 
+import random
 import re
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from pointloom.operators import mesh
 from pointloom.plans import mesh_queries, registry
 
 from .conftest import DATA
@@ -35,3 +37,30 @@ def _broadcast(df) -> list[str]:
 def test_rows_that_spark_cannot_foresee_are_not_broadcast(spark, name):
     """A point's pairs and the 27 cells around it are many times what Spark takes them for; the driver ran out of memory."""
     assert not {"FlatMapGroupsInArrow", "Generate"} & set(_broadcast(registry.QUERIES[name](spark, DATA)))
+
+
+def test_curvatures_by_blocks_of_vertices(spark, monkeypatch):
+    """Scrambled numbers and blocks of four, so that rings reach over several blocks: the sums of pairs of near vertices, which are no longer exchanged."""
+    rng = random.Random(5)
+    n, rows, faces = 9, [], []
+    for s in "ab":
+        name = rng.sample(range(-20, 100), n * n)
+        rows += [(s, name[k], k % n + rng.uniform(-0.2, 0.2), k // n + rng.uniform(-0.2, 0.2), rng.random()) for k in range(n * n)]
+        squares = [k for k in range(n * n) if k % n < n - 1 and k // n < n - 1]
+        faces += [(s, 2 * k + j, *(name[k + d] for d in ds)) for k in squares for j, ds in enumerate(((0, 1, n), (1, n + 1, n)))]
+        faces.append((s, -1, name[0], name[0], 500))  # degenerate, and one vertex is missing
+    f, v = spark.createDataFrame(faces, "shape_id string, f_idx int, v0 int, v1 int, v2 int"), spark.createDataFrame(rows, "shape_id string, v_idx int, x double, y double, z double")
+    key, at = ["shape_id", "v_idx"], {r[:2]: r[2:] for r in rows}
+    for depth in (1, 2, 3):
+        monkeypatch.setattr(mesh, "_BITS", 17)
+        whole = {r[:2]: r[2:] for r in mesh._ring_sums(f, v, depth).collect()}
+        near = {r[:2]: r[2] for r in mesh.rings(f, depth).filter("u <> v").join(v.withColumnRenamed("v_idx", "v"), ["shape_id", "v"]).groupBy("shape_id", F.col("u").alias("v_idx")).agg(F.count("*")).collect()}
+        assert {k: x[0] for k, x in whole.items()} == {k: near[k] for k in at}
+        curved = {r[:2]: r[2:] for r in mesh.principal_curvatures(f, v, depth=depth).collect()}
+        monkeypatch.setattr(mesh, "_BITS", 2)
+        parts = {r[:2]: r[2:] for r in mesh._ring_sums(f, v, depth).collect()}
+        assert parts.keys() == whole.keys() and all(parts[k] == pytest.approx(whole[k], rel=1e-9, abs=1e-9) for k in whole)
+        again = {r[:2]: r[2:] for r in mesh.principal_curvatures(f, v, depth=depth).collect()}
+        assert again.keys() == curved.keys() and all(again[k] == pytest.approx(curved[k], rel=1e-6, abs=1e-6) for k in curved)
+    plan = mesh.principal_curvatures(f, v)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1, "faces and vertices once, no pairs"
