@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from pointloom.operators import mesh
+from pointloom.operators import graph, mesh
 from pointloom.plans import mesh_queries, registry
 
 from .conftest import DATA
@@ -64,3 +64,20 @@ def test_curvatures_by_blocks_of_vertices(spark, monkeypatch):
         assert again.keys() == curved.keys() and all(again[k] == pytest.approx(curved[k], rel=1e-6, abs=1e-6) for k in curved)
     plan = mesh.principal_curvatures(f, v)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1, "faces and vertices once, no pairs"
+
+
+def test_paths_by_cells_are_those_of_the_kernel(spark, monkeypatch):
+    """Two shapes of many cells, with isolated and coincident points; the pairs are not written or exchanged on their way."""
+    monkeypatch.setattr(graph, "_BLOCK", 16)
+    rng = random.Random(12)
+    rows = [(s, k, rng.random() * w - 1, rng.random(), rng.random() * 0.2) for s, w in (("a", 1.0), ("b", 6.0)) for k in range(200)]
+    rows += [("b", 200, *rows[-1][2:]), ("b", 201, 50.0, 0.0, 0.0), ("c", 7, 0.0, 0.0, 0.0), ("c", 8, None, 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "shape_id string, point_idx int, x double, y double, z double")
+    edges = graph.knn_edges(points, 6).persist()
+    for radius in (0.25, 0.8):
+        near = graph.geodesics_near(points, edges, radius)
+        got, want = ({tuple(r)[:3]: r.d for r in df.collect()} for df in (near, graph.geodesics(edges, radius)))
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want) and near.count() == len(want) > 100
+    out = registry.QUERIES["large_shape_geodesic"](spark, DATA)
+    lines = [re.sub(r"^[\s:+\-|]*(\*\(\d+\) )?", "", x) for x in out._jdf.queryExecution().executedPlan().toString().split("\n")]
+    assert [x.split()[0] for x in lines if x.strip()][:3] == ["AdaptiveSparkPlan", "Project", "FlatMapGroupsInArrow"]
